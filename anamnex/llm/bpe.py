@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from functools import lru_cache
 from itertools import chain
 
@@ -25,6 +26,9 @@ from .common import chunks, list_array, with_columns
 
 #: How the byte-level tokenizer cuts text into words (fixed value).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts of ASCII and accented Latin letters, for the standard library's faster engine.
+LATIN_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:_|[^\s\w])+|\s+(?!\S)|\s+"
+NOT_LATIN = r"[^\t\n\r -~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u024f]"
 SHORT = 64
 #: Words that a worker remembers; beyond that it forgets all and starts anew.
 CACHE_WORDS = 200_000
@@ -57,7 +61,7 @@ class RankArrayBpe:
         self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.words = regex.compile(WORDS)
+        self.words, self.latin_words, self.not_latin = regex.compile(WORDS), re.compile(LATIN_WORDS), re.compile(NOT_LATIN)
         n = max(self.pieces) + 1
         self.piece_len = np.array([len(self.pieces.get(i, b"")) for i in range(n)], np.int64)
         self.piece_at = np.concatenate([[0], np.cumsum(self.piece_len)])
@@ -67,42 +71,43 @@ class RankArrayBpe:
     def forget(self) -> None:
         """The cache: a word's number, and by number where its ids start in one flat array, and how many they are."""
         self.number: dict[str, int] = {}
-        self.starts, self.sizes, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.number.update((t, k) for k, t in enumerate(self.added))
+        self.sizes = np.ones(len(self.added), np.int64)
+        self.starts = np.arange(len(self.added), dtype=np.int64)
+        self.flat = np.array(list(self.added.values()), np.int32)
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         want = a.astype(np.int64) << 32 | b
         at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
         return np.where(self.keys[at] == want, self.ranks[at], NONE)
 
-    def same_length(self, parts: np.ndarray) -> list[np.ndarray]:
-        """Ids of words that all have as many bytes; parts: their byte ids, a row each."""
-        out: list = [None] * len(parts)
+    def same_length(self, parts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of words that all have as many bytes; parts: their byte ids, a row each. Returns blocks (rows, ids) of words that ended with as many ids."""
+        out = []
         rows = np.arange(len(parts))
-        ranks = self.rank(parts[:, :-1], parts[:, 1:]) if parts.shape[1] > 1 else np.empty((len(parts), 0), np.int32)
+        ranks = self.rank(parts[:, :-1], parts[:, 1:])
         while len(rows):
             if not ranks.shape[1]:
-                for r, p in zip(rows, parts):
-                    out[r] = p
+                out.append((rows, parts))
                 break
             at = ranks.argmin(1)
             least = ranks[np.arange(len(rows)), at]
             if (ended := least == NONE).any():
-                for r, p in zip(rows[ended], parts[ended]):
-                    out[r] = p
+                out.append((rows[ended], parts[ended]))
                 go = ~ended
                 rows, parts, ranks, at, least = rows[go], parts[go], ranks[go], at[go], least[go]
                 if not len(rows):
                     break
             line = np.arange(len(rows))
             parts[line, at] = self.merged[least]
-            cols = np.arange(parts.shape[1] - 1)
-            parts = np.take_along_axis(parts, cols + (cols > at[:, None]), 1)  # the boundary goes
-            cols = np.arange(ranks.shape[1] - 1)
-            ranks = np.take_along_axis(ranks, cols + (cols >= at[:, None]), 1)
-            if has := (at > 0).nonzero()[0].tolist():
-                ranks[has, at[has] - 1] = self.rank(parts[has, at[has] - 1], parts[has, at[has]])
-            if has := (at < ranks.shape[1]).nonzero()[0].tolist():
-                ranks[has, at[has]] = self.rank(parts[has, at[has]], parts[has, at[has] + 1])
+            keep = np.arange(parts.shape[1]) != (at + 1)[:, None]
+            parts = parts[keep].reshape(len(rows), -1)  # the boundary goes
+            keep = np.arange(ranks.shape[1]) != at[:, None]
+            ranks = ranks[keep].reshape(len(rows), -1)
+            has = np.flatnonzero(at > 0)
+            ranks[has, at[has] - 1] = self.rank(parts[has, at[has] - 1], parts[has, at[has]])
+            has = np.flatnonzero(at < ranks.shape[1])
+            ranks[has, at[has]] = self.rank(parts[has, at[has]], parts[has, at[has] + 1])
         return out
 
     def long_word(self, word: bytes) -> np.ndarray:
@@ -134,32 +139,35 @@ class RankArrayBpe:
 
     def learn(self, words: set[str]) -> None:
         """Encode words that the cache doesn't have, and add them to it."""
-        by_length: dict[int, list[tuple[str, bytes]]] = {}
-        order: list[str] = []
-        found: list[np.ndarray] = []
+        by_length: dict[int, list[str]] = {}
         for w in words:
-            if w in self.added:
-                order.append(w)
-                found.append(np.array([self.added[w]], np.int32))
-            else:
-                by_length.setdefault(len(b := w.encode("utf-8", "surrogatepass")), []).append((w, b))
+            by_length.setdefault(len(w) if w.isascii() else len(w.encode("utf-8", "surrogatepass")), []).append(w)
+        blocks: list[tuple[np.ndarray, np.ndarray]] = []  # rows from 0 in the order of words, and as many ids for each
+        before, base = 0, len(self.sizes)
         for n, own in by_length.items():
-            order += [w for w, _ in own]
+            raw = "".join(own).encode("utf-8", "surrogatepass")
             if n > SHORT:
-                found += [self.long_word(b) for _, b in own]
+                made = [(np.array([i]), self.long_word(raw[i * n : (i + 1) * n])[None, :]) for i in range(len(own))]
             else:
-                raw = np.frombuffer(b"".join(b for _, b in own), np.uint8).reshape(len(own), n)
-                found += self.same_length(self.byte_ids[raw])
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.number.update(zip(order, range(len(self.number), len(self.number) + len(order))))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+                made = self.same_length(self.byte_ids[np.frombuffer(raw, np.uint8).reshape(len(own), n)])
+            blocks += [(rows + before, ids) for rows, ids in made]
+            self.number.update(zip(own, range(base + before, base + before + len(own))))
+            before += len(own)
+        sizes = np.zeros(before, np.int64)
+        for rows, ids in blocks:
+            sizes[rows] = ids.shape[1]
+        starts = np.cumsum(sizes) - sizes
+        flat = np.empty(int(sizes.sum()), np.int32)
+        for rows, ids in blocks:
+            flat[(starts[rows][:, None] + np.arange(ids.shape[1])).ravel()] = ids.ravel()
+        self.starts = np.concatenate([self.starts, len(self.flat) + starts])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, *found])
+        self.flat = np.concatenate([self.flat, flat])
 
     def cut(self, text: str) -> list[str]:
         """The words of a text; added tokens stand alone."""
         if self.split is None or not any(t in text for t in self.added):
-            return self.words.findall(text)
+            return (self.words if self.not_latin.search(text) else self.latin_words).findall(text)
         out: list[str] = []
         for part in self.split.split(text):
             if part in self.added:

@@ -7,13 +7,15 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Characters of text that a Python worker expands into words at once.
 CHUNK_CHARS = 1 << 20
+#: Bytes of an Arrow batch that are worked on at once.
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +67,7 @@ def with_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField],
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             made = make(*(b.column(n + i) for i in range(len(inputs))))
             arrays = [*(b.column(i) for i in range(n)), *made]
             yield pa.RecordBatch.from_arrays([a.cast(f.type) if a.type != f.type else a for a, f in zip(arrays, arrow)], schema=arrow)
@@ -73,6 +75,19 @@ def with_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField],
     return source.mapInArrow(run, schema)
 
 
+def settled(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """Append a column that the optimizer can't copy into every place that uses it."""
+    return df.select("*", F.explode(F.array(column)).alias(name))
+
+
+def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes, so that what is made from one stays small."""
+    for b in batches:
+        rows = max(1, min(b.num_rows, int(b.num_rows * most / max(1, b.nbytes))))
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 def chunks(texts: list, most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Bounds of runs of whole texts, of about `most` characters each."""
     start, size = 0, 0

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import WORDS
-from .common import Scratch
+from .common import Scratch, slices
 
 END_ID = 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -62,7 +62,7 @@ def pieces(df: DataFrame, path: str, most: int = 1024, doc_id: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for b in batches:
+        for b in slices(batches):
             rows: list[list] = [[] for _ in range(5)]
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                 ids = np.append(encode(t.as_py() or ""), END_ID).astype("<u4")

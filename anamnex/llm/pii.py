@@ -153,6 +153,10 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     return done.select(*(F.col(f"`{c}`") for c in order))
 
 
+def of_kind(kind: str):
+    return lambda s: s["kind"] == kind
+
+
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -160,5 +164,5 @@ def joined(spans: Column) -> Column:
 def digest(df: DataFrame, spans: str = "spans") -> DataFrame:
     """doc_id, counts of the four base kinds, a hash of their spans, and all spans as text."""
     own = F.filter(F.col(spans), lambda s: s["kind"].isin(*BASE))
-    counts = [F.size(F.filter(F.col(spans), lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    counts = [F.size(F.filter(F.col(spans), of_kind(k))).cast("long").alias(f"n_{k}") for k in BASE]
     return df.select("doc_id", *counts, F.sha2(joined(own), 256).alias("base_sha256"), joined(F.col(spans)).alias("spans"))
