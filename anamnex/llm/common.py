@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,6 +105,54 @@ def list_array(values, offsets, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
+def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """Runs of rows with equal first columns; a run may cross batches, and is then held whole."""
+    held: list[pa.RecordBatch] = []
+
+    def key(b: pa.RecordBatch, i: int) -> tuple:
+        return tuple(b.column(k)[i].as_py() for k in range(n_keys))
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        change = np.zeros(b.num_rows - 1, bool)
+        for k in range(n_keys):
+            v = b.column(k).to_numpy(zero_copy_only=False)
+            change |= v[1:] != v[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), b.num_rows]
+        if held and key(held[-1], held[-1].num_rows - 1) != key(b, 0):
+            yield pa.Table.from_batches(held)
+            held = []
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            if held and i:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def spanning(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links in a boolean matrix."""
+    root = {int(x): int(x) for x in np.concatenate([left, right])}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    a, b = [], []
+    for x, row in zip(left.tolist(), hit):
+        for y in right[row].tolist():
+            p, q = find(x), find(y)
+            if p != q:
+                root[q] = p
+                a.append(x)
+                b.append(y)
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+EDGES = "a long, b long"
 #: Nodes with more edges than both of these are joined by broadcast; at most 2 * HOT_SHARE nodes can be.
 HOT_EDGES, HOT_SHARE = 100_000, 1000
 

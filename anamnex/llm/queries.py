@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, packing, pii, toxicity, wordpiece
+from . import ann, bpe, chat, jaccard, licenses, neardup, packing, pii, toxicity, wordpiece
 from .common import table
 
 
@@ -15,11 +15,19 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return wordpiece.token_counts(docs, tokenizer("word_bpe_49k.json")).select("doc_id", "n_words", "n_tokens")
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -50,6 +58,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"), least=0.8)
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -57,7 +69,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_turns(chat.turn_rows(rows)))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_toxicity, op5_best_fit_packing, op6_license_scan, op7_pii, op8_bpe, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (
+    op1_nearest_neighbours, op2_token_counts, op3_embedding_near_dedup, op4_toxicity, op5_best_fit_packing,
+    op6_license_scan, op7_pii, op8_bpe, op9_ngram_jaccard_join, op10_chat_formatting,
+)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_chat_formatting": """
