@@ -8,7 +8,7 @@ least 0.19 of the joint shingles with it, and so misses all BANDS = 48 bands wit
 0.81 ** 48 < 5e-5. Every retrieved pair is then verified: the exact share of the template's shingles in the window.
 
 A verified match holds at least one whole shingle of the template, so documents without any of the shingles' longest
-words are passed over first; that loses nothing.
+words are passed over first, and then those without any of the shingles; that loses nothing.
 
 Null and empty texts match nothing. Texts of under five words are one shingle of what they have. Templates need five
 words. A (document, template) pair is one row, with its best window; repeated document rows each get rows.
@@ -17,7 +17,6 @@ words. A (document, template) pair is one row, with its best window; repeated do
 from __future__ import annotations
 
 import random
-import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +27,8 @@ SHINGLE, BANDS, LEAST = 5, 48, 0.8
 POINTS = [random.Random(1000 + k).getrandbits(63) * (1 if k % 2 else -1) for k in range(BANDS)]
 #: Above this many template shingles the template side is joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: With more template shingles than this, documents are not looked through for them before windows are cut.
+MOST_LITERALS = 2_000
 
 #: Notices as their publishers word them (fixed values): license, kind, text.
 TEMPLATES = (
@@ -84,23 +85,24 @@ def prepared(templates: DataFrame) -> DataFrame:
     return own.withColumn("m", F.greatest(F.lit(2), F.pow(F.lit(2), F.ceil(F.log2(F.size("t")))).cast("int")))
 
 
-def anchor_words(templates: DataFrame) -> tuple[list[str], list[int]]:
-    """The longest word of each shingle, and the classes; both are bounded by the templates."""
-    rows = prepared(templates).select("own", "m").collect()
+def anchor_words(templates: DataFrame) -> tuple[list[str], list[int], list[int]]:
+    """The longest word of each shingle, the classes, and the shingles; all are bounded by the templates."""
+    rows = prepared(templates).select("own", "m", "t").collect()
     found = {max(r["own"][i : i + SHINGLE], key=lambda w: (len(w), w)) for r in rows for i in range(len(r["own"]) - SHINGLE + 1)}
-    return sorted(found), sorted({r["m"] for r in rows})
+    return sorted(found), sorted({r["m"] for r in rows}), sorted({x for r in rows for x in r["t"]})
 
 
 def scan(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """doc_id, template_id, license, kind, containment, word (of the best window, from 0), n_windows."""
-    anchors, classes = anchor_words(templates)
+    anchors, classes, shared = anchor_words(templates)
     known = prepared(templates).select("template_id", "license", "kind", "m", "t").withColumn("value", F.explode(band_values(F.col("t"))))
     if not anchors or known.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    own = own.where(F.lower("text").rlike("|".join(map(re.escape, anchors))) if anchors else F.lit(False))
-    own = settled(own.withColumn("row", F.monotonically_increasing_id()), "own", words(F.col("text"))).drop("text")
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    own = settled(own, "own", words(F.col("text"))).drop("text").where(F.arrays_overlap("own", F.array(*map(F.lit, anchors))) if anchors else F.lit(False))
     own = settled(own, "s", shingles(F.col("own"))).drop("own")
+    if len(shared) <= MOST_LITERALS:
+        own = own.where(F.arrays_overlap("s", F.array(*map(F.lit, shared)).cast("array<bigint>")))
     cut = F.concat(*(windows(F.col("s"), m) for m in classes)) if classes else F.expr("array(named_struct('m', 2, 'start', 0, 'w', s))")
     own = own.select("doc_id", "row", F.explode(cut).alias("x")).select("doc_id", "row", "x.*")
     hits = own.select("doc_id", "row", "m", "start", "w", F.explode(band_values(F.col("w"))).alias("value")).join(known, ["m", "value"])
