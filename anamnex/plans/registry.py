@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, identity, text, units
-from ..operators import clinical, overlay, sections
+from ..operators import clinical, diagnostics, overlay, piiscan, search, sections
 from . import sql
 from .bridge import DICTIONARY, catalog, view
 
@@ -129,11 +129,11 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.with_views(f"""
 , points AS (
-  SELECT person_id, 1 AS src, lab_result_id AS id, value_num AS value, unit, collected_at AS at, {sql.key_token('test_name')} AS token, {sql.norm('test_name')} AS family,
+  SELECT person_id, 1 AS src, lab_result_id AS id, value_num AS value, unit, collected_at AS stamp, {sql.key_token('test_name')} AS token, {sql.norm('test_name')} AS family,
     coalesce(v_status IN ('superseded', 'erroneous-in-source', 'merged-into'), FALSE) AS hidden FROM lab_v WHERE value_num IS NOT NULL
-), mine AS (SELECT *, token = 'view' AS hit, {sql.full_date('at')} AS day FROM points WHERE family = 'view'),
-live AS (SELECT *, max(at) OVER (PARTITION BY person_id) AS last_at FROM mine WHERE hit AND NOT hidden),
-stats AS (SELECT person_id, count(*) AS count, min(value) AS min, max(value) AS max, arg_max(value, (at, id)) AS latest, max(at) AS latest_at, count(*) FILTER (WHERE at = last_at) AS latest_tie,
+), mine AS (SELECT *, token = 'view' AS hit, {sql.full_date('stamp')} AS day FROM points WHERE family = 'view'),
+live AS (SELECT *, max(stamp) OVER (PARTITION BY person_id) AS last_at FROM mine WHERE hit AND NOT hidden),
+stats AS (SELECT person_id, count(*) AS count, min(value) AS min, max(value) AS max, arg_max(value, (stamp, id)) AS latest, max(stamp) AS latest_at, count(*) FILTER (WHERE stamp = last_at) AS latest_tie,
   CASE WHEN count(DISTINCT day) < 2 THEN NULL ELSE round(regr_slope(value, date_diff('day', DATE '1970-01-01', day)), 6) END AS slope, count(DISTINCT unit) AS n_units, min(unit) AS one_unit FROM live GROUP BY person_id),
 others AS (SELECT person_id, count(*) FILTER (WHERE NOT hit) AS other_assay_count, array_to_string(list_sort(list_distinct(list(token) FILTER (WHERE NOT hit))), ',') AS other_assays, count(*) FILTER (WHERE hit AND hidden) AS suppressed_count FROM mine GROUP BY person_id)
 SELECT o.person_id, 'view' AS test, coalesce(s.count, 0) AS count, CASE WHEN n_units = 1 THEN one_unit WHEN n_units > 1 THEN 'mg/dL' END AS unit, s.min, s.max, latest, latest_at, coalesce(latest_tie, 0) AS latest_tie, slope AS slope_per_day,
@@ -258,3 +258,82 @@ def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conditions_dated_and_not(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conditions that appear with and without an onset."""
     return sections.undated_beside_dated(catalog(spark, sf_dir), DICTIONARY)
+
+
+# --- logs
+
+
+@query(sql.with_views("""SELECT host, count(*) AS samples, count(*) FILTER (WHERE lost) AS lost, round(100.0 * count(*) FILTER (WHERE lost) / count(*), 2) AS loss_pct, min(v) AS min_ms, quantile_disc(v, 0.5) AS median_ms,
+  quantile_disc(v, 0.95) AS p95_ms, quantile_disc(v, 0.99) AS p99_ms, max(v) AS max_ms FROM (SELECT *, CASE WHEN NOT lost THEN ms END AS v FROM sample) GROUP BY host""", "sample"))
+def ping_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss and nearest-rank percentiles by host."""
+    df = view(spark, sf_dir, "sample").withColumn("ms", F.when(~F.col("lost"), F.col("ms")))
+    return diagnostics.ping_summary(df, "host")
+
+
+@query(sql.with_views("""SELECT host, min(ts) AS start, count(*) AS losses FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ts, sample_id) - row_number() OVER (PARTITION BY host, lost ORDER BY ts, sample_id) AS island FROM sample)
+  WHERE lost GROUP BY host, island HAVING count(*) >= 2""", "sample"))
+def loss_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of losses by host."""
+    return diagnostics.loss_bursts(view(spark, sf_dir, "sample"), "host", order=("ts", "sample_id"))
+
+
+@query(sql.with_views("""SELECT m.sample_id AS marker_id, count(s.sample_id) AS samples, count(*) FILTER (WHERE s.lost) AS lost, round(coalesce(100.0 * count(*) FILTER (WHERE s.lost) / nullif(count(s.sample_id), 0), 0), 1) AS loss_pct,
+  quantile_disc(s.ms, 0.95) AS p95_ms, max(s.ms) AS max_ms FROM sample m LEFT JOIN sample s ON abs(epoch_us(s.ts) - epoch_us(m.ts)) <= 1800 * 1000000 WHERE m.marker GROUP BY m.sample_id""", "sample"))
+def stall_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples within half an hour of each marker."""
+    df = view(spark, sf_dir, "sample")
+    markers = df.where("marker").select(F.col("sample_id").alias("marker_id"), F.col("ts").alias("marker_ts"))
+    return diagnostics.stall_windows(markers, df.select("ts", "ms", "lost"), 1800).drop("marker_ts")
+
+
+@query(sql.with_views("""SELECT event_type AS counter, count(*) AS n, round(avg(value), 6) AS mean, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, max(value) AS max, arg_max(ts, (value, -epoch_us(ts))) AS max_at FROM events GROUP BY 1""", "sample"))
+def counter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of each counter."""
+    df = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", F.col("event_type").alias("counter"), "value")
+    return diagnostics.counter_stats(df).withColumn("mean", F.round("mean", 6))
+
+
+@query(sql.with_views("""SELECT marker_id, counter, window_max, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY marker_id ORDER BY window_max / greatest(run_p95, 1e-9) DESC, counter) AS rank FROM (
+  SELECT m.sample_id AS marker_id, e.event_type AS counter, max(e.value) AS window_max FROM sample m JOIN events e ON abs(epoch_us(e.ts) - epoch_us(m.ts)) <= 1800 * 1000000 WHERE m.marker GROUP BY 1, 2)
+  JOIN (SELECT event_type AS counter, quantile_disc(value, 0.95) AS run_p95 FROM events GROUP BY 1) USING (counter)) WHERE rank <= 3""", "sample"))
+def counters_at_stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters that stand out most at each marker (a top-k report)."""
+    markers = view(spark, sf_dir, "sample").where("marker").select(F.col("sample_id").alias("marker_id"), F.col("ts").alias("marker_ts"))
+    values = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", F.col("event_type").alias("counter"), "value")
+    return diagnostics.counters_at_stalls(markers, values, 1800, top=3).select("marker_id", "counter", "window_max", "rank")
+
+
+@query(sql.with_views("SELECT sample_id, ts, ms FROM sample ORDER BY ms DESC, ts LIMIT 10", "sample"))
+def worst_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten worst samples (a top-k report)."""
+    return diagnostics.worst(view(spark, sf_dir, "sample")).select("sample_id", "ts", "ms")
+
+
+# --- search and line scans
+
+_TEXTS = """texts AS (SELECT 'document' AS source_table, document_id AS source_id, person_id, coalesce(ocr_text, '') AS text FROM document
+UNION ALL SELECT 'lab_result', lab_result_id, person_id, coalesce(test_name, '') FROM lab_result UNION ALL SELECT 'medication', medication_id, person_id, coalesce(name, '') FROM medication
+UNION ALL SELECT 'procedure', procedure_id, person_id, coalesce(name, '') FROM procedure UNION ALL SELECT 'appointment', appointment_id, person_id, coalesce(reason, '') || ' ' || coalesce(summary, '') FROM appointment
+UNION ALL SELECT 'observation', observation_id, person_id, coalesce(key, '') || ' ' || coalesce(value_text, '') FROM observation UNION ALL SELECT 'allergy', allergy_id, person_id, coalesce(substance, '') || ' ' || coalesce(reaction, '') FROM allergy
+UNION ALL SELECT 'condition', condition_id, person_id, coalesce(name, '') || ' ' || coalesce(note, '') FROM condition)"""
+
+
+@query(sql.with_views(", " + _TEXTS + """, cut AS (SELECT *, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS t FROM texts),
+counted AS (SELECT *, len(list_filter(t, lambda x: x = 'reouha')) AS a, len(list_filter(t, lambda x: x = 'the')) AS b, len(t) AS n FROM cut),
+stats AS (SELECT count(*) AS total, avg(n) AS av, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM counted)
+SELECT source_table, source_id, c.person_id, round(-(greatest(1e-6, ln((total - da + 0.5) / (da + 0.5))) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / av)) + greatest(1e-6, ln((total - db + 0.5) / (db + 0.5))) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / av))), 6) AS rank
+FROM counted c, stats JOIN person p ON p.person_id = c.person_id WHERE a > 0 AND b > 0""", "document", *_ALL, "person"))
+def find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 over all records for two words."""
+    return search.find(catalog(spark, sf_dir), "Reoúha the", snippets=False).select("source_table", "source_id", "person_id", F.round("rank", 6).alias("rank"))
+
+
+@query("""WITH lines AS (SELECT doc_id, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS content, generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) AS line FROM documents),
+found AS (SELECT doc_id, line, 'card' AS rule, unnest(regexp_extract_all(content, '\\b(?:4\\d{3}|5[1-5]\\d{2}|3[47]\\d{2}|6011)[ -]?\\d{4}[ -]?\\d{4}[ -]?\\d{2,4}\\b')) AS match FROM lines WHERE NOT contains(content, 'pii-allow')
+UNION ALL SELECT doc_id, line, 'ssn', unnest(regexp_extract_all(content, '\\b\\d{3}-\\d{2}-\\d{4}\\b')) FROM lines WHERE NOT contains(content, 'pii-allow'))
+SELECT doc_id, line::INT AS line, rule, match FROM found""")
+def line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the number rules in the lines of all documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return piiscan.scan(docs).where(F.col("rule").isin("card", "ssn")).select("doc_id", "line", "rule", "match")
