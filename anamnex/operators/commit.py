@@ -125,6 +125,7 @@ def outcomes(stored: DataFrame, incoming: DataFrame, record_type: str) -> DataFr
     row concerned; a row that meets one which came in with the same submission has target_id null.
     """
     fields, pk = list(FIELDS[record_type]), f"{record_type}_id"
+    incoming = incoming.select(*(F.col(c).alias(c) for c in incoming.columns))  # both sides may come from one table
 
     def fold(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         family = [{k: _none(v) for k, v in r.items()} for r in old.sort_values(["dedup_occurrence", pk]).to_dict("records")]

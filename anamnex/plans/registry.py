@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, identity, text, units
-from ..operators import clinical, diagnostics, overlay, piiscan, search, sections
+from ..operators import clinical, commit, diagnostics, ingest, overlay, piiscan, registryops, render, search, sections
+from ..sources import decoders
 from . import sql
 from .bridge import DICTIONARY, catalog, view
 
@@ -337,3 +338,136 @@ def line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of the number rules in the lines of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return piiscan.scan(docs).where(F.col("rule").isin("card", "ssn")).select("doc_id", "line", "rule", "match")
+
+
+# --- write path
+
+
+@query(sql.with_views(f"""
+, now AS (SELECT *, {sql.hashed("person_id", sql.key_token("test_name", {}), sql.date_only("collected_at"))} AS new_base FROM lab_result),
+first AS (SELECT *, first_value(lab_result_id) OVER (PARTITION BY new_base ORDER BY lab_result_id) AS clash_id FROM now)
+SELECT f.lab_result_id AS row_id, f.clash_id, CASE WHEN c.value_num IS NOT DISTINCT FROM f.value_num AND c.value_text IS NOT DISTINCT FROM f.value_text AND lower(trim(coalesce(c.unit, ''))) = lower(trim(coalesce(f.unit, '')))
+  AND c.ref_low IS NOT DISTINCT FROM f.ref_low AND c.ref_high IS NOT DISTINCT FROM f.ref_high AND c.flag IS NOT DISTINCT FROM f.flag THEN 'doubled' ELSE 'fused' END AS kind
+FROM first f JOIN lab_result c ON c.lab_result_id = f.clash_id WHERE f.lab_result_id <> f.clash_id""", "lab_result"))
+def rekey_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that another row of the same new identity came before."""
+    return commit.collisions(catalog(spark, sf_dir), "lab_result", {}).select("row_id", "clash_id", "kind")
+
+
+@query(sql.with_views("""SELECT medication_id, CAST(length(started_on) = 10 AS BOOLEAN) AND lower(trim(coalesce(status, 'x'))) <> '' AS fine FROM medication""", "medication"))
+def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that keep the rules of their type."""
+    return view(spark, sf_dir, "medication").withColumn("prescriber", F.lit(None).cast("string")).select("medication_id", (F.size(commit.errors("medication")) == 0).alias("fine"))
+
+
+def _submission(spark: SparkSession, sf_dir: str):
+    cat = catalog(spark, sf_dir)
+    base = cat["allergy"]
+    stored = base.where("allergy_id % 3 <> 0").dropDuplicates(["dedup_base"])
+    rows = base.select(F.col("allergy_id").alias("pos"), "person_id", "document_id", "substance", "reaction", "criticality", "noted_on", "dedup_base")
+    return cat.with_tables(allergy=stored), rows
+
+
+@query()
+def commit_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each submitted row, family by family."""
+    cat, rows = _submission(spark, sf_dir)
+    return commit.outcomes(cat["allergy"], rows, "allergy").select("pos", "outcome", "target_id", "gains")
+
+
+@query(sql.with_views("SELECT record_type, dedup_base, record_id, status, v.note FROM (SELECT 'lab_result' AS record_type, dedup_base, ruled_id AS record_id, status, note FROM ruled WHERE NOT family UNION ALL SELECT 'lab_result', dedup_base, 0, status, note FROM family_v) v", "lab_result", "ruling", verdicts=True))
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All verdicts, by row and by family."""
+    return catalog(spark, sf_dir)["curation"].select("record_type", "dedup_base", "record_id", "status", "note")
+
+
+@query(sql.with_views("""SELECT dedup_base, arg_min(person_id, lab_result_id) AS owner, arg_min(test_name, lab_result_id) AS label, count(*) AS family_size FROM (SELECT l.*, k.dedup_base FROM lab_result l JOIN keyed k USING (lab_result_id)) GROUP BY dedup_base""", "lab_result", "ruling", verdicts=True))
+def lab_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Families with owner, label and size."""
+    return registryops.families(catalog(spark, sf_dir)).where("record_type = 'lab_result'").select("dedup_base", "owner", "label", "family_size")
+
+
+@query()
+def curation_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts that point at nothing or at the wrong thing."""
+    return registryops.curation_problems(catalog(spark, sf_dir))
+
+
+@query(sql.with_views("SELECT medication_id, status FROM medication WHERE status IS NOT NULL AND lower(trim(status)) NOT IN ('', 'completed', 'stopped', 'discontinued', 'active')", "medication"))
+def odd_medication_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses that are no state of a course."""
+    return sections.odd_statuses(catalog(spark, sf_dir)).select("medication_id", "status")
+
+
+# --- documents
+
+
+@query(sql.with_views("""SELECT d.document_id, p.slug, length(coalesce(ocr_text, '')) > 0 AS has_ocr_text, coalesce(l.n, 0) AS labs, coalesce(m.n, 0) AS meds FROM document d LEFT JOIN person p USING (person_id)
+  LEFT JOIN (SELECT document_id, count(*) AS n FROM lab_result GROUP BY 1) l USING (document_id) LEFT JOIN (SELECT document_id, count(*) AS n FROM medication GROUP BY 1) m USING (document_id)""", "document", "person", "lab_result", "medication"))
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with owner and row counts."""
+    return registryops.documents(catalog(spark, sf_dir)).select("document_id", "slug", "has_ocr_text", F.col("lab_result").alias("labs"), F.col("medication").alias("meds"))
+
+
+@query(sql.with_views("SELECT document_id FROM document WHERE trim(coalesce(ocr_text, '')) = ''", "document"))
+def documents_without_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that have nothing to search."""
+    return registryops.without_text(catalog(spark, sf_dir)).select("document_id")
+
+
+@query("SELECT sha256(text) AS sha256, min(doc_id) AS first_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def duplicate_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of equal content, by hash."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return docs.groupBy("sha256").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
+
+
+@query()
+def owner_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whom each document seems to be about."""
+    cat = catalog(spark, sf_dir)
+    docs = cat["document"].select("document_id", "person_id", F.col("ocr_text").alias("text"))
+    return ingest.owner_checks(docs, cat["person"])
+
+
+@query()
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of all pages."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", decoders.html_to_text("html").alias("text"))
+
+
+# --- rendered documents
+
+
+@query()
+def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1: the summary of every person."""
+    return render.summaries(catalog(spark, sf_dir), TODAY, TODAY, DICTIONARY, routine=("proc ro",))
+
+
+@query()
+def briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B2: the brief of every appointment."""
+    return render.briefs(catalog(spark, sf_dir), TODAY, TODAY, DICTIONARY)
+
+
+@query()
+def journals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal of every person."""
+    return render.journals(catalog(spark, sf_dir), TODAY)
+
+
+@query(sql.with_views("""SELECT person_id, status AS heading, note, count(*) AS verdicts, sum(CASE WHEN rid > 0 THEN 1 ELSE n END)::BIGINT AS rows FROM (
+  SELECT l.person_id, r.status, r.note, r.ruled_id AS rid, 1 AS n FROM ruled r JOIN lab_result l ON l.lab_result_id = r.ruled_id WHERE NOT family
+  UNION ALL SELECT k.person_id, f.status, f.note, 0, k.n FROM family_v f JOIN (SELECT dedup_base, arg_min(person_id, lab_result_id) AS person_id, count(*) AS n FROM (SELECT l.person_id, k.* FROM lab_result l JOIN keyed k USING (lab_result_id)) GROUP BY 1) k USING (dedup_base))
+  WHERE status IN ('superseded', 'erroneous-in-source', 'merged-into') GROUP BY 1, 2, 3""", "lab_result", "ruling", verdicts=True))
+def curation_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rulings by person."""
+    return render.curation_groups(catalog(spark, sf_dir)).select("person_id", "heading", "note", "verdicts", "rows")
+
+
+@query()
+def curation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curation record of every person that has one."""
+    return render.curations(catalog(spark, sf_dir), TODAY)
