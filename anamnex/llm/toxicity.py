@@ -6,8 +6,10 @@
    character may stand for itself, for a letter it resembles, or for nothing where it repeats or separates. Viterbi
    decoding under the character model picks the likeliest spelling.
 3. The restored words and their beginnings are scored. A feature counts if, in the training documents, its share of
-   toxic documents is above the base rate beyond chance (a Chernoff bound, held against the number of features). A
-   document's score is the noisy-or over its words.
+   toxic documents is at least STRONG, and above the base rate beyond chance (a Chernoff bound, held against the number
+   of features), and still LEFT_STRONG once the documents of all stronger
+   features are taken away. A document's score is the noisy-or over
+   its words.
 
 Training documents are the labelled ones outside the held-out fold, at most `most` of them, by hash of the id. Labels,
 language, source and id are never inputs of a score. Null and empty texts get the score of a document without
@@ -47,6 +49,10 @@ APART = re.compile(r"(?<!\S)(?:\w[ ._*-]{1,2}){3,}\w(?!\S)")
 LONGEST = 48
 KNOWN_TOKENS = 300_000
 EVIDENCE_LEAST = 5
+#: Least share of toxic documents among those with a feature.
+STRONG = 0.5
+#: The same among the documents that stronger features have left.
+LEFT_STRONG = 0.8
 
 
 def folded(word: str) -> str:
@@ -232,10 +238,58 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING, text: s
     other = F.when(share < 1, (1 - share) * F.ln((1 - share) / (1 - rate))).otherwise(0.0)
     gain = F.when(share > rate, F.col("n") * (share * F.ln(share / rate) + other)).otherwise(0.0)
     enough = math.log(2 * max(1, counted.count()))
-    weights = {r["feature"]: r["p"] for r in counted.where(gain > enough).select("feature", ((F.col("pos") + 0.5) / (F.col("n") + 1)).alias("p")).collect()}
+    strong = [r["feature"] for r in counted.where((gain > enough) & (share >= STRONG)).select("feature").collect()]  # bounded by the training documents
+    number = {f: k for k, f in enumerate(strong)}
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for t in b.column(0):
+                low = (t.as_py() or "").lower()
+                words = {restored_word(x, chars) for x in set(low.split()) | set(set_apart(low))}
+                rows.append(sorted({number[f] for w in words if w for f in features(w) if f in number}))
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(rows, pa.list_(pa.int32()))], names=["toxic", "own"])
+
+    found = own.mapInArrow(held, "toxic int, own array<int>").where(F.size("own") > 0).toArrow()  # at most `most` rows
+    weights = {strong[k]: p for k, p in decision_list(found["own"].to_pylist(), found["toxic"].to_pylist(), len(strong), rate, math.log(2 * max(1, len(strong))))}
     return Model(chars, weights, min(0.1, rate / 5))
 
 
+def decision_list(own: list[list[int]], toxic: list[int], size: int, rate: float, enough: float) -> list[tuple[int, float]]:
+    """Features one after the other, each by what it says of the documents that none before it is in.
+
+    Words that only stand beside a telling word, as in copies of one document, say nothing once its documents are gone.
+    enough: the evidence that a feature must still have, as a logarithm; only features that passed the first test come here.
+    """
+    docs: list[list[int]] = [[] for _ in range(size)]
+    pos, every = [0] * size, [0] * size
+    for d, (fs, y) in enumerate(zip(own, toxic)):
+        for f in fs:
+            docs[f].append(d)
+            every[f] += 1
+            pos[f] += y
+
+    def gain(f: int) -> float:
+        n, p = every[f], pos[f] / max(1, every[f])
+        if p < LEFT_STRONG:
+            return 0.0
+        return n * (p * math.log(p / rate) + ((1 - p) * math.log((1 - p) / (1 - rate)) if p < 1 else 0.0))
+
+    gone, out = [False] * len(own), []
+    while size:
+        best = max(range(size), key=lambda f: (gain(f), -f))
+        if gain(best) <= enough:
+            break
+        out.append((best, (pos[best] + 0.5) / (every[best] + 1)))
+        for d in docs[best]:
+            if not gone[d]:
+                gone[d] = True
+                for f in own[d]:
+                    every[f] -= 1
+                    pos[f] -= toxic[d]
+    return out
+
+
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Append the score (0 to 1) of a text column."""
     known: dict[str, float] = {}
