@@ -144,9 +144,9 @@ def search(df: DataFrame, queries, k: int = 10, vec_id: str = "vec_id", vector:
         for t in groups(batches, 3):
             kind, ids, x = t["kind"].to_numpy(), t["vec_id"].to_numpy(), matrix(t["vec"])
             q_ids, q = ids[kind == 0], x[kind == 0]
-            if not len(q_ids):
-                continue
             ids, x = ids[kind == 1], x[kind == 1]
+            if not len(q_ids) or not len(ids):
+                continue
             code = t["code"].filter(pa.array(kind == 1)).to_pylist()
             keep = first_of_equal(x, k + 1)
             ids, x = ids[keep], x[keep]

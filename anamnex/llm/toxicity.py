@@ -200,8 +200,8 @@ class Model:
             for p in map(known.__getitem__, tokens):
                 if p:
                     clean *= 1 - p
-            for w in set_apart(text):
-                clean *= 1 - self.evidence(w)
+            for w in set_apart(text):  # single letters that are words may stand at either end
+                clean *= 1 - max(self.evidence(w[a : len(w) - b]) for a in range(3) for b in range(3))
             out.append(1 - clean)
         return out
 
