@@ -19,7 +19,16 @@ def table(spark, name, *rows):
     df = spark.createDataFrame([tuple(float(v) if isinstance(v := r.get(f.name), int) and f.dataType.typeName() == "double" else v for f in schema) for r in full], schema)
     if name in FIELDS:
         df = df.withColumn("dedup_base", identity.dedup_base(name)).withColumn("dedup_key", identity.occurrence_key(F.col("dedup_base"), F.col("dedup_occurrence")))
-    return df.select(*schema.names)
+    return spark.createDataFrame(df.select(*schema.names).collect(), schema)
+
+
+def settled(cat):
+    """As after a snapshot: tables that no longer carry the plans which made them."""
+    return Catalog(cat.spark, {n: cat.spark.createDataFrame(df.collect(), df.schema) for n, df in cat.tables.items()})
+
+
+def only(cat, *names):
+    return Catalog(cat.spark, {n: cat[n] for n in names})
 
 
 @pytest.fixture(scope="module")
@@ -143,6 +152,7 @@ def test_commit_fold_depends_on_order(spark):
     empty = Catalog(spark, {"allergy": spark.createDataFrame([], schema_of("allergy"))})
     cat, found = commit.commit(empty, "allergy", rows_for(spark, "allergy", {"substance": "Latex"}, {"substance": "latex", "reaction": "x"}, {"substance": "LATEX", "reaction": "y"}))
     assert [r["outcome"] for r in found.orderBy("pos").collect()] == ["new", "enriched", "conflict"]
+    cat = settled(cat)
     assert [r["reaction"] for r in cat["allergy"].collect()] == ["x"] and cat["conflict"].count() == 1
     again, found = commit.commit(cat, "allergy", rows_for(spark, "allergy", {"substance": "latex", "reaction": "x"}))
     assert [r["outcome"] for r in found.collect()] == ["duplicate"] and again["allergy"].count() == 1
@@ -166,12 +176,13 @@ def test_validation(spark):
 
 
 def test_rekey(cat, spark):
+    cat = only(cat, "lab_result", "medication")
     same, changes, clashed = commit.rekey(cat, {})
     assert changes.count() == 0 and clashed.count() == 0
     d = {"hba1c": "a1c", "ldl": "cholesterol"}
     moved, changes, clashed = commit.rekey(cat, d)
-    assert changes.count() >= 6 and clashed.count() == 0
-    again, changes, _ = commit.rekey(moved, d)
+    assert changes.count() == 6 and clashed.count() == 0
+    again, changes, _ = commit.rekey(settled(moved), d)
     assert changes.count() == 0
     fuse = {"ldl": "hba1c"}
     blocked, _, clashed = commit.rekey(cat, fuse)
@@ -195,6 +206,7 @@ def test_record_verbs(cat):
     gone = registryops.remove_record(cat, "medication", 2)
     assert gone["medication"].count() == 1
     new, state = registryops.assert_record(cat, "allergy", "jane-doe", {"substance": "Latex"}, "jane", "2026-01-01")
+    new = settled(new)
     assert state == "new" and registryops.attested(new).count() == 1
     assert registryops.assert_record(cat, "allergy", "jane-doe", {"substance": "penicillin"}, "jane", "2026-01-01")[1] == "duplicate"
 
@@ -202,12 +214,12 @@ def test_record_verbs(cat):
 def test_verdict_verbs(cat):
     base = cat["lab_result"].where("lab_result_id = 1").first()["dedup_base"]
     other = cat["lab_result"].where("person_id = 2").first()["dedup_base"]
-    ruled = registryops.annotate(cat, "lab_result", base, "disputed", "check", attributed_to="jane")
+    ruled = settled(registryops.annotate(cat, "lab_result", base, "disputed", "check", attributed_to="jane"))
     assert registryops.verdict_list(ruled).first()["label"] == "HbA1c" and "DISPUTED: check" in render.person_text(render.journals(ruled, NOW), ruled, "jane-doe")
     with pytest.raises(registryops.RefusedError):
         registryops.annotate(cat, "lab_result", base, "merged-into", "same", merged_into_base=other)
     assert registryops.clear_verdict(ruled, "lab_result", base)["curation"].count() == 0
-    lost = ruled.with_tables(lab_result=ruled["lab_result"].where("lab_result_id <> 1"))
+    lost = settled(ruled.with_tables(lab_result=ruled["lab_result"].where("lab_result_id <> 1")))
     assert [r["kinds"] for r in registryops.orphans(lost).collect()] == [["no-live-family"]]
     to = cat["lab_result"].where("lab_result_id = 2").first()["dedup_base"]
     successors = cat.spark.createDataFrame([("lab_result", base, to)], "record_type string, old_base string, new_base string")
@@ -219,6 +231,7 @@ def test_document_verbs(cat):
     with pytest.raises(registryops.RefusedError):
         registryops.remove_person(cat, "jane-doe")
     gone = registryops.remove_document(cat, 1, tombstone=True, now=dt.datetime(2026, 1, 1))
+    gone = settled(gone)
     assert gone["document"].count() == 0 and gone["lab_result"].count() == 5 and registryops.tombstones(gone).count() == 1
     moved, counts = registryops.reassign(cat, 1, "john-doe")
     assert counts["lab_result"] == 1 and moved["lab_result"].where("person_id = 2").count() == 2
