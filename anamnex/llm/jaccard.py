@@ -37,7 +37,7 @@ from .shingles import MinHash, mixed, shingle_sets
 LEAST = 0.8
 BANDS, ROWS = 28, 5
 COMPARED, AT_ONCE, TOLERANCE = 64, 16, 1e-6
-BLOCK = 1024
+BLOCK = 512
 COLUMNS = 4096
 
 
