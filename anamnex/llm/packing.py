@@ -31,7 +31,7 @@ from .common import Scratch, slices
 END_ID = 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Rows of one hash bucket when pieces are numbered.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 10_000
 
 
 @lru_cache(maxsize=2)
