@@ -7,7 +7,8 @@ Documents with one set of shingles form a class. Pairs of classes whose sets hav
    (1 - 0.8 ** 5) ** 28 < 2e-5. Only buckets of two classes or more go on.
 2. In a bucket, the 64 values of a pair's signatures are compared 16 at a time; the pair is dropped as soon as the
    posterior probability (uniform prior) of reaching `least` falls below TOLERANCE. Pairs within what is already
-   connected need no comparison, as only the connection counts here.
+   connected need no comparison, as only the connection counts here. A bucket of more than BUCKET classes is split, and
+   its parts meet in pairs, so that no task holds more than two of them.
 3. The connected classes form candidate clusters. Each cluster is verified exactly, pair by pair, from the whole texts: in
    blocks of BLOCK classes, by products of 0/1 matrices, so that the pairs never become rows. A class goes into as many
    block pairs as its cluster has blocks.
@@ -38,6 +39,8 @@ LEAST = 0.8
 BANDS, ROWS = 28, 5
 COMPARED, AT_ONCE, TOLERANCE = 64, 16, 1e-6
 BLOCK = 512
+#: Classes of a bucket that are compared in one task; larger buckets go as pairs of parts.
+BUCKET = 20_000
 COLUMNS = 4096
 
 
@@ -134,7 +137,7 @@ def signatures(df: DataFrame) -> DataFrame:
 
 
 def candidate_edges(rows: DataFrame, least: float) -> DataFrame:
-    """Edges (a, b) from rows (bucket, node, sign), one bucket next to the other."""
+    """Edges (a, b) from rows (bucket, i, j, node, sign), one group of (bucket, i, j) next to the other."""
     stops = fewest_matches(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,9 +155,9 @@ def candidate_edges(rows: DataFrame, least: float) -> DataFrame:
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        for t in groups(batches, 1):
-            nodes = t.column(1).to_pylist()
-            signs = t.column(2).to_pylist()
+        for t in groups(batches, 3):
+            nodes = t.column(3).to_pylist()
+            signs = t.column(4).to_pylist()
             if len(nodes) == 2:
                 if nodes[0] != nodes[1]:
                     small.append((*nodes, *signs))
@@ -242,10 +245,12 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: flo
     nodes = classes.where("node is not null")
 
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    mine = buckets.join(shared, "bucket").groupBy("node").agg(F.collect_list("bucket").alias("bucket"))  # at most BANDS each
-    rows = nodes.select("node", "sign").join(mine, "node").select(F.explode("bucket").alias("bucket"), "node", "sign")
-    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "node")
+    shared = buckets.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BUCKET)).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1")
+    mine = buckets.join(shared, "bucket").groupBy("node").agg(F.collect_list(F.struct("bucket", "parts")).alias("b"))  # at most BANDS each
+    rows = nodes.select("node", "sign").join(mine, "node").select("node", "sign", F.inline("b"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "sign")
+    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
     near = scratch.write(candidate_edges(rows, least))
     cluster = scratch.write(components(near, scratch).withColumnRenamed("component", "cluster"))
     scratch.drop(near)

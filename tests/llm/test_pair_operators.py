@@ -58,9 +58,10 @@ def brute_links(texts):
     return [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and sets[b] and 5 * (i := len(sets[a] & sets[b])) >= 4 * (len(sets[a]) + len(sets[b]) - i)]
 
 
-@pytest.mark.parametrize("block", [1024, 7])
-def test_jaccard_join_equals_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, bucket", [(1024, 20_000), (7, 10)])
+def test_jaccard_join_equals_brute_force(spark, monkeypatch, block, bucket):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "BUCKET", bucket)
     texts = corpus()
     df = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "doc_id long, text string, node string").repartition(5)
     rows = {r["doc_id"]: r for r in jaccard.join(df).collect()}
