@@ -18,6 +18,7 @@ DOBS = ("1962-03-14", "1971-09-09", "1955-11-02", "1900-03-14", "1990-09-09", "1
 #: Common given names; a longer list can be given as a table.
 GIVEN = tuple("adam alice amanda andrew anna anthony barbara brian carol charles christopher daniel david deborah donna edward elizabeth emily emma frank gary george gregory helen henry jack james jane jennifer john joseph karen kevin laura linda margaret maria mary melanie michael nancy olivia patricia paul peter rachel richard robert ruth sandra sarah stephen susan thomas william".split())
 
+#: What each rule finds; group 1 is the match.
 PATTERNS = {
     "person-slug": r"(?:--person\s+|person add\s+|add_person\(\s*conn\s*,\s*[\"'])(?![<${])([a-z][a-z0-9-]{2,40})",
     "bare-slug": r"(?<![/._A-Za-z0-9])([a-z]{3,15}-[a-z]{3,15})\b(?![./])",

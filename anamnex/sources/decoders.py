@@ -50,77 +50,70 @@ def plain_text(data: bytes) -> str:
     return data.decode("utf-8-sig", errors="replace")
 
 
-class _Lines(HTMLParser):
-    """Lines by block elements; the cells of a table row stand between tabs."""
+class _Events(HTMLParser):
+    """A page as a flat list of (kind, text): words, and marks for where lines, cells and rows begin or end."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.done: list[str] = []
-        self.words: list[str] = []
-        self.row: list[str] | None = None
+        self.events: list[tuple[str, str]] = []
         self.hidden = 0
 
-    def flush(self) -> str:
-        text, self.words = single_spaced("".join(self.words)), []
-        return text
-
-    def line_ends(self) -> None:
-        if self.row is not None:
-            self.words.append(" ")
-        elif text := self.flush():
-            self.done.append(text)
-
-    def row_ends(self) -> None:
-        cells, rest = self.row or [], self.flush()
-        self.row = None
-        cells = [*cells, rest] if rest else cells
-        if any(cells):
-            self.done.append("\t".join(cells))
+    def mark(self, tag: str, side: str) -> None:
+        kind = "row" if tag == "tr" else "cell" if tag in CELLS else "line" if tag in BLOCKS else None
+        if kind and not self.hidden:
+            self.events.append((f"{kind} {side}", ""))
 
     def handle_starttag(self, tag, attrs):
-        if tag in SKIPPED:
-            self.hidden += 1
-        elif not self.hidden:
-            if tag == "tr":
-                self.line_ends()
-                self.row = []
-            elif tag in CELLS:
-                self.words.append(" ")
-            elif tag in BLOCKS:
-                self.line_ends()
+        self.hidden += tag in SKIPPED
+        self.mark(tag, "begins")
 
     def handle_endtag(self, tag):
         if tag in SKIPPED:
             self.hidden = max(0, self.hidden - 1)
-        elif not self.hidden:
-            if tag == "tr":
-                self.row_ends()
-            elif tag in CELLS:
-                text = self.flush()
-                if self.row is not None:
-                    self.row.append(text)
-                elif text:
-                    self.done.append(text)
-            elif tag in BLOCKS:
-                self.line_ends()
+        else:
+            self.mark(tag, "ends")
 
     def handle_data(self, data):
         if not self.hidden:
-            self.words.append(data)
+            self.events.append(("words", data))
+
+
+def lines_of_page(events: list[tuple[str, str]]) -> list[str]:
+    """Lines end at blocks; a table row is one line with its cells between tabs, whatever blocks stand inside."""
+    lines: list[list[str]] = []  # a line is its cells
+    cells: list[str] = []
+    text, in_row = "", False
+    for kind, words in [*events, ("page ends", "")]:
+        ends_row = kind == "row ends" or kind == "page ends" and in_row
+        if kind == "words":
+            text += words
+        elif kind == "cell begins" or kind.startswith("line") and in_row:
+            text += " "
+        elif kind == "cell ends" and in_row:
+            cells.append(single_spaced(text))
+            text = ""
+        else:  # whatever else ends what has been said so far
+            said = single_spaced(text)
+            text = ""
+            if ends_row:
+                lines.append([*cells, said] if said else cells)
+            elif said and in_row and kind == "row begins":
+                text = said + " "
+            elif said:
+                lines.append([said])
+            if ends_row or kind == "row begins":
+                cells, in_row = [], kind == "row begins"
+    return ["\t".join(line) for line in lines if any(line)]
 
 
 def html_text(markup: str) -> str:
-    parser = _Lines()
+    parser = _Events()
     try:
         parser.feed(markup)
         parser.close()
     except AssertionError as error:
         raise DecodeError(f"malformed markup: {error}") from error
-    if parser.row is not None:
-        parser.row_ends()
-    else:
-        parser.line_ends()
-    return "\n".join(parser.done)
+    return "\n".join(lines_of_page(parser.events))
 
 
 def declares_doctype(data: bytes) -> bool:
