@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,3 +15,21 @@ def settled(df: DataFrame, **columns: Column) -> DataFrame:
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, however often the body uses it."""
     return F.transform(F.array(value), body)[0]
+
+
+#: Rows that one task numbers.
+NUMBERED_ROWS = 100_000
+
+
+def numbered(df: DataFrame, name: str, start: int, key: str) -> DataFrame:
+    """Append distinct numbers from start on, without gaps; in the order of key where one task is enough for all rows.
+
+    More rows are numbered by hash bucket of the key, from the buckets' running totals, of which there are few.
+    """
+    n = max(1, -(-df.count() // NUMBERED_ROWS))
+    df = df.withColumn("__b", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+    totals = df.groupBy("__b").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("__b").orderBy(key)) - 1
+    out = df.withColumn("__k", place).join(totals.select("__b", before.alias("__before")), "__b")
+    return out.withColumn(name, (F.col("__k") + F.col("__before") + start).cast("bigint")).drop("__b", "__k", "__before")

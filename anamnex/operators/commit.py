@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity
 from ..functions.dates import has_time, is_iso_date
+from ..functions.plan import numbered
 from ..functions.text import Dictionary, enum_token, is_blank
 from ..plans.catalog import Catalog
 from ..specs import APPENDIX, COMPARED, DATES, ENUMS, FIELDS, NUMBER, OBS_REQUIRED, OBS_TIMED, REQUIRED, RESOLVING, SPARSE, SYMPTOM, SYMPTOM_RANGE, TYPES, schema_of
@@ -182,8 +183,7 @@ def commit(catalog: Catalog, record_type: str, rows: DataFrame, dictionary: Dict
     stored, pk = catalog[record_type], f"{record_type}_id"
     fields = list(FIELDS[record_type])
     found = outcomes(stored, incoming, record_type)
-    number = F.row_number().over(Window.orderBy("pos"))
-    fresh = incoming.join(found.where("outcome = 'new'").select("pos"), "pos").withColumn(pk, (number + next_ids(stored, pk) - 1).cast("bigint"))
+    fresh = numbered(incoming.join(found.where("outcome = 'new'").select("pos"), "pos"), pk, next_ids(stored, pk), "pos")
     # a row that enriches one of the same submission adds to it by identity
     gains = found.where("outcome = 'enriched'").select("dedup_base", "target_id", F.from_json("gains", ", ".join(f"`{f}` {FIELDS[record_type][f]}" for f in COMPARED[record_type])).alias("g"))
     picked = [F.first(F.col(f"g.{f}"), ignorenulls=True).alias(f"g_{f}") for f in COMPARED[record_type]]
@@ -201,9 +201,9 @@ def commit(catalog: Catalog, record_type: str, rows: DataFrame, dictionary: Dict
     added = enriched(added, gains.where("target_id IS NULL").groupBy("dedup_base").agg(*picked), "dedup_base")
     old = old.join(promoted, pk, "left").withColumn("document_id", F.coalesce("document_id", "p_document")).select(*columns)
     conflicts = incoming.join(found.where("outcome = 'conflict'").select("pos", "existing_json"), "pos")
-    start = next_ids(catalog["conflict"], "conflict_id")
+    conflicts = numbered(conflicts, "conflict_id", next_ids(catalog["conflict"], "conflict_id"), "pos")
     staged = conflicts.select(
-        (number + start - 1).cast("bigint").alias("conflict_id"), F.lit(record_type).alias("record_type"), F.col("dedup_base").alias("dedup_key"), "person_id", "document_id",
+        "conflict_id", F.lit(record_type).alias("record_type"), F.col("dedup_base").alias("dedup_key"), "person_id", "document_id",
         "existing_json", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("incoming_json"), F.lit("open").alias("status"), F.lit(None).cast("string").alias("resolution"),
         F.lit(now_text(now)).alias("detected_at"), F.lit(None).cast("string").alias("resolved_at"),
     )

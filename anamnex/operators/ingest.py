@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import dob_renderings
+from ..functions.plan import numbered
 from ..functions.text import alnum, invisible_trim, is_blank, name_tokens
 from ..plans.catalog import Catalog
 from ..specs import schema_of
@@ -92,10 +93,10 @@ def ingest(catalog: Catalog, files: DataFrame, slug: str, force: bool = False, t
     )
     df = df.withColumn("status", F.coalesce(status, F.lit("new")))
     start = next_ids(catalog["document"], "document_id")
-    new = df.where("status = 'new'")
+    new = numbered(df.where("status = 'new'").drop("document_id"), "document_id", start, "path")
     place = F.concat_ws("/", F.substring("sha256", 1, 2), F.concat("sha256", "suffix"))
     made = {
-        "document_id": F.row_number().over(Window.orderBy("path")) + start - 1, "sha256": F.col("sha256"), "person_id": F.lit(who), "source_path": place, "ocr_text": F.col("text"),
+        "document_id": F.col("document_id"), "sha256": F.col("sha256"), "person_id": F.lit(who), "source_path": place, "ocr_text": F.col("text"),
         "ingested_at": F.lit(now_text(now)), "text_source": F.when(F.col("text").isNotNull(), F.col("route")), **{k: F.lit(v) for k, v in more.items()},
     }
     rows = new.select(*(made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema_of("document")))

@@ -270,15 +270,25 @@ def briefs(catalog: Catalog, today, generated: str, dictionary: Dictionary = Non
     return out.select("appointment_id", "person_id", F.concat("header", "text").alias("text"))
 
 
-def journal_lines(catalog: Catalog, since: str | None = None, self_reported: bool = False) -> DataFrame:
-    """Events that no verdict hides, with headings where the date changes and numbered notes of documents in order of first use."""
+def journal_events(catalog: Catalog, since: str | None = None, self_reported: bool = False) -> DataFrame:
+    """Events that no verdict hides, with their place, and whether a new date starts."""
     events = timeline(catalog, since=since, exclude_obs_types=() if self_reported else SELF_REPORTED)
     df = visible(with_verdict(events, catalog))
-    order = Window.partitionBy("person_id").orderBy("date", "type", "src", "record_id")
-    df = df.withColumn("place", F.row_number().over(order)).withColumn("starts", ~F.col("date").eqNullSafe(F.lag("date").over(order)))
-    notes = df.where("document_id IS NOT NULL").groupBy("person_id", "document_id").agg(F.min("place").alias("first"))
-    notes = notes.withColumn("note_no", F.row_number().over(Window.partitionBy("person_id").orderBy("first")))
-    df = df.join(notes.select("person_id", "document_id", "note_no"), ["person_id", "document_id"], "left")
+    order = Window.partitionBy("person_id").orderBy("date", "type", "src", "record_id", "document_id")
+    return df.withColumn("place", F.row_number().over(order)).withColumn("starts", ~F.col("date").eqNullSafe(F.lag("date").over(order)))
+
+
+def footnotes(events: DataFrame) -> DataFrame:
+    """(person_id, document_id, note_no): documents numbered by first appearance."""
+    notes = events.where("document_id IS NOT NULL").groupBy("person_id", "document_id").agg(F.min("place").alias("first"))
+    return notes.select("person_id", "document_id", F.row_number().over(Window.partitionBy("person_id").orderBy("first")).alias("note_no"))
+
+
+def journal_lines(catalog: Catalog, since: str | None = None, self_reported: bool = False) -> DataFrame:
+    """Lines of events (section 0), with headings where the date changes, and numbered notes of their documents (section 1)."""
+    df = journal_events(catalog, since, self_reported)
+    notes = footnotes(df)
+    df = df.join(notes, ["person_id", "document_id"], "left")
     head = F.when(F.col("starts"), F.concat(F.lit("\n## "), "date", F.lit("\n\n"))).otherwise(F.lit(""))
     line = F.concat(head, F.lit("- **"), "type", F.lit("** -- "), F.coalesce("summary", F.lit("")), F.when(F.col("note_no").isNotNull(), F.concat(F.lit(" [^"), F.col("note_no").cast("string"), F.lit("]"))).otherwise(F.lit("")), suffixes())
     docs = catalog["document"].select("document_id", F.lit(True).alias("known"), "category", "provider", "doc_date", "source_path")

@@ -74,9 +74,7 @@ def find(catalog: Catalog, query: str, slug: str | None = None, snippets: bool =
     found = index.where(" AND ".join(f"tf{k} > 0" for k in range(len(wanted))))
     score = F.lit(0.0)
     for k in range(len(wanted)):
-        idf = max(LEAST_IDF, math.log((stats["n"] - stats[f"df{k}"] + 0.5) / (stats[f"df{k}"] + 0.5))) if stats["n"] else 0.0
-        tf = F.col(f"tf{k}")
-        score = score - F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(stats["avg_len"] or 1.0)))
+        score = score - bm25(F.col(f"tf{k}"), F.col("len"), stats["n"], stats[f"df{k}"], stats["avg_len"])
     if slug is not None:
         found = found.where(F.col("person_id") == person_id(catalog, slug))
     found = found.join(catalog["person"].select("person_id", "slug"), "person_id")
@@ -86,6 +84,59 @@ def find(catalog: Catalog, query: str, slug: str | None = None, snippets: bool =
     return out.orderBy("rank", "source_table", "source_id")
 
 
+POSTING_SHARDS = 256
+
+
+def write_postings(catalog: Catalog, path: str) -> None:
+    """The index as tables: postings (shard, token, record, positions, len), pruned by shard of the token, and its statistics."""
+    index = settled(record_text(catalog), tokens=tokens(F.col("text")))
+    stats = index.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
+    stats.write.mode("errorifexists").parquet(f"{path}/stats")
+    rows = index.select("source_table", "source_id", "person_id", "document_id", F.size("tokens").alias("len"), F.posexplode("tokens").alias("pos", "token"))
+    rows = rows.groupBy("token", "source_table", "source_id", "person_id", "document_id", "len").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    shard = F.pmod(F.xxhash64("token"), F.lit(POSTING_SHARDS)).cast("int")
+    rows.withColumn("shard", shard).repartition("shard").sortWithinPartitions("token").write.mode("errorifexists").partitionBy("shard").parquet(f"{path}/postings")
+
+
+def find_in_postings(catalog: Catalog, path: str, query: str, slug: str | None = None) -> DataFrame:
+    """find() over stored postings: only the shards of the query's tokens are read. Records and ranks are the same; there are no texts."""
+    spark, wanted = catalog.spark, phrases(query)
+    words = sorted({t for p in wanted for t in p})
+    if not words:
+        return spark.createDataFrame([], "source_table string, source_id bigint, person_id bigint, document_id bigint, slug string, rank double")
+    stats = spark.read.parquet(f"{path}/stats").first()
+    shards = [r[0] for r in spark.createDataFrame([(w,) for w in words], "token string").select(F.pmod(F.xxhash64("token"), F.lit(POSTING_SHARDS)).cast("int")).distinct().collect()]
+    rows = spark.read.parquet(f"{path}/postings").where(F.col("shard").isin(*shards) & F.col("token").isin(*words))
+    by_record = rows.groupBy("source_table", "source_id", "person_id", "document_id", "len").agg(*(F.first(F.when(F.col("token") == w, F.col("positions")), ignorenulls=True).alias(f"w{k}") for k, w in enumerate(words)))
+
+    def places(phrase: list[str]) -> Column:
+        """Where a phrase begins: the places of each word, moved back by its distance from the first."""
+        out = F.col(f"w{words.index(phrase[0])}")
+        for d, w in enumerate(phrase[1:], 1):
+            out = F.array_intersect(out, F.transform(F.col(f"w{words.index(w)}"), _moved_back(d)))
+        return F.coalesce(F.size(out), F.lit(0))
+
+    hit = settled(by_record, **{f"tf{k}": F.greatest(places(p), F.lit(0)) for k, p in enumerate(wanted)})
+    dfs = hit.agg(*(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(wanted)))).first()
+    score = F.lit(0.0)
+    for k in range(len(wanted)):
+        score = score - bm25(F.col(f"tf{k}"), F.col("len"), stats["n"], dfs[f"df{k}"], stats["avg_len"])
+    found = hit.where(" AND ".join(f"tf{k} > 0" for k in range(len(wanted))))
+    if slug is not None:
+        found = found.where(F.col("person_id") == person_id(catalog, slug))
+    found = found.join(catalog["person"].select("person_id", "slug"), "person_id")
+    return found.select("source_table", "source_id", "person_id", "document_id", "slug", score.alias("rank")).orderBy("rank", "source_table", "source_id")
+
+
+def _moved_back(by: int):
+    return lambda x: x - by
+
+
+def bm25(tf: Column, length: Column, n: int, df: int, mean: float | None) -> Column:
+    idf = max(LEAST_IDF, math.log((n - df + 0.5) / (df + 0.5))) if n else 0.0
+    return F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean or 1.0)))
+
+
 def snippet(wanted: list[list[str]], most: int = SNIPPET_TOKENS):
     """A pandas UDF that cuts the tokens around the first hit, hits in brackets, dots where text goes on."""
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, identity, text, units
+from ..functions import dates, identity, names, text, units
 from ..operators import clinical, commit, diagnostics, ingest, overlay, piiscan, registryops, render, search, sections
 from ..sources import decoders
+from . import catalog as snapshots
 from . import sql
 from .bridge import DICTIONARY, catalog, view, whole
 
@@ -499,3 +500,62 @@ def curation_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def curation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The curation record of every person that has one."""
     return render.curations(catalog(spark, sf_dir), TODAY)
+
+
+# --- small ones
+
+
+@query("""WITH s AS (SELECT CAST(event_id AS VARCHAR) AS name, ts, CAST(ts AS DATE) AS d FROM events), ranked AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY ts DESC, name DESC) AS k FROM s),
+daily AS (SELECT name FROM ranked WHERE k = 1 ORDER BY ts DESC LIMIT 7), rest AS (SELECT * FROM s WHERE name NOT IN (SELECT name FROM daily)),
+weekly AS (SELECT name FROM (SELECT *, row_number() OVER (PARTITION BY isoyear(d), weekofyear(d) ORDER BY ts DESC, name DESC) AS k FROM rest) WHERE k = 1 ORDER BY ts DESC LIMIT 4)
+SELECT name, ts, name IN (SELECT name FROM daily) OR name IN (SELECT name FROM weekly) AS keep FROM s""")
+def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which snapshots stay, where every event counts as one."""
+    df = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").cast("string").alias("name"), "ts")
+    return snapshots.retained(df)
+
+
+@query(sql.with_views(f"""SELECT lab_result_id, CASE WHEN ref_low IS NOT NULL AND ref_high IS NOT NULL THEN '  (ref 10.0-120.0)' WHEN ref_high IS NOT NULL THEN '  (ref <= 120.0)' WHEN ref_low IS NOT NULL THEN '  (ref >= 10.0)' ELSE '' END AS ref_range,
+  {sql.ABNORMAL} AS abnormal FROM lab_result""", "lab_result"))
+def reference_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference ranges as text, and what is abnormal."""
+    df = view(spark, sf_dir, "lab_result")
+    return df.select("lab_result_id", render.reference_range(F.col("ref_low"), F.col("ref_high")).alias("ref_range"), sections.is_abnormal().alias("abnormal"))
+
+
+_SHOWN = _TIMELINE.replace("FROM lab_result", "FROM lab_live").replace("FROM observation", "FROM observation WHERE obs_type NOT IN ('symptom', 'activity')")
+
+
+@query(sql.with_views(f", events_ AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY date, type, record_id, document_id) AS place FROM ({_SHOWN}) WHERE date <> ''), firsts AS (SELECT person_id, document_id, min(place) AS first FROM events_ GROUP BY 1, 2) "
+    "SELECT person_id, document_id, (row_number() OVER (PARTITION BY person_id ORDER BY first))::INT AS note_no FROM firsts", *_ALL, "ruling", verdicts=True))
+def journal_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents numbered by first appearance in the journal of each person."""
+    return render.footnotes(render.journal_events(catalog(spark, sf_dir)))
+
+
+@query(sql.with_views(f", events_ AS (SELECT person_id, date FROM ({_SHOWN}) WHERE date <> '') SELECT person_id, date, count(*) AS events FROM events_ GROUP BY 1, 2", *_ALL, "ruling", verdicts=True))
+def journal_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The date sections of each person's journal, counted by their headings."""
+    df = render.journal_events(catalog(spark, sf_dir))
+    found = df.groupBy("person_id", "date").agg(F.count("*").alias("events"), F.count_if("starts").alias("headings"))
+    return found.where("headings = 1").select("person_id", "date", "events")
+
+
+@query(sql.with_views("""SELECT person_id, slug, CASE WHEN d IS NULL THEN '' ELSE array_to_string(list_sort(list_distinct([strftime(d, '%Y-%m-%d'), strftime(d, '%m/%d/%Y'), strftime(d, '%-m/%-d/%Y'), strftime(d, '%m-%d-%Y'), strftime(d, '%B %-d, %Y'), strftime(d, '%-d %B %Y'), strftime(d, '%b %-d, %Y'), strftime(d, '%-d %b %Y')])), '|') END AS dobs,
+  'customer ' || substr(full_name, 10) AS tokens FROM (SELECT *, CAST(dob AS DATE) AS d FROM person)""", "person"))
+def person_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of names and spellings of birth dates."""
+    df = registryops.people(catalog(spark, sf_dir))
+    return df.select("person_id", "slug", F.array_join(F.array_sort(dates.dob_renderings(F.col("dob"))), "|").alias("dobs"), F.array_join(text.name_tokens(F.col("full_name")), " ").alias("tokens"))
+
+
+@query(sql.with_views("SELECT medication_id, CASE name WHEN 'DRUG 1-URGENT' THEN 'Drug 1-Urgent' WHEN 'DRUG 2-HIGH' THEN 'Drug 2-High' WHEN 'DRUG 3-MEDIUM' THEN 'Drug 3-Medium' WHEN 'DRUG 4-NOT SPECIFIED' THEN 'Drug 4-Not Specified' WHEN 'DRUG 5-LOW' THEN 'Drug 5-Low' END AS shown FROM medication", "medication"))
+def medication_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names for display."""
+    return view(spark, sf_dir, "medication").select("medication_id", names.display_name("name").alias("shown"))
+
+
+@query(sql.with_views("SELECT dedup_key, count(*) AS rows FROM (SELECT k.dedup_base AS dedup_key FROM keyed k) GROUP BY 1 HAVING count(*) > 1", "lab_result", "ruling", verdicts=True))
+def doubled_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that more than one row holds."""
+    return catalog(spark, sf_dir)["lab_result"].groupBy("dedup_key").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)

@@ -142,6 +142,22 @@ def test_find(cat):
     assert search.find(cat, "...").count() == 0 and search.find(cat, "hba1c", "john-doe").count() == 1
 
 
+def test_postings_give_the_same(cat, tmp_path):
+    path = str(tmp_path / "index")
+    search.write_postings(cat, path)
+    for q, slug in (("hba1c", None), ("analisis HBA1C", "jane-doe"), ("for_jane", None), ("zinc", None), ("", None)):
+        a = [(r["source_table"], r["source_id"], round(r["rank"], 9)) for r in search.find(cat, q, slug, snippets=False).collect()]
+        assert [(r["source_table"], r["source_id"], round(r["rank"], 9)) for r in search.find_in_postings(cat, path, q, slug).collect()] == a
+
+
+def test_numbering_by_bucket(spark, monkeypatch):
+    from anamnex.functions import plan
+
+    monkeypatch.setattr(plan, "NUMBERED_ROWS", 7)
+    got = plan.numbered(spark.range(50).withColumnRenamed("id", "pos"), "n", 10, "pos").collect()
+    assert sorted(r["n"] for r in got) == list(range(10, 60))
+
+
 def rows_for(spark, name, *rows):
     fields = FIELDS[name]
     schema = "pos long, person_id long, document_id long, " + ", ".join(f"`{n}` {k}" for n, k in fields.items())
