@@ -4,7 +4,9 @@ The squared distance of q and x is |q|^2 - 2 (q.x - |x|^2 / 2), so the nearest v
 product with a known offset. Pairs of dimensions are quantised to four bits. Codes and codebooks minimise
 |r|^2 + (eta - 1) (r.x / |x|)^2 of the residual r: the part along the vector, which is what harms large inner products,
 weighs eta times as much. A query's inner products with all codewords are tables; two four-bit codes are one byte, and
-a scan adds up table entries. The RERANK best of every block are ranked again by exact distances in double precision.
+a scan adds up table entries. The RERANK best of every block are ranked again by exact distances in double precision;
+the k-th of these distances then excludes the rows that cannot come nearer by what the quantiser left of them, and all
+rows that it does not exclude are ranked by exact distances as well. The result is that of brute force.
 
 Codebooks are fitted on at most SAMPLE rows (by hash of the id); every row is encoded and scanned. Queries and rows meet
 in blocks of bounded size, so that neither side is broadcast. Of equal vectors, the eleven of the smallest ids in a block
@@ -30,6 +32,10 @@ QUERY_BLOCK, ROW_BLOCK, LEAST_BLOCKS = 2_048, 65_536, 12
 #: Inner products above this share of |q| |x| are the ones that matter.
 SHARE = 0.2
 CODES, WIDTH = 16, 2
+#: Rounding of sums in double precision, as a share of squared norms.
+SLACK = 1e-11
+#: More rows than this are compared by matrix products first.
+WIDE = 1_024
 
 
 class Quantiser:
@@ -93,13 +99,61 @@ class Quantiser:
         """Approximate inner products, a row per query."""
         wide = np.zeros((len(queries), self.parts * WIDTH))
         wide[:, : self.dim] = queries
-        tables = np.einsum("qsw,scw->qsc", wide.reshape(len(queries), self.parts, WIDTH), self.books).astype(np.float32)
-        out = np.zeros((len(queries), len(packed)), np.float32)
+        tables = np.einsum("qsw,scw->qsc", wide.reshape(len(queries), self.parts, WIDTH), self.books)
+        out = np.zeros((len(queries), len(packed)))
         byte = np.arange(256)
         for s in range(self.parts // 2):
             out += (tables[:, 2 * s, byte & 15] + tables[:, 2 * s + 1, byte >> 4])[:, packed[:, s]]
         return out
 
+    def decode(self, packed: np.ndarray) -> np.ndarray:
+        """The vectors that the codes stand for."""
+        codes = np.empty((len(packed), self.parts), np.uint8)
+        codes[:, 0::2], codes[:, 1::2] = packed & 15, packed >> 4
+        return self.books[np.arange(self.parts), codes].reshape(len(packed), -1)[:, : self.dim]
+
+
+class Bound:
+    """How near rows may be to a query, from the query's inner products with their codes.
+
+    With c the decoded row and r = x - c = b c + o, o at right angles to c: q.x = (1 + b) q.c + q.o, and q.o is at most
+    |o| times the part of q at right angles to c.
+    """
+
+    def __init__(self, x: np.ndarray, decoded: np.ndarray):
+        self.xx, self.cc = (x**2).sum(1), (decoded**2).sum(1)
+        r = x - decoded
+        self.share = np.divide((r * decoded).sum(1), self.cc, out=np.zeros(len(x)), where=self.cc > 0)
+        self.across = np.linalg.norm(r - self.share[:, None] * decoded, axis=1)
+
+    def least(self, qq: np.ndarray, inner: np.ndarray) -> np.ndarray:
+        """Least squared distances, a row per query; qq: the queries' squared norms. Rounding may add SLACK of the squared norms."""
+        along = np.divide(inner**2, self.cc, out=np.zeros_like(inner), where=self.cc > 0)
+        across = np.sqrt(np.maximum(qq[:, None] - along, 0) + SLACK * qq[:, None])
+        return qq[:, None] + self.xx - 2 * ((1 + self.share) * inner + self.across * across)
+
+
+def nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, inner: np.ndarray, bound: Bound, k: int, rerank: int) -> list[np.ndarray]:
+    """Places of rows among which the k nearest of each query are. inner: the queries' inner products with the codes."""
+    qq = (q**2).sum(1)
+    near, least, out = inner - bound.xx / 2, bound.least(qq, inner), []
+    for i in range(len(q)):
+        first = np.argpartition(-near[i], rerank - 1)[:rerank]
+        far = kth(((x[first] - q[i]) ** 2).sum(1)[ids[first] != q_ids[i]], k)
+        out.append(np.flatnonzero(~(least[i] > far + SLACK * (qq[i] + bound.xx + bound.cc))))  # what is no number is not excluded
+    wide = [i for i in range(len(q)) if len(out[i]) > WIDE]
+    if wide:  # many rows at once by a matrix product
+        square = qq[wide, None] + bound.xx - 2 * (q[wide] @ x.T)
+        for i, own in zip(wide, square):
+            own, at = own[out[i]], out[i]
+            far = kth(own[ids[at] != q_ids[i]], k)
+            out[i] = at[~(own > far + SLACK * (qq[i] + bound.xx[at] + bound.xx[at].max()))]
+    return out
+
+
+def kth(values: np.ndarray, k: int) -> float:
+    return np.partition(values, k - 1)[k - 1] if len(values) >= k else np.inf
+
 
 def index(rows: DataFrame, most: int = SAMPLE) -> tuple[DataFrame, dict[int, Quantiser]]:
     """Append code (binary) to rows (vec_id, vec); the quantisers by dimension, fitted on at most `most` rows."""
@@ -152,12 +206,12 @@ def search(df: DataFrame, queries, k: int = 10, vec_id: str = "vec_id", vector:
             ids, x = ids[keep], x[keep]
             own = found.get(x.shape[1])
             packed = np.frombuffer(b"".join(code[i] for i in keep), np.uint8).reshape(len(ids), -1) if own else None
-            half = (x**2).sum(1) / 2
+            bound = Bound(x, own.decode(packed)) if own and len(ids) > rerank else None
             out = []
-            for a in range(0, len(q), 64):
-                near = own.scan(q[a : a + 64], packed) - half if own and len(ids) > rerank else None
-                for i in range(a, min(a + 64, len(q))):
-                    best = np.arange(len(ids)) if near is None else np.sort(np.argpartition(-near[i - a], rerank - 1)[:rerank])
+            for a in range(0, len(q), 32):
+                some = q[a : a + 32]
+                among = nearest(some, q_ids[a : a + 32], x, ids, own.scan(some, packed), bound, k, rerank) if bound else [np.arange(len(ids))] * len(some)
+                for i, best in enumerate(among, a):
                     best = best[ids[best] != q_ids[i]]
                     d = np.sqrt(((x[best] - q[i]) ** 2).sum(1))
                     for j in np.lexsort((ids[best], d))[:k]:

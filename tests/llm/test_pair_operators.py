@@ -173,6 +173,20 @@ def test_scan_recall_after_reranking():
     assert hits / 400 >= 0.9 and q.encode(x).shape == (6000, 16)
 
 
+def test_search_in_a_large_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAST_BLOCKS", 1)
+    r = np.random.default_rng(12)
+    x = r.standard_normal((3000, 64))
+    x[:1000] = x[0] + 0.01 * r.standard_normal((1000, 64))
+    x[1000:1400] *= np.geomspace(1e-6, 1e6, 400)[:, None]
+    rows = ann.search(vector_frame(spark, x), F.col("vec_id") % 50 == 0, k=10).where(f"query_id < {len(x)}").collect()
+    for q in range(0, 3000, 50):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        best = np.lexsort((np.arange(len(x)), d))[:10]
+        assert [r["vec_id"] for r in sorted((r for r in rows if r["query_id"] == q), key=lambda r: r["rank"])] == best.tolist()
+
+
 def toxic_corpus(spark):
     r = random.Random(6)
     words = ["thing", "water", "river", "stone", "paper", "green", "house", "garden", "window", "summer"]
