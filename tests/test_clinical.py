@@ -262,3 +262,17 @@ def test_document_verbs(cat):
 def test_bridge_views_have_all_types(spark, sf_dir):
     cat = bridge.catalog(spark, sf_dir)
     assert all(cat[t].columns == schema_of(t).names for t in TYPES)
+
+
+def test_bridge_keeps_whole_texts(spark, sf_dir):
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").selectExpr("conv_id * 1000 + turn AS appointment_id", "text AS reason", "CASE WHEN role = 'assistant' THEN text END AS summary")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id AS document_id", "text AS ocr_text")
+    for name, own in (("appointment", said), ("document", docs)):
+        got = bridge.view(spark, sf_dir, name).select(*own.columns)
+        assert got.exceptAll(own).count() == 0 and own.exceptAll(got).count() == 0
+
+
+def test_documents_without_text(spark, cat):
+    rows = [{"document_id": k, "sha256": str(k), "person_id": 1, "ocr_text": t} for k, t in enumerate((None, "", " ", "\n\t", "a", " a "), 1)]
+    own = cat.with_tables(document=table(spark, "document", *rows))
+    assert [r["document_id"] for r in registryops.without_text(own).collect()] == [1, 2, 3, 4]
