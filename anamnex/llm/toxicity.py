@@ -4,7 +4,9 @@
    alphabet; what is gathered for it (partial counts of every task) grows with the input.
 2. Tokens that look disguised (leetspeak, separators inside, letters set apart, repeated letters) become lattices: each
    character may stand for itself, for a letter it resembles, or for nothing where it repeats or separates. Viterbi
-   decoding under the character model picks the likeliest spelling.
+   decoding under the character model picks the likeliest spelling. When a document is scored, a separator or a gap
+   between letters set apart may also be the end of a word, and a repeat of any length may be dropped: every word of
+   these readings is looked up; between letters set apart, if a reading with it is at most MARGIN dearer than the best.
 3. The restored words and their beginnings are scored. A feature counts if, in the training documents, its share of
    toxic documents is at least STRONG, and above the base rate beyond chance (a Chernoff bound, held against the number
    of features), and still LEFT_STRONG once the documents of all stronger
@@ -23,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,7 +47,14 @@ LEET_COST, DROP_SEPARATOR, DROP_REPEAT, DROP_OTHER = 1.0, 0.5, 1.0, 4.0
 STRIP_END = "!?.,;:\"'()[]{}<>*#%&$~^|`«»…–—-_=/\\"
 STRIP_START = "?.,;:\"'()[]{}<>*#%&~^`«»…–—-_=/\\"
 REPEATED = re.compile(r"(.)\1\1")
+REPEAT = re.compile(r"(.)\1*", re.DOTALL)
 APART = re.compile(r"(?<!\S)(?:\w[ ._*-]{1,2}){3,}\w(?!\S)")
+GAP = re.compile(r"[ ._*-]+")
+#: Marks that end a word inside a token: those that stand for no letter, and all.
+MARKS = [re.compile(f"(?:[^\\w{re.escape(''.join(c for c in LEET if not c.isalnum()))}]|_)+"), re.compile(r"(?:[^\w]|_)+")]
+#: How much dearer than the best a reading of letters set apart may be, and how long its words are.
+MARGIN, LONGEST_WORD = 8.0, 24
+MOST_REPEATS = 6
 #: Longer tokens are keys, links or junk of machines, and not words in disguise.
 LONGEST = 48
 KNOWN_TOKENS = 300_000
@@ -139,7 +149,56 @@ def restored_word(token: str, model: CharModel) -> str:
 
 def set_apart(text: str) -> list[str]:
     """Words whose letters stand apart, with the gaps closed."""
-    return [re.sub(r"[ ._*-]+", "", m[0]) for m in APART.finditer(text)]
+    return [GAP.sub("", m[0]) for m in APART.finditer(text)]
+
+
+def squeezed(word: str) -> list[str]:
+    """Spellings of a word where each repeat of a letter, however long, is one letter or two."""
+    runs = [m[0] for m in REPEAT.finditer(word)]
+    long = sum(len(r) > 1 for r in runs)
+    if not long:
+        return [word]
+    if long > MOST_REPEATS:
+        return [word, "".join(r[0] for r in runs), "".join(r[:2] for r in runs)]
+    return [word, *map("".join, product(*((r[0],) if len(r) == 1 else (r[0], r[:2]) for r in runs)))]
+
+
+def pieces(token: str) -> set[str]:
+    """What a token may hold besides itself: its parts between marks, and in tokens that are no junk, neighbouring parts as one."""
+    word, out = core(token), set()
+    for mark in MARKS:
+        parts = [p for p in mark.split(word) if p]
+        for i in range(len(parts)):
+            out.update("".join(parts[i:j]) for j in range(i + 1, len(parts) + 1 if len(word) <= LONGEST else i + 2))
+    out.discard(word)
+    return out
+
+
+def plain_letters(run: str, model: CharModel) -> set[str]:
+    """Letters set apart, with letters for what resembles them."""
+    if run.isalpha():
+        return {run}
+    return {"".join(c if c.isalpha() else LEET.get(c, "")[k:][:1] for c in run) for k in (0, -1)} | ({restore_word(run, model)} if len(run) <= LONGEST else set())
+
+
+def readings(run: str, model: CharModel, at: list[tuple[int, int]]) -> list[bool]:
+    """Of words in a run of letters, by place: whether words that fill the run with it among them are likely enough."""
+    n, far = len(run), math.inf
+    costs = []
+    for a in range(n):
+        own, key, total = [], EDGE + EDGE, 0.0
+        for c in folded(run[a : a + LONGEST_WORD]):
+            total += model.cost(key + c)
+            key = key[1] + c
+            own.append(total + model.cost(key + EDGE))
+        costs.append(own)
+    before, after = [0.0] + [far] * n, [far] * n + [0.0]
+    for a in range(n):
+        for k, cost in enumerate(costs[a], a + 1):
+            before[k] = min(before[k], before[a] + cost)
+    for a in reversed(range(n)):
+        after[a] = min(cost + after[k] for k, cost in enumerate(costs[a], a + 1))
+    return [before[a] + costs[a][b - a - 1] + after[b] <= after[0] + MARGIN for a, b in at]
 
 
 def char_counts(df: DataFrame, text: str = "text") -> dict[str, int]:
@@ -185,6 +244,9 @@ class Model:
     weights: dict[str, float]
     none: float
 
+    def __post_init__(self):
+        self.starts = {f[1] for f in self.weights if len(f) > 1}  # first letters of what is evidence
+
     def scores(self, texts: list[str], known: dict[str, float]) -> list[float]:
         out = []
         for text in texts:
@@ -200,13 +262,35 @@ class Model:
             for p in map(known.__getitem__, tokens):
                 if p:
                     clean *= 1 - p
-            for w in set_apart(text):  # single letters that are words may stand at either end
-                clean *= 1 - max(self.evidence(w[a : len(w) - b]) for a in range(3) for b in range(3))
+            for m in APART.finditer(text):
+                clean *= 1 - self.evidence_apart(m[0])
             out.append(1 - clean)
         return out
 
     def evidence(self, token: str) -> float:
-        word, weights = restored_word(token, self.chars), self.weights
+        best = self.weight(restored_word(token, self.chars))
+        for piece in pieces(token):
+            if piece[0] not in LETTERS or piece[0] in self.starts:
+                best = max(best, self.weight(restored_word(piece, self.chars)))
+        return best
+
+    def evidence_apart(self, gapped: str) -> float:
+        run = GAP.sub("", gapped)  # single letters that are words may stand at either end
+        best = max(self.evidence(run[a : len(run) - b]) for a in range(3) for b in range(3))
+        best = max([best, *(self.evidence(GAP.sub("", part)) for part in gapped.split("  "))])
+        for letters in plain_letters(run, self.chars):
+            places = range(len(letters))
+            found = [(p, a, b) for a in places if letters[a] in self.starts for b in range(a + 1, min(a + LONGEST_WORD, len(letters)) + 1) if (p := self.weight(letters[a:b])) > best]
+            if found:
+                likely = readings(letters, self.chars, [(a, b) for _, a, b in found])
+                best = max([best, *(p for (p, _, _), fine in zip(found, likely) if fine)])
+        return best
+
+    def weight(self, word: str) -> float:
+        return max(map(self.own_weight, squeezed(word)))
+
+    def own_weight(self, word: str) -> float:
+        weights = self.weights
         return max(weights.get("=" + word, 0.0), weights.get("4" + word[:4], 0.0) if len(word) > 4 else 0.0, weights.get("5" + word[:5], 0.0) if len(word) > 5 else 0.0)
 
 

@@ -216,6 +216,14 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(1), none).first()["score"] < toxicity.THRESHOLD
 
 
+def test_toxic_words_in_any_place_of_a_disguise(spark):
+    model = toxicity.learn(*toxic_corpus(spark))
+    bad = ["r i v e r s n a r k i s h", "g a r d e n g r u m b l e w i n d o w", "s t o n e  g r u m b l e  p a p e r", "thing,snarkish", "river_snarkish", "river.gr-umble,stone", "hey!grumble", "grummble", "snarkiish", "snnarrkish", "w a t e r s n 4 r k 1 s h", "river,5n4rk1sh", ",".join(["river"] * 20 + ["grumble"])]
+    good = ["r i v e r s t o n e", "thing,river", "river_stone", "ggreen", "w i n d o w s u m m e r", "1 2 3 4 5", "_ _ _ _ _", "", "a b c"]
+    scores = model.scores(bad + good, {})
+    assert [t for t, p in zip(bad + good, scores) if p >= toxicity.THRESHOLD] == bad
+
+
 def test_copies_do_not_teach(spark):
     """Words that only stand beside the telling word get no weight."""
     own = [[0, 1]] * 30 + [[0]] * 10 + [[2]] * 20
