@@ -42,22 +42,31 @@ def names_person(text: Column, plain: Column, tokens: Column, dobs: Column) -> C
     return F.coalesce(named, F.lit(False)) | F.coalesce(born, F.lit(False))
 
 
+def digit_runs(x: Column) -> Column:
+    return F.regexp_extract_all(x, F.lit("[0-9]+"), F.lit(0))
+
+
+def longest(words: Column) -> Column:
+    """The longest word, the first in order of several; null of none."""
+    return F.try_element_at(F.array_sort(F.transform(words, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), F.lit(1))["t"]
+
+
 def owner_checks(docs: DataFrame, roster: DataFrame, anchors: Column | None = None) -> DataFrame:
     """Verdict for each document (document_id, person_id claimed, text): match, mismatch, suspect or unverified, with who and why.
 
     The claimed owner comes first; only texts that don't name them meet the rest of the roster. That meeting is by
-    name word: each person stands under their rarest-looking (longest) name word, and under each rendering of the date
-    of birth, so that a document only meets persons that share a word with it.
+    name word: each person stands under their rarest-looking (longest) name word, and under the longest run of digits of
+    each rendering of the date of birth, so that a document only meets persons that share a word or a run of digits with
+    it. No digit may stand beside a date, so its runs are whole runs of a text that holds it, whatever letters touch it.
     """
     people = roster.select("person_id", "slug", "full_name", name_tokens(F.col("full_name")).alias("tokens"), dob_renderings(F.col("dob")).alias("dobs"))
     docs = docs.select("*", alnum(F.coalesce("text", F.lit(""))).alias("plain"))
     own = docs.join(people.withColumnRenamed("slug", "claimed_slug").drop("full_name"), "person_id", "left")
     own = own.withColumn("is_match", ~is_blank(F.col("text")) & names_person(F.col("text"), F.col("plain"), F.col("tokens"), F.col("dobs")))
     rest = own.where(~F.coalesce("is_match", F.lit(False)) & ~is_blank(F.col("text"))).select("document_id", F.col("person_id").alias("claimed"), "text", "plain")
-    words = F.array_distinct(F.split(F.trim("plain"), " "))
-    longest = F.element_at(F.array_sort(F.transform("tokens", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), 1)["t"]
-    day_words = F.flatten(F.transform("dobs", lambda d: F.slice(F.split(F.trim(alnum(d)), " "), 1, 1)))
-    keys = people.select("*", F.explode(F.array_distinct(F.array_compact(F.concat(F.array(longest), day_words)))).alias("word"))
+    words = F.array_union(F.split(F.trim("plain"), " "), digit_runs(F.col("text")))
+    days = F.coalesce(F.transform("dobs", lambda d: longest(digit_runs(d))), F.array().cast("array<string>"))
+    keys = people.select("*", F.explode(F.array_distinct(F.array_compact(F.concat(F.array(longest(F.col("tokens"))), days)))).alias("word"))
     met = rest.withColumn("word", F.explode(words)).join(keys, "word").where("person_id <> claimed").dropDuplicates(["document_id", "person_id"])
     others = met.where(names_person(F.col("text"), F.col("plain"), F.col("tokens"), F.col("dobs"))).groupBy("document_id").agg(F.min_by("slug", "person_id").alias("other_slug"))
     out = own.join(others, "document_id", "left")

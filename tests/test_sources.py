@@ -213,3 +213,11 @@ def test_old_tables_are_migrated(spark):
     assert snapshots.pending(cat) == ["medication"]
     r = snapshots.migrate(cat)["medication"].first()
     assert (r["dedup_base"], r["dedup_occurrence"], r["status_reason"]) == ("k", 0, None)
+
+
+def test_owner_check_meets_dates_that_letters_touch(spark):
+    people = spark.createDataFrame([(1, "ann-one", "Ann One", "1970-02-03"), (2, "bob-two", "Bob Two", "1950-01-15"), (3, "cy-three", "Cy Three", None)], "person_id long, slug string, full_name string, dob string")
+    texts = ["Patient DOB1950-01-15", "bornJanuary 15, 1950x", "dob: 01/15/1950", "id 91950-01-15", "1950-01-150", "DOB1970-02-03"]
+    docs = spark.createDataFrame([(k, 1, t) for k, t in enumerate(texts)], "document_id long, person_id long, text string")
+    got = {r["document_id"]: (r["verdict"], r["matched_slug"]) for r in ingest.owner_checks(docs, people).collect()}
+    assert got == {0: ("mismatch", "bob-two"), 1: ("mismatch", "bob-two"), 2: ("mismatch", "bob-two"), 3: ("unverified", None), 4: ("unverified", None), 5: ("match", "ann-one")}
