@@ -5,7 +5,9 @@ rank is found, its boundary is deleted, and the two neighbouring ranks are looke
 are worked on together, as they always have the same number of parts left. Words of over SHORT bytes keep their
 parts in a linked list with a heap of ranks, so that time stays near linear.
 
-Null texts count as empty; an empty text has no ids. Any text decodes to itself.
+Null texts count as empty; an empty text has no ids. Any text decodes to itself. Very long texts are cut into parts where
+the tokenizer cuts anyway, and a word of any length is one word. Rows and other columns pass through as they are, repeated
+rows too; input columns with the name of an output are replaced. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -59,6 +61,7 @@ class RankArrayBpe:
         keys = left << 32 | right
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int32)
+        self.pairs: dict[int, int] | None = None
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.words, self.latin_words, self.not_latin = regex.compile(WORDS), re.compile(LATIN_WORDS), re.compile(NOT_LATIN)
@@ -110,6 +113,11 @@ class RankArrayBpe:
             ranks[has, at[has]] = self.rank(parts[has, at[has]], parts[has, at[has] + 1])
         return out
 
+    def rank_of_pair(self) -> dict[int, int]:
+        if self.pairs is None:
+            self.pairs = dict(zip(self.keys.tolist(), self.ranks.tolist()))
+        return self.pairs
+
     def long_word(self, word: bytes) -> np.ndarray:
         ids = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
         n = len(ids)
@@ -118,12 +126,11 @@ class RankArrayBpe:
         heap = [(int(r), i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != NONE]
         heapq.heapify(heap)
 
+        ranked = self.rank_of_pair()
+
         def offer(i: int) -> None:
-            if i >= 0 and after[i] < n:
-                key = ids[i] << 32 | ids[after[i]]
-                at = int(np.searchsorted(self.keys, key))
-                if at < len(self.keys) and self.keys[at] == key:
-                    heapq.heappush(heap, (int(self.ranks[at]), i, ids[i], ids[after[i]]))
+            if i >= 0 and after[i] < n and (r := ranked.get(ids[i] << 32 | ids[after[i]])) is not None:
+                heapq.heappush(heap, (r, i, ids[i], ids[after[i]]))
 
         while heap:
             r, i, a, b = heapq.heappop(heap)
@@ -178,7 +185,11 @@ class RankArrayBpe:
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the offsets of texts among them."""
-        words = [self.cut(t) for t in texts]
+        if any(len(t) > PART for t in texts):
+            return self.encode_long(texts)
+        return self.encode_words([self.cut(t) for t in texts])
+
+    def encode_words(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.number) > CACHE_WORDS:
             self.forget()
         if new := set().union(*words).difference(self.number):
@@ -189,6 +200,16 @@ class RankArrayBpe:
         ids = gather(self.flat, self.starts[used], each)
         return ids, offsets_of(each)[offsets_of(counts)]
 
+    def encode_long(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As encode_batch, a part of a text at a time."""
+        got, ends, total = [np.empty(0, np.int32)], [0], 0
+        for t in texts:
+            for p in [t] if self.split is not None and any(" " in a for a in self.added) else parts(t):
+                got.append(self.encode_words([self.cut(p)])[0])
+                total += len(got[-1])
+            ends.append(total)
+        return np.concatenate(got), np.array(ends, np.int64)
+
     def decode_batch(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """Texts of runs of ids; bytes that are no UTF-8 become the replacement character."""
         sizes = self.piece_len[ids]
@@ -197,6 +218,25 @@ class RankArrayBpe:
         return [raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:])]
 
 
+#: Characters of a text that are encoded at once, where it can be cut.
+PART = 1 << 20
+#: Places where any text may be cut: a word always ends before a space that stands between two letters.
+SAFE = re.compile(r"(?<=[^\W\d_])(?= [^\W\d_])")
+
+
+def parts(text: str, most: int | None = None) -> list[str]:
+    """A text in parts of about `most` characters (PART) that encode as the whole does; one part where no place is safe."""
+    most = most or PART
+    out, start = [], 0
+    while len(text) - start > most:
+        place = SAFE.search(text, start + most)
+        if place is None:
+            break
+        out.append(text[start : place.start()])
+        start = place.start()
+    return [*out, text[start:]]
+
+
 def offsets_of(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 

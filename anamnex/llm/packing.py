@@ -9,12 +9,15 @@
 4. Pieces of one length are numbered without gathering them: by hash bucket, with the buckets' running totals. The plan
    is a small table of runs (length, first number, sequences, offset), in which each piece finds its place.
 
-Null texts count as empty, an empty one is the end token alone. Equal documents are packed each on its own.
+Null texts count as empty, an empty one is the end token alone. Equal documents and repeated rows are packed each on its
+own. Very long texts are encoded in whole parts of bounded size, cut where the tokenizer cuts anyway. Other columns, of
+whatever names, are not read; an empty table has no pieces.
 """
 
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import WORDS
-from .common import Scratch, slices
+from .bpe import parts
+from .common import Scratch, chunks, slices
 
 END_ID = 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -35,19 +38,29 @@ BUCKET_ROWS = 10_000
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
-    """The byte-level tokenizer of a tokenizers file, run by tiktoken: the same ids, several times faster."""
-    import json
-
-    import tiktoken
-
-    from .bpe import byte_symbols
-
-    spec, symbols = json.loads(open(path, encoding="utf-8").read()), byte_symbols()
-    added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
-    ranks = {bytes(symbols[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
-    made = tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=added)
-    return lambda text: made.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+def library(path: str):
+    """The tokenizers library with a tokenizer file, on one thread, as Spark already runs a worker for each core."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(path)
+    made.no_truncation()
+    made.no_padding()
+    return made
+
+
+def encoded(path: str, texts: list[str]) -> Iterator[np.ndarray]:
+    """The ids of each text, without special tokens."""
+    own = library(path)
+    solid = any(" " in t.content for t in own.get_added_tokens_decoder().values())  # then a space is no safe place to cut
+    cut_up = [[t] if solid else parts(t) for t in texts]
+    flat, got = [p for own_parts in cut_up for p in own_parts], []
+    for a, b in chunks(flat):
+        got += [np.array(e.ids, "<u4") for e in own.encode_batch_fast(flat[a:b], add_special_tokens=False)]
+    at = 0
+    for own_parts in cut_up:
+        yield got[at] if len(own_parts) == 1 else np.concatenate(got[at : at + len(own_parts)])
+        at += len(own_parts)
 
 
 def cut(ids: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -58,20 +71,22 @@ def cut(ids: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def pieces(df: DataFrame, path: str, most: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per piece, with the CRC-32 of its ids."""
+    """A row per piece, with the CRC-32 of its ids, and nth: the place of its document in the task, which tells rows of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        nth = 0
         for b in slices(batches):
-            rows: list[list] = [[] for _ in range(5)]
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.append(encode(t.as_py() or ""), END_ID).astype("<u4")
+            rows: list[list] = [[] for _ in range(6)]
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for i, ids in zip(b.column(0).to_pylist(), encoded(path, texts)):
+                ids = np.append(ids, np.uint32(END_ID))
                 for k, (start, part) in enumerate(cut(ids, most)):
-                    for column, v in zip(rows, (i, k, start, len(part), zlib.crc32(part))):
+                    for column, v in zip(rows, (i, k, start, len(part), zlib.crc32(part), nth)):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k == 1 else pa.int64()) for k, v in enumerate(rows)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                nth += 1
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k == 1 else pa.int64()) for k, v in enumerate(rows)], names=["doc_id", "piece", "start", "length", "ids_crc32", "nth"])
 
-    return df.select(F.col(doc_id).cast("long"), text).mapInArrow(run, PIECES)
+    return df.select(F.col(doc_id).cast("long"), text).mapInArrow(run, PIECES + ", nth long")
 
 
 def patterns(have: np.ndarray, most: int) -> np.ndarray:
@@ -204,8 +219,8 @@ def runs(groups: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int,
 def numbered(df: DataFrame, total: int) -> DataFrame:
     """Append number: 0, 1, ... among the pieces of one length."""
     n = max(1, -(-total // BUCKET_ROWS))
-    df = df.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n)).cast("int"))
-    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    df = df.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "nth"), F.lit(n)).cast("int"))
+    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "nth", "ids_crc32")) - 1
     before = df.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     up_to = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = before.select("length", "bucket", F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("before"))

@@ -131,6 +131,30 @@ def test_packing(spark, sf_dir, library, most, monkeypatch):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), BYTE_BPE).count() == 0
 
 
+def test_packing_of_very_long_texts_and_repeated_rows(spark, library):
+    long = [" " * 1_000_000, "\n" * 1_000_000, "ab" * 300_000, "one two, three 4 " * 150_000]
+    texts = [*enumerate(long), (7, "same"), (7, "same"), (None, "x"), (None, "x"), (None, None)]
+    df = spark.createDataFrame([(d, t, 5) for d, t in texts], "doc_id long, text string, length int")
+    rows = packing.pack(df, BYTE_BPE).collect()
+    check_packing([r for r in rows if r["doc_id"] is not None and r["doc_id"] < 4], list(enumerate(long)), library, 1024)
+    assert sorted((r["doc_id"] or -1, r["length"]) for r in rows if r["length"] < 3) == [(-1, 1), (-1, 2), (-1, 2), (7, 2), (7, 2)]
+    used = {}
+    for r in rows:
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in used.values():
+        ends = [0] + [a + n for a, n in sorted(own)]
+        assert ends[:-1] == [a for a, _ in sorted(own)] and ends[-1] <= 1024
+
+
+def test_parts_encode_as_the_whole(library, monkeypatch):
+    monkeypatch.setattr(bpe, "PART", 40)
+    r, own = random.Random(9), bpe.RankArrayBpe(BYTE_BPE)
+    texts = ["".join(r.choice(["word", " ", "é", " 12", "'s ", "\n", "<|endoftext|>", "日 本", "_ a", "² b"]) for _ in range(r.randint(0, 120))) for _ in range(200)]
+    ids, at = own.encode_batch(texts)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert all("".join(bpe.parts(t, 40)) == t for t in texts) and max(len(bpe.parts(t, 40)) for t in texts) > 3
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
