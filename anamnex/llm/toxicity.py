@@ -4,7 +4,8 @@
    alphabet; what is gathered for it (partial counts of every task) grows with the input.
 2. Tokens that look disguised (leetspeak, separators inside, letters set apart, repeated letters) become lattices: each
    character may stand for itself, for a letter it resembles, or for nothing where it repeats or separates. Viterbi
-   decoding under the character model picks the likeliest spelling. When a document is scored, a separator or a gap
+   decoding under the character model picks the likeliest spelling; its time is linear, and tokens of any length are
+   decoded. Marks at either end that resemble letters are part of the lattice as well. When a document is scored, a separator or a gap
    between letters set apart may also be the end of a word, and a repeat of any length may be dropped: every word of
    these readings is looked up; between letters set apart, if a reading with it is at most MARGIN dearer than the best.
 3. The restored words and their beginnings are scored. A feature counts if, in the training documents, its share of
@@ -15,7 +16,9 @@
 
 Training documents are the labelled ones outside the held-out fold, at most `most` of them, by hash of the id. Labels,
 language, source and id are never inputs of a score. Null and empty texts get the score of a document without
-evidence. Labels that disagree count as toxic; rows with a null id or label teach nothing.
+evidence, and so does every text where there are no labels. Labels that disagree count as toxic; rows with a null id or
+label teach nothing. Repeated rows count as often as they occur and get equal scores; the whole of a very long text
+counts. Other columns pass through; an input column with the name of the output is replaced. An empty table gives one.
 """
 
 from __future__ import annotations
@@ -43,21 +46,25 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "§": "s",
 }
-LEET_COST, DROP_SEPARATOR, DROP_REPEAT, DROP_OTHER = 1.0, 0.5, 1.0, 4.0
-STRIP_END = "!?.,;:\"'()[]{}<>*#%&$~^|`«»…–—-_=/\\"
-STRIP_START = "?.,;:\"'()[]{}<>*#%&~^`«»…–—-_=/\\"
+LEET_COST, DROP_SEPARATOR, DROP_OTHER = 1.0, 0.5, 4.0
+#: What it costs to drop the second of equal characters in a row, which may be a true double, and each further one.
+DROP_SECOND, DROP_REPEAT = 3.0, 0.5
+#: Marks that rather stand for letters than between them, and what it costs to drop others at the ends of a word.
+LETTER_MARKS, DROP_AT_END = "@$€£¡§", 0.1
+#: What is no letter of any disguise, and goes from the ends of a token.
+STRIP = "?.,;:\"')[]{}>*#%&~^`«»…–—-_=/\\"
+PUNCTUATION = "!|(<+"
+MARK_LETTERS = "".join(c for c in LEET if not c.isalnum())
 REPEATED = re.compile(r"(.)\1\1")
 REPEAT = re.compile(r"(.)\1*", re.DOTALL)
 APART = re.compile(r"(?<!\S)(?:\w[ ._*-]{1,2}){3,}\w(?!\S)")
 GAP = re.compile(r"[ ._*-]+")
 #: Marks that end a word inside a token: those that stand for no letter, and all.
-MARKS = [re.compile(f"(?:[^\\w{re.escape(''.join(c for c in LEET if not c.isalnum()))}]|_)+"), re.compile(r"(?:[^\w]|_)+")]
+MARKS = [re.compile(f"(?:[^\\w{re.escape(MARK_LETTERS)}]|_)+"), re.compile(r"(?:[^\w]|_)+")]
 #: How much dearer than the best a reading of letters set apart may be, and how long its words are.
 MARGIN, LONGEST_WORD = 8.0, 24
-MOST_REPEATS = 6
-#: Longer tokens are keys, links or junk of machines, and not words in disguise.
-LONGEST = 48
-KNOWN_TOKENS = 300_000
+#: Tokens whose evidence a worker remembers, and how long they may be.
+KNOWN_TOKENS, KNOWN_CHARS = 300_000, 64
 EVIDENCE_LEAST = 5
 #: Least share of toxic documents among those with a feature.
 STRONG = 0.5
@@ -70,15 +77,18 @@ def folded(word: str) -> str:
 
 
 def core(token: str) -> str:
-    return token.rstrip(STRIP_END).lstrip(STRIP_START)
+    return token.strip(STRIP)
 
 
 def disguised(word: str) -> bool:
-    if len(word) > LONGEST or len(word) < 3:
+    if len(word) < 2:
         return False
-    if word.isalpha():
-        return REPEATED.search(word) is not None
-    return sum(c.isalpha() for c in word) >= 1 and not word.isdigit()
+    if word.strip(PUNCTUATION).isalpha():
+        return REPEATED.search(word.strip(PUNCTUATION)) is not None
+    if any(c.isalpha() for c in word):
+        return True
+    marks = sum(c in MARK_LETTERS for c in word)  # all of letters' lookalikes, and not a price or a row of marks
+    return 2 * marks >= len(word) and len(set(word)) > 1 and all(c in LEET for c in word)
 
 
 @dataclass
@@ -106,31 +116,56 @@ class CharModel:
         return self.floor.get(gram[:2], 0.0) + self.floor[gram[2]] if found is None else found
 
 
-def restore_word(word: str, model: CharModel) -> str:
-    """The likeliest spelling of a disguised word. A state is the last two characters and the last one seen."""
-    states: dict[str, tuple[float, str]] = {EDGE + EDGE: (0.0, "")}
-    before = ""
-    for c in word:
-        options: list[tuple[str, float]] = []
-        if c.isalpha():
-            options.append((c, 0.0))
+def lattice(word: str, all_letters: bool = False) -> list[list[tuple[str, float]]]:
+    """For each character: the letters that it may stand for, or nothing, with costs. all_letters: what can be a letter is one."""
+    inner = word.strip(MARK_LETTERS)
+    start = word.find(inner) if inner else len(word)
+    stop, out = start + len(inner), []
+    for k, c in enumerate(word):
+        options = [(c, 0.0)] if c.isalpha() else []
         options += [(x, LEET_COST) for x in LEET.get(c, "")]
-        drop = DROP_REPEAT if c == before else None if c.isalpha() else DROP_OTHER if c.isdigit() else DROP_SEPARATOR
-        new: dict[str, tuple[float, str]] = {}
-        for key, (cost, out) in states.items():
-            if drop is not None:
-                got = new.get(key)
-                if got is None or cost + drop < got[0]:
-                    new[key] = (cost + drop, out)
+        end = not start <= k < stop
+        if options and all_letters:
+            drop = None
+        elif word[k - 1 : k] == c:
+            drop = DROP_REPEAT if not options or word[k - 2 : k - 1] == c else DROP_SECOND
+        elif c.isalpha():
+            drop = None
+        elif c.isdigit() or end and c in LETTER_MARKS:
+            drop = DROP_OTHER
+        else:
+            drop = DROP_AT_END if end else DROP_SEPARATOR
+        out.append(options if drop is None else [*options, ("", drop)])
+    return out
+
+
+def decoded(word: str, model: CharModel, all_letters: bool = False) -> tuple[float, str]:
+    """Cost and letters of the best path through a word's lattice. A state is the last two characters."""
+    states: dict[str, tuple[float, tuple | None]] = {EDGE + EDGE: (0.0, None)}
+    for options in lattice(word, all_letters):
+        new: dict[str, tuple[float, tuple | None]] = {}
+        for key, (cost, path) in states.items():
             for x, more in options:
-                f = x if x in LETTERS else OTHER
-                to = key[1] + f
-                total = cost + more + model.cost(key + f)
+                if x:
+                    f = x if x in LETTERS else OTHER
+                    to, total, way = key[1] + f, cost + more + model.cost(key + f), (path, x)
+                else:
+                    to, total, way = key, cost + more, path
                 got = new.get(to)
                 if got is None or total < got[0]:
-                    new[to] = (total, out + x)
-        states, before = new or states, c
-    return min(((cost + model.cost(key + EDGE), out) for key, (cost, out) in states.items()))[1]
+                    new[to] = (total, way)
+        states = new
+    cost, _, path = min((cost + model.cost(key + EDGE), key, path) for key, (cost, path) in states.items())
+    letters = []
+    while path is not None:
+        path, x = path
+        letters.append(x)
+    return cost, "".join(reversed(letters))
+
+
+def restore_word(word: str, model: CharModel, all_letters: bool = False) -> str:
+    """The likeliest spelling of a disguised word."""
+    return decoded(word, model, all_letters)[1]
 
 
 def features(word: str) -> list[str]:
@@ -144,7 +179,7 @@ def features(word: str) -> list[str]:
 
 def restored_word(token: str, model: CharModel) -> str:
     word = core(token)
-    return restore_word(word, model) if disguised(word) else word
+    return restore_word(word, model) if disguised(word) else word.strip(MARK_LETTERS)
 
 
 def set_apart(text: str) -> list[str]:
@@ -152,24 +187,26 @@ def set_apart(text: str) -> list[str]:
     return [GAP.sub("", m[0]) for m in APART.finditer(text)]
 
 
-def squeezed(word: str) -> list[str]:
-    """Spellings of a word where each repeat of a letter, however long, is one letter or two."""
-    runs = [m[0] for m in REPEAT.finditer(word)]
-    long = sum(len(r) > 1 for r in runs)
-    if not long:
-        return [word]
-    if long > MOST_REPEATS:
-        return [word, "".join(r[0] for r in runs), "".join(r[:2] for r in runs)]
-    return [word, *map("".join, product(*((r[0],) if len(r) == 1 else (r[0], r[:2]) for r in runs)))]
+def letter_runs(word: str) -> list[str]:
+    return [m[0] for m in REPEAT.finditer(word)]
 
 
 def pieces(token: str) -> set[str]:
-    """What a token may hold besides itself: its parts between marks, and in tokens that are no junk, neighbouring parts as one."""
+    """What a token may hold besides itself: its parts between marks, and neighbouring parts as one of up to LONGEST_WORD letters, repeats not counted."""
     word, out = core(token), set()
     for mark in MARKS:
-        parts = [p for p in mark.split(word) if p]
+        parts: list[str] = []
+        for p in mark.split(word):
+            if p and not (len(p) == 1 and parts[-2:] == [p, p]):
+                parts.append(p)
         for i in range(len(parts)):
-            out.update("".join(parts[i:j]) for j in range(i + 1, len(parts) + 1 if len(word) <= LONGEST else i + 2))
+            joined, letters = "", 0
+            for p in parts[i:]:
+                letters += len(letter_runs(p)) - (joined[-1:] == p[0])
+                if joined and letters > LONGEST_WORD:
+                    break
+                joined += p
+                out.add(joined)
     out.discard(word)
     return out
 
@@ -178,7 +215,7 @@ def plain_letters(run: str, model: CharModel) -> set[str]:
     """Letters set apart, with letters for what resembles them."""
     if run.isalpha():
         return {run}
-    return {"".join(c if c.isalpha() else LEET.get(c, "")[k:][:1] for c in run) for k in (0, -1)} | ({restore_word(run, model)} if len(run) <= LONGEST else set())
+    return {"".join(c if c.isalpha() else LEET.get(c, "")[k:][:1] for c in run) for k in (0, -1)} | {restore_word(run, model)}
 
 
 def readings(run: str, model: CharModel, at: list[tuple[int, int]]) -> list[bool]:
@@ -210,7 +247,7 @@ def char_counts(df: DataFrame, text: str = "text") -> dict[str, int]:
 
         def flush() -> None:
             for token, n in words.items():
-                if (w := core(token)).isalpha() and len(w) <= LONGEST:
+                if (w := core(token).strip(MARK_LETTERS)).isalpha():
                     s = EDGE + EDGE + folded(w) + EDGE
                     for i in range(len(s) - 2):
                         grams[s[i : i + 3]] += n
@@ -246,6 +283,11 @@ class Model:
 
     def __post_init__(self):
         self.starts = {f[1] for f in self.weights if len(f) > 1}  # first letters of what is evidence
+        self.by_letters: dict[str, list[tuple[list[int], float]]] = {}
+        for f, p in self.weights.items():
+            if f[0] == "=" and len(f) > 1:
+                own = letter_runs(f[1:])
+                self.by_letters.setdefault("".join(r[0] for r in own), []).append(([len(r) for r in own], p))
 
     def scores(self, texts: list[str], known: dict[str, float]) -> list[float]:
         out = []
@@ -256,11 +298,10 @@ class Model:
                 if len(known) > KNOWN_TOKENS:
                     known.clear()
                     new = tokens
-                for t in new:
-                    known[t] = self.evidence(t)
+                known.update((t, self.evidence(t)) for t in new if len(t) <= KNOWN_CHARS)
             clean = 1 - self.none
-            for p in map(known.__getitem__, tokens):
-                if p:
+            for t in tokens:
+                if p := known[t] if len(t) <= KNOWN_CHARS else self.evidence(t):
                     clean *= 1 - p
             for m in APART.finditer(text):
                 clean *= 1 - self.evidence_apart(m[0])
@@ -268,10 +309,17 @@ class Model:
         return out
 
     def evidence(self, token: str) -> float:
-        best = self.weight(restored_word(token, self.chars))
+        best = self.read(core(token))
         for piece in pieces(token):
             if piece[0] not in LETTERS or piece[0] in self.starts:
-                best = max(best, self.weight(restored_word(piece, self.chars)))
+                best = max(best, self.read(core(piece)))
+        return best
+
+    def read(self, word: str) -> float:
+        """The weight of the likeliest spelling, and of the one where all that can be a letter is one."""
+        best = self.weight(restored_word(word, self.chars))
+        if disguised(word) or not word.isalpha() and any(c.isalpha() or c in MARK_LETTERS for c in word):
+            best = max(best, self.weight(restore_word(word, self.chars, True)))
         return best
 
     def evidence_apart(self, gapped: str) -> float:
@@ -287,7 +335,20 @@ class Model:
         return best
 
     def weight(self, word: str) -> float:
-        return max(map(self.own_weight, squeezed(word)))
+        """The weight of a word, or the largest of its spellings where repeats of a letter, however long, are one letter or two."""
+        best, runs = self.own_weight(word), letter_runs(word)
+        if len(runs) == len(word):
+            return best
+        for sizes, p in self.by_letters.get("".join(r[0] for r in runs), ()):
+            if p > best and all(n <= len(r) and (n <= 2 or n == len(r)) for n, r in zip(sizes, runs)):
+                best = p
+        more = sum(min(2, len(r)) for r in runs[5:])  # beginnings lie in the first five
+        for x in product(*((r[0], r[:2])[: len(r)] for r in runs[:5])):
+            head = "".join(x)
+            for n in (4, 5):
+                if len(head) >= n and len(head) + more > n:
+                    best = max(best, self.weights.get(str(n) + head[:n], 0.0))
+        return best
 
     def own_weight(self, word: str) -> float:
         weights = self.weights

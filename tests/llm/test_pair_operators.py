@@ -1,5 +1,6 @@
 """Similarity operators, toxicity and the pipeline against brute force, on small tables with odd rows."""
 
+import itertools
 import random
 
 import numpy as np
@@ -58,7 +59,7 @@ def brute_links(texts):
     return [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and sets[b] and 5 * (i := len(sets[a] & sets[b])) >= 4 * (len(sets[a]) + len(sets[b]) - i)]
 
 
-@pytest.mark.parametrize("block, bucket", [(1024, 20_000), (7, 10)])
+@pytest.mark.parametrize("block, bucket", [(1024, 512), (7, 10)])
 def test_jaccard_join_equals_brute_force(spark, monkeypatch, block, bucket):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "BUCKET", bucket)
@@ -79,6 +80,32 @@ def test_jaccard_empty_and_null_ids(spark):
     assert sorted((str(r["doc_id"]), str(r["class_id"]), r["n_links"]) for r in rows) == [("4", "4", 2), ("4", "4", 2), ("None", "4", 2), ("None", "None", 0)]
 
 
+def test_jaccard_of_ids_with_several_texts(spark):
+    a, b, c = ("%s1 %s2 %s3 %s4 %s5 %s6 %s7 %s8 %s9".replace("%s", x) for x in "abc")
+    near = b + " b10"  # five of six shingles
+    rows = [(5, a), (5, b), (5, b), (5, near), (6, a.upper()), (7, near), (8, c), (9, ""), (9, ""), (None, c)]
+    found = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((str(r["doc_id"]), str(r["class_id"]), r["n_links"], r["kept"], r["set_key"] is None) for r in found)
+    own_a, own_b = ("5", "5", 1, True, False), [("5", "5", 3, k, False) for k in (True, True)]
+    rest = [r for r in got if r not in (own_a, *own_b)]
+    # of b and near, which are linked, the set of the smaller key is kept
+    assert own_a in got and ("6", "5", 1, False, False) in got and ("8", "8", 1, True, False) in got and ("None", "8", 1, False, False) in got
+    assert got.count(("9", "9", 0, True, True)) == 2 and ("7", "5", 3, False, False) in got and len(rest) + len(got) > 0
+    kept = {r["set_key"] for r in found if r["doc_id"] == 5 and r["kept"]}
+    assert len(kept) == 2 and sum(r["doc_id"] == 5 and r["n_links"] == 3 for r in found) == 3
+
+
+def test_pipeline_drops_only_copies_of_repeated_ids(spark, sf_dir):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    a, b = ("%s1 %s2 %s3 %s4 %s5 %s6 %s7 %s8 %s9".replace("%s", x) for x in "ab")
+    rows = [(5, a, "x"), (5, a, "y"), (5, b, "x"), (6, b + " b10", "x"), (7, None, "x"), (7, "", "x"), (8, "p q", "x"), (None, a, "n"), (None, a, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __key string")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in out.collect()) == sorted([("5", a), ("5", b), ("7", ""), ("8", "p q"), ("None", a), ("None", a)])
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), sf_dir).count() == 0
+
+
 def test_shingles_equal_tuples():
     texts = [t or "" for t in corpus()] + ["a b c\x1cd e f", "É é ß SS"]
     got, want = shingles.shingle_sets(texts), word_sets(texts)
@@ -224,6 +251,44 @@ def test_toxic_words_in_any_place_of_a_disguise(spark):
     assert [t for t, p in zip(bad + good, scores) if p >= toxicity.THRESHOLD] == bad
 
 
+def test_decoder_equals_all_paths():
+    r, counts = random.Random(1), {}
+    for w in ["stone", "kiss", "abbot", "beast", "thing", "été"]:
+        w = "^^" + w + "^"
+        for i in range(len(w) - 2):
+            counts[w[i : i + 3]] = counts.get(w[i : i + 3], 0) + 7
+    model = toxicity.CharModel.of(counts)
+
+    def cheapest(word, all_letters):
+        costs = []
+        for path in itertools.product(*toxicity.lattice(word, all_letters)):
+            key, cost = "^^", 0.0
+            for x, more in path:
+                cost += more
+                if x:
+                    f = x if x in toxicity.LETTERS else toxicity.OTHER
+                    cost, key = cost + model.cost(key + f), key[1] + f
+            costs.append(cost + model.cost(key + "^"))
+        return min(costs)
+
+    for _ in range(1500):
+        word = "".join(r.choice("abeiost0123456789@$!|+(-._?é日") for _ in range(r.randint(1, 8)))
+        for all_letters in (False, True):
+            assert abs(cheapest(word, all_letters) - toxicity.decoded(word, model, all_letters)[0]) < 1e-9
+    assert len(toxicity.pieces("i-" * 50_000 + "a-b_c" * 2000)) < 200
+
+
+def test_marks_and_repeats_of_any_length_are_letters(spark):
+    chars = toxicity.learn(*toxic_corpus(spark)).chars
+    model = toxicity.Model(chars, {"=dumbass": 0.9, "=kiss": 0.9, "=ki": 0.9, "=ass": 0.9, "4sill": 0.9}, 0.01)
+    bad = ["dumba$$", "dumbas$", "$$ki ki$$", "k" + "i" * 60 + "ss", "K" + "i" * 5000 + "ss!!", "k1", "@$$", "s1lly", "s" * 70 + "illy", "kissss,", "k-1-$-$", "x" * 200 + ",ki$$", "s_i_l_l_y"]
+    good = ["dumb", "kit", "as", "$100", "a+", "100%", "k" * 5000, "", "$$$", "kill", "1970-01-01"]
+    assert [t for t, p in zip(bad + good, model.scores(bad + good, {})) if p >= toxicity.THRESHOLD] == bad
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(bad)], "doc_id long, text string")
+    assert {r["score"] >= toxicity.THRESHOLD for r in toxicity.score(docs.union(docs), model).collect()} == {True}
+    assert toxicity.score(docs.limit(0), model).count() == 0
+
+
 def test_copies_do_not_teach(spark):
     """Words that only stand beside the telling word get no weight."""
     own = [[0, 1]] * 30 + [[0]] * 10 + [[2]] * 20
