@@ -15,9 +15,11 @@ Documents with one set of shingles form a class. Pairs of classes whose sets hav
 4. Verified links give the components.
 
 Returned: a row per document row with class_id (the smallest doc_id that can be reached over links, its own included),
-n_links (other document rows that are linked directly, those of equal sets included) and kept (doc_id = class_id). Null
-and empty texts and texts of white space have no shingles and link with nothing. Rows with a null id keep a null class
-unless their set is also that of a row with an id. Rows of one id and several texts are one node.
+n_links (other document rows that are linked directly, those of equal sets included), kept (doc_id = class_id and, where
+rows of that id have different sets, the set is the first of them in the class) and set_key (a hash of the set; null if
+empty). Null and empty texts and texts of white space have no shingles and link with nothing. Rows with a null id keep a
+null class unless their set is also that of a row with an id. Rows of one id and several texts are as many nodes.
+Repeated rows are rows of one class, and each is returned. Other columns are not read; very long texts count whole.
 """
 
 from __future__ import annotations
@@ -31,16 +33,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import EDGES, Scratch, chunks, components, groups, slices, spanning
+from .common import EDGES, Scratch, chunks, components, groups, slices, spanning, with_columns
 from .shingles import MinHash, mixed, shingle_sets
 
 LEAST = 0.8
 BANDS, ROWS = 28, 5
 COMPARED, AT_ONCE, TOLERANCE = 64, 16, 1e-6
 BLOCK = 512
-#: Classes of a bucket that are compared in one task; larger buckets go as pairs of parts.
-BUCKET = 20_000
+#: Classes of a part of a bucket; parts of one bucket meet in pairs, each pair a group of its own.
+BUCKET = 512
 COLUMNS = 4096
 
 
@@ -110,6 +113,10 @@ def connected(signs: np.ndarray, stops: list[int]) -> list[tuple[int, int]]:
     return edges
 
 
+def set_key(shingles: np.ndarray) -> str | None:
+    return xxhash.xxh3_128_hexdigest(shingles) if len(shingles) else None
+
+
 def signatures(df: DataFrame) -> DataFrame:
     """doc_id, key (of the set of shingles; null if empty), sign (64 values of 16 bits), bands."""
     bits = np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(58)
@@ -121,11 +128,11 @@ def signatures(df: DataFrame) -> DataFrame:
             keys, signs, bands = [], [], []
             for i, j in chunks(texts):
                 for s in shingle_sets(texts[i:j]):
+                    keys.append(set_key(s))
                     if not len(s):
-                        keys.append(None), signs.append(None), bands.append(None)
+                        signs.append(None), bands.append(None)
                         continue
                     v = hashes.of(s)
-                    keys.append(xxhash.xxh3_128_hexdigest(s))
                     signs.append((v[:COMPARED] >> np.uint32(16)).astype(np.uint16).tobytes())
                     h = np.zeros(BANDS, np.uint64)
                     for row in v.reshape(BANDS, ROWS).T:
@@ -136,6 +143,16 @@ def signatures(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "doc_id long, key string, sign binary, bands array<long>")
 
 
+def with_keys(df: DataFrame, text: str = "text", out: str = "set_key") -> DataFrame:
+    """Append the hash of a text's set of shingles; null if it has none."""
+
+    def make(column: pa.Array) -> list:
+        texts = [t or "" for t in column.to_pylist()]
+        return [pa.array([set_key(s) for i, j in chunks(texts) for s in shingle_sets(texts[i:j])], pa.string())]
+
+    return with_columns(df, [text], [T.StructField(out, T.StringType())], make)
+
+
 def candidate_edges(rows: DataFrame, least: float) -> DataFrame:
     """Edges (a, b) from rows (bucket, i, j, node, sign), one group of (bucket, i, j) next to the other."""
     stops = fewest_matches(least)
@@ -200,17 +217,25 @@ def links_within(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, le
 
 
 def verified(rows: DataFrame, least: float) -> DataFrame:
-    """From rows (cluster, i, j, block, node, size, text): counts (a, null, links) and connecting edges (a, b, null)."""
+    """From rows (cluster, i, j, block, node, size, key, text): counts (a, null, links) and connecting edges (a, b, null).
+
+    Of the texts of a node's document, the one counts whose set has the node's key.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, 3):
             i, j = t.column(1)[0].as_py(), t.column(2)[0].as_py()
-            rows = {}
-            for block, node, size, text in zip(*(t.column(k).to_pylist() for k in (3, 4, 5, 6))):
-                rows.setdefault(node, (block, size, text))
-            nodes = sorted(rows)
-            texts = [rows[n][2] for n in nodes]
-            sets = [s for a, b in chunks(texts) for s in shingle_sets(texts[a:b])]
+            rows, sets, nodes = {}, [], []
+            every, texts = list(zip(*(t.column(k).to_pylist() for k in (3, 4, 5, 6)))), t.column(7).to_pylist()
+            del t
+            for c, d in chunks([x or "" for x in texts]):
+                for (block, node, size, key), own in zip(every[c:d], shingle_sets([x or "" for x in texts[c:d]])):
+                    if node not in rows and set_key(own) == key:
+                        rows[node] = (block, size)
+                        sets.append(own)
+                        nodes.append(node)
+            if not nodes:
+                continue
             block = np.array([rows[n][0] for n in nodes])
             size = np.array([rows[n][1] for n in nodes], np.int64)
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
@@ -241,7 +266,14 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: flo
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     made = scratch.write(signatures(own))
     with_set = made.where("key is not null")
-    classes = scratch.write(with_set.groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("size"), F.min_by("sign", "doc_id").alias("sign"), F.min_by("bands", "doc_id").alias("bands")))
+    found = with_set.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("size"), F.min_by("sign", "doc_id").alias("sign"), F.min_by("bands", "doc_id").alias("bands"))
+    found = scratch.write(found)
+    # an id of several classes names the first of them by key; the others get numbers from their hash
+    shared_ids = found.where("first is not null").groupBy("first").agg(F.count("*").alias("classes"), F.min("key").alias("own_key")).where("classes > 1")
+    named = found.join(shared_ids.select("first", "own_key"), "first", "left")
+    number = F.when(F.col("own_key").isNull() | (F.col("own_key") == F.col("key")), F.col("first")).otherwise(-(F.shiftrightunsigned(F.xxhash64("key"), 2)) - F.lit(1 << 62))
+    classes = named.select("key", "first", F.when(F.col("first").isNotNull(), number).alias("node"), "size", "sign", "bands")
+    classes = scratch.write(classes)
     nodes = classes.where("node is not null")
 
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -257,18 +289,23 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: flo
 
     blocks = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     placed = cluster.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.join(nodes.select("node", "size"), "node")
-    texts = placed.join(own.withColumnRenamed("doc_id", "node"), "node")
+    placed = placed.join(nodes.select("node", "first", "size", "key"), "node")
+    texts = placed.join(own.withColumnRenamed("doc_id", "first"), "first")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    texts = texts.select("cluster", "block", "node", "size", "text", other.alias("other"))
-    rows = texts.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "size", "text")
+    texts = texts.select("cluster", "block", "node", "size", "key", "text", other.alias("other"))
+    rows = texts.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "size", "key", "text")
     rows = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     found = scratch.write(verified(rows, least))
 
     linked = components(found.where("b is not null").select("a", "b"), scratch)
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    final = classes.select("key", "node", "size").join(counts, "node", "left").join(linked, "node", "left")
-    final = final.select("key", F.coalesce("component", "node").alias("class"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    # the smallest id of a component, and the first class with it
+    least = linked.join(nodes.select("node", "first", "key"), "node").groupBy("component").agg(F.min(F.struct("first", "key")).alias("least"))
+    linked = linked.join(least, "component").select("node", "least")
+    final = classes.select("key", "first", "node", "size").join(counts, "node", "left").join(linked, "node", "left")
+    least = F.coalesce("least", F.struct("first", "key"))
+    final = final.select("key", least["first"].alias("class"), (least["key"] == F.col("key")).alias("head"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     out = made.select("doc_id", "key").join(final, "key", "left")
     class_id = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class"))
-    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("doc_id") == class_id, F.lit(False)).alias("kept"))
+    kept = F.coalesce((F.col("doc_id") == class_id) & F.coalesce("head", F.lit(True)), F.lit(False))
+    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), kept.alias("kept"), F.col("key").alias("set_key"))
