@@ -22,10 +22,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one of the smallest id stays; of repeated rows, one."""
-    kept = jaccard.join(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return known.unionByName(docs.where("doc_id is null"))
+    """Of each group of linked documents, the one of the smallest id stays; of repeated rows, one. Rows of one id are told apart by their sets of shingles."""
+    found = Scratch(spark).write(jaccard.join(docs.select("doc_id", "text")).where("doc_id is not null").select("doc_id", "set_key", "kept"))
+    repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")  # ids of several rows, decided by set
+    single = docs.join(found.where("kept").select("doc_id"), "doc_id", "left_semi").join(repeated, "doc_id", "left_anti")
+    own = F.coalesce("set_key", F.lit("")).alias("__set_key")
+    several = jaccard.with_keys(docs.join(repeated, "doc_id", "left_semi"), out="__set_key").withColumn("__set_key", F.coalesce("__set_key", F.lit("")))
+    several = several.join(found.where("kept").select("doc_id", own).distinct(), ["doc_id", "__set_key"], "left_semi").dropDuplicates(["doc_id", "__set_key"])
+    return single.select(*docs.columns).unionByName(several.select(*docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
