@@ -168,6 +168,16 @@ def _with_least(pairs: DataFrame, least: DataFrame, total: int) -> DataFrame:
     return cold.unionByName(pairs.join(F.broadcast(few), "u"))
 
 
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined (left) with their classes (key, size, ...); total: the sum of sizes. Large classes go by a broadcast of at most 2 * HOT_SHARE rows, so that no task gets all rows of one."""
+    bound = max(HOT_EDGES, total // HOT_SHARE)
+    hot = classes.where(F.col("size") > bound)
+    if hot.isEmpty():
+        return rows.join(classes, key, "left")
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(classes.where(F.col("size") <= bound), key, "left")
+    return cold.unionByName(rows.join(F.broadcast(hot), key))
+
+
 def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 

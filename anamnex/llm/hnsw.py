@@ -14,6 +14,10 @@ M, BUILD_BEAM, BATCH = 16, 64, 512
 AT_ONCE = 4
 
 
+def cells(width: int) -> int:
+    return 1 << max(8, (16 * width - 1).bit_length())
+
+
 class Graph:
     def __init__(self, x: np.ndarray, seed: int = 11):
         self.x = np.ascontiguousarray(x, np.float32)
@@ -37,16 +41,25 @@ class Graph:
         return own
 
     def beam(self, q: np.ndarray, starts: np.ndarray, level: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Nodes and inner products of the `width` best found for each query, best first; -1 pads. starts: nodes by query."""
-        links, n, rows = self.links[level], len(self.x), len(q)
-        seen = np.zeros((rows, n + 1), bool)
+        """Nodes and inner products of the `width` best found for each query, best first; -1 pads. starts: nodes by query.
+
+        What was looked at is remembered in a table of cells(width) places a query, whatever the size of the graph. A
+        place that a later node took over is no proof, so such nodes are held against the beam itself; one that has left
+        the beam cannot come back, as the beam only gets better.
+        """
+        links, rows, places = self.links[level], len(q), cells(width)
+        seen = np.full((rows, places + 1), -1, np.int32)
+
+        def place(nodes: np.ndarray) -> np.ndarray:
+            return np.where(nodes >= 0, nodes & (places - 1), places)
+
         line = np.arange(rows)[:, None]
         ids = np.full((rows, width), -1, np.int64)
         sim = np.full((rows, width), -np.inf, np.float32)
         k = min(width, starts.shape[1])
         ids[:, :k] = starts[:, :k]
         sim[:, :k] = np.where(ids[:, :k] >= 0, np.einsum("qd,qkd->qk", q, self.x[np.maximum(ids[:, :k], 0)]), -np.inf)
-        seen[line, ids[:, :k]] = True
+        seen[line, place(ids[:, :k])] = ids[:, :k]
         order = np.argsort(-sim, 1, kind="stable")
         ids, sim = np.take_along_axis(ids, order, 1), np.take_along_axis(sim, order, 1)
         fresh = ids >= 0
@@ -60,22 +73,25 @@ class Graph:
             if not len(live):
                 break
             at = np.argsort(~take, 1, kind="stable")[:, :AT_ONCE]
-            good = np.take_along_axis(take, at, 1)
-            nodes = np.where(good, np.take_along_axis(ids[live], at, 1), -1)
+            nodes = np.where(np.take_along_axis(take, at, 1), np.take_along_axis(ids[live], at, 1), -1)
             fr = fresh[live]
             fr[take] = False
             fresh[live] = fr
             near = np.where(nodes[:, :, None] >= 0, links[np.maximum(nodes, 0)], -1).reshape(len(live), -1).astype(np.int64)
-            near[seen[live[:, None], near]] = -1
+            there = seen[live[:, None], place(near)]
+            near[there == near] = -1
+            doubt = np.argwhere((there >= 0) & (near >= 0))
+            if len(doubt):
+                held = (ids[live[doubt[:, 0]]] == near[doubt[:, 0], doubt[:, 1]][:, None]).any(1)
+                near[doubt[held, 0], doubt[held, 1]] = -1
             near = np.sort(near, 1)[:, ::-1]
             near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
             wide = int((near >= 0).sum(1).max(initial=0))
             if not wide:
                 continue
             near = np.sort(near, 1)[:, ::-1][:, :wide]
-            seen[live[:, None], near] = True
-            seen[:, n] = False
-            seen[:, -1] = False
+            seen[live[:, None], place(near)] = near
+            seen[:, places] = -1
             s = np.where(near >= 0, np.einsum("qd,qkd->qk", q[live], self.x[np.maximum(near, 0)]), -np.inf)
             all_sim = np.concatenate([sim[live], s], 1)
             best = np.argsort(-all_sim, 1, kind="stable")[:, :width]

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import EDGES, Scratch, chunks, components, groups, slices, spanning, with_columns
+from .common import EDGES, Scratch, chunks, components, groups, join_classes, slices, spanning, with_columns
 from .shingles import MinHash, mixed, shingle_sets
 
 LEAST = 0.8
@@ -304,8 +304,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: flo
     linked = linked.join(least, "component").select("node", "least")
     final = classes.select("key", "first", "node", "size").join(counts, "node", "left").join(linked, "node", "left")
     least = F.coalesce("least", F.struct("first", "key"))
-    final = final.select("key", least["first"].alias("class"), (least["key"] == F.col("key")).alias("head"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    out = made.select("doc_id", "key").join(final, "key", "left")
+    final = final.select("key", "size", least["first"].alias("class"), (least["key"] == F.col("key")).alias("head"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    final = scratch.write(final)
+    out = join_classes(made.select("doc_id", "key"), final, "key", final.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
     class_id = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class"))
     kept = F.coalesce((F.col("doc_id") == class_id) & F.coalesce("head", F.lit(True)), F.lit(False))
     return out.select("doc_id", class_id.alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), kept.alias("kept"), F.col("key").alias("set_key"))

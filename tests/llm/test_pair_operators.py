@@ -149,8 +149,12 @@ def vector_frame(spark, x):
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>, vec string").repartition(4)
 
 
-def test_near_duplicates_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("shard_bytes, chunk, hot", [(32 << 20, 8192, 100_000), (6000, 50, 2)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, shard_bytes, chunk, hot):
     monkeypatch.setattr(neardup, "WIDEST", 64)  # the dense group goes the exact way
+    monkeypatch.setattr(neardup, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(neardup, "CHUNK", chunk)
+    monkeypatch.setattr(common, "HOT_EDGES", hot)
     x = vectors()
     rows = {r["vec_id"]: r for r in neardup.near_duplicates(vector_frame(spark, x)).collect()}
     c = (x @ x.T) / np.sqrt((x * x).sum(1)[:, None] * (x * x).sum(1)[None])
@@ -170,6 +174,33 @@ def test_graph_finds_neighbours():
     assert np.mean([len(set(a) & set(b[:64])) for a, b in zip(true, ids)]) >= 9.5
 
 
+def test_visited_table_of_any_size_finds_the_same():
+    """Places that later nodes took over don't let a node into the beam twice."""
+    x = neardup.unit(np.random.default_rng(6).standard_normal((3000, 12))).astype(np.float32)
+    g, q = hnsw.Graph(x), x[:300]
+    ids, sim = g.search(q, 48)
+    assert all(len(set(r[r >= 0])) == (r >= 0).sum() for r in ids.tolist() for r in [np.array(r)])
+    few = hnsw.cells
+    try:
+        hnsw.cells = lambda width: 8
+        again, same = g.search(q, 48)
+    finally:
+        hnsw.cells = few
+    assert np.array_equal(ids, again) and np.array_equal(sim, same)
+
+
+def test_link_recall_of_shards_against_brute_force(spark):
+    """Sparse links (one a vector, for 2 % of the vectors) through the operator."""
+    r = np.random.default_rng(31)
+    x = r.standard_normal((6000, 32))
+    for k in range(0, 120):
+        x[3000 + k] = x[k] + 0.3 * r.standard_normal(32)
+    rows = {r["vec_id"]: r["n_links"] for r in neardup.near_duplicates(vector_frame(spark, x)).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = ((u @ u.T) >= 0.9).sum(1) - 1
+    assert true.sum() > 150 and sum(min(rows[k], true[k]) for k in range(6000)) >= 0.99 * true.sum() and all(rows[k] <= true[k] for k in range(6000))
+
+
 def test_search_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ann, "ROW_BLOCK", 100)
     monkeypatch.setattr(ann, "QUERY_BLOCK", 3)
