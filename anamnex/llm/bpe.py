@@ -33,7 +33,7 @@ LATIN_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:_|[^\s\w])+|\s
 NOT_LATIN = r"[^\t\n\r -~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u024f]"
 SHORT = 64
 #: Words that a worker remembers; beyond that it forgets all and starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -44,6 +44,19 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Numbers(dict):
+    """Numbers of words in the order of their first use; new holds those that are not encoded yet."""
+
+    def __init__(self, pairs):
+        super().__init__(pairs)
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class RankArrayBpe:
     def __init__(self, path: str):
         spec = json.loads(open(path, encoding="utf-8").read())
@@ -73,8 +86,7 @@ class RankArrayBpe:
 
     def forget(self) -> None:
         """The cache: a word's number, and by number where its ids start in one flat array, and how many they are."""
-        self.number: dict[str, int] = {}
-        self.number.update((t, k) for k, t in enumerate(self.added))
+        self.number = Numbers((t, k) for k, t in enumerate(self.added))
         self.sizes = np.ones(len(self.added), np.int64)
         self.starts = np.arange(len(self.added), dtype=np.int64)
         self.flat = np.array(list(self.added.values()), np.int32)
@@ -144,23 +156,21 @@ class RankArrayBpe:
             offer(i)
         return np.array([x for x, k in zip(ids, live) if k], np.int32)
 
-    def learn(self, words: set[str]) -> None:
-        """Encode words that the cache doesn't have, and add them to it."""
-        by_length: dict[int, list[str]] = {}
-        for w in words:
-            by_length.setdefault(len(w) if w.isascii() else len(w.encode("utf-8", "surrogatepass")), []).append(w)
-        blocks: list[tuple[np.ndarray, np.ndarray]] = []  # rows from 0 in the order of words, and as many ids for each
-        before, base = 0, len(self.sizes)
+    def learn(self, words: list[str]) -> None:
+        """Encode words that got numbers, in their order, and add them to the cache."""
+        by_length: dict[int, list[int]] = {}
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        for k, w in enumerate(raw):
+            by_length.setdefault(len(w), []).append(k)
+        blocks: list[tuple[np.ndarray, np.ndarray]] = []  # places of words, and as many ids for each
         for n, own in by_length.items():
-            raw = "".join(own).encode("utf-8", "surrogatepass")
             if n > SHORT:
-                made = [(np.array([i]), self.long_word(raw[i * n : (i + 1) * n])[None, :]) for i in range(len(own))]
+                blocks += [(np.array([k]), self.long_word(raw[k])[None, :]) for k in own]
             else:
-                made = self.same_length(self.byte_ids[np.frombuffer(raw, np.uint8).reshape(len(own), n)])
-            blocks += [(rows + before, ids) for rows, ids in made]
-            self.number.update(zip(own, range(base + before, base + before + len(own))))
-            before += len(own)
-        sizes = np.zeros(before, np.int64)
+                places = np.array(own)
+                made = self.same_length(self.byte_ids[np.frombuffer(b"".join([raw[k] for k in own]), np.uint8).reshape(len(own), n)])
+                blocks += [(places[rows], ids) for rows, ids in made]
+        sizes = np.zeros(len(words), np.int64)
         for rows, ids in blocks:
             sizes[rows] = ids.shape[1]
         starts = np.cumsum(sizes) - sizes
@@ -192,10 +202,11 @@ class RankArrayBpe:
     def encode_words(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.number) > CACHE_WORDS:
             self.forget()
-        if new := set().union(*words).difference(self.number):
-            self.learn(new)
         counts = np.fromiter(map(len, words), np.int64, len(words))
         used = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, counts.sum())
+        if self.number.new:
+            self.learn(self.number.new)
+            self.number.new = []
         each = self.sizes[used]
         ids = gather(self.flat, self.starts[used], each)
         return ids, offsets_of(each)[offsets_of(counts)]

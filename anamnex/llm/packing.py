@@ -10,25 +10,24 @@
    is a small table of runs (length, first number, sequences, offset), in which each piece finds its place.
 
 Null texts count as empty, an empty one is the end token alone. Equal documents and repeated rows are packed each on its
-own. Very long texts are encoded in whole parts of bounded size, cut where the tokenizer cuts anyway. Other columns, of
+own. Ids come from the operator of `bpe`, which equals
+the tokenizers library; very long texts are encoded in parts that are cut where the tokenizer cuts anyway. Other columns, of
 whatever names, are not read; an empty table has no pieces.
 """
 
 from __future__ import annotations
 
 import bisect
-import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import parts
+from .bpe import codec
 from .common import Scratch, chunks, slices
 
 END_ID = 2
@@ -37,30 +36,13 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BUCKET_ROWS = 10_000
 
 
-@lru_cache(maxsize=2)
-def library(path: str):
-    """The tokenizers library with a tokenizer file, on one thread, as Spark already runs a worker for each core."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    made = Tokenizer.from_file(path)
-    made.no_truncation()
-    made.no_padding()
-    return made
-
-
 def encoded(path: str, texts: list[str]) -> Iterator[np.ndarray]:
-    """The ids of each text, without special tokens."""
-    own = library(path)
-    solid = any(" " in t.content for t in own.get_added_tokens_decoder().values())  # then a space is no safe place to cut
-    cut_up = [[t] if solid else parts(t) for t in texts]
-    flat, got = [p for own_parts in cut_up for p in own_parts], []
-    for a, b in chunks(flat):
-        got += [np.array(e.ids, "<u4") for e in own.encode_batch_fast(flat[a:b], add_special_tokens=False)]
-    at = 0
-    for own_parts in cut_up:
-        yield got[at] if len(own_parts) == 1 else np.concatenate(got[at : at + len(own_parts)])
-        at += len(own_parts)
+    """The ids of each text, without special tokens, and the end token."""
+    own = codec(path)
+    for a, b in chunks(texts, 4 << 20):
+        ids, at = own.encode_batch(texts[a:b])
+        for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+            yield np.append(ids[i:j], END_ID).astype("<u4")
 
 
 def cut(ids: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -77,9 +59,8 @@ def pieces(df: DataFrame, path: str, most: int = 1024, doc_id: str = "doc_id", t
         nth = 0
         for b in slices(batches):
             rows: list[list] = [[] for _ in range(6)]
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for i, ids in zip(b.column(0).to_pylist(), encoded(path, texts)):
-                ids = np.append(ids, np.uint32(END_ID))
+            docs, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
+            for i, ids in zip(docs, encoded(path, texts)):
                 for k, (start, part) in enumerate(cut(ids, most)):
                     for column, v in zip(rows, (i, k, start, len(part), zlib.crc32(part), nth)):
                         column.append(v)
