@@ -4,14 +4,15 @@ The squared distance of q and x is |q|^2 - 2 (q.x - |x|^2 / 2), so the nearest v
 product with a known offset. Pairs of dimensions are quantised to four bits. Codes and codebooks minimise
 |r|^2 + (eta - 1) (r.x / |x|)^2 of the residual r: the part along the vector, which is what harms large inner products,
 weighs eta times as much. A query's inner products with all codewords are tables; two four-bit codes are one byte, and
-a scan adds up table entries. The RERANK best of every block are ranked again by exact distances in double precision;
+a scan adds up table entries. The RERANK best of every block are ranked again by exact distances in double precision, whatever the block's size;
 the k-th of these distances then excludes the rows that cannot come nearer by what the quantiser left of them, and all
 rows that it does not exclude are ranked by exact distances as well. The result is that of brute force.
 
-Codebooks are fitted on at most SAMPLE rows (by hash of the id); every row is encoded and scanned. Queries and rows meet
-in blocks of bounded size, so that neither side is broadcast. Of equal vectors, the eleven of the smallest ids in a block
-are enough for ten neighbours besides the query. Queries only meet rows of their own dimension; null ids take no part.
-Rows of one id are one row each.
+Codebooks are fitted on at most SAMPLE rows (by hash of the id), in a task; every row is encoded and scanned. Rows go to
+blocks of bounded size, once for each QUERY_BLOCK queries; queries go to every block and stream past it, so that neither
+side is broadcast. Of equal vectors, the eleven of the smallest ids in a block are enough for ten neighbours besides the
+query. Queries only meet rows of their own dimension; null ids take no part. Rows of one id are one row each, and none
+of them is a neighbour of its own id. Other columns are not read; an empty table has no neighbours.
 """
 
 from __future__ import annotations
@@ -23,12 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, groups, slices
+from .common import Scratch, groups, slices, streamed
 from .vectors import matrix, usable_rows
 
 SAMPLE = 20_000
-RERANK = 256
-QUERY_BLOCK, ROW_BLOCK, LEAST_BLOCKS = 2_048, 65_536, 12
+RERANK = 64
+#: Queries of a copy of the rows, rows of a block, and, where there are few rows, blocks and least rows of one.
+QUERY_BLOCK, ROW_BLOCK, TASKS, LEAST_ROWS = 1_000_000, 65_536, 12, 4_096
+#: Queries that are scanned at once, and that are gathered before.
+AT_ONCE, CHUNK = 32, 4_096
 #: Inner products above this share of |q| |x| are the ones that matter.
 SHARE = 0.2
 CODES, WIDTH = 16, 2
@@ -39,7 +43,7 @@ WIDE = 1_024
 
 
 class Quantiser:
-    def __init__(self, sample: np.ndarray, rounds: int = 8):
+    def __init__(self, sample: np.ndarray, rounds: int = 6):
         n, self.dim = sample.shape
         self.parts = -(-self.dim // (2 * WIDTH)) * 2  # an even number: two codes make a byte
         self.eta = max(1.0, (self.dim - 1) * SHARE**2 / (1 - SHARE**2))
@@ -50,6 +54,14 @@ class Quantiser:
             codes = self.assign(x, u)
             self.refit(x, u, codes)
 
+    @classmethod
+    def of(cls, dim: int, books: bytes) -> Quantiser:
+        own = cls.__new__(cls)
+        own.dim, own.parts = dim, -(-dim // (2 * WIDTH)) * 2
+        own.eta = max(1.0, (dim - 1) * SHARE**2 / (1 - SHARE**2))
+        own.books = np.frombuffer(books).reshape(own.parts, CODES, WIDTH)
+        return own
+
     def split(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         wide = np.zeros((len(x), self.parts * WIDTH))
         wide[:, : self.dim] = x
@@ -138,7 +150,7 @@ def nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, in
     qq = (q**2).sum(1)
     near, least, out = inner - bound.xx / 2, bound.least(qq, inner), []
     for i in range(len(q)):
-        first = np.argpartition(-near[i], rerank - 1)[:rerank]
+        first = np.argpartition(-near[i], min(rerank, len(x)) - 1)[:rerank]
         far = kth(((x[first] - q[i]) ** 2).sum(1)[ids[first] != q_ids[i]], k)
         out.append(np.flatnonzero(~(least[i] > far + SLACK * (qq[i] + bound.xx + bound.cc))))  # what is no number is not excluded
     wide = [i for i in range(len(q)) if len(out[i]) > WIDE]
@@ -155,13 +167,54 @@ def kth(values: np.ndarray, k: int) -> float:
     return np.partition(values, k - 1)[k - 1] if len(values) >= k else np.inf
 
 
+class Block:
+    """Rows of one dimension with their codes, and the nearest of them to queries."""
+
+    def __init__(self, t: pa.Table, found: dict[int, Quantiser], k: int, rerank: int):
+        ids, x, code = t["vec_id"].to_numpy(), matrix(t["vec"]), t["code"].to_pylist()
+        keep = first_of_equal(x, k + 1)
+        self.ids, self.x, self.k, self.rerank = ids[keep], x[keep], k, rerank
+        own = found.get(x.shape[1])
+        if own:
+            self.packed = np.frombuffer(b"".join(code[i] for i in keep), np.uint8).reshape(len(keep), -1)
+        else:  # a dimension that the sample did not meet
+            own = Quantiser(self.x[:2_000])
+            self.packed = own.encode(self.x)
+        self.quantiser, self.bound, self.ranked = own, Bound(self.x, own.decode(self.packed)), 0
+
+    def best(self, q_ids: np.ndarray, q: np.ndarray) -> list[tuple[int, int, float]]:
+        out = []
+        for a in range(0, len(q), AT_ONCE):
+            some = q[a : a + AT_ONCE]
+            among = nearest(some, q_ids[a : a + AT_ONCE], self.x, self.ids, self.quantiser.scan(some, self.packed), self.bound, self.k, self.rerank)
+            for i, best in enumerate(among, a):
+                self.ranked += len(best)
+                best = best[self.ids[best] != q_ids[i]]
+                d = np.sqrt(((self.x[best] - q[i]) ** 2).sum(1))
+                out += [(q_ids[i], self.ids[best[j]], d[j]) for j in np.lexsort((self.ids[best], d))[: self.k]]
+        return out
+
+    def answers(self, queries: pa.Table) -> pa.RecordBatch:
+        out = self.best(queries["vec_id"].to_numpy(), matrix(queries["vec"]))
+        return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], [pa.int64(), pa.int64(), pa.float64()][c]) for c in range(3)], names=["query_id", "vec_id", "score"])
+
+
+def quantisers(rows: DataFrame, most: int = SAMPLE) -> dict[int, Quantiser]:
+    """By dimension, fitted on at most `most` rows (vec_id, vec) in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, 1):
+            own = Quantiser(matrix(t["vec"]))
+            yield pa.RecordBatch.from_arrays([pa.array([own.dim], pa.int32()), pa.array([own.books.tobytes()], pa.binary())], names=["dim", "books"])
+
+    sample = rows.select(F.size("vec").alias("dim"), "vec_id", "vec").orderBy(F.xxhash64("vec_id"), "vec_id").limit(most)
+    fitted = sample.select("dim", "vec").coalesce(1).sortWithinPartitions("dim").mapInArrow(run, "dim int, books binary").collect()  # a row per dimension
+    return {r["dim"]: Quantiser.of(r["dim"], r["books"]) for r in fitted}
+
+
 def index(rows: DataFrame, most: int = SAMPLE) -> tuple[DataFrame, dict[int, Quantiser]]:
     """Append code (binary) to rows (vec_id, vec); the quantisers by dimension, fitted on at most `most` rows."""
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("vec").toArrow()["vec"].to_pylist()
-    by_dim: dict[int, list] = {}
-    for v in sample:
-        by_dim.setdefault(len(v), []).append(v)
-    found = {d: Quantiser(np.array(v)) for d, v in by_dim.items()}
+    found = quantisers(rows, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -184,39 +237,19 @@ def search(df: DataFrame, queries, k: int = 10, vec_id: str = "vec_id", vector:
     coded, found = index(usable_rows(df, vec_id, vector))
     rows = scratch.write(coded)
     n, n_queries = rows.agg(F.count("*"), F.count_if(queries)).first()
-    n_qb, n_rb = max(1, -(-n_queries // QUERY_BLOCK)), max(LEAST_BLOCKS, -(-n // ROW_BLOCK))
+    n_qb, n_rb = max(1, -(-n_queries // QUERY_BLOCK)), max(-(-n // ROW_BLOCK), min(TASKS, n // LEAST_ROWS), 1)
 
     def dealt(part: DataFrame, own: str, n_own: int, other: str, n_other: int, kind: int) -> DataFrame:
         mine = F.pmod(F.xxhash64("vec_id", F.lit(own)), F.lit(n_own)).cast("int").alias(own)
         each = F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other)
         return part.select(F.size("vec").alias("dim"), mine, each, F.lit(kind).alias("kind"), "vec_id", "vec", "code").select("dim", "qb", "rb", "kind", "vec_id", "vec", "code")
 
-    both = dealt(rows.where(queries), "qb", n_qb, "rb", n_rb, 0).unionByName(dealt(rows, "rb", n_rb, "qb", n_qb, 1))
+    asking = rows.where(queries).withColumn("code", F.lit(None).cast("binary"))
+    both = dealt(rows, "rb", n_rb, "qb", n_qb, 0).unionByName(dealt(asking, "qb", n_qb, "rb", n_rb, 1))
     met = both.repartition("dim", "qb", "rb").sortWithinPartitions("dim", "qb", "rb", "kind", "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches, 3):
-            kind, ids, x = t["kind"].to_numpy(), t["vec_id"].to_numpy(), matrix(t["vec"])
-            q_ids, q = ids[kind == 0], x[kind == 0]
-            ids, x = ids[kind == 1], x[kind == 1]
-            if not len(q_ids) or not len(ids):
-                continue
-            code = t["code"].filter(pa.array(kind == 1)).to_pylist()
-            keep = first_of_equal(x, k + 1)
-            ids, x = ids[keep], x[keep]
-            own = found.get(x.shape[1])
-            packed = np.frombuffer(b"".join(code[i] for i in keep), np.uint8).reshape(len(ids), -1) if own else None
-            bound = Bound(x, own.decode(packed)) if own and len(ids) > rerank else None
-            out = []
-            for a in range(0, len(q), 32):
-                some = q[a : a + 32]
-                among = nearest(some, q_ids[a : a + 32], x, ids, own.scan(some, packed), bound, k, rerank) if bound else [np.arange(len(ids))] * len(some)
-                for i, best in enumerate(among, a):
-                    best = best[ids[best] != q_ids[i]]
-                    d = np.sqrt(((x[best] - q[i]) ** 2).sum(1))
-                    for j in np.lexsort((ids[best], d))[:k]:
-                        out.append((q_ids[i], ids[best[j]], d[j]))
-            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], [pa.int64(), pa.int64(), pa.float64()][c]) for c in range(3)], names=["query_id", "vec_id", "score"])
+        yield from streamed(batches, 3, lambda t: Block(t, found, k, rerank), CHUNK)
 
     best = met.mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

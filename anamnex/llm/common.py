@@ -132,6 +132,49 @@ def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
+def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Each batch in pieces of equal first columns, with them; a run of equal ones may come in several pieces."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        change = np.zeros(b.num_rows - 1, bool)
+        for k in range(n_keys):
+            v = b.column(k).to_numpy(zero_copy_only=False)
+            change |= v[1:] != v[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), b.num_rows]
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            yield tuple(b.column(k)[i].as_py() for k in range(n_keys)), b.slice(i, j - i)
+
+
+def streamed(batches: Iterator[pa.RecordBatch], n_keys: int, build: Callable, chunk: int) -> Iterator[pa.RecordBatch]:
+    """Groups by the first n_keys columns, where rows of kind 0 (the next column) come before those of kind 1.
+
+    Only the first are held whole: build(table) makes of them what answers(table) to the others, about `chunk` rows at a time.
+    """
+    key, built, count = None, None, 0
+    held: list[pa.RecordBatch] = []
+    asking: list[pa.RecordBatch] = []
+    for (*now, kind), b in runs(batches, n_keys + 1):
+        if now != key:
+            if asking:
+                yield built.answers(pa.Table.from_batches(asking))
+            key, built, held, asking, count = now, None, [], [], 0
+        if kind == 0:
+            held.append(b)
+            continue
+        if built is None:
+            if not held:
+                continue
+            built, held = build(pa.Table.from_batches(held)), []
+        asking.append(b)
+        count += b.num_rows
+        if count >= chunk:
+            yield built.answers(pa.Table.from_batches(asking))
+            asking, count = [], 0
+    if asking:
+        yield built.answers(pa.Table.from_batches(asking))
+
+
 def spanning(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links in a boolean matrix."""
     root = {int(x): int(x) for x in np.concatenate([left, right])}

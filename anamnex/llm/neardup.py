@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import EDGES, Scratch, components, groups, join_classes
+from .common import EDGES, Scratch, components, groups, join_classes, streamed
 from .hnsw import Graph, cells
 from .vectors import matrix, usable_rows
 
@@ -173,45 +173,11 @@ class Shard:
         )
 
 
-def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
-    """Each batch in pieces of equal first columns, with them; a run of equal ones may come in several pieces."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        change = np.zeros(b.num_rows - 1, bool)
-        for k in range(n_keys):
-            v = b.column(k).to_numpy(zero_copy_only=False)
-            change |= v[1:] != v[:-1]
-        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), b.num_rows]
-        for i, j in zip(cuts[:-1], cuts[1:]):
-            yield tuple(b.column(k)[i].as_py() for k in range(n_keys)), b.slice(i, j - i)
-
-
 def asked(rows: DataFrame, least: float) -> DataFrame:
     """From rows of graphs (kind 0) and then queries (kind 1) by (dim, shard, block): counts (a, null, links) and edges (a, b, null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, built = None, None
-        graph: list[pa.RecordBatch] = []
-        queries: list[pa.RecordBatch] = []
-        for (*now, kind), b in runs(batches, 4):
-            if now != key:
-                if queries:
-                    yield built.answers(pa.Table.from_batches(queries))
-                key, built, graph, queries = now, None, [], []
-            if kind == 0:
-                graph.append(b)
-                continue
-            if built is None:
-                if not graph:
-                    continue
-                built, graph = Shard(pa.Table.from_batches(graph), least), []
-            queries.append(b)
-            if sum(q.num_rows for q in queries) >= CHUNK:
-                yield built.answers(pa.Table.from_batches(queries))
-                queries = []
-        if queries:
-            yield built.answers(pa.Table.from_batches(queries))
+        yield from streamed(batches, 3, lambda t: Shard(t, least), CHUNK)
 
     return rows.mapInArrow(run, EDGES + ", links long")
 

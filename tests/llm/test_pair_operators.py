@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,6 +205,7 @@ def test_link_recall_of_shards_against_brute_force(spark):
 def test_search_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ann, "ROW_BLOCK", 100)
     monkeypatch.setattr(ann, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(ann, "CHUNK", 2)
     x = vectors(600)
     got: dict = {}
     for r in ann.search(vector_frame(spark, x), F.col("vec_id") % 50 == 0, k=10).collect():
@@ -231,8 +233,7 @@ def test_scan_recall_after_reranking():
     assert hits / 400 >= 0.9 and q.encode(x).shape == (6000, 16)
 
 
-def test_search_in_a_large_group_of_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(ann, "LEAST_BLOCKS", 1)
+def test_search_in_a_large_group_of_near_copies(spark):
     r = np.random.default_rng(12)
     x = r.standard_normal((3000, 64))
     x[:1000] = x[0] + 0.01 * r.standard_normal((1000, 64))
@@ -245,6 +246,45 @@ def test_search_in_a_large_group_of_near_copies(spark, monkeypatch):
         assert [r["vec_id"] for r in sorted((r for r in rows if r["query_id"] == q), key=lambda r: r["rank"])] == best.tolist()
 
 
+def near_rows(r, n, dim, kinds):
+    return (3 * r.standard_normal((kinds, dim)))[r.integers(0, kinds, n)] + r.standard_normal((n, dim))
+
+
+def test_a_full_block_is_scanned_and_few_rows_are_ranked_exactly():
+    r = np.random.default_rng(4)
+    x = near_rows(r, ann.ROW_BLOCK, 64, 200)
+    q = ann.Quantiser(x[:4000], rounds=3)
+    t = pa.table({"vec_id": pa.array(np.arange(len(x))), "vec": pa.array(list(x), pa.list_(pa.float64())), "code": pa.array([c.tobytes() for c in q.encode(x)], pa.binary())})
+    block = ann.Block(t, {64: q}, 10, ann.RERANK)
+    own = np.arange(0, len(x), 2000)
+    got = {}
+    for a, b, _ in block.best(own, x[own]):
+        got.setdefault(a, []).append(b)
+    for k in own:
+        d = ((x - x[k]) ** 2).sum(1)
+        d[k] = np.inf
+        assert got[k] == np.lexsort((np.arange(len(x)), d))[:10].tolist()
+    assert 64 * len(own) > 0 and block.ranked < 0.05 * len(own) * len(x)
+
+
+def test_registered_search_over_20k_vectors(spark, tmp_path):
+    """op1 as registered, several blocks, against brute force."""
+    from anamnex.llm import queries
+
+    x = near_rows(np.random.default_rng(5), 20_000, 32, 50)
+    x[7] = 0
+    spark.createDataFrame(((k, v.tolist(), 1) for k, v in enumerate(x)), "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {}
+    for r in queries.op1_nearest_neighbours(spark, str(tmp_path)).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 20_000, 100))
+    for q, own in got.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[[q, 7]] = np.inf
+        best = np.lexsort((np.arange(len(x)), d))[:10]
+        assert [r[1] for r in sorted(own)] == best.tolist() and np.allclose([r[2] for r in sorted(own)], d[best])
+
+
 def toxic_corpus(spark):
     r = random.Random(6)
     words = ["thing", "water", "river", "stone", "paper", "green", "house", "garden", "window", "summer"]
