@@ -6,7 +6,9 @@ only the precomputed number of popped tokens is added.
 
 Words are the maximal runs that the word tokenizer's pattern cuts from the normalised text (NFC, white space
 collapsed, lower case); each is spelt in bytes, of which the last bears the end-of-word mark. Null texts count as empty
-and have no tokens.
+and have no tokens. A vocabulary that cannot spell a word raises: no count would be right. Other columns pass through, and
+input columns with the name of an output are replaced; repeated rows get equal counts; words and texts of any length
+count whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -107,7 +109,9 @@ class Counter:
             self.known.clear()
         known, count = self.known, self.automaton.count
         for w in set().union(*cut).difference(known):
-            known[w] = count((*(b := w.encode("utf-8", "surrogatepass"))[:-1], b[-1] + MARK))
+            known[w] = n = count((*(b := w.encode("utf-8", "surrogatepass"))[:-1], b[-1] + MARK))
+            if n < 0:
+                raise ValueError(f"the vocabulary has no tokens for {w[:80]!r}")
         sizes = list(map(len, cut))
         each = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), np.int64, sum(sizes))
         ends = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
