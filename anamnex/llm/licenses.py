@@ -3,34 +3,35 @@
 Words are runs of letters and digits in lower case; shingles are five of them, hashed to 64 bits. A template of t
 shingles belongs to the class m, the least power of two that is at least max(2, t). For each class, a text is cut into
 windows of 2m shingles, one every m, so that any m shingles in a row lie in one window whole. BANDS one-row bands hold
-MinHash values (the shingle nearest to a random point, by exclusive or). A window that holds 0.8 of a template shares at
-least 0.19 of the joint shingles with it, and so misses all BANDS = 48 bands with a probability of at most
-0.81 ** 48 < 5e-5. Every retrieved pair is then verified: the exact share of the template's shingles in the window.
+MinHash values, each of a hash of its own. A window that holds 0.8 of a template shares at least 0.19 of the joint
+shingles with it, and so misses all BANDS = 48 bands with a probability of at most 0.81 ** 48 < 5e-5. Every retrieved
+pair is then verified: the exact share of the template's shingles in the window.
 
 A verified match holds at least one whole shingle of the template, so documents without any of the shingles' longest
-words are passed over first, and then those without any of the shingles; that loses nothing.
+words are passed over first, and then those without any of the shingles; that loses nothing. Both lists stand in the
+plan, and where they are longer than MOST_LITERALS all documents go on.
 
 Null and empty texts match nothing. Texts of under five words are one shingle of what they have. Templates need five
-words. A (document, template) pair is one row, with its best window; repeated document rows each get rows.
+words; without templates nothing matches. A (document, text, template) is one row, with its best window (the first of
+the best); repeated rows of one id and text are one. Other columns of documents, of whatever names, are not read. A very
+long text is one row until it is cut into windows.
 """
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import settled
+from .license_texts import FULL_TEXTS
 
 SHINGLE, BANDS, LEAST = 5, 48, 0.8
-POINTS = [random.Random(1000 + k).getrandbits(63) * (1 if k % 2 else -1) for k in range(BANDS)]
 #: Above this many template shingles the template side is joined by shuffle.
 BROADCAST_ROWS = 200_000
-#: With more template shingles than this, documents are not looked through for them before windows are cut.
+#: With more template words or shingles than this, documents are not looked through for them before windows are cut.
 MOST_LITERALS = 2_000
 
-#: Notices as their publishers word them (fixed values): license, kind, text.
+#: Notices as their publishers word them (fixed values): license, kind, text. Then whole texts.
 TEMPLATES = (
     ("Apache-2.0", "permissive", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "permissive", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
@@ -44,6 +45,7 @@ TEMPLATES = (
     ("BSD", "permissive", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("ISC", "permissive", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("MPL-2.0", "copyleft", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    *FULL_TEXTS,
 )
 
 
@@ -51,6 +53,12 @@ def default_templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *t) for i, t in enumerate(TEMPLATES)], "template_id int, license string, kind string, template string")
 
 
+def templates_of_files(spark: SparkSession, path: str) -> DataFrame:
+    """Templates from a folder of license texts, a file each, named by its file; their kind is not known."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1).alias("license"), F.col("value").alias("template"))
+    return files.select(F.xxhash64("license").cast("int").alias("template_id"), "license", F.lit("unknown").alias("kind"), "template")
+
+
 def words(text: Column) -> Column:
     clean = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
     return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
@@ -64,9 +72,12 @@ def shingles(own: Column) -> Column:
 
 
 def band_values(own: Column) -> Column:
-    """The shingles that are nearest to any of the points."""
-    points = F.array(*(F.lit(p) for p in POINTS))
-    return F.array_distinct(F.transform(points, lambda p: F.array_min(F.transform(own, lambda x: x.bitwiseXOR(p))).bitwiseXOR(p)))
+    """MinHash values: the least hash of the shingles, for each band's hash."""
+    return F.array(*(F.array_min(F.transform(own, _hashed(k))) for k in range(BANDS)))
+
+
+def _hashed(band: int):
+    return lambda x: F.xxhash64(x, F.lit(band))
 
 
 def windows(own: Column, m: int) -> Column:
@@ -98,8 +109,8 @@ def scan(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id", text: st
     known = prepared(templates).select("template_id", "license", "kind", "m", "t").withColumn("value", F.explode(band_values(F.col("t"))))
     if not anchors or known.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
-    own = settled(own, "own", words(F.col("text"))).drop("text").where(F.arrays_overlap("own", F.array(*map(F.lit, anchors))) if anchors else F.lit(False))
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.md5("text").alias("row"))
+    own = settled(own, "own", words(F.col("text"))).drop("text").where(F.lit(True) if len(anchors) > MOST_LITERALS else F.arrays_overlap("own", F.array(*map(F.lit, anchors))) if anchors else F.lit(False))
     own = settled(own, "s", shingles(F.col("own"))).drop("own")
     if len(shared) <= MOST_LITERALS:
         own = own.where(F.arrays_overlap("s", F.array(*map(F.lit, shared)).cast("array<bigint>")))
