@@ -10,8 +10,11 @@ Roles and texts are escaped first (`&` `<` `[` and, in roles, the line feed beco
 control string can stand inside them and reading is exact. loss_spans lists the places (code points from 0, length) of
 assistant texts in the formatted string, in order.
 
+Of a list, the paths of all elements count. JSON that fits no layout is not lost: its id is returned with what is wrong.
+
 Null texts and roles count as empty; a null conversation id is one conversation of its own. Rows of equal turn number
-go by role, then text; null turn numbers come first. Repeated rows stay. Columns of no layout are ignored.
+go by role, then text; null turn numbers come first. Repeated rows stay. Columns of no layout are ignored. Very long texts
+are formatted whole. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -110,12 +113,17 @@ def turn_rows(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
 
 
 def json_turn_rows(df: DataFrame, json: str, conv_id: str = "conv_id") -> DataFrame:
-    """As turn_rows, but the layout is chosen for each JSON object; objects of no known layout have no turns."""
+    """As turn_rows, but the layout is chosen for each JSON object, with a column problem.
+
+    It is null for turns. An object that gives none is one row without turn, role and text, whose problem says why:
+    'null', 'no JSON object', 'unknown layout' or 'no turns'. format_turns passes over such rows.
+    """
     j = F.col(json)
     known = F.array(*(F.lit(p) for p in sorted(KNOWN_PATHS)))
     paths = F.coalesce(F.json_object_keys(j), F.array().cast("array<string>"))
     for name in LIST_FIELDS:
-        inner = F.json_object_keys(F.get_json_object(j, f"$.{name}[0]"))
+        items = F.from_json(F.get_json_object(j, f"$.{name}"), "array<string>")
+        inner = F.flatten(F.transform(items, lambda x: F.coalesce(F.json_object_keys(x), F.array().cast("array<string>"))))
         paths = F.concat(paths, F.coalesce(F.transform(inner, _prefixed(f"{name}[].")), F.array().cast("array<string>")))
     mark = F.sha2(F.array_join(F.array_sort(F.array_intersect(F.array_distinct(paths), known)), "|"), 256)
     fields: dict[str, set[str]] = {}
@@ -123,12 +131,16 @@ def json_turn_rows(df: DataFrame, json: str, conv_id: str = "conv_id") -> DataFr
         top, _, low = p.partition("[].")
         fields.setdefault(top, set()).update({low} - {""})
     schema = ", ".join(f"`{k}` array<struct<{','.join(f'`{x}`:string' for x in sorted(v))}>>" if v else f"`{k}` string" for k, v in sorted(fields.items()) if k not in ("conv_id", "turn"))
-    parsed = df.select(F.col(conv_id).alias("__id"), mark.alias("__mark"), F.from_json(j, schema).alias("__j")).select("__id", "__mark", "__j.*")
+    broken = F.when(j.isNull(), "null").when(F.json_object_keys(j).isNull(), "no JSON object")
+    parsed = df.select(F.col(conv_id).alias("__id"), broken.alias("__broken"), mark.alias("__mark"), F.from_json(j, schema).alias("__j")).select("__id", "__broken", "__mark", "__j.*")
     chosen = F.lit(None).cast(TURNS_TYPE)
     for print_, layout in BY_PRINT.items():
         if layout.turns:
             chosen = F.when(F.col("__mark") == print_, F.expr(layout.turns).cast(TURNS_TYPE)).otherwise(chosen)
-    return _exploded(parsed.select(F.col("__id").alias("conv_id"), chosen.alias("turns")))
+    made = settled(parsed, "__turns", F.when(F.col("__broken").isNull(), chosen))
+    problem = F.coalesce(F.col("__broken"), F.when(F.col("__turns").isNull(), "unknown layout").when(F.size("__turns") == 0, "no turns"))
+    rows = made.select(F.col("__id").alias("conv_id"), problem.alias("problem"), F.posexplode_outer("__turns").alias("turn", "t"))
+    return rows.select("conv_id", *_turn_columns(F.col("problem").isNull()), "problem")
 
 
 def _prefixed(prefix: str):
@@ -136,8 +148,12 @@ def _prefixed(prefix: str):
 
 
 def _exploded(df: DataFrame) -> DataFrame:
-    rows = df.select("conv_id", F.posexplode("turns").alias("turn", "t"))
-    return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(_canonical_role(F.col("t.role")), F.lit("")).alias("role"), F.coalesce("t.text", F.lit("")).alias("text"))
+    return df.select("conv_id", F.posexplode("turns").alias("turn", "t")).select("conv_id", *_turn_columns(F.lit(True)))
+
+
+def _turn_columns(there: Column) -> list[Column]:
+    role, text = F.coalesce(_canonical_role(F.col("t.role")), F.lit("")), F.coalesce("t.text", F.lit(""))
+    return [F.col("turn").cast("long").alias("turn"), F.when(there, role).alias("role"), F.when(there, text).alias("text")]
 
 
 #: Character references, in the order of writing; reading goes the other way.
@@ -158,6 +174,8 @@ def unescaped(text: Column) -> Column:
 
 def format_turns(rows: DataFrame) -> DataFrame:
     """conv_id, formatted, loss_spans (array of start, length) of canonical turn rows."""
+    if "problem" in rows.columns:
+        rows = rows.where("problem IS NULL")
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     head = F.concat(F.lit(TURN), escaped(F.col("role"), role=True), F.lit("\n"))

@@ -56,25 +56,40 @@ def test_bpe_forgets_and_goes_on(monkeypatch):
         assert own.decode_batch(ids, at) == [t]
 
 
+#: More than any piece of the vocabulary has.
+LONGEST_PIECE = 200
+
+
 def greedy(word: str, vocab: set) -> int:
     symbols = {b: c for c, b in bpe.byte_symbols().items()}
     s = [symbols[b] for b in word.encode()]
     s[-1] += "</w>"
     i = n = 0
     while i < len(s):
-        i = next(j for j in range(len(s), i, -1) if "".join(s[i:j]) in vocab)
+        i = next(j for j in range(min(len(s), i + LONGEST_PIECE), i, -1) if "".join(s[i:j]) in vocab)
         n += 1
     return n
 
 
 def test_token_counts_equal_greedy_matching(spark, sf_dir):
     vocab, known = set(json.load(open(WORD_BPE))["model"]["vocab"]), {}
-    texts = ODD + [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(12).collect()]
-    for r in wordpiece.token_counts(frame(spark, texts), WORD_BPE).collect():
+    texts = ODD + [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()] + ["ab" * 4000]
+    rows = wordpiece.token_counts(frame(spark, texts), WORD_BPE).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
         words = wordpiece.counter(WORD_BPE).words.findall(wordpiece.normalised(texts[r["doc_id"]] or ""))
-        if max(map(len, words), default=0) < 300:
-            known |= {w: greedy(w, vocab) for w in set(words) - known.keys()}
-            assert (r["n_words"], r["n_tokens"]) == (len(words), sum(known[w] for w in words))
+        known |= {w: greedy(w, vocab) for w in set(words) - known.keys()}
+        assert (r["n_words"], r["n_tokens"]) == (len(words), sum(known[w] for w in words))
+    assert wordpiece.token_counts(frame(spark, ODD).limit(0), WORD_BPE).count() == 0
+    assert bpe.round_trip(frame(spark, ODD).limit(0), BYTE_BPE).count() == 0 and pii.detect(frame(spark, ODD).limit(0)).count() == 0
+
+
+def test_a_vocabulary_that_cannot_spell_raises(tmp_path):
+    path = tmp_path / "few.json"
+    path.write_text(json.dumps({"model": {"vocab": {"a</w>": 0, "a": 1}}}))
+    assert wordpiece.Counter(str(path)).count(["aa a"])[1] == [3]
+    with pytest.raises(ValueError):
+        wordpiece.Counter(str(path)).count(["ab"])
 
 
 def test_automaton_gets_stuck_without_a_token():
@@ -231,12 +246,17 @@ def test_chat_layouts(spark):
     assert read(spark.createDataFrame([(1, "q", "", "a")], "conv_id long, instruction string, input string, output string")) == turns
     with pytest.raises(chat.UnknownLayoutError):
         chat.turn_rows(spark.createDataFrame([(1, "x")], "conv_id long, other string"))
+    first, second = '{"role":"user"}', '{"role":"assistant","content":"a"}'
     objects = ['{"prompt":"q","response":"a"}', '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}],"extra":1}', '{"question":"q","answer":"a"}', '{"odd":1}', "not json", None]
-    df = chat.json_turn_rows(spark.createDataFrame(list(enumerate(objects)), "conv_id long, j string"), "j")
+    objects += [f'{{"messages":[{first},{second}]}}', '{"messages":[]}', '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}', "[1]"]
+    df = chat.json_turn_rows(spark.createDataFrame([(k, j, "x") for k, j in enumerate(objects)], "conv_id long, j string, problem string"), "j")
     got: dict = {}
-    for r in df.orderBy("conv_id", "turn").collect():
+    for r in df.where("problem IS NULL").orderBy("conv_id", "turn").collect():
         got.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
-    assert got == {0: turns, 1: turns, 2: turns}
+    assert got == {0: turns, 1: turns, 2: turns, 6: [("user", ""), ("assistant", "a")], 8: turns}
+    wrong = {r["conv_id"]: r["problem"] for r in df.where("problem IS NOT NULL").collect()}
+    assert wrong == {3: "unknown layout", 4: "no JSON object", 5: "null", 7: "unknown layout", 9: "no JSON object"}
+    assert {r["conv_id"] for r in chat.format_turns(df).collect()} == set(got)
 
 
 def test_chat_query_equals_its_sql(spark, sf_dir):
@@ -249,6 +269,26 @@ def test_chat_query_equals_its_sql(spark, sf_dir):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_other_ways_of_large_template_tables(spark, monkeypatch):
+    """Neither literals nor a broadcast: the same rows."""
+    texts = [licenses.TEMPLATES[k][2] + " and more" * k for k in range(len(licenses.TEMPLATES))] + ["nothing of the kind", None]
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)] * 2, "doc_id long, text string, row string")
+    want = sorted(map(tuple, licenses.scan(df, licenses.default_templates(spark)).collect()))
+    assert {(r[0], r[1]) for r in want} >= {(k, k) for k in range(len(licenses.TEMPLATES))} and len({(r[0], r[1]) for r in want}) == len(want)
+    monkeypatch.setattr(licenses, "MOST_LITERALS", 3)
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", 3)
+    assert sorted(map(tuple, licenses.scan(df, licenses.default_templates(spark)).collect())) == want
+
+
+def test_windows_rarely_miss_their_templates(spark):
+    """A template of one shingle, anywhere in a text."""
+    r, template = random.Random(11), licenses.TEMPLATES[2][2]
+    words = template.split()
+    texts = [" ".join(["w%d" % r.randrange(10_000) for _ in range(r.randint(0, 30))] + words + ["v%d" % r.randrange(10_000) for _ in range(r.randint(0, 30))]) for _ in range(400)]
+    found = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), licenses.default_templates(spark))
+    assert found.where("template_id = 2").count() == 400
+
+
 def license_words(text):
     clean = "".join(c if c.isalpha() or c.isnumeric() else " " for c in (text or "").lower()).split()
     return {tuple(clean[i : i + 5]) for i in range(max(1, len(clean) - 4))} if clean else set()
