@@ -30,6 +30,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import product
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +57,7 @@ STRIP = "?.,;:\"')[]{}>*#%&~^`«»…–—-_=/\\"
 PUNCTUATION = "!|(<+"
 MARK_LETTERS = "".join(c for c in LEET if not c.isalnum())
 REPEATED = re.compile(r"(.)\1\1")
+DOUBLED = re.compile(r"(.)\1", re.DOTALL)
 REPEAT = re.compile(r"(.)\1*", re.DOTALL)
 APART = re.compile(r"(?<!\S)(?:\w[ ._*-]{1,2}){3,}\w(?!\S)")
 GAP = re.compile(r"[ ._*-]+")
@@ -238,28 +240,52 @@ def readings(run: str, model: CharModel, at: list[tuple[int, int]]) -> list[bool
     return [before[a] + costs[a][b - a - 1] + after[b] <= after[0] + MARGIN for a, b in at]
 
 
+SYMBOLS = LETTERS + OTHER + EDGE
+_SYMBOL = np.full(0x250, len(LETTERS), np.int64)  # others are OTHER
+_SYMBOL[[ord(c) for c in LETTERS]] = np.arange(len(LETTERS))
+_SYMBOL[ord(EDGE)] = len(LETTERS) + 1
+
+
+def gram_counts(words: dict[str, int]) -> np.ndarray:
+    """How often each trigram (a number of base len(SYMBOLS)) occurs in words with their ends, which occur so often."""
+    if not words:
+        return np.zeros(len(SYMBOLS) ** 3)
+    codes = np.frombuffer("".join(f"{EDGE}{EDGE}{w}{EDGE}" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    of = np.where(codes < len(_SYMBOL), _SYMBOL[np.minimum(codes, len(_SYMBOL) - 1)], len(LETTERS))
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 3
+    times = np.repeat(np.fromiter(words.values(), np.float64, len(words)), sizes)
+    ends = np.cumsum(sizes)
+    times[ends - 1] = times[ends - 2] = 0  # no trigram of a word starts at its last two places
+    k = len(SYMBOLS)
+    grams = (of[:-2] * k + of[1:-1]) * k + of[2:]
+    return np.bincount(grams, times[:-2], k**3)
+
+
 def char_counts(df: DataFrame, text: str = "text") -> dict[str, int]:
     """Trigrams of all words of all texts, with how often they occur; bounded by the alphabet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
-        grams: Counter = Counter()
+        grams = np.zeros(len(SYMBOLS) ** 3)
 
-        def flush() -> None:
+        def plain() -> dict[str, int]:
+            kept: dict[str, int] = {}
             for token, n in words.items():
-                if (w := core(token).strip(MARK_LETTERS)).isalpha():
-                    s = EDGE + EDGE + folded(w) + EDGE
-                    for i in range(len(s) - 2):
-                        grams[s[i : i + 3]] += n
+                w = token if token.isalpha() else core(token).strip(MARK_LETTERS)
+                if w.isalpha():
+                    kept[w] = kept.get(w, 0) + n
             words.clear()
+            return kept
 
         for b in batches:
             for t in b.column(0):
                 words.update((t.as_py() or "").lower().split())
                 if len(words) > KNOWN_TOKENS:
-                    flush()
-        flush()
-        yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["gram", "n"])
+                    grams += gram_counts(plain())
+        grams += gram_counts(plain())
+        found, k = np.flatnonzero(grams), len(SYMBOLS)
+        names = [SYMBOLS[g // k // k] + SYMBOLS[g // k % k] + SYMBOLS[g % k] for g in found.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(grams[found].astype(np.int64))], names=["gram", "n"])
 
     found = df.select(text).mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     return {r["gram"]: r["n"] for r in found.collect()}  # at most (len(LETTERS) + 2) ** 3 rows
@@ -283,6 +309,8 @@ class Model:
 
     def __post_init__(self):
         self.starts = {f[1] for f in self.weights if len(f) > 1}  # first letters of what is evidence
+        #: The first two letters of evidence, repeats not counted. A word with none of them in front is no evidence, unless its first letter repeats.
+        self.heads = {"".join(r[0] for r in letter_runs(f[1:])[:2]) for f in self.weights if len(f) > 1}
         self.by_letters: dict[str, list[tuple[list[int], float]]] = {}
         for f, p in self.weights.items():
             if f[0] == "=" and len(f) > 1:
@@ -290,18 +318,21 @@ class Model:
                 self.by_letters.setdefault("".join(r[0] for r in own), []).append(([len(r) for r in own], p))
 
     def scores(self, texts: list[str], known: dict[str, float]) -> list[float]:
-        out = []
+        """known: the evidence of tokens that were met before."""
+        out, heads = [], self.heads
         for text in texts:
             text = text.lower()
-            tokens = set(text.split())
-            if new := tokens.difference(known):
-                if len(known) > KNOWN_TOKENS:
-                    known.clear()
-                    new = tokens
-                known.update((t, self.evidence(t)) for t in new if len(t) <= KNOWN_CHARS)
             clean = 1 - self.none
-            for t in tokens:
-                if p := known[t] if len(t) <= KNOWN_CHARS else self.evidence(t):
+            for t in set(text.split()):
+                if t.isalpha() and t[:2] not in heads and t[:1] != t[1:2]:
+                    continue  # no spelling of it begins as evidence does
+                if (p := known.get(t)) is None:
+                    p = self.evidence(t)
+                    if len(t) <= KNOWN_CHARS:
+                        if len(known) > KNOWN_TOKENS:
+                            known.clear()
+                        known[t] = p
+                if p:
                     clean *= 1 - p
             for m in APART.finditer(text):
                 clean *= 1 - self.evidence_apart(m[0])
@@ -309,10 +340,12 @@ class Model:
         return out
 
     def evidence(self, token: str) -> float:
-        best = self.read(core(token))
-        for piece in pieces(token):
-            if piece[0] not in LETTERS or piece[0] in self.starts:
-                best = max(best, self.read(core(piece)))
+        word = core(token)
+        best = self.read(word)
+        if not word.isalpha():
+            for piece in pieces(token):
+                if piece[0] not in LETTERS or piece[0] in self.starts:
+                    best = max(best, self.read(core(piece)))
         return best
 
     def read(self, word: str) -> float:
@@ -336,9 +369,12 @@ class Model:
 
     def weight(self, word: str) -> float:
         """The weight of a word, or the largest of its spellings where repeats of a letter, however long, are one letter or two."""
-        best, runs = self.own_weight(word), letter_runs(word)
-        if len(runs) == len(word):
+        if word[:2] not in self.heads and word[:1] != word[1:2]:
+            return 0.0
+        best = self.own_weight(word)
+        if not DOUBLED.search(word):
             return best
+        runs = letter_runs(word)
         for sizes, p in self.by_letters.get("".join(r[0] for r in runs), ()):
             if p > best and all(n <= len(r) and (n <= 2 or n == len(r)) for n, r in zip(sizes, runs)):
                 best = p
