@@ -41,7 +41,7 @@ from .shingles import MinHash, mixed, shingle_sets
 LEAST = 0.8
 BANDS, ROWS = 28, 5
 COMPARED, AT_ONCE, TOLERANCE = 64, 16, 1e-6
-BLOCK = 512
+BLOCK = 128
 #: Classes of a part of a bucket; parts of one bucket meet in pairs, each pair a group of its own.
 BUCKET = 512
 COLUMNS = 4096
