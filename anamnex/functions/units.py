@@ -9,17 +9,32 @@ from .text import squeezed
 
 #: Unit -> (dimension, factor, offset), base = value * factor + offset.
 UNITS: dict[str, tuple[str, float, float]] = {
-    "kg": ("mass", 1.0, 0.0), "g": ("mass", 1e-3, 0.0), "mg": ("mass", 1e-6, 0.0), "ug": ("mass", 1e-9, 0.0), "ng": ("mass", 1e-12, 0.0), "pg": ("mass", 1e-15, 0.0),
-    "lb": ("mass", 0.45359237, 0.0), "oz": ("mass", 0.028349523125, 0.0),
-    "cm": ("length", 1.0, 0.0), "mm": ("length", 0.1, 0.0), "m": ("length", 100.0, 0.0), "in": ("length", 2.54, 0.0), "ft": ("length", 30.48, 0.0),
-    "degC": ("temperature", 1.0, 0.0), "degF": ("temperature", 5.0 / 9.0, -160.0 / 9.0),
-    "mmHg": ("pressure", 1.0, 0.0), "/min": ("rate", 1.0, 0.0), "%": ("ratio", 1.0, 0.0),
-}
+    "kg": ("mass", 1.0, 0.0),
+    "g": ("mass", 0.001, 0.0),
+    "mg": ("mass", 0.000001, 0.0),
+    "ug": ("mass", 0.000000001, 0.0),
+    "ng": ("mass", 0.000000000001, 0.0),
+    "pg": ("mass", 0.000000000000001, 0.0),
+    "lb": ("mass", 0.45359237, 0.0),
+    "oz": ("mass", 0.028349523125, 0.0),
+    "cm": ("length", 1.0, 0.0),
+    "mm": ("length", 0.1, 0.0),
+    "m": ("length", 100.0, 0.0),
+    "in": ("length", 2.54, 0.0),
+    "ft": ("length", 30.48, 0.0),
+    "degC": ("temperature", 1.0, 0.0),
+    "degF": ("temperature", 5.0 / 9.0, -160.0 / 9.0),
+    "mmHg": ("pressure", 1.0, 0.0),
+    "/min": ("rate", 1.0, 0.0),
+    "%": ("ratio", 1.0, 0.0),
+}
 #: Lab units, each a dimension of its own.
 LAB_UNITS = (
-    "mg/dL g/dL mg/L g/L mg/mL ug/dL ug/L ug/mL ng/dL ng/mL ng/L pg/mL mmol/L umol/L nmol/L pmol/L mEq/L mOsm/kg "
-    "U/L U/mL IU/L IU/mL mIU/L mIU/mL uIU/mL mU/L K/uL M/uL /uL /HPF /LPF fL mm/hr mL/min mL/min/1.73m2 mg/g sec"
-).split()
+    "mg/dL", "g/dL", "mg/L", "g/L", "mg/mL", "ug/dL", "ug/L", "ug/mL", "ng/dL", "ng/mL",
+    "ng/L", "pg/mL", "mmol/L", "umol/L", "nmol/L", "pmol/L", "mEq/L", "mOsm/kg", "U/L", "U/mL",
+    "IU/L", "IU/mL", "mIU/L", "mIU/mL", "uIU/mL", "mU/L", "K/uL", "M/uL", "/uL", "/HPF",
+    "/LPF", "fL", "mm/hr", "mL/min", "mL/min/1.73m2", "mg/g", "sec",
+)
 UNITS |= {u: (f"lab:{u}", 1.0, 0.0) for u in LAB_UNITS}
 
 #: Other spellings in lower case; every unit's own name in lower case is one too.

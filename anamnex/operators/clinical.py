@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import units
@@ -39,6 +39,11 @@ def rows_of(catalog: Catalog, record_type: str, slug: str | None = None) -> Data
     return df if slug is None else df.where(F.col("person_id") == person_id(catalog, slug))
 
 
+def listed(df: DataFrame, slug: str | None, *order) -> DataFrame:
+    """In order for one person, as it is shown. Rows of all persons are not sorted: what is made of them orders them within a person."""
+    return df if slug is None else df.orderBy(*order)
+
+
 def public(df: DataFrame) -> DataFrame:
     """Without key machinery."""
     return df.drop(*INTERNAL)
@@ -49,7 +54,7 @@ def public_json(df: DataFrame) -> Column:
     marks = [c for c in (*ATTESTATION, *EDIT_MARK) if c in df.columns]
     rest = F.to_json(F.struct(*(c for c in df.columns if c not in (*INTERNAL, *marks))), {"ignoreNullFields": "false"})
     some = F.to_json(F.struct(*marks)) if marks else F.lit("{}")
-    return F.when(some == "{}", rest).otherwise(F.concat(F.rtrim(rest, F.lit("}")), F.lit(","), F.substring(some, 2, 1_000_000)))
+    return F.when(some == "{}", rest).otherwise(F.concat(F.rtrim(rest, F.lit("}")), F.lit(","), F.substr(some, F.lit(2))))
 
 
 def labs(catalog: Catalog, slug: str | None = None, test: str | None = None, since: str | None = None, dictionary: Dictionary = None) -> DataFrame:
@@ -59,7 +64,7 @@ def labs(catalog: Catalog, slug: str | None = None, test: str | None = None, sin
         df = df.where(date_only(F.col("collected_at")) >= date_only(F.lit(since)))
     if test:
         df = df.where(norm(F.col("test_name"), dictionary) == norm(F.lit(test), dictionary))
-    return df.orderBy("person_id", F.col("collected_at").asc_nulls_first(), F.col("test_name").asc_nulls_first(), "lab_result_id")
+    return listed(df, slug, F.col("collected_at").asc_nulls_first(), F.col("test_name").asc_nulls_first(), "lab_result_id")
 
 
 def is_renewal() -> Column:
@@ -78,7 +83,7 @@ def medications(catalog: Catalog, slug: str | None = None, active: bool = False,
     df = rows_of(catalog, "medication", slug)
     if active:
         df = df.where(is_current(today or dt.date.today()))
-    return df.orderBy("person_id", F.col("started_on").asc_nulls_last(), F.col("name").asc_nulls_first(), "medication_id")
+    return listed(df, slug, F.col("started_on").asc_nulls_last(), F.col("name").asc_nulls_first(), "medication_id")
 
 
 def _spaced(column: Column, before: str = " ", after: str = "") -> Column:
@@ -129,7 +134,7 @@ def timeline(catalog: Catalog, slug: str | None = None, since: str | None = None
         out = out.unionByName(p)
     if since:
         out = out.where(F.col("date") >= date_only(F.lit(since)))
-    return out.orderBy("person_id", "date", "type", "src", "record_id")
+    return listed(out, slug, "date", "type", "src", "record_id")
 
 
 def series(catalog: Catalog, slug: str | None = None) -> DataFrame:
@@ -145,7 +150,8 @@ def trends(catalog: Catalog, test: str, slug: str | None = None, dictionary: Dic
     """Statistics of one measurement: a row per person that has it, a sibling of it, or (with a slug) the person asked for.
 
     Siblings are counted before verdicts, statistics after them and after conversion to the person's unit. Doubles are
-    as they come; round them to compare engines.
+    as they come; round them to compare engines. One pass: a name that stands for labs and vitals of one person raises at
+    once with a slug, and when the plan runs without one.
     """
     target, family = loose(key_token(F.lit(test), dictionary)), loose(norm(F.lit(test), dictionary))
     asked = settled(catalog.spark.range(1).select(), target=target, family=family).first()
@@ -164,14 +170,17 @@ def trends(catalog: Catalog, test: str, slug: str | None = None, dictionary: Dic
     def if_live(column: Column) -> Column:
         return F.when(live, column)
 
+    at = F.coalesce("at", F.lit(""))
+    points = points.withColumn("last_at", F.max(if_live(at)).over(Window.partitionBy("person_id")))
     found = points.groupBy("person_id").agg(
-        F.min_by("token", F.when(F.col("match"), F.struct(F.col("record_type") != "lab_result", F.coalesce("at", F.lit("")), "record_id"))).alias("token"),
+        F.min_by("token", F.when(F.col("match"), F.struct(F.col("record_type") != "lab_result", at, "record_id"))).alias("token"),
         F.count_if(live).alias("count"),
         F.count_if(live & (F.col("record_type") == "lab_result")).alias("labs"),
         F.min(if_live(value)).alias("min"),
         F.max(if_live(value)).alias("max"),
         F.max_by(if_live(value), if_live(when)).alias("latest"),
         F.max_by("at", if_live(when)).alias("latest_at"),
+        F.count_if(live & (at == F.col("last_at"))).alias("latest_tie"),
         F.regr_slope(if_live(value), if_live(day)).alias("slope_per_day"),
         F.collect_set(F.when(live & filled(unit), unit)).alias("spellings"),
         F.collect_set(F.when(~F.col("match"), F.col("token"))).alias("other_assays"),
@@ -181,13 +190,15 @@ def trends(catalog: Catalog, test: str, slug: str | None = None, dictionary: Dic
         F.when(F.max("pref").isNotNull(), F.count_if(live & stays)).otherwise(F.lit(0)).alias("unconverted_count"),
         F.count_if(F.col("match") & ~live).alias("suppressed_count"),
     )
-    if check_ambiguous and found.where("labs > 0 AND labs < count").select("person_id").head() is not None:
-        raise AmbiguousTestError(f"{test!r} matches both lab results and vital observations")
-    tie = points.join(found.select("person_id", "latest_at"), "person_id").where(live & F.col("at").eqNullSafe(F.col("latest_at"))).groupBy("person_id").agg(F.count("*").alias("latest_tie"))
+    if check_ambiguous:
+        both, said = (F.col("labs") > 0) & (F.col("labs") < F.col("count")), f"{test!r} matches both lab results and vital observations"
+        if slug is not None and found.where(both).head() is not None:
+            raise AmbiguousTestError(said)
+        found = found.withColumn("count", F.when(both, F.raise_error(F.lit(said)).cast("long")).otherwise(F.col("count")))
     known = F.array_distinct(F.transform("spellings", units.canonical_unit))
     shared = F.when((F.size(known) == 1) & F.element_at(known, 1).isNotNull(), F.element_at(known, 1))
     labelled = F.when(F.col("canonical_unit").isNotNull() & (F.col("unconverted_count") == 0), F.col("canonical_unit")).when(F.size("spellings") == 1, F.element_at("spellings", 1)).when(F.size("spellings") > 1, shared)
-    out = found.join(tie, "person_id", "left")
+    out = found
     if slug is not None:
         who = catalog.spark.createDataFrame([(person_id(catalog, slug),)], "person_id long")
         out = who.join(out, "person_id", "left")

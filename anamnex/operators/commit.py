@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import identity
 from ..functions.dates import has_time, is_iso_date
 from ..functions.plan import numbered
-from ..functions.text import Dictionary, enum_token, is_blank
+from ..functions.text import Dictionary, enum_token, is_blank, loose_unit
 from ..plans.catalog import Catalog
 from ..specs import APPENDIX, COMPARED, DATES, ENUMS, FIELDS, NUMBER, OBS_REQUIRED, OBS_TIMED, REQUIRED, RESOLVING, SPARSE, SYMPTOM, SYMPTOM_RANGE, TYPES, schema_of
 from .overlay import VERDICT, with_verdict
@@ -122,9 +123,12 @@ OUTCOMES = "pos bigint, dedup_base string, outcome string, target_id bigint, gai
 def outcomes(stored: DataFrame, incoming: DataFrame, record_type: str) -> DataFrame:
     """What becomes of each incoming row (pos, dedup_base, payload): new, duplicate, enriched, promoted or conflict.
 
-    Families are folded in the order of submission, and each sees what the rows before it did. target_id is the stored
-    row concerned; a row that meets one which came in with the same submission has target_id null.
+    Each row sees what the rows of its family before it did. target_id is the stored row concerned; a row that meets one
+    which came in with the same submission has target_id null. Only in sparse types does a row change what the next one
+    meets, so only their families are folded in order; the others are joins and aggregates.
     """
+    if record_type not in SPARSE:
+        return plain_outcomes(stored, incoming, record_type)
     fields, pk = list(FIELDS[record_type]), f"{record_type}_id"
     incoming = incoming.select(*(F.col(c).alias(c) for c in incoming.columns))  # both sides may come from one table
 
@@ -162,6 +166,33 @@ def outcomes(stored: DataFrame, incoming: DataFrame, record_type: str) -> DataFr
     return keep.groupBy("dedup_base").cogroup(incoming.select("pos", "dedup_base", "document_id", *fields).groupBy("dedup_base")).applyInPandas(fold, OUTCOMES)
 
 
+def plain_outcomes(stored: DataFrame, incoming: DataFrame, record_type: str) -> DataFrame:
+    """outcomes() where rows agree on all compared fields or not at all, so that a family never changes but by its first row.
+
+    Agreement is equality of one text of the compared fields; no two rows of a family meet but by it.
+    """
+    fields, pk = list(FIELDS[record_type]), f"{record_type}_id"
+    says = F.to_json(F.struct(*((loose_unit(F.col(f)) if f == "unit" else F.col(f).cast("double") + F.lit(0.0) if FIELDS[record_type][f] == NUMBER else F.col(f)).alias(f) for f in COMPARED[record_type])), {"ignoreNullFields": "false"})
+    payload = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    new = incoming.select("pos", "dedup_base", says.alias("says"), payload.alias("payload"))
+    order = F.struct("dedup_occurrence", pk)
+    old = stored.select("dedup_base", "dedup_occurrence", pk, says.alias("says"), payload.alias("payload"), (F.col("attested_by").isNotNull() & F.col("document_id").isNull()).alias("unsourced"))
+    heads = old.groupBy("dedup_base").agg(F.min_by(F.struct(F.col(pk).alias("id"), "payload"), order).alias("head"))
+    twins = old.groupBy("dedup_base", "says").agg(F.min_by(F.struct(F.col(pk).alias("id"), "unsourced"), order).alias("twin"))
+    firsts = new.groupBy("dedup_base").agg(F.min_by(F.struct("pos", "says", "payload"), "pos").alias("first"))
+    df = new.join(heads, "dedup_base", "left").join(twins, ["dedup_base", "says"], "left").join(firsts, "dedup_base")
+    sourced = df.where("twin.unsourced").groupBy(F.col("twin.id").alias("twin_id")).agg(F.min("pos").alias("sourcing_pos"))
+    df = df.join(sourced, F.col("twin.id") == F.col("twin_id"), "left")
+    fresh, first = F.col("head").isNull(), F.col("first.pos") == F.col("pos")
+    outcome = (
+        F.when(fresh & first, "new").when(fresh & (F.col("first.says") == F.col("says")), "duplicate").when(F.col("pos") == F.col("sourcing_pos"), "promoted")
+        .when(F.col("twin").isNotNull(), "duplicate").otherwise("conflict")
+    )
+    target = F.when(~fresh, F.coalesce("twin.id", "head.id"))
+    existing = F.when(outcome == "conflict", F.when(fresh, F.col("first.payload")).otherwise(F.col("head.payload")))
+    return df.select("pos", "dedup_base", outcome.alias("outcome"), target.cast("bigint").alias("target_id"), F.lit(None).cast("string").alias("gains"), existing.alias("existing_json"))
+
+
 def next_ids(df: DataFrame, pk: str) -> int:
     return (df.agg(F.max(pk)).first()[0] or 0) + 1
 
@@ -342,35 +373,50 @@ def collisions(catalog: Catalog, record_type: str, dictionary: Dictionary = None
     return df.select(F.lit(record_type).alias("record_type"), F.col(pk).alias("row_id"), F.col(f"first.{pk}").alias("clash_id"), "new_base", "dedup_base", F.when(equal, "doubled").otherwise("fused").alias("kind"), settlement.alias("settlement"))
 
 
+def requeued(catalog: Catalog, record_type: str, clashed: DataFrame, dictionary: Dictionary = None) -> DataFrame:
+    """Rows of a type with new_base, new_occurrence and new_key: those that clash take the next free occurrences of their family, by id."""
+    pk = f"{record_type}_id"
+    rows = recomputed(catalog, record_type, dictionary)
+    order = F.row_number().over(Window.partitionBy("new_base").orderBy("row_id"))
+    queue = clashed.withColumn("place", order).select(F.col("row_id").alias(pk), "place")
+    top = rows.join(queue, pk, "left_anti").groupBy("new_base").agg(F.max("dedup_occurrence").alias("top"))
+    rows = rows.join(queue, pk, "left").join(top, "new_base", "left")
+    occurrence = F.when(F.col("place").isNull(), F.col("dedup_occurrence")).otherwise(F.coalesce("top", F.lit(-1)) + F.col("place")).cast("int")
+    return rows.withColumn("new_occurrence", occurrence).withColumn("new_key", identity.occurrence_key(F.col("new_base"), F.col("new_occurrence")))
+
+
+def changes_of(rows: DataFrame, record_type: str) -> DataFrame:
+    moved = rows.where("new_key <> dedup_key OR new_base <> dedup_base")
+    return moved.select(F.lit(record_type).alias("record_type"), F.col(f"{record_type}_id").alias("row_id"), F.col("dedup_key").alias("old_key"), "new_key", "new_base", "new_occurrence")
+
+
+def rekey_plan(catalog: Catalog, dictionary: Dictionary = None) -> tuple[DataFrame, DataFrame]:
+    """What rekey() would change, and the collisions, without settling anything."""
+    changes, clashed = [], []
+    for t in TYPES:
+        if catalog.has(t):
+            clashed.append(collisions(catalog, t, dictionary))
+            changes.append(changes_of(requeued(catalog, t, clashed[-1], dictionary), t))
+    return reduce(DataFrame.unionByName, changes), reduce(DataFrame.unionByName, clashed)
+
+
 def rekey(catalog: Catalog, dictionary: Dictionary = None) -> tuple[Catalog, DataFrame, DataFrame]:
     """Move all keys to today's dictionary. Returns the catalog, the changes and the collisions.
 
     A settled clash takes the next free occurrence of its family; family verdicts that settled one become row verdicts.
     A table with an unsettled or contradictory clash is left as it is.
     """
-    tables, changes, clashed = {}, None, None
-    verdicts = catalog["curation"]
+    tables, verdicts = {}, catalog["curation"]
+    changes, clashed = rekey_plan(catalog, dictionary)
+    open_ = clashed.where("settlement IS NULL OR settlement = 'contradictory'").select("record_type").distinct()
+    unsettled = {r[0] for r in open_.collect()}  # a row for each type
     for t in TYPES:
-        if not catalog.has(t):
+        if not catalog.has(t) or t in unsettled:
             continue
-        pk = f"{t}_id"
         own = collisions(catalog, t, dictionary)
-        clashed = own if clashed is None else clashed.unionByName(own)
-        rows = recomputed(catalog, t, dictionary)
-        # settled rows queue behind the highest occurrence of their family
-        order = F.row_number().over(Window.partitionBy("new_base").orderBy("row_id"))
-        queue = own.withColumn("place", order).select(F.col("row_id").alias(pk), "place")
-        top = rows.join(queue, pk, "left_anti").groupBy("new_base").agg(F.max("dedup_occurrence").alias("top"))
-        rows = rows.join(queue, pk, "left").join(top, "new_base", "left")
-        occurrence = F.when(F.col("place").isNull(), F.col("dedup_occurrence")).otherwise(F.coalesce("top", F.lit(-1)) + F.col("place")).cast("int")
-        rows = rows.withColumn("new_occurrence", occurrence).withColumn("new_key", identity.occurrence_key(F.col("new_base"), F.col("new_occurrence")))
-        moved = rows.where("new_key <> dedup_key OR new_base <> dedup_base").select(F.lit(t).alias("record_type"), F.col(pk).alias("row_id"), F.col("dedup_key").alias("old_key"), "new_key", "new_base", "new_occurrence")
-        changes = moved if changes is None else changes.unionByName(moved)
-        if own.where("settlement IS NULL OR settlement = 'contradictory'").head():
-            continue
-        names = [f.name for f in schema_of(t)]
         new = {"dedup_base": "new_base", "dedup_key": "new_key", "dedup_occurrence": "new_occurrence"}
-        tables[t] = rows.select(*(F.col(new.get(c, c)).alias(c) for c in names))
+        rows = requeued(catalog, t, own, dictionary)
+        tables[t] = rows.select(*(F.col(new.get(f.name, f.name)).alias(f.name) for f in schema_of(t)))
         verdicts = narrowed(catalog, verdicts, t, own, tables[t])
     return catalog.with_tables(**tables, curation=verdicts), changes, clashed
 

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import dob_renderings
+from ..functions.dates import MONTHS, dob_renderings
 from ..functions.plan import numbered
 from ..functions.text import alnum, invisible_trim, is_blank, name_tokens
 from ..plans.catalog import Catalog
@@ -34,41 +34,76 @@ def evidence(text: Column) -> Column:
     return F.when(text.rlike(ANCHOR), F.nullif(F.trim(F.regexp_replace(cut, r"(?U)\s+", " ")), F.lit("")))
 
 
+#: The shapes of the spellings of birth dates; texts are searched for each by itself, as they may overlap.
+_MONTHS = "(?:" + "|".join(f"{m.lower()}|{m[:3].lower()}" for m in MONTHS) + ")"
+DATE_SHAPES = (
+    "[0-9]{4}-[0-9]{2}-[0-9]{2}",
+    "[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}",
+    "[0-9]{2}-[0-9]{2}-[0-9]{4}",
+    _MONTHS + " [0-9]{1,2}, [0-9]{4}",
+    "[0-9]{1,2} " + _MONTHS + " [0-9]{4}",
+)
+
+
+def spelt_dates(text: Column) -> Column:
+    """What looks like a spelling of a date in a text, in lower case, with no digit beside it."""
+    found = [F.regexp_extract_all(F.lower(text), F.lit(f"(?<![0-9]){shape}(?![0-9])"), F.lit(0)) for shape in DATE_SHAPES]
+    return F.array_distinct(F.concat(*found))
+
+
+def has_words(plain: Column, tokens: Column) -> Column:
+    return F.forall(tokens, lambda t: plain.contains(F.concat(F.lit(" "), t, F.lit(" "))))
+
+
 def names_person(text: Column, plain: Column, tokens: Column, dobs: Column) -> Column:
     """Whether a text holds all words of a name, or any rendering of a date of birth with no digit beside it."""
-    named = (F.size(tokens) > 0) & F.forall(tokens, lambda t: plain.contains(F.concat(F.lit(" "), t, F.lit(" "))))
+    named = (F.size(tokens) > 0) & has_words(plain, tokens)
     padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
     born = F.exists(dobs, lambda d: F.regexp_like(padded, F.concat(F.lit(r"(?<![0-9])\Q"), F.lower(d), F.lit(r"\E(?![0-9])"))))
     return F.coalesce(named, F.lit(False)) | F.coalesce(born, F.lit(False))
 
 
-def digit_runs(x: Column) -> Column:
-    return F.regexp_extract_all(x, F.lit("[0-9]+"), F.lit(0))
+def first_two(df: DataFrame, *key: str) -> DataFrame:
+    """The two smallest persons of each key: one of them is the first person besides the claimed one."""
+    order = F.row_number().over(Window.partitionBy(*key).orderBy("person_id"))
+    return df.withColumn("__k", order).where("__k <= 2").drop("__k")
+
+
+def named_others(rest: DataFrame, people: DataFrame) -> DataFrame:
+    """(document_id, person_id, slug): persons besides the claimed one all of whose name words stand in the text.
+
+    People of one set of words are one key, under the word that the fewest sets have.
+    """
+    sets = people.where(F.size("tokens") > 0).select(F.array_sort(F.array_distinct("tokens")).alias("tokens"), "person_id", "slug")
+    words = sets.select("tokens").distinct().select("tokens", F.explode("tokens").alias("word"))
+    often = words.groupBy("word").agg(F.count("*").alias("n"))
+    rarest = words.join(often, "word").groupBy("tokens").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+    keys = first_two(sets, "tokens").join(rarest, "tokens")
+    met = rest.select("document_id", "claimed", F.explode(F.array_distinct(F.split(F.trim("plain"), " "))).alias("word")).join(keys, "word")
+    met = met.where(~F.col("person_id").eqNullSafe(F.col("claimed"))).select("document_id", "tokens", "person_id", "slug")
+    return met.join(rest.select("document_id", "plain"), "document_id").where(has_words(F.col("plain"), F.col("tokens"))).select("document_id", "person_id", "slug")
 
 
-def longest(words: Column) -> Column:
-    """The longest word, the first in order of several; null of none."""
-    return F.try_element_at(F.array_sort(F.transform(words, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), F.lit(1))["t"]
+def born_others(rest: DataFrame, people: DataFrame) -> DataFrame:
+    """(document_id, person_id, slug): persons besides the claimed one of whose birth date some spelling stands in the text."""
+    days = people.select(F.explode(F.array_distinct(F.transform("dobs", F.lower))).alias("day"), "person_id", "slug")
+    met = rest.select("document_id", "claimed", F.explode(spelt_dates(F.col("text"))).alias("day")).join(first_two(days, "day"), "day")
+    return met.where(~F.col("person_id").eqNullSafe(F.col("claimed"))).select("document_id", "person_id", "slug")
 
 
 def owner_checks(docs: DataFrame, roster: DataFrame, anchors: Column | None = None) -> DataFrame:
     """Verdict for each document (document_id, person_id claimed, text): match, mismatch, suspect or unverified, with who and why.
 
-    The claimed owner comes first; only texts that don't name them meet the rest of the roster. That meeting is by
-    name word: each person stands under their rarest-looking (longest) name word, and under the longest run of digits of
-    each rendering of the date of birth, so that a document only meets persons that share a word or a run of digits with
-    it. No digit may stand beside a date, so its runs are whole runs of a text that holds it, whatever letters touch it.
+    The claimed owner comes first; only texts that don't name them meet the rest of the roster: by the rarest word of
+    a name, and by whole dates of the spellings that birth dates have. Of people who share a name or a date, two are
+    enough to find the first besides the claimed one, so that a word or date meets at most two rows of each kind.
     """
-    people = roster.select("person_id", "slug", "full_name", name_tokens(F.col("full_name")).alias("tokens"), dob_renderings(F.col("dob")).alias("dobs"))
+    people = roster.select("person_id", "slug", name_tokens(F.col("full_name")).alias("tokens"), dob_renderings(F.col("dob")).alias("dobs"))
     docs = docs.select("*", alnum(F.coalesce("text", F.lit(""))).alias("plain"))
-    own = docs.join(people.withColumnRenamed("slug", "claimed_slug").drop("full_name"), "person_id", "left")
+    own = docs.join(people.withColumnRenamed("slug", "claimed_slug"), "person_id", "left")
     own = own.withColumn("is_match", ~is_blank(F.col("text")) & names_person(F.col("text"), F.col("plain"), F.col("tokens"), F.col("dobs")))
     rest = own.where(~F.coalesce("is_match", F.lit(False)) & ~is_blank(F.col("text"))).select("document_id", F.col("person_id").alias("claimed"), "text", "plain")
-    words = F.array_union(F.split(F.trim("plain"), " "), digit_runs(F.col("text")))
-    days = F.coalesce(F.transform("dobs", lambda d: longest(digit_runs(d))), F.array().cast("array<string>"))
-    keys = people.select("*", F.explode(F.array_distinct(F.array_compact(F.concat(F.array(longest(F.col("tokens"))), days)))).alias("word"))
-    met = rest.withColumn("word", F.explode(words)).join(keys, "word").where("person_id <> claimed").dropDuplicates(["document_id", "person_id"])
-    others = met.where(names_person(F.col("text"), F.col("plain"), F.col("tokens"), F.col("dobs"))).groupBy("document_id").agg(F.min_by("slug", "person_id").alias("other_slug"))
+    others = named_others(rest, people).unionByName(born_others(rest, people)).groupBy("document_id").agg(F.min_by("slug", "person_id").alias("other_slug"))
     out = own.join(others, "document_id", "left")
     why = evidence(F.col("text"))
     anchored = why.isNotNull() & (F.size(F.coalesce("tokens", F.array().cast("array<string>"))) > 0) & (F.lit(True) if anchors is None else anchors)

@@ -1,7 +1,7 @@
 """Line scan for personal data in notes and diffs: slugs, names, dates of birth, and numbers that identify.
 
 Rules look at one line at a time; lines with the allow marker are passed over. The rules for bare slugs and full names
-need a list of given names, and full names also a word anywhere in the document that speaks of a person.
+need a table of given names, and full names also a word anywhere in the document that speaks of a person.
 """
 
 from __future__ import annotations
@@ -15,9 +15,6 @@ CONTEXT = r"(?i)\b(patient|person|roster|medication|meds|dob|repro|owner|family|
 SLUGS = ("jane-doe", "john-doe", "kid-doe", "bob-roe", "john-roe", "robert-roe", "ann-poe", "ann-zed", "jane-smith", "karen-smith", "michael-vu", "alex-carter", "dana-roe", "stranger-sam")
 SURNAMES = ("doe", "roe", "poe", "zed", "smith", "vu", "carter", "stranger", "last", "fields")
 DOBS = ("1962-03-14", "1971-09-09", "1955-11-02", "1900-03-14", "1990-09-09", "1981-03-07", "1980-01-01", "1890-01-01", "1955-01-02", "1900-01-01", "1981-07-23", "1981-07-13")
-#: Common given names; a longer list can be given as a table.
-GIVEN = tuple("adam alice amanda andrew anna anthony barbara brian carol charles christopher daniel david deborah donna edward elizabeth emily emma frank gary george gregory helen henry jack james jane jennifer john joseph karen kevin laura linda margaret maria mary melanie michael nancy olivia patricia paul peter rachel richard robert ruth sandra sarah stephen susan thomas william".split())
-
 #: What each rule finds; group 1 is the match.
 PATTERNS = {
     "person-slug": r"(?:--person\s+|person add\s+|add_person\(\s*conn\s*,\s*[\"'])(?![<${])([a-z][a-z0-9-]{2,40})",
@@ -55,7 +52,7 @@ def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return df.select("doc_id", (F.col("pos") + 1).alias("line"), "content", "person_doc")
 
 
-def scan_lines(lines: DataFrame, given_names: DataFrame | None = None) -> DataFrame:
+def scan_lines(lines: DataFrame, given_names: DataFrame) -> DataFrame:
     """(doc_id, line, rule, match, excerpt) of all findings in lines (doc_id, line, content, person_doc)."""
     clean = F.regexp_replace("content", r"\\[nrt]", "  ")
     kept = lines.where(~F.col("content").contains(ALLOW)).withColumn("clean", clean)
@@ -78,11 +75,8 @@ def scan_lines(lines: DataFrame, given_names: DataFrame | None = None) -> DataFr
         .otherwise(F.lit(True))
     )
     found = found.withColumn("given", given).where(F.coalesce(keep, F.lit(False)))
-    if given_names is None:
-        found = found.where(F.col("given").isNull() | F.col("given").isin(*GIVEN))
-    else:
-        known = F.broadcast(given_names.select(F.lower(F.col(given_names.columns[0])).alias("given")).distinct())
-        found = found.where("given IS NULL").unionByName(found.join(known, "given", "left_semi").select(*found.columns))
+    known = given_names.select(F.lower(F.trim(given_names.columns[0])).alias("given")).distinct()
+    found = found.where("given IS NULL").unionByName(found.where("given IS NOT NULL").join(known, "given", "left_semi").select(*found.columns))
     return found.select("doc_id", "line", "rule", "match", F.substring(F.trim("content"), 1, 160).alias("excerpt"))
 
 
@@ -90,15 +84,16 @@ def _tagged(rule: str):
     return lambda m: F.struct(F.lit(rule).alias("rule"), m.alias("match"))
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", given_names: DataFrame | None = None) -> DataFrame:
+def scan(docs: DataFrame, given_names: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Findings in all lines of documents; given_names: a table whose first column lists given names."""
     return scan_lines(lines_of(docs, doc_id, text), given_names)
 
 
 def added_lines(diffs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Added lines of unified diffs, with their file: (doc_id, file, line, content, person_doc); line numbers are those of the diff."""
     df = lines_of(diffs, doc_id, text)
-    name = F.when(F.col("content").startswith("+++ "), F.regexp_replace(F.substring("content", 5, 10_000), r"^b/", ""))
+    name = F.when(F.col("content").startswith("+++ "), F.regexp_replace(F.expr("substring(content, 5)"), r"^b/", ""))
     order = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("file", F.last(name, ignorenulls=True).over(order))
     added = df.where(F.col("content").startswith("+") & ~F.col("content").startswith("+++"))
-    return added.withColumn("content", F.substring("content", 2, 1_000_000))
+    return added.withColumn("content", F.expr("substring(content, 2)"))

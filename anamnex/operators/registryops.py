@@ -159,7 +159,7 @@ def remove_document(catalog: Catalog, document_id: int, tombstone: bool = False,
     tables = {"document": catalog["document"].where(~mine)}
     verdicts = catalog["curation"]
     for t in TYPES:
-        gone = catalog[t].where(mine).select(F.lit(t).alias("record_type"), F.col(f"{t}_id").alias("record_id"))
+        gone = catalog[t].where(mine & (F.col(f"{t}_id") > 0)).select(F.lit(t).alias("record_type"), F.col(f"{t}_id").alias("record_id"))  # 0 stands for a family
         verdicts = verdicts.join(gone, ["record_type", "record_id"], "left_anti").select(*catalog["curation"].columns)
         tables[t] = catalog[t].where(~F.coalesce(mine, F.lit(False)))
     cited = F.coalesce(mine, F.lit(False))

@@ -77,8 +77,10 @@ def with_pref(df: DataFrame, catalog: Catalog, name: str, dictionary: Dictionary
 
 
 def placed(df: DataFrame, section: int, line: Column, *order) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("person_id").orderBy(*order))
-    return df.select("person_id", F.lit(section).alias("section"), place.alias("place"), line.alias("line"))
+    """Lines of a section in order; rows that the order leaves equal go by their line."""
+    df = df.withColumn("line", line)
+    place = F.row_number().over(Window.partitionBy("person_id").orderBy(*order, "line"))
+    return df.select("person_id", F.lit(section).alias("section"), place.alias("place"), "line")
 
 
 def medication_lines(catalog: Catalog, today, section: int, since: bool, overrides: Dictionary = None, dictionary: Dictionary = None) -> DataFrame:
@@ -274,7 +276,7 @@ def journal_events(catalog: Catalog, since: str | None = None, self_reported: bo
     """Events that no verdict hides, with their place, and whether a new date starts."""
     events = timeline(catalog, since=since, exclude_obs_types=() if self_reported else SELF_REPORTED)
     df = visible(with_verdict(events, catalog))
-    order = Window.partitionBy("person_id").orderBy("date", "type", "src", "record_id", "document_id")
+    order = Window.partitionBy("person_id").orderBy("date", "type", "src", "record_id", "document_id", "summary")
     return df.withColumn("place", F.row_number().over(order)).withColumn("starts", ~F.col("date").eqNullSafe(F.lag("date").over(order)))
 
 

@@ -7,12 +7,13 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.plan import settled
 from ..plans.catalog import Catalog
+from ..plans.scratch import written
 from .clinical import person_id
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -35,19 +36,41 @@ def record_text(catalog: Catalog) -> DataFrame:
     return out
 
 
+def _plain_letters() -> dict[str, str]:
+    """Composed characters whose base is one other character (lower case, planes 0 and 1)."""
+    found = {}
+    for code in range(0x80, 0x20000):
+        c = chr(code)
+        if c.lower() == c and not 0xD800 <= code < 0xE000:
+            base = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+            if len(base) == 1 and base != c:
+                found[c] = base
+    return found
+
+
+PLAIN = _plain_letters()
+_MARKS = r"\p{Mn}+"
+
+
+def _is_mark(c: str) -> bool:
+    return unicodedata.category(c) == "Mn"
+
+
 def folded(text: str) -> str:
     """Lower case without diacritics."""
-    return text.lower() if text.isascii() else "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
+    return "".join(PLAIN.get(c, c) for c in text.lower() if not _is_mark(c))
 
 
-@F.pandas_udf(T.StringType())
-def _folded(texts: pd.Series) -> pd.Series:
-    return texts.map(folded, na_action="ignore")
+def folded_column(text: Column) -> Column:
+    """As folded(), in the plan; texts of ASCII alone only change case."""
+    low = F.lower(text)
+    other = F.regexp_replace(F.translate(low, "".join(PLAIN), "".join(PLAIN.values())), _MARKS, "")
+    return F.when(low.rlike(r"[^\x00-\x7f]"), other).otherwise(low)
 
 
 def tokens(text: Column) -> Column:
     """Runs of letters and digits, folded."""
-    return F.regexp_extract_all(F.coalesce(_folded(text), F.lit("")), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    return F.regexp_extract_all(F.coalesce(folded_column(text), F.lit("")), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
 def phrases(query: str) -> list[list[str]]:
@@ -69,9 +92,11 @@ def find(catalog: Catalog, query: str, slug: str | None = None, snippets: bool =
     if not wanted:
         return record_text(catalog).where("false").withColumn("rank", F.lit(0.0)).withColumn("slug", F.lit("")).withColumn("snippet", F.lit(""))
     index = settled(record_text(catalog), tokens=tokens(F.col("text")))
-    index = settled(index, **{f"tf{k}": hits(F.col("tokens"), p) for k, p in enumerate(wanted)}, len=F.size("tokens"))
-    stats = index.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(wanted)))).first()
-    found = index.where(" AND ".join(f"tf{k} > 0" for k in range(len(wanted))))
+    index = settled(index, **{f"tf{k}": hits(F.col("tokens"), p) for k, p in enumerate(wanted)}, len=F.size("tokens")).drop("tokens")
+    counted = Observation()
+    index = index.observe(counted, F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), *(F.count(F.when(F.col(f"tf{k}") > 0, 1)).alias(f"df{k}") for k in range(len(wanted))))
+    found = written(index.where(" AND ".join(f"tf{k} > 0" for k in range(len(wanted)))))  # texts are read once: statistics are counted on the way
+    stats = counted.get
     score = F.lit(0.0)
     for k in range(len(wanted)):
         score = score - bm25(F.col(f"tf{k}"), F.col("len"), stats["n"], stats[f"df{k}"], stats["avg_len"])
@@ -84,7 +109,8 @@ def find(catalog: Catalog, query: str, slug: str | None = None, snippets: bool =
     return out.orderBy("rank", "source_table", "source_id")
 
 
-POSTING_SHARDS = 256
+#: Shards of the stored index, and about how many rows of one go to a task, so that a very common token is not one task.
+POSTING_SHARDS, POSTING_ROWS = 256, 2_000_000
 
 
 def write_postings(catalog: Catalog, path: str) -> None:
@@ -95,7 +121,10 @@ def write_postings(catalog: Catalog, path: str) -> None:
     rows = index.select("source_table", "source_id", "person_id", "document_id", F.size("tokens").alias("len"), F.posexplode("tokens").alias("pos", "token"))
     rows = rows.groupBy("token", "source_table", "source_id", "person_id", "document_id", "len").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
     shard = F.pmod(F.xxhash64("token"), F.lit(POSTING_SHARDS)).cast("int")
-    rows.withColumn("shard", shard).repartition("shard").sortWithinPartitions("token").write.mode("errorifexists").partitionBy("shard").parquet(f"{path}/postings")
+    rows = rows.withColumn("shard", shard)
+    sizes = rows.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(POSTING_ROWS)).cast("int").alias("parts"))  # at most POSTING_SHARDS rows
+    rows = rows.join(F.broadcast(sizes), "shard").withColumn("part", F.pmod(F.xxhash64("source_table", "source_id"), F.col("parts")))
+    rows.repartition("shard", "part").drop("parts", "part").sortWithinPartitions("token").write.mode("errorifexists").partitionBy("shard").parquet(f"{path}/postings")
 
 
 def find_in_postings(catalog: Catalog, path: str, query: str, slug: str | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions.dates import date_only, full_date, norm_ts
 from ..functions.text import Dictionary, enum_token, filled, is_blank, key_token, norm, order_tokens, routine_pattern
 from ..plans.catalog import Catalog
 from ..specs import ABNORMAL_MONTHS, LIFECYCLE_MEDS, NORMAL_FLAGS, ORDER, ORDER_NOISE, ORDER_WINDOW, SYMPTOM, SYMPTOM_DAYS, VITAL
-from .clinical import rows_of
+from .clinical import listed, rows_of
 from .overlay import live
 
 
@@ -21,12 +21,12 @@ def _day(today: dt.date | str) -> Column:
 
 def conditions(catalog: Catalog, statuses: tuple[str, ...], slug: str | None = None) -> DataFrame:
     df = live(rows_of(catalog, "condition", slug), catalog, "condition")
-    return df.where(enum_token(F.col("status")).isin(*statuses)).orderBy("person_id", "name", "condition_id")
+    return listed(df.where(enum_token(F.col("status")).isin(*statuses)), slug, "name", "condition_id")
 
 
 def allergies(catalog: Catalog, slug: str | None = None) -> DataFrame:
     df = live(rows_of(catalog, "allergy", slug), catalog, "allergy")
-    return df.orderBy("person_id", enum_token(F.col("criticality")) != "high", "substance", "allergy_id")
+    return listed(df, slug, enum_token(F.col("criticality")) != "high", "substance", "allergy_id")
 
 
 def _observations(catalog: Catalog, kind: str, slug: str | None) -> DataFrame:
@@ -38,7 +38,7 @@ def latest_vitals(catalog: Catalog, slug: str | None = None, dictionary: Diction
     """The newest row of each vital."""
     df = _observations(catalog, VITAL, slug).withColumn("token", key_token(F.col("key"), dictionary))
     newest = Window.partitionBy("person_id", "token").orderBy(F.desc("ts"), F.desc("observation_id"))
-    return df.withColumn("k", F.row_number().over(newest)).where("k = 1").drop("k").orderBy("person_id", "token")
+    return listed(df.withColumn("k", F.row_number().over(newest)).where("k = 1").drop("k"), slug, "token")
 
 
 def symptoms(catalog: Catalog, today: dt.date | str, slug: str | None = None, dictionary: Dictionary = None) -> DataFrame:
@@ -51,7 +51,7 @@ def symptoms(catalog: Catalog, today: dt.date | str, slug: str | None = None, di
     found = df.groupBy("person_id", key_token(F.col("key"), dictionary).alias("token")).agg(
         F.max_by("key", at).alias("label"), F.count("*").alias("reports"), F.max("ts").alias("sort"), F.max_by(kept, F.when(~over, at)).alias("latest"), F.max_by(kept, F.when(over, at)).alias("resolved")
     )
-    return found.orderBy("person_id", F.col("sort") == "", F.desc("sort"), "label", "token")
+    return listed(found, slug, F.col("sort") == "", F.desc("sort"), "label", "token")
 
 
 def result_index(catalog: Catalog, slug: str | None = None, dictionary: Dictionary = None) -> DataFrame:
@@ -85,7 +85,7 @@ def open_orders(catalog: Catalog, slug: str | None = None, dictionary: Dictionar
     left = df.join(done, "observation_id", "left_anti")
     shown = F.when(filled(F.col("key")), F.col("key")).when(filled(F.col("value_text")), F.col("value_text")).otherwise(F.lit("(unspecified)"))
     left = left.withColumn("display", shown).withColumn("date", date_only(F.col("observed_at")))
-    return left.orderBy("person_id", F.col("date") == "", "date", F.lower("display"), "observation_id")
+    return listed(left, slug, F.col("date") == "", "date", F.lower("display"), "observation_id")
 
 
 def is_abnormal() -> Column:
@@ -101,7 +101,7 @@ def abnormal_labs(catalog: Catalog, today: dt.date | str, slug: str | None = Non
     first = F.row_number().over(Window.partitionBy("person_id", "test_name").orderBy(*order)) == 1
     when = full_date(F.col("collected_at"))
     df = df.withColumn("first", first).where(when.isNull() | (when >= F.add_months(_day(today), -ABNORMAL_MONTHS)) | F.col("first"))
-    return df.drop("first").orderBy("person_id", *order)
+    return listed(df.drop("first"), slug, *order)
 
 
 def recent_draws(catalog: Catalog, slug: str | None = None, limit: int = 10) -> DataFrame:
@@ -109,7 +109,7 @@ def recent_draws(catalog: Catalog, slug: str | None = None, limit: int = 10) ->
     df = live(rows_of(catalog, "lab_result", slug), catalog, "lab_result")
     order = [F.col("collected_at").desc_nulls_last(), ~is_abnormal(), F.col("test_name").asc_nulls_first(), F.desc("lab_result_id")]
     df = df.withColumn("rank", F.row_number().over(Window.partitionBy("person_id").orderBy(*order)))
-    return df.where(F.col("rank") <= max(limit, 0)).orderBy("person_id", "rank")
+    return listed(df.where(F.col("rank") <= max(limit, 0)), slug, "rank")
 
 
 def procedures(catalog: Catalog, slug: str | None = None, routine=(), dictionary: Dictionary = None) -> DataFrame:
@@ -117,14 +117,14 @@ def procedures(catalog: Catalog, slug: str | None = None, routine=(), dictionary
     df = live(rows_of(catalog, "procedure", slug), catalog, "procedure")
     pattern = routine_pattern(routine)
     df = df.withColumn("routine", norm(F.col("name"), dictionary).rlike(pattern) if pattern else F.lit(False))
-    return df.orderBy("person_id", date_only(F.col("performed_on")) == "", F.desc("performed_on"), "procedure_id")
+    return listed(df, slug, date_only(F.col("performed_on")) == "", F.desc("performed_on"), "procedure_id")
 
 
 def open_appointments(catalog: Catalog, today: dt.date | str, slug: str | None = None) -> DataFrame:
     """Those to come, and those without a summary."""
     df = live(rows_of(catalog, "appointment", slug), catalog, "appointment")
     day = date_only(F.col("scheduled_for"))
-    return df.where(((day != "") & (day >= str(today))) | is_blank(F.col("summary"))).orderBy("person_id", F.col("scheduled_for").asc_nulls_last(), "appointment_id")
+    return listed(df.where(((day != "") & (day >= str(today))) | is_blank(F.col("summary"))), slug, F.col("scheduled_for").asc_nulls_last(), "appointment_id")
 
 
 def row_counts(catalog: Catalog) -> DataFrame:

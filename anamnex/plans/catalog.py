@@ -9,7 +9,9 @@ from __future__ import annotations
 import datetime as dt
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,20 +28,28 @@ class SnapshotError(ValueError):
 
 @dataclass(frozen=True)
 class Catalog:
+    """Tables by name. A table may be given as a function, which is called when the table is first asked for."""
+
     spark: SparkSession
-    tables: dict[str, DataFrame] = field(default_factory=dict)
+    made: dict[str, DataFrame | Callable[[], DataFrame]] = field(default_factory=dict)
 
     def __getitem__(self, name: str) -> DataFrame:
         """A table; an empty one of its schema where the catalog has none (as older snapshots don't)."""
-        if name in self.tables:
-            return self.tables[name]
-        return self.spark.createDataFrame([], schema_of(name))
+        if name not in self.made:
+            return self.spark.createDataFrame([], schema_of(name))
+        if callable(found := self.made[name]):
+            found = self.made[name] = found()
+        return found
+
+    @property
+    def tables(self) -> dict[str, DataFrame]:
+        return {name: self[name] for name in self.made}
 
     def with_tables(self, **changed: DataFrame) -> Catalog:
-        return Catalog(self.spark, {**self.tables, **changed})
+        return Catalog(self.spark, {**self.made, **changed})
 
     def has(self, name: str) -> bool:
-        return name in self.tables
+        return name in self.made
 
 
 class Files:
@@ -135,7 +145,7 @@ def load(spark: SparkSession, root: str, name: str | None = None) -> Catalog:
             raise SnapshotError(f"{root} holds no snapshot")
         name = json.loads(files.read("current.json"))["current"]
     manifest = json.loads(files.read(f"{name}/manifest.json"))
-    return migrate(Catalog(spark, {t: spark.read.parquet(f"{files.root}/{name}/{t}") for t in manifest["tables"]}))
+    return migrate(Catalog(spark, {t: partial(spark.read.parquet, f"{files.root}/{name}/{t}") for t in manifest["tables"]}))
 
 
 def exists(spark: SparkSession, root: str) -> bool:
@@ -144,17 +154,15 @@ def exists(spark: SparkSession, root: str) -> bool:
 
 def migrate(catalog: Catalog) -> Catalog:
     """Tables in today's schema: missing columns become null, a missing scope is the family's, a missing base the key."""
-    done = {}
-    for name, df in catalog.tables.items():
-        if name not in FIELDS and name not in TABLES:
-            done[name] = df
-            continue
-        schema = schema_of(name)
+
+    def whole(name: str) -> DataFrame:
+        df, schema = catalog[name], schema_of(name)
         fill = {"record_id": F.lit(0), "dedup_occurrence": F.lit(0)}
         if "dedup_key" in df.columns:
             fill["dedup_base"] = F.col("dedup_key")
-        done[name] = df.select(*((F.col(f.name) if f.name in df.columns else fill.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in schema))
-    return Catalog(catalog.spark, done)
+        return df.select(*((F.col(f.name) if f.name in df.columns else fill.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in schema))
+
+    return Catalog(catalog.spark, {name: partial(whole if name in FIELDS or name in TABLES else catalog.__getitem__, name) for name in catalog.made})
 
 
 def pending(catalog: Catalog) -> list[str]:

@@ -331,14 +331,42 @@ def find(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.find(catalog(spark, sf_dir), "Reoúha the", snippets=False).select("source_table", "source_id", "person_id", F.round("rank", 6).alias("rank"))
 
 
-@query("""WITH lines AS (SELECT doc_id, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS content, generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) AS line FROM documents),
-found AS (SELECT doc_id, line, 'card' AS rule, unnest(regexp_extract_all(content, '\\b(?:4\\d{3}|5[1-5]\\d{2}|3[47]\\d{2}|6011)[ -]?\\d{4}[ -]?\\d{4}[ -]?\\d{2,4}\\b')) AS match FROM lines WHERE NOT contains(content, 'pii-allow')
-UNION ALL SELECT doc_id, line, 'ssn', unnest(regexp_extract_all(content, '\\b\\d{3}-\\d{2}-\\d{4}\\b')) FROM lines WHERE NOT contains(content, 'pii-allow'))
-SELECT doc_id, line::INT AS line, rule, match FROM found""")
+#: Given names that the line scan looks for here, lower case.
+GIVEN_NAMES = (
+    "alice", "andrew", "anna", "brian", "carol", "daniel", "david", "emma", "george", "helen", "james", "jane",
+    "jennifer", "john", "karen", "laura", "linda", "maria", "michael", "patricia", "robert", "sarah", "thomas", "william",
+)
+
+
+def _scan_rule(rule: str, pattern: str, where: str = "TRUE", group: int = 1, content: str = "content") -> str:
+    return f"SELECT doc_id, line, '{rule}' AS rule, m AS match, person_doc FROM (SELECT doc_id, line, person_doc, unnest(regexp_extract_all({content}, '{pattern}', {group})) AS m FROM kept) WHERE {where}"
+
+
+_SURNAMES = "(" + ", ".join(f"'{n}'" for n in piiscan.SURNAMES) + ")"
+_SLUGS = "(" + ", ".join(f"'{n}'" for n in piiscan.SLUGS) + ")"
+_GIVEN = "(" + ", ".join(f"'{n}'" for n in GIVEN_NAMES) + ")"
+_LINES = "string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))"
+#: Characters beside which a slug may stand are doubled, so that slugs that follow one another have one each.
+_APART = "regexp_replace(content, '([^A-Za-z0-9_./-])', '\\1\\1', 'g')"
+_NHS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_NHS_SUM = " + ".join(f"CAST(substr({_NHS}, {k + 1}, 1) AS INT) * {10 - k}" for k in range(9))
+
+
+@query(f"""WITH lines AS (SELECT doc_id, unnest({_LINES}) AS content, generate_subscripts({_LINES}, 1) AS line, regexp_matches(text, '\\b(patient|person|roster|medication|meds|dob|repro|owner|family|slug|ingest|misfil|archive|record|chart|encounter)', 'i') AS person_doc FROM documents),
+kept AS (SELECT * REPLACE (regexp_replace(content, '\\\\[nrt]', '  ', 'g') AS content) FROM lines WHERE NOT contains(content, 'pii-allow')), found AS (
+{_scan_rule('card', r'\b((?:4\d{3}|5[1-5]\d{2}|3[47]\d{2}|6011)[ -]?\d{4}[ -]?\d{4}[ -]?\d{2,4})\b')}
+UNION ALL {_scan_rule('ssn', r'\b(\d{3}-\d{2}-\d{4})\b')}
+UNION ALL {_scan_rule('mrn', r'(?i)\b(MRN\s*[:=#]\s*[0-9]{4,12})\b')}
+UNION ALL {_scan_rule('dob', r'(?i)\b(?:DOB|D\.O\.B\.?|date of birth|birth ?date)\b\s*[:=]?\s*(\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[/-]\d{1,2}[/-]\d{4})')}
+UNION ALL {_scan_rule('nhs', r'(?i)\bNHS(?:\s*(?:number|no\.?))?\s*[:=#]?\s*(\d{3}[ -]?\d{3}[ -]?\d{4})\b', f"(11 - ({_NHS_SUM}) % 11) % 11 = CAST(substr({_NHS}, 10, 1) AS INT)")}
+UNION ALL {_scan_rule('patient-name', r"(Patient(?:\s+Name)?\s*:\s*[A-Za-z''-]{2,20}\s*[,^]\s*[A-Za-z''-]{2,20})", f"lower(regexp_extract(m, ':\\s*([A-Za-z''-]{{2,20}})', 1)) NOT IN {_SURNAMES}")}
+UNION ALL {_scan_rule('full-name', r'\b([A-Z][a-z]{2,14}(?:\s+[A-Z][a-z]{2,14}){1,3})\b', f"person_doc AND lower(regexp_extract(m, '^[A-Za-z]+')) IN {_GIVEN} AND NOT list_has_any(string_split_regex(lower(m), '\\s+'), list_value{_SURNAMES})")}
+UNION ALL {_scan_rule('bare-slug', r'(?:^|[^/._A-Za-z0-9])([a-z]{3,15}-[a-z]{3,15})(?:$|[^./A-Za-z0-9_])', f"m NOT IN {_SLUGS} AND split_part(m, '-', 2) NOT IN {_SURNAMES} AND split_part(m, '-', 1) IN {_GIVEN}", content=_APART)}
+) SELECT doc_id, line::INT AS line, rule, match FROM found""")
 def line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of the number rules in the lines of all documents."""
+    """Findings of all nine rules in the lines of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return piiscan.scan(docs).where(F.col("rule").isin("card", "ssn")).select("doc_id", "line", "rule", "match")
+    return piiscan.scan(docs, spark.createDataFrame([(n,) for n in GIVEN_NAMES], "name string")).select("doc_id", "line", "rule", "match")
 
 
 # --- write path
@@ -355,47 +383,6 @@ def rekey_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commit.collisions(catalog(spark, sf_dir), "lab_result", {}).select("row_id", "clash_id", "kind")
 
 
-@query(sql.with_views("""SELECT medication_id, CAST(length(started_on) = 10 AS BOOLEAN) AND lower(trim(coalesce(status, 'x'))) <> '' AS fine FROM medication""", "medication"))
-def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that keep the rules of their type."""
-    return view(spark, sf_dir, "medication").withColumn("prescriber", F.lit(None).cast("string")).select("medication_id", (F.size(commit.errors("medication")) == 0).alias("fine"))
-
-
-def _submission(spark: SparkSession, sf_dir: str):
-    """Stored allergies (the first of each identity among two thirds of the rows) and all rows as a submission, for five persons."""
-    allergies = whole(view(spark, sf_dir, "allergy").withColumn("person_id", F.col("person_id") % 5), "allergy")
-    base = allergies.withColumn("dedup_base", identity.dedup_base("allergy", DICTIONARY)).withColumn("dedup_key", F.col("dedup_base")).withColumn("dedup_occurrence", F.lit(0))
-    some = base.where("allergy_id % 3 <> 0")
-    first = some.groupBy("dedup_base").agg(F.min("allergy_id").alias("first_id"))
-    stored = some.join(first.select(F.col("first_id").alias("allergy_id")), "allergy_id", "left_semi")
-    return stored, base.select(F.col("allergy_id").alias("pos"), "document_id", "substance", "reaction", "criticality", "noted_on", "dedup_base")
-
-
-@query()
-def commit_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What becomes of each submitted row, family by family and in order."""
-    stored, rows = _submission(spark, sf_dir)
-    return commit.outcomes(stored, rows, "allergy").select("pos", "outcome", "target_id", "gains")
-
-
-_BASE = "(person_id % 5, lower(substance))"
-
-
-@query(sql.with_views(f"""
-, mine AS (SELECT *, {_BASE} AS b FROM allergy), stored AS (SELECT * FROM mine WHERE allergy_id IN (SELECT min(allergy_id) FROM mine WHERE allergy_id % 3 <> 0 GROUP BY b)),
-incoming AS (SELECT * FROM mine WHERE allergy_id IN (SELECT max(allergy_id) FROM mine GROUP BY b))
-SELECT i.allergy_id AS pos, CASE WHEN s.allergy_id IS NULL THEN 'new'
-  WHEN coalesce(s.reaction <> i.reaction, FALSE) OR coalesce(s.criticality <> i.criticality, FALSE) OR coalesce(s.noted_on <> i.noted_on, FALSE) THEN 'conflict'
-  WHEN (s.reaction IS NULL AND i.reaction IS NOT NULL) OR (s.criticality IS NULL AND i.criticality IS NOT NULL) OR (s.noted_on IS NULL AND i.noted_on IS NOT NULL) THEN 'enriched' ELSE 'duplicate' END AS outcome, s.allergy_id AS target_id
-FROM incoming i LEFT JOIN stored s USING (b)""", "allergy"))
-def commit_single_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The outcome of one row a family (the last of each identity)."""
-    stored, rows = _submission(spark, sf_dir)
-    last = rows.groupBy("dedup_base").agg(F.max("pos").alias("pos"))
-    found = commit.outcomes(stored, rows.join(last.select("pos"), "pos", "left_semi"), "allergy")
-    return found.select("pos", "outcome", "target_id")
-
-
 @query(sql.with_views("SELECT record_type, dedup_base, record_id, status, v.note FROM (SELECT 'lab_result' AS record_type, dedup_base, ruled_id AS record_id, status, note FROM ruled WHERE NOT family UNION ALL SELECT 'lab_result', dedup_base, 0, status, note FROM family_v) v", "lab_result", "ruling", verdicts=True))
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All verdicts, by row and by family."""
@@ -559,3 +546,6 @@ def medication_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doubled_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that more than one row holds."""
     return catalog(spark, sf_dir)["lab_result"].groupBy("dedup_key").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
+
+
+from . import registry_sources, registry_texts, registry_verbs  # noqa: E402, F401  (they register their queries)

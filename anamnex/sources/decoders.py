@@ -15,7 +15,7 @@ from urllib.parse import urlsplit
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,13 +29,20 @@ IMAGES = (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".gif", ".webp")
 POINTERS = (".gdoc", ".gsheet", ".gslides", ".gdraw", ".gform", ".gsite", ".gtable", ".gjam", ".glink", ".gmap", ".gscript")
 POINTER_HOSTS = ("docs.google.com", "drive.google.com")
 SKIPPED = {"script", "style", "noscript", "template"}
-BLOCKS = set("p div br tr li h1 h2 h3 h4 h5 h6 table thead tbody section article header footer blockquote hr pre dt dd ul ol title".split())
+BLOCKS = {
+    "p", "div", "br", "tr", "li", "h1", "h2", "h3", "h4", "h5", "h6", "table", "thead", "tbody",
+    "section", "article", "header", "footer", "blockquote", "hr", "pre", "dt", "dd", "ul", "ol", "title",
+}
 CELLS = {"td", "th"}
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 CDA = "{urn:hl7-org:v3}"
 
 
+#: What the parser raises on damaged documents and on encodings that it doesn't know.
+BAD_XML = (ElementTree.ParseError, ValueError, LookupError)
+
+
 class DecodeError(ValueError):
     """The bytes are too many, damaged or not allowed."""
 
@@ -134,7 +141,7 @@ def declares_doctype(data: bytes) -> bool:
     parser.StartDoctypeDeclHandler, parser.StartElementHandler = stop("doctype"), stop("root")
     try:
         parser.Parse(data, True)
-    except (Stop, xml.parsers.expat.ExpatError):
+    except (Stop, xml.parsers.expat.ExpatError, ValueError, LookupError):
         pass
     return found[:1] == ["doctype"]
 
@@ -168,7 +175,7 @@ class Members:
             raise DecodeError(f"{name}: a DOCTYPE is not allowed")
         try:
             return ElementTree.fromstring(data)
-        except ElementTree.ParseError as error:
+        except BAD_XML as error:
             raise DecodeError(f"{name}: {error}") from error
 
 
@@ -192,7 +199,8 @@ def xlsx_text(data: bytes) -> str:
         raw = node.findtext(f"{SHEET}v") or ""
         if node.get("t") != "s":
             return raw
-        return shared[int(raw)] if raw.strip().isdigit() and int(raw) < len(shared) else ""
+        raw = raw.strip()
+        return shared[int(raw)] if raw.isascii() and raw.isdecimal() and len(raw) < 10 and int(raw) < len(shared) else ""
 
     sheets = [n for n in book.names() if re.fullmatch(r"xl/worksheets/sheet.*\.xml", n)]
     sheets.sort(key=lambda n: [int(d) for d in re.findall(r"\d+", n)] or [0])
@@ -255,7 +263,7 @@ def clinical_text(data: bytes) -> str | None:
         return None
     try:
         root = ElementTree.fromstring(data)
-    except ElementTree.ParseError:
+    except BAD_XML:
         return None
     if root.tag != f"{CDA}ClinicalDocument":
         return None
@@ -301,7 +309,7 @@ def route_of(suffix: str, data: bytes) -> str:
 
 
 def decode(suffix: str, data: bytes) -> tuple[str | None, str, str | None]:
-    """(text, route, error)."""
+    """(text, route, error). Whatever a decoder raises is the error of this document alone."""
     s, route = suffix.lower(), route_of(suffix, data)
     try:
         if is_pointer(s, data):
@@ -321,6 +329,8 @@ def decode(suffix: str, data: bytes) -> tuple[str | None, str, str | None]:
             return recognised(s, data), route, None
     except DecodeError as error:
         return None, route, str(error)
+    except Exception as error:  # a damaged document never ends a job
+        return None, route, f"{type(error).__name__}: {error}"
     return None, route, None
 
 
@@ -347,9 +357,24 @@ def decoded(suffix: pd.Series, content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "route", "error"])
 
 
-@F.pandas_udf(T.StringType())
-def html_to_text(markup: pd.Series) -> pd.Series:
-    return markup.map(html_text, na_action="ignore")
+def page_text(markup: str | None) -> tuple[str | None, str | None]:
+    """(text, error) of a page."""
+    if markup is None:
+        return None, None
+    try:
+        return html_text(markup), None
+    except Exception as error:  # as in decode
+        return None, str(error) if isinstance(error, DecodeError) else f"{type(error).__name__}: {error}"
+
+
+@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("text", "error")]))
+def page_decoded(markup: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([page_text(m) for m in markup], columns=["text", "error"])
+
+
+def html_to_text(markup) -> Column:
+    """The text of a page; null if it is malformed (page_decoded says why)."""
+    return page_decoded(markup)["text"]
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:

@@ -131,9 +131,12 @@ def identity_text() -> Column:
 
 
 def human_bytes(size: Column) -> Column:
-    out = F.format_string("%.1f TiB", size / float(1 << 40))
+    def shown(amount: Column, form: str, unit: str) -> Column:  # halves go to the even digit
+        return F.concat(F.call_function("format_number", amount, F.lit(form)), F.lit(f" {unit}"))
+
+    out = shown(size / float(1 << 40), "0.0", "TiB")
     for k, unit in reversed(list(enumerate(("B", "KiB", "MiB", "GiB")))):
-        text = F.format_string("%.0f B", size.cast("double")) if k == 0 else F.format_string(f"%.1f {unit}", size / float(1 << 10 * k))
+        text = shown(size.cast("double"), "0", "B") if k == 0 else shown(size / float(1 << 10 * k), "0.0", unit)
         out = F.when(size < (1 << 10 * (k + 1)), text).otherwise(out)
     return out
 

@@ -138,12 +138,13 @@ def test_ping_stream(spark, tmp_path):
 def test_line_scan(spark):
     lines = ["ssn 123-45-6789", "card 4111 1111 1111 1111", "NHS number: 943 476 5919", "NHS: 943 476 5918", "DOB: 03/14/1962", "DOB: 05/05/1985", "--person melanie-ashworth", "--person jane-doe", "repro (gregory-fielding)", "src/gregory-fielding", "Gregory Ashworth", "Robert Alan Roe", "MRN: 12345 pii-allow", "MRN: 12345", "Patient: ASHWORTH, MEL"]
     docs = spark.createDataFrame([(1, "\r\n".join(lines)), (2, None), (3, "Gregory Ashworth")], "doc_id long, text string")
-    got = {(r["line"], r["rule"]) for r in piiscan.scan(docs).collect() if r["doc_id"] == 1}
+    names = spark.createDataFrame([("Melanie",), ("gregory",), ("robert ",), (None,)], "name string")
+    got = {(r["line"], r["rule"]) for r in piiscan.scan(docs, names).collect() if r["doc_id"] == 1}
     assert got == {(1, "ssn"), (2, "card"), (3, "nhs"), (6, "dob"), (7, "person-slug"), (7, "bare-slug"), (9, "bare-slug"), (11, "full-name"), (14, "mrn"), (15, "patient-name")}
-    assert piiscan.scan(docs).where("doc_id = 3").count() == 0
+    assert piiscan.scan(docs, names).where("doc_id = 3").count() == 0
     diff = spark.createDataFrame([(1, "--- a/x\n+++ b/x\n-MRN: 1111\n+MRN: 2222\n MRN: 3333")], "doc_id long, text string")
     added = piiscan.added_lines(diff)
-    assert [(r["file"], r["content"]) for r in added.collect()] == [("x", "MRN: 2222")] and piiscan.scan_lines(added.drop("file")).count() == 1
+    assert [(r["file"], r["content"]) for r in added.collect()] == [("x", "MRN: 2222")] and piiscan.scan_lines(added.drop("file"), names).count() == 1
 
 
 def roster(spark):
@@ -221,3 +222,43 @@ def test_owner_check_meets_dates_that_letters_touch(spark):
     docs = spark.createDataFrame([(k, 1, t) for k, t in enumerate(texts)], "document_id long, person_id long, text string")
     got = {r["document_id"]: (r["verdict"], r["matched_slug"]) for r in ingest.owner_checks(docs, people).collect()}
     assert got == {0: ("mismatch", "bob-two"), 1: ("mismatch", "bob-two"), 2: ("mismatch", "bob-two"), 3: ("unverified", None), 4: ("unverified", None), 5: ("match", "ann-one")}
+
+
+def test_damaged_documents_are_rows_with_an_error(spark):
+    """Whatever a decoder raises concerns its own row; all others are decoded."""
+    import io
+    import zipfile
+
+    def book(**members):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, text in members.items():
+                z.writestr(name.replace("__", "/") + ".xml", text)
+        return out.getvalue()
+
+    sheet = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row><c t="s"><v>{}</v></c><c><v>7</v></c></row></sheetData></worksheet>'
+    odd = [sheet.format(v) for v in ("\u00b2", "99999999999999999999", "-1", "", "1")]
+    rows = [(k, ".xlsx", book(xl__worksheets__sheet1=x)) for k, x in enumerate(odd)]
+    rows += [(10, ".docx", book(word__document='<?xml version="1.0" encoding="no-such"?><a/>')), (11, ".docx", b"PK"), (12, ".html", b"a<![foo bar]>b"), (13, ".xml", b'<?xml version="1.0" encoding="no-such"?><ClinicalDocument xmlns="urn:hl7-org:v3"/>'), (14, ".docx", book(word__document="<a>")), (15, ".txt", b"fine"), (16, None, b"x"), (17, ".txt", None)]
+    df = spark.createDataFrame(rows, "id int, suffix string, content binary").withColumn("length", F.length("content"))
+    got = {r["id"]: r for r in decoders.with_text(df).collect()}
+    assert [got[k]["text"] for k in range(5)] == ["\t7"] * 5 and got[15]["text"] == "fine"
+    assert all(got[k]["text"] is None and got[k]["error"] for k in (10, 11, 12, 14)) and got[13]["text"].startswith("<?xml")
+    pages = spark.createDataFrame([(1, "<p>a</p>"), (2, "a<![foo bar]>b"), (3, None)], "id int, html string")
+    texts = {r["id"]: r for r in pages.select("id", decoders.html_to_text("html").alias("t"), decoders.page_decoded("html")["error"].alias("e")).collect()}
+    assert (texts[1]["t"], texts[1]["e"], texts[2]["t"], texts[3]["t"]) == ("a", None, None, None) and texts[2]["e"]
+
+
+def test_owner_checks_meet_few_rows(spark):
+    """Birth dates are met whole, in every spelling, and two of those who share one are enough."""
+    people = spark.range(1, 3001).select(F.col("id").alias("person_id"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("slug"), F.concat(F.lit("Common Name"), F.col("id").cast("string")).alias("full_name"), F.expr("CAST(DATE'1950-01-01' + CAST(id % 365 AS INT) AS STRING)").alias("dob"))
+    people = people.unionByName(spark.createDataFrame([(9001, "same-a", "Twin Person", "1950-03-05"), (9002, "same-b", "Twin Person", "1950-03-05")], people.schema))
+    texts = ["born 1950-03-05", "born 03/05/1950.", "3/5/1950", "03-05-1950", "MARCH 5, 1950", "5 March 1950", "Mar 5, 1950", "DOB5 Mar 1950x", "13/5/1950", "1950-03-055", "in 1950, on the 5th of March", "a Twin of this person", "12-03-05-1950-03-05"]
+    docs = spark.createDataFrame([(k, 9001, t) for k, t in enumerate(texts)], "document_id long, person_id long, text string")
+    rest = docs.select("document_id", F.lit(1).cast("long").alias("claimed"), "text", ingest.alnum(F.col("text")).alias("plain"))
+    roster = people.select("person_id", "slug", ingest.name_tokens(F.col("full_name")).alias("tokens"), ingest.dob_renderings(F.col("dob")).alias("dobs"))
+    met = ingest.born_others(rest, roster)
+    assert {r[0] for r in met.select("document_id").collect()} == {0, 1, 2, 3, 4, 5, 6, 7, 12} and met.groupBy("document_id").count().agg(F.max("count")).first()[0] <= 4
+    assert {r[0] for r in ingest.named_others(rest, roster).select("slug").collect()} == {"same-a", "same-b"}
+    got = {r["document_id"]: r["verdict"] for r in ingest.owner_checks(docs, people).collect()}
+    assert all(got[k] == "match" for k in (0, 1, 2, 3, 4, 5, 6, 7, 11, 12)) and got[8] != "match"
