@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import struct
-import uuid
 import zipfile
 from html import escape
 
@@ -19,7 +18,7 @@ from ..streaming import ping
 from . import sql
 from .bridge import view
 from .registry import query
-from .scratch import shared_dir
+from .scratch import fresh_dir
 
 # --- documents of all formats
 
@@ -194,7 +193,7 @@ def ping_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_PINGED)
 def ping_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same log read as a stream into a table, each file once."""
-    root = f"{shared_dir(spark)}/ping-{uuid.uuid4().hex}"
+    root = fresh_dir(spark)
     _log_lines(spark, sf_dir).write.text(f"{root}/log")
     ping.to_parquet(ping.ping_stream(spark, f"{root}/log"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{root}/out").select("ts", "ms", "lost", "marker", "note")

@@ -14,7 +14,7 @@ from . import catalog as snapshots
 from . import sql
 from .bridge import DICTIONARY, catalog, view, whole
 from .registry import _ALL, query
-from .scratch import shared_dir
+from .scratch import fresh_dir
 
 NOW = dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc)
 STAMP = "2024-02-01T00:00:00+00:00"
@@ -431,9 +431,7 @@ def reextracted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql.with_views(" UNION ALL ".join([f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in ("person", "document", "person_unit_pref", *TYPES)] + ["SELECT 'curation', (SELECT count(*) FROM row_v) + (SELECT count(*) FROM family_v)"]), "person", "document", "person_unit_pref", *_ALL, "ruling", verdicts=True))
 def snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of all tables after a snapshot was written, checked, replaced by another and restored."""
-    import uuid
-
-    root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    root = fresh_dir(spark)
     cat = catalog(spark, sf_dir)
     snapshots.snapshot(cat, root, "anamnex-20240201-0000")
     snapshots.snapshot(snapshots.Catalog(spark, {"person": cat["person"].where("false")}), root, "anamnex-20240202-0000")

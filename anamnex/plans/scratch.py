@@ -19,8 +19,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def fresh_dir(spark: SparkSession) -> str:
+    """A new folder there, which goes when the application ends: what is read from it must have run by then."""
+    root = f"{shared_dir(spark)}/anamnex-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return root
+
+
 def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/anamnex-{uuid.uuid4().hex}"
+    path = f"{fresh_dir(spark)}/table"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
