@@ -243,7 +243,7 @@ def commit(catalog: Catalog, record_type: str, rows: DataFrame, dictionary: Dict
 
 def outcome_counts(found: DataFrame) -> DataFrame:
     names = ["new", "duplicate", "enriched", "conflict", "promoted"]
-    return found.groupBy().pivot("outcome", names).agg(F.count("*")).na.fill(0, names)
+    return found.groupBy().agg(*(F.count_if(F.col("outcome") == n).alias(n) for n in names))
 
 
 # --- conflicts

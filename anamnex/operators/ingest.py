@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -162,3 +163,41 @@ def reextracted(catalog: Catalog, decoded: DataFrame, force: bool = False, allow
     done = F.col("status") == "written"
     rows = df.withColumn("ocr_text", F.when(done, F.col("new_text")).otherwise(F.col("ocr_text"))).withColumn("text_source", F.when(done, F.col("route")).otherwise(F.col("text_source")))
     return catalog.with_tables(document=rows.select(*schema_of("document").names)), df.select("document_id", "status")
+
+
+class TooLargeError(ValueError):
+    """A study is larger than may be packed without being told so."""
+
+
+#: Bytes of a study that are packed without being asked (fixed value).
+MOST_STUDY_BYTES = 4 << 30
+
+
+def ingest_study(catalog: Catalog, files: DataFrame, slug: str, root: str, blobs: str, force: bool = False, allow_large: bool = False, tombstone_force: bool = False, most: int = MOST_STUDY_BYTES, now: dt.datetime | None = None, **more) -> tuple[Catalog, DataFrame]:
+    """A folder of slices as one document: size gate, header, owner check, reproducible zip, duplicate and tombstone gates, row.
+
+    files: (path, length, content). The zip goes to blobs under its hash. Returns the catalog and one row of what became of it.
+    """
+    from ..plans.catalog import Files
+    from ..sources import dicom
+
+    size = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    if size > most and not allow_large:
+        raise TooLargeError(f"{size} bytes, more than {most}; say that large studies are meant")
+    name = root.rstrip("/").rpartition("/")[2]
+    inside = F.regexp_extract("path", f"{re.escape(name)}/(.*)$", 1)
+    slices = dicom.slices(files).withColumn("directory", F.regexp_extract(inside, r"^(?:(.*)/)?[^/]*$", 1)).withColumn("study", F.lit(name))
+    head = dicom.studies(slices).withColumn("n_files", F.lit(files.count())).select("study_date", dicom.summary_text(F.col("study"), F.col("n_files")).alias("text"), dicom.identity_text().alias("identity")).first()
+    if head is None:
+        raise ValueError(f"{root} holds no slices")
+    data, sha = dicom.packed({r["name"]: bytes(r["content"]) for r in files.select(inside.alias("name"), "content").toLocalIterator()})  # bounded by the size gate
+    spark = catalog.spark
+    text = "\n".join(t for t in (head["identity"], head["text"]) if t)
+    one = spark.createDataFrame([(root, ".zip", sha, text, "study", None, None)], "path string, suffix string, sha256 string, text string, route string, error string, content binary")
+    after, report = ingest(catalog, one, slug, force, tombstone_force, now, **{"doc_date": head["study_date"], **more})
+    if report.first()["status"] == "new":
+        store = Files(spark, blobs)
+        out = store.fs.create(store.path(f"{sha[:2]}/{sha}.zip"), True)
+        out.write(bytearray(data))
+        out.close()
+    return after, report

@@ -73,9 +73,30 @@ def people(catalog: Catalog, inactive: bool = False) -> DataFrame:
     return (df if inactive else df.where("deactivated_at IS NULL")).orderBy("slug")
 
 
+def person_detail(catalog: Catalog, slug: str) -> DataFrame:
+    """One person with counts of records, and their unit preferences."""
+    who = person_id(catalog, slug)
+    mine = F.col("person_id") == who
+    counts = None
+    for t in TYPES:
+        own = catalog[t].where(mine).groupBy("person_id").agg(F.count("*").alias("n")).withColumn("t", F.lit(t))
+        counts = own if counts is None else counts.unionByName(own)
+    counts = counts.groupBy("person_id").pivot("t", list(TYPES)).agg(F.sum("n"))
+    prefs_ = catalog["person_unit_pref"].where(mine).groupBy("person_id").agg(F.sort_array(F.collect_list(F.struct("key", "unit"))).alias("unit_prefs"))
+    return catalog["person"].where(mine).join(prefs_, "person_id", "left").join(counts, "person_id", "left").na.fill(0, list(TYPES))
+
+
 # --- documents
 
 
+def document_detail(catalog: Catalog, document_id: int) -> DataFrame:
+    """One document with its text, owner, row counts and the open conflicts that concern it."""
+    mine = F.col("document_id") == document_id
+    text = catalog["document"].where(mine).select("document_id", "ocr_text")
+    counted = documents(catalog.with_tables(document=catalog["document"].where(mine), **{t: catalog[t].where(mine) for t in TYPES}))
+    return counted.join(text, "document_id").join(document_conflicts(catalog).where(mine), "document_id", "left")
+
+
 def record_counts(catalog: Catalog) -> DataFrame:
     """Rows of each type by document."""
     out = None
@@ -470,6 +491,16 @@ def verify(catalog: Catalog, dictionary: Dictionary = None) -> DataFrame:
     return ruled.union(meds).union(conds).union(doubles)
 
 
+def capped(problems: DataFrame, most: int = 10) -> DataFrame:
+    """The first problems of each check, and a row that says how many more there are."""
+    place = F.row_number().over(Window.partitionBy("check_name").orderBy("severity", "subject", "message"))
+    ranked = problems.withColumn("place", place).withColumn("total", F.count("*").over(Window.partitionBy("check_name")))
+    more = F.concat(F.lit("... and "), (F.col("total") - most).cast("string"), F.lit(" more"))
+    past = F.col("place") > most
+    shown = ranked.where(F.col("place") <= most + 1)
+    return shown.select("check_name", "severity", F.when(past, "").otherwise(F.col("subject")).alias("subject"), F.when(past, more).otherwise(F.col("message")).alias("message"), "place").orderBy("check_name", "place").drop("place")
+
+
 def blob_checks(catalog: Catalog, blobs: DataFrame) -> DataFrame:
     """ok, missing and mismatched blobs of documents; blobs: (source_path, sha256)."""
     have = blobs.select("source_path", F.col("sha256").alias("found"))

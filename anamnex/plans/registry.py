@@ -549,3 +549,4 @@ def doubled_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from . import registry_sources, registry_texts, registry_verbs  # noqa: E402, F401  (they register their queries)
+from . import registry_fronts  # noqa: E402, F401

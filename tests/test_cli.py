@@ -43,3 +43,72 @@ def test_cli_round_trip(store, tmp_path, capsys):
         store("commit", "lab_result", str(tmp_path / "bad.json"), "1")
     store("restore", "latest")
     assert "anamnex-2026" in capsys.readouterr().out
+
+
+def test_new_verbs(store, tmp_path, capsys):
+    def say(*args):
+        capsys.readouterr()
+        assert store(*args) == 0
+        return [json.loads(line) for line in capsys.readouterr().out.splitlines() if line.startswith("{")]
+
+    store("--apply", "person-add", "jane", "Jane Doe", "--dob", "1962-03-14")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("Jane Doe labs")
+    (tmp_path / "in" / "b.pdf").write_bytes(b"%PDF-1.4 nothing to read")
+    store("--apply", "ingest", str(tmp_path / "in"), "jane")
+    store("--apply", "unit-pref", "jane", "Weight", "--unit", "pounds")
+    assert [(r["key"], r["unit"]) for r in say("unit-prefs", "jane")] == [("weight", "lb")]
+    assert [(r["slug"], r["unit_prefs"], r["lab_result"]) for r in say("person-show", "jane")] == [("jane", [{"key": "weight", "unit": "lb"}], 0)]
+    shown = say("document-show", "1")[0]
+    assert (shown["ocr_text"], shown["slug"], shown["allergy"]) == ("Jane Doe labs", "jane", 0)
+    assert {r["status"] for r in say("document-reextract", str(tmp_path / "in"))} == {"unchanged", "empty"}
+    store("--apply", "tombstone-add", "ab" * 32, "--reason", "spam")
+    assert [r["reason"] for r in say("tombstones")] == ["spam"]
+    store("--apply", "tombstone-remove", "AB" * 32)
+    assert say("tombstones") == []
+    assert say("verify", "--cap", "1") == []
+    (tmp_path / "map.json").write_text(json.dumps({"orphans": [{"record_type": "lab_result", "old_base": "x", "new_base": "y"}, {"record_type": "lab_result", "old_base": "z", "new_base": None}]}))
+    assert say("reaffirm", str(tmp_path / "map.json")) == []
+    assert cli.choices("unit=incoming, flag=existing") == {"unit": "incoming", "flag": "existing"} and cli.choices(None) is None
+    with pytest.raises(ValueError):
+        cli.choices("unit=mine")
+
+
+def dicom_file(values):
+    import struct
+
+    from anamnex.sources import dicom
+
+    def element(tag, value, form=b"LO"):
+        value += b"\0" * (len(value) % 2)
+        return struct.pack("<HH2sH", *tag, form, len(value)) + value
+
+    syntax = element(dicom.SYNTAX, dicom.EXPLICIT.encode(), b"UI")
+    body = b"".join(element(dicom.TAGS[n], v.encode()) for n, v in sorted(values.items(), key=lambda x: dicom.TAGS[x[0]]))
+    return b"\0" * 128 + b"DICM" + struct.pack("<HH2sHI", 2, 0, b"UL", 4, len(syntax)) + syntax + body
+
+
+def test_study_ingest(spark, store, tmp_path, capsys):
+    from anamnex.operators import ingest
+    from anamnex.sources import decoders
+
+    store("--apply", "person-add", "jane", "Jane Doe", "--dob", "1962-03-14")
+    study = tmp_path / "knee"
+    (study / "s1").mkdir(parents=True)
+    for k in range(3):
+        (study / "s1" / f"{k}.dcm").write_bytes(dicom_file({"study_date": "20240105", "modality": "MR", "patient_name": "DOE^JANE", "patient_birth_date": "19620314"}))
+    (study / "note.txt").write_text("no slice")
+    args = ("study-ingest", str(study), "jane", str(tmp_path / "blobs"))
+    capsys.readouterr()
+    store("--apply", *args)
+    first = json.loads(capsys.readouterr().out.splitlines()[0])
+    assert (first["status"], first["verdict"]) == ("new", "match")
+    assert [p.name for p in (tmp_path / "blobs").rglob("*.zip")] == [first["sha256"] + ".zip"]
+    store(*args)
+    assert json.loads(capsys.readouterr().out.splitlines()[0])["status"] == "duplicate"
+    files = decoders.files(spark, str(study))
+    cat = snapshots.Catalog(spark, {})
+    with pytest.raises(ingest.TooLargeError):
+        ingest.ingest_study(cat, files, "jane", str(study), str(tmp_path), most=10)
+    with pytest.raises(ValueError):
+        ingest.ingest_study(cat, files.where("path LIKE '%.txt'"), "jane", str(study), str(tmp_path))
