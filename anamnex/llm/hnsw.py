@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-M, BUILD_BEAM, BATCH = 16, 64, 512
+M, BUILD_BEAM, BATCH = 16, 40, 512
 #: Candidates whose neighbours are looked up in one step, for each query.
 AT_ONCE = 4
 

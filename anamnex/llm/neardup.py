@@ -42,7 +42,7 @@ from .vectors import matrix, usable_rows
 LEAST = 0.9
 #: float32 beams look a little below the threshold; verification decides.
 SLACK = 1e-4
-BEAM, WIDEST = 32, 512
+BEAM, WIDEST = 16, 512
 AUDITED, AUDITED_SHARE, RECALL = 64, 0.02, 0.999
 #: How far below the threshold a best find is worth an audit.
 NEAR = 0.05
