@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..plans.scratch import fresh_dir
+
 #: Characters of text that a Python worker expands into words at once.
 CHUNK_CHARS = 1 << 20
 #: Bytes of an Arrow batch that are worked on at once.
@@ -23,22 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("spark.anamnex.scratch.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="anamnex-scratch-")
-        spark.conf.set("spark.anamnex.scratch.dir", found)
-    return found.rstrip("/")
-
-
 class Scratch:
     """Tables written once in the shared folder, so that a lost executor never forces a recomputation from the start."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/anamnex-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.n = spark, fresh_dir(spark), 0
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1

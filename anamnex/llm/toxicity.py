@@ -66,7 +66,9 @@ MARKS = [re.compile(f"(?:[^\\w{re.escape(MARK_LETTERS)}]|_)+"), re.compile(r"(?:
 #: How much dearer than the best a reading of letters set apart may be, and how long its words are.
 MARGIN, LONGEST_WORD = 8.0, 24
 #: Tokens whose evidence a worker remembers, and how long they may be.
-KNOWN_TOKENS, KNOWN_CHARS = 300_000, 64
+KNOWN_TOKENS, KNOWN_CHARS = 200_000, 64
+#: Words whose trigrams are counted at once.
+COUNTED_WORDS = 50_000
 EVIDENCE_LEAST = 5
 #: Least share of toxic documents among those with a feature.
 STRONG = 0.5
@@ -280,7 +282,7 @@ def char_counts(df: DataFrame, text: str = "text") -> dict[str, int]:
         for b in batches:
             for t in b.column(0):
                 words.update((t.as_py() or "").lower().split())
-                if len(words) > KNOWN_TOKENS:
+                if len(words) > COUNTED_WORDS:
                     grams += gram_counts(plain())
         grams += gram_counts(plain())
         found, k = np.flatnonzero(grams), len(SYMBOLS)
