@@ -79,11 +79,17 @@ def phrases(query: str) -> list[list[str]]:
 
 
 def hits(own: Column, phrase: list[str]) -> Column:
+    """How often the tokens of a phrase stand in a row."""
     if len(phrase) == 1:
         return F.size(F.filter(own, lambda t: t == phrase[0]))
-    want = F.array(*map(F.lit, phrase))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(own) - len(phrase) + 1, F.lit(1)))
-    return F.size(F.filter(starts, lambda i: F.slice(own, i, len(phrase)) == want))
+
+    def begins(t: Column, i: Column) -> Column:
+        here = t == phrase[0]
+        for k, word in enumerate(phrase[1:], 1):
+            here = here & F.coalesce(F.try_element_at(own, i + 1 + k) == word, F.lit(False))
+        return here
+
+    return F.size(F.filter(own, begins))
 
 
 def find(catalog: Catalog, query: str, slug: str | None = None, snippets: bool = True) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import units
+from ..functions.plan import settled
 from ..functions.text import number_text
 from ..operators import clinical, overlay, registryops, render, search
 from ..specs import TYPES, editable
@@ -217,8 +218,8 @@ def index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each record holds the two words of `Rate_view` in a row."""
     phrase = search.phrases("Rate_view!")[0]
-    df = search.record_text(catalog(spark, sf_dir)).select("source_table", "source_id", search.hits(search.tokens(F.col("text")), phrase).alias("hits"))
-    return df.where("hits > 0")
+    df = settled(search.record_text(catalog(spark, sf_dir)).select("source_table", "source_id", "text"), t=search.tokens(F.col("text")))
+    return settled(df, hits=search.hits(F.col("t"), phrase)).select("source_table", "source_id", "hits").where("hits > 0")
 
 
 @query(sql.with_views("SELECT lab_result_id, person_id, test_name, value_num, edited_at FROM lab_result WHERE person_id = 2", "lab_result"))
