@@ -43,6 +43,7 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="anamnex")
     top.add_argument("--store", required=True)
     top.add_argument("--dictionary")
+    top.add_argument("--pdf-reader", help="module:attribute of a reader for PDF files")
     top.add_argument("--apply", action="store_true")
     top.add_argument("--today", default=str(dt.date.today()))
     verbs = top.add_subparsers(dest="verb", required=True)
@@ -208,12 +209,12 @@ def written(spark: SparkSession, cat, a: argparse.Namespace, d):
     given = {k: v for k, v in vars(a).items() if v is not None}
     some = lambda *names: {n: given[n] for n in names if n in given}
     if a.verb == "ingest":
-        return ingest.ingest(cat, decoders.with_text(decoders.files(spark, a.path)), a.person, force=a.force, **some("category", "provider"))
+        return ingest.ingest(cat, decoders.with_text(decoders.files(spark, a.path), a.pdf_reader), a.person, force=a.force, **some("category", "provider"))
     if a.verb == "study-ingest":
         files = decoders.files(spark, a.path)
         return ingest.ingest_study(cat, files, a.person, a.path, a.blobs, force=a.force, allow_large=a.allow_large, **some("category", "provider"))
     if a.verb == "document-reextract":
-        return ingest.reextracted(cat, decoders.with_text(decoders.files(spark, a.path)), a.force, a.allow_shrink)
+        return ingest.reextracted(cat, decoders.with_text(decoders.files(spark, a.path), a.pdf_reader), a.force, a.allow_shrink)
     if a.verb == "reaffirm":
         return registryops.reaffirm(cat, successors_of(spark, a.map))
     if a.verb == "commit":

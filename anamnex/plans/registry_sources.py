@@ -22,11 +22,25 @@ from .scratch import fresh_dir
 
 # --- documents of all formats
 
-KINDS = {"txt": ".txt", "html": ".html", "docx": ".docx", "xlsx": ".xlsx", "xml": ".xml", "pointer": ".gdoc", "doctype": ".docx", "damaged": ".xlsx", "other": ".bin"}
+KINDS = {"pdf": ".pdf", "txt": ".txt", "html": ".html", "docx": ".docx", "xlsx": ".xlsx", "xml": ".xml", "pointer": ".gdoc", "doctype": ".docx", "damaged": ".xlsx", "other": ".bin"}
 _WORD = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 _SHEET = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
 
 
+class LinePages:
+    """A reader that takes each line of a text for a page of a PDF file."""
+
+    def pages(self, data: bytes) -> list[str]:
+        return data.decode().split("\n")
+
+    def image(self, data: bytes, page: int, dpi: int) -> bytes:
+        return b""
+
+
+LINE_PAGES = LinePages()
+READER = f"{__name__}:LINE_PAGES"
+
+
 def _zipped(**members: str) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
@@ -69,6 +83,7 @@ def _clinical(doc_id: int, text: str) -> bytes:
 @F.pandas_udf(T.BinaryType())
 def _made(kind: pd.Series, doc_id: pd.Series, text: pd.Series) -> pd.Series:
     make = {
+        "pdf": lambda i, t: t.encode(),
         "txt": lambda i, t: t.encode(),
         "html": lambda i, t: ("<html><body><script>var a;</script><!-- no -->" + "".join(f"<p>{escape(line)}</p>" for line in t.split("\n")) + "<table><tr><td>a</td><td><p>b</p> c</td></tr></table></body></html>").encode(),
         "docx": lambda i, t: _docx(t),
@@ -84,11 +99,13 @@ def _made(kind: pd.Series, doc_id: pd.Series, text: pd.Series) -> pd.Series:
 
 _PLAIN = r"regexp_replace(text, '[\x00-\x09\x0b-\x1f\x7f-\x{9f}]', ' ', 'g')"
 _WIDE = r"'[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'"
+_ENDS = "'^" + _WIDE[1:-1] + "|" + _WIDE[1:-1] + "$'"
 _SPACED = f"array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, {_WIDE}, ' ', 'g'))), lambda x: x <> ''), chr(10))"
 
 
 @query(f"""WITH d AS (SELECT doc_id, {_PLAIN} AS t FROM documents WHERE text IS NOT NULL), s AS (SELECT *, {_SPACED} AS spaced FROM d)
 SELECT doc_id, 'txt' AS kind, 'native' AS route, FALSE AS trusted, CAST(NULL AS VARCHAR) AS error, sha256(t) AS text_sha256 FROM s
+UNION ALL SELECT doc_id, 'pdf', 'ocr', TRUE, NULL, CASE WHEN regexp_replace(array_to_string(pages, ''), {_WIDE}, '', 'g') <> '' THEN sha256(array_to_string(pages, chr(12))) END FROM (SELECT doc_id, list_transform(list_slice(string_split(t, chr(10)), 1, 20), lambda x: regexp_replace(regexp_replace(x, {_ENDS}, ''), {_ENDS}, '')) AS pages FROM s)
 UNION ALL SELECT doc_id, 'html', 'native', FALSE, NULL, sha256(spaced || CASE WHEN spaced = '' THEN '' ELSE chr(10) END || 'a' || chr(9) || 'b c') FROM s
 UNION ALL SELECT doc_id, 'docx', 'native-prose', TRUE, NULL, sha256(t) FROM s
 UNION ALL SELECT doc_id, 'xlsx', 'native', FALSE, NULL, sha256(replace(t, ' ', chr(9))) FROM s
@@ -98,14 +115,26 @@ UNION ALL SELECT doc_id, 'doctype', 'native-prose', TRUE, 'word/document.xml: a
 UNION ALL SELECT doc_id, 'damaged', 'native', FALSE, 'File is not a zip file', NULL FROM s
 UNION ALL SELECT doc_id, 'other', 'none', TRUE, NULL, NULL FROM s""")
 def decoded_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as plain text, HTML, DOCX, XLSX, clinical XML, pointer, and damaged or unwanted files, read back."""
+    """Every document as pages of a PDF file, plain text, HTML, DOCX, XLSX, clinical XML, pointer, and damaged or unwanted files, read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").select("doc_id", F.regexp_replace("text", r"[\x00-\x09\x0b-\x1f\x7f-\x{9f}]", " ").alias("t"))
     kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(s).alias("suffix")) for k, s in KINDS.items()))).alias("k")
     files = docs.select("doc_id", "t", kinds).select("doc_id", "k.*", _made(F.col("k.kind"), F.col("doc_id"), F.col("t")).alias("content")).withColumn("length", F.length("content"))
-    found = decoders.with_text(files)
+    found = decoders.with_text(files, READER)
     return found.select("doc_id", "kind", "route", ingest.trusts_anchors(F.col("route")).alias("trusted"), "error", F.sha2("text", 256).alias("text_sha256"))
 
 
+@query("SELECT doc_id, len(string_split(text, chr(10)))::INT AS pages FROM documents WHERE text IS NOT NULL")
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pages each document has as a PDF file of a page a line."""
+
+    @F.pandas_udf(T.IntegerType())
+    def count(content: pd.Series) -> pd.Series:
+        return content.map(lambda c: decoders.pdf_page_count(bytes(c), READER))
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
+    return docs.select("doc_id", count(F.col("text").cast("binary")).alias("pages"))
+
+
 @query("SELECT doc_id, substr(sha256(text), 1, 2) || '/' || sha256(text) || '.' || lang AS path FROM documents WHERE text IS NOT NULL")
 def blob_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the content of each document lies."""

@@ -1,15 +1,20 @@
 """Text of source documents: plain text, HTML, DOCX, XLSX, clinical XML. Pure functions of bytes, run in pandas UDFs.
 
 Every decoder has a bound on what it reads; beyond it, and on damaged input, the text is null and the error says why.
+
+PDF files need a reader, which is named as `module:attribute` and loaded in the worker: an object with
+pages(data), the text layer of each page, and image(data, page, dpi), a page as an image. Without one the error says so.
 """
 
 from __future__ import annotations
 
+import importlib
 import io
 import json
 import re
 import xml.parsers.expat
 import zipfile
+from functools import lru_cache
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 from xml.etree import ElementTree
@@ -308,7 +313,37 @@ def route_of(suffix: str, data: bytes) -> str:
     return "ocr" if s == ".pdf" or s in IMAGES else "none"
 
 
-def decode(suffix: str, data: bytes) -> tuple[str | None, str, str | None]:
+#: Pages of a PDF that are read, characters of a text layer that make it worth having, resolution of images.
+PDF_PAGES, PDF_CHARS, PDF_DPI = 20, 20, 300
+
+
+@lru_cache(maxsize=8)
+def loaded(name: str):
+    """What `module:attribute` names."""
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)
+
+
+def pdf_text(data: bytes, reader: str | None) -> str | None:
+    """Pages between form feeds: the text layer of a page, or what is recognised on its image where the layer is too short."""
+    if reader is None:
+        raise DecodeError("no reader for PDF files is set")
+    own, out = loaded(reader), []
+    for k, text in enumerate(own.pages(data)[:PDF_PAGES]):
+        text = (text or "").strip()
+        out.append(text if len(text) >= PDF_CHARS else (recognised(".png", own.image(data, k, PDF_DPI)) or "").strip() or text)
+    return "\f".join(out) if any(out) else None
+
+
+def pdf_page_count(data: bytes, reader: str | None) -> int | None:
+    """Null if there is no reader or it can't read the file."""
+    try:
+        return None if reader is None else len(loaded(reader).pages(data))
+    except Exception:  # as in decode
+        return None
+
+
+def decode(suffix: str, data: bytes, reader: str | None = None) -> tuple[str | None, str, str | None]:
     """(text, route, error). Whatever a decoder raises is the error of this document alone."""
     s, route = suffix.lower(), route_of(suffix, data)
     try:
@@ -325,6 +360,8 @@ def decode(suffix: str, data: bytes) -> tuple[str | None, str, str | None]:
         if s == ".xml":
             text = clinical_text(data)
             return (text if text is not None else plain_text(data)), route, None
+        if s == ".pdf":
+            return pdf_text(data, reader), route, None
         if route == "ocr":
             return recognised(s, data), route, None
     except DecodeError as error:
@@ -339,7 +376,7 @@ def recognised(suffix: str, data: bytes) -> str | None:
     import shutil
     import subprocess
 
-    if suffix == ".pdf" or not shutil.which("tesseract"):
+    if not shutil.which("tesseract"):
         return None
     try:
         done = subprocess.run(["tesseract", "stdin", "stdout"], input=data, capture_output=True, timeout=300, check=True)
@@ -351,10 +388,15 @@ def recognised(suffix: str, data: bytes) -> str | None:
 DECODED = T.StructType([T.StructField(n, T.StringType()) for n in ("text", "route", "error")])
 
 
-@F.pandas_udf(DECODED)
-def decoded(suffix: pd.Series, content: pd.Series) -> pd.DataFrame:
-    rows = [decode(s or "", bytes(c)) if c is not None else (None, "none", None) for s, c in zip(suffix, content)]
-    return pd.DataFrame(rows, columns=["text", "route", "error"])
+def decoder(reader: str | None = None):
+    """A pandas UDF of (suffix, content): struct of text, route and error."""
+
+    @F.pandas_udf(DECODED)
+    def decoded(suffix: pd.Series, content: pd.Series) -> pd.DataFrame:
+        rows = [decode(s or "", bytes(c), reader) if c is not None else (None, "none", None) for s, c in zip(suffix, content)]
+        return pd.DataFrame(rows, columns=["text", "route", "error"])
+
+    return decoded
 
 
 def page_text(markup: str | None) -> tuple[str | None, str | None]:
@@ -388,9 +430,9 @@ def blob_path(sha: str = "sha256", suffix: str = "suffix"):
     return F.concat_ws("/", F.substring(sha, 1, 2), F.concat(sha, suffix))
 
 
-def with_text(df: DataFrame) -> DataFrame:
-    """Append text, route, error; files over the bound are not sent to Python at all."""
+def with_text(df: DataFrame, reader: str | None = None) -> DataFrame:
+    """Append text, route, error; files over the bound are not sent to Python at all. reader: of PDF files."""
     small = F.when(F.col("length") <= MOST_BYTES, F.col("content"))
-    out = df.withColumn("d", decoded(F.col("suffix"), small)).select("*", "d.*").drop("d")
+    out = df.withColumn("d", decoder(reader)(F.col("suffix"), small)).select("*", "d.*").drop("d")
     too_long = F.concat(F.col("length").cast("string"), F.lit(f" bytes, more than {MOST_BYTES}"))
     return out.withColumn("error", F.when(F.col("length") > MOST_BYTES, too_long).otherwise(F.col("error")))

@@ -262,3 +262,33 @@ def test_owner_checks_meet_few_rows(spark):
     assert {r[0] for r in ingest.named_others(rest, roster).select("slug").collect()} == {"same-a", "same-b"}
     got = {r["document_id"]: r["verdict"] for r in ingest.owner_checks(docs, people).collect()}
     assert all(got[k] == "match" for k in (0, 1, 2, 3, 4, 5, 6, 7, 11, 12)) and got[8] != "match"
+
+
+READER = """
+class Reader:
+    def pages(self, data):
+        if data == b"broken":
+            raise OSError("can't read")
+        return [None if p == "-" else p for p in data.decode().split("|")]
+
+    def image(self, data, page, dpi):
+        return b"image %d at %d" % (page, dpi)
+
+reader = Reader()
+"""
+
+
+def test_pdf_pages(monkeypatch, tmp_path):
+    """Text layers, images of pages without one, the first twenty pages, files that can't be read, and no reader."""
+    (tmp_path / "own_pdf_reader.py").write_text(READER)
+    monkeypatch.syspath_prepend(str(tmp_path))
+    name, asked = "own_pdf_reader:reader", []
+    monkeypatch.setattr(decoders, "recognised", lambda suffix, data: asked.append(data) or (None if b"image 2" in data else "seen on the image"))
+    layer = "a text layer of more than twenty characters"
+    assert decoders.decode(".PDF", f"{layer}|short|-".encode(), name) == (f"{layer}\fseen on the image\f", "ocr", None)
+    assert asked == [b"image 1 at 300", b"image 2 at 300"]
+    assert decoders.pdf_text("|".join([layer] * 25).encode(), name).count("\f") == 19 and decoders.pdf_page_count("|".join(["x"] * 25).encode(), name) == 25
+    monkeypatch.setattr(decoders, "recognised", lambda suffix, data: None)
+    assert decoders.decode(".pdf", b"-|-", name) == (None, "ocr", None)
+    assert decoders.decode(".pdf", b"broken", name) == (None, "ocr", "OSError: can't read") and decoders.pdf_page_count(b"broken", name) is None
+    assert decoders.decode(".pdf", b"x") == (None, "ocr", "no reader for PDF files is set") and decoders.pdf_page_count(b"x", None) is None
