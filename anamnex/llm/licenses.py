@@ -7,9 +7,10 @@ MinHash values, each of a hash of its own. A window that holds 0.8 of a template
 shingles with it, and so misses all BANDS = 48 bands with a probability of at most 0.81 ** 48 < 5e-5. Every retrieved
 pair is then verified: the exact share of the template's shingles in the window.
 
-A verified match holds at least one whole shingle of the template, so documents without any of the shingles' longest
-words are passed over first, and then those without any of the shingles; that loses nothing. Both lists stand in the
-plan, and where they are longer than MOST_LITERALS all documents go on.
+A verified match lacks at most a fifth of the template's shingles, so it holds one of any set of more shingles than
+that, and one of a few words that more shingles than that have. Documents without any such word are passed over first,
+and then those without any such shingle; that loses nothing. Both lists stand in the plan, and where they are longer
+than MOST_LITERALS all documents go on.
 
 Null and empty texts match nothing. Texts of under five words are one shingle of what they have. Templates need five
 words; without templates nothing matches. A (document, text, template) is one row, with its best window (the first of
@@ -19,6 +20,8 @@ long text is one row until it is cut into windows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,16 +99,40 @@ def prepared(templates: DataFrame) -> DataFrame:
     return own.withColumn("m", F.greatest(F.lit(2), F.pow(F.lit(2), F.ceil(F.log2(F.size("t")))).cast("int")))
 
 
-def anchor_words(templates: DataFrame) -> tuple[list[str], list[int], list[int]]:
-    """The longest word of each shingle, the classes, and the shingles; all are bounded by the templates."""
-    rows = prepared(templates).select("own", "m", "t").collect()
-    found = {max(r["own"][i : i + SHINGLE], key=lambda w: (len(w), w)) for r in rows for i in range(len(r["own"]) - SHINGLE + 1)}
-    return sorted(found), sorted({r["m"] for r in rows}), sorted({x for r in rows for x in r["t"]})
+def anchors_of(words_: list[str], hashes: list[int], least: float) -> tuple[set[str], set[int]]:
+    """Words and shingles of a template without which no text holds the share `least` of its shingles.
+
+    A match may lack so many shingles; more than those hold one of the words, and the shingles are more than those.
+    """
+    where: dict[int, list[int]] = {}
+    for i, h in enumerate(hashes):
+        where.setdefault(h, []).append(i)
+    spare = len(where) - math.ceil(least * len(where) - 1e-9)
+    by_word: dict[str, set[int]] = {}
+    for h, places in where.items():
+        for w in {w for i in places for w in words_[i : i + SHINGLE]}:
+            by_word.setdefault(w, set()).add(h)
+    chosen: set[str] = set()
+    held: set[int] = set()
+    for w in sorted(by_word, key=lambda w: (-len(w), w)):
+        if len(held) > spare:
+            break
+        if by_word[w] - held:
+            chosen.add(w)
+            held |= by_word[w]
+    return chosen, set(sorted(held)[: spare + 1])
+
+
+def anchor_words(templates: DataFrame, least: float = LEAST) -> tuple[list[str], list[int], list[int]]:
+    """Words of which each match holds one, the classes, and shingles of which each match holds one; all are bounded by the templates."""
+    rows = prepared(templates).select("own", "m", shingles(F.col("own")).alias("s")).collect()
+    found = [anchors_of(r["own"], r["s"], least) for r in rows]
+    return sorted(set().union(*(w for w, _ in found))), sorted({r["m"] for r in rows}), sorted(set().union(*(x for _, x in found)))
 
 
 def scan(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """doc_id, template_id, license, kind, containment, word (of the best window, from 0), n_windows."""
-    anchors, classes, shared = anchor_words(templates)
+    anchors, classes, shared = anchor_words(templates, least)
     known = prepared(templates).select("template_id", "license", "kind", "m", "t").withColumn("value", F.explode(band_values(F.col("t"))))
     if not anchors or known.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
