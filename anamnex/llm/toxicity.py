@@ -8,11 +8,11 @@
    decoded. Marks at either end that resemble letters are part of the lattice as well. When a document is scored, a separator or a gap
    between letters set apart may also be the end of a word, and a repeat of any length may be dropped: every word of
    these readings is looked up; between letters set apart, if a reading with it is at most MARGIN dearer than the best.
-3. The restored words and their beginnings are scored. A feature counts if, in the training documents, its share of
+3. The restored words and their beginnings are scored, and beginnings that two or more different words of a document
+   share, as one such word may be chance where several are not. A feature counts if, in the training documents, its share of
    toxic documents is at least STRONG, and above the base rate beyond chance (a Chernoff bound, held against the number
-   of features), and still LEFT_STRONG once the documents of all stronger
-   features are taken away. A document's score is the noisy-or over
-   its words.
+   of features), and still LEFT_STRONG once the documents of all stronger features are taken away, or else beyond
+   chance as at first once those of any one of them are. A document's score is the noisy-or over its words.
 
 Training documents are the labelled ones outside the held-out fold, at most `most` of them, by hash of the id. Labels,
 language, source and id are never inputs of a score. Null and empty texts get the score of a document without
@@ -181,6 +181,16 @@ def features(word: str) -> list[str]:
     return out
 
 
+#: Letters of a beginning that several words share.
+SHARED = 5
+
+
+def document_features(words: set[str]) -> set[str]:
+    """Features of the words, and of beginnings that more than one of them has."""
+    shared = Counter(w[:SHARED] for w in words if len(w) >= SHARED)
+    return {f for w in words if w for f in features(w)} | {"2" + b for b, n in shared.items() if n > 1}
+
+
 def restored_word(token: str, model: CharModel) -> str:
     word = core(token)
     return restore_word(word, model) if disguised(word) else word.strip(MARK_LETTERS)
@@ -319,23 +329,29 @@ class Model:
                 own = letter_runs(f[1:])
                 self.by_letters.setdefault("".join(r[0] for r in own), []).append(([len(r) for r in own], p))
 
-    def scores(self, texts: list[str], known: dict[str, float]) -> list[float]:
-        """known: the evidence of tokens that were met before."""
+    def scores(self, texts: list[str], known: dict[str, tuple[float, str]]) -> list[float]:
+        """known: the evidence of tokens that were met before, and the word that each is if its beginning counts when shared."""
         out, heads = [], self.heads
         for text in texts:
             text = text.lower()
-            clean = 1 - self.none
+            clean, sharing = 1 - self.none, set()
             for t in set(text.split()):
                 if t.isalpha() and t[:2] not in heads and t[:1] != t[1:2]:
                     continue  # no spelling of it begins as evidence does
-                if (p := known.get(t)) is None:
-                    p = self.evidence(t)
+                if (found := known.get(t)) is None:
+                    found = self.evidence(t), self.sharing(t)
                     if len(t) <= KNOWN_CHARS:
                         if len(known) > KNOWN_TOKENS:
                             known.clear()
-                        known[t] = p
+                        known[t] = found
+                p, word = found
                 if p:
                     clean *= 1 - p
+                if word:
+                    sharing.add(word)
+            for beginning, n in Counter(w[:SHARED] for w in sharing).items():
+                if n > 1:
+                    clean *= 1 - self.weights["2" + beginning]
             for m in APART.finditer(text):
                 clean *= 1 - self.evidence_apart(m[0])
             out.append(1 - clean)
@@ -350,6 +366,11 @@ class Model:
                     best = max(best, self.read(core(piece)))
         return best
 
+    def sharing(self, token: str) -> str:
+        """The word that a token is, if its beginning is evidence once several words share it; or ''."""
+        word = restored_word(token, self.chars)
+        return word if len(word) >= SHARED and "2" + word[:SHARED] in self.weights else ""
+
     def read(self, word: str) -> float:
         """The weight of the likeliest spelling, and of the one where all that can be a letter is one."""
         best = self.weight(restored_word(word, self.chars))
@@ -409,7 +430,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING, text: s
             for t, y in zip(b.column(0), b.column(1).to_pylist()):
                 low = (t.as_py() or "").lower()
                 words = {restored_word(x, chars) for x in set(low.split()) | set(set_apart(low))}
-                found = {f for w in words if w for f in features(w)}
+                found = document_features(words)
                 every.update(found)
                 if y:
                     pos.update(found)
@@ -430,19 +451,29 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING, text: s
             for t in b.column(0):
                 low = (t.as_py() or "").lower()
                 words = {restored_word(x, chars) for x in set(low.split()) | set(set_apart(low))}
-                rows.append(sorted({number[f] for w in words if w for f in features(w) if f in number}))
+                rows.append(sorted({number[f] for f in document_features(words) if f in number}))
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(rows, pa.list_(pa.int32()))], names=["toxic", "own"])
 
     found = own.mapInArrow(held, "toxic int, own array<int>").where(F.size("own") > 0).toArrow()  # at most `most` rows
-    weights = {strong[k]: p for k, p in decision_list(found["own"].to_pylist(), found["toxic"].to_pylist(), len(strong), rate, math.log(2 * max(1, len(strong))))}
+    weights = {strong[k]: p for k, p in decision_list(found["own"].to_pylist(), found["toxic"].to_pylist(), len(strong), rate, math.log(2 * max(1, len(strong))), enough)}
     return Model(chars, weights, min(0.1, rate / 5))
 
 
-def decision_list(own: list[list[int]], toxic: list[int], size: int, rate: float, enough: float) -> list[tuple[int, float]]:
+def evidence_of(n: int, positive: int, rate: float) -> float:
+    """How far n documents, of which so many are toxic, are beyond chance, as a logarithm; 0 below LEFT_STRONG."""
+    p = positive / max(1, n)
+    if p < LEFT_STRONG:
+        return 0.0
+    return n * (p * math.log(p / rate) + ((1 - p) * math.log((1 - p) / (1 - rate)) if p < 1 else 0.0))
+
+
+def decision_list(own: list[list[int]], toxic: list[int], size: int, rate: float, enough: float, sure: float = math.inf) -> list[tuple[int, float]]:
     """Features one after the other, each by what it says of the documents that none before it is in.
 
     Words that only stand beside a telling word, as in copies of one document, say nothing once its documents are gone.
-    enough: the evidence that a feature must still have, as a logarithm; only features that passed the first test come here.
+    enough: the evidence that a feature must still have, as a logarithm; only features that passed the first test come
+    here. Others count as well if no single one of those before explains them: without the documents of any one, what is
+    left must be as sure as in the first test.
     """
     docs: list[list[int]] = [[] for _ in range(size)]
     pos, every = [0] * size, [0] * size
@@ -451,17 +482,11 @@ def decision_list(own: list[list[int]], toxic: list[int], size: int, rate: float
             docs[f].append(d)
             every[f] += 1
             pos[f] += y
-
-    def gain(f: int) -> float:
-        n, p = every[f], pos[f] / max(1, every[f])
-        if p < LEFT_STRONG:
-            return 0.0
-        return n * (p * math.log(p / rate) + ((1 - p) * math.log((1 - p) / (1 - rate)) if p < 1 else 0.0))
-
+    whole = list(zip(every, pos))
     gone, out = [False] * len(own), []
     while size:
-        best = max(range(size), key=lambda f: (gain(f), -f))
-        if gain(best) <= enough:
+        best = max(range(size), key=lambda f: (evidence_of(every[f], pos[f], rate), -f))
+        if evidence_of(every[best], pos[best], rate) <= enough:
             break
         out.append((best, (pos[best] + 0.5) / (every[best] + 1)))
         for d in docs[best]:
@@ -470,12 +495,19 @@ def decision_list(own: list[list[int]], toxic: list[int], size: int, rate: float
                 for f in own[d]:
                     every[f] -= 1
                     pos[f] -= toxic[d]
+    chosen = {f for f, _ in out}
+    for f in set(range(size)) - chosen:
+        n, positive = whole[f]
+        beside = Counter(g for d in docs[f] for g in own[d] if g in chosen)
+        beside_toxic = Counter(g for d in docs[f] if toxic[d] for g in own[d] if g in chosen)
+        if evidence_of(n, positive, rate) > sure and all(evidence_of(n - k, positive - beside_toxic[g], rate) > sure for g, k in beside.items()):
+            out.append((f, (positive + 0.5) / (n + 1)))
     return out
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Append the score (0 to 1) of a text column."""
-    known: dict[str, float] = {}
+    known: dict[str, tuple[float, str]] = {}
 
     def make(column: pa.Array) -> list:
         return [pa.array(model.scores([t.as_py() or "" for t in column], known), pa.float64())]

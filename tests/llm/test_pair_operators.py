@@ -365,6 +365,17 @@ def test_copies_do_not_teach(spark):
     own = [[0, 1]] * 30 + [[0]] * 10 + [[2]] * 20
     weights = dict(toxicity.decision_list(own, [1] * 60, 3, 0.1, 5.0))
     assert set(weights) == {0, 2}
+    # beside different telling words, a word tells as well; beside one of them alone it doesn't
+    own = [[0, 3]] * 20 + [[1, 3]] * 20 + [[0, 4]] * 20 + [[0]] * 30 + [[1]] * 30
+    assert set(dict(toxicity.decision_list(own, [1] * 120, 5, 0.1, 5.0, 12.0))) == {0, 1, 3}
+
+
+def test_beginnings_that_several_words_share(spark):
+    chars = toxicity.learn(*toxic_corpus(spark)).chars
+    model = toxicity.Model(chars, {"2grumb": 0.9}, 0.01)
+    texts = ["grumble", "grumble grumble", "grumble grumbling", "gr-umble, GRUMBLER!", "grumb grumbles", "rumble rumbling"]
+    assert [p >= toxicity.THRESHOLD for p in model.scores(texts, {})] == [False, False, True, True, True, False]
+    assert toxicity.document_features({"grumble", "grumbling", "x"}) >= {"2grumb", "=x"} and "2grumb" not in toxicity.document_features({"grumble"})
 
 
 def test_training_never_sees_the_held_out_fold(spark):

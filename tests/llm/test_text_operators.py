@@ -280,6 +280,19 @@ def test_other_ways_of_large_template_tables(spark, monkeypatch):
     assert sorted(map(tuple, licenses.scan(df, licenses.default_templates(spark)).collect())) == want
 
 
+def test_anchors_are_in_every_match():
+    r = random.Random(3)
+    for _ in range(300):
+        words = [r.choice("abcdefgh") * r.randint(1, 3) for _ in range(r.randint(5, 60))]
+        shingles = [hash(tuple(words[i : i + 5])) for i in range(len(words) - 4)]
+        chosen, some = licenses.anchors_of(words, shingles, 0.8)
+        distinct = sorted(set(shingles))
+        r.shuffle(distinct)
+        kept = set(distinct[: -(-len(distinct) * 4 // 5)])
+        assert kept & some
+        assert any(set(words[i : i + 5]) & chosen for i, h in enumerate(shingles) if h in kept)
+
+
 def test_windows_rarely_miss_their_templates(spark):
     """A template of one shingle, anywhere in a text."""
     r, template = random.Random(11), licenses.TEMPLATES[2][2]
