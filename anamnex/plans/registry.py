@@ -479,7 +479,7 @@ def journals(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT k.person_id, f.status, f.note, 0, k.n FROM family_v f JOIN (SELECT dedup_base, arg_min(person_id, lab_result_id) AS person_id, count(*) AS n FROM (SELECT l.person_id, k.* FROM lab_result l JOIN keyed k USING (lab_result_id)) GROUP BY 1) k USING (dedup_base))
   WHERE status IN ('superseded', 'erroneous-in-source', 'merged-into') GROUP BY 1, 2, 3""", "lab_result", "ruling", verdicts=True))
 def curation_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rulings by person."""
+    """Rulings by person."""
     return render.curation_groups(catalog(spark, sf_dir)).select("person_id", "heading", "note", "verdicts", "rows")
 
 
@@ -549,4 +549,4 @@ def doubled_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from . import registry_sources, registry_texts, registry_verbs  # noqa: E402, F401  (they register their queries)
-from . import registry_fronts  # noqa: E402, F401
+from . import registry_fronts, registry_more  # noqa: E402, F401
