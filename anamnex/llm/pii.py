@@ -11,6 +11,8 @@ phone numbers are exactly the leftmost non-overlapping matches of these patterns
 
 Cues add two more kinds: `account` (a number or IBAN after such a word) and `secret` (what a password, token or key is
 set to, AWS key ids, and logins inside URLs). Null texts count as empty. Offsets are code points, ends exclusive.
+Texts of any length count whole; repeated rows get equal spans; other columns pass through, and input columns with the
+name of an output are replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations

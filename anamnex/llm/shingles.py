@@ -37,8 +37,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
-def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """Sorted, distinct shingles of each text."""
+#: Characters of a text whose words are hashed at once; longer texts go in parts that end at white space.
+PART = 1 << 20
+ANY_SPACE = re.compile(r"\s")
+
+
+def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts, and where each text's begin."""
     plain = [OTHER_SPACE.sub(" ", t) if not t.isascii() else t for t in (t.lower() for t in texts)]
     parts = [t.encode("utf-8", "surrogatepass") for t in plain]
     raw = np.frombuffer(b" " + b" ".join(parts) + b" ", np.uint8)
@@ -49,13 +54,38 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     up, down = powers(1 << max(20, int(len(raw)).bit_length()))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)])
     word = mixed((total[ends] - total[starts]) * down[starts])
-    first = np.searchsorted(starts, np.concatenate([[0], ends_of_text]) + 1)  # the first word of each text
+    return word, np.searchsorted(starts, np.concatenate([[0], ends_of_text]) + 1)
+
+
+def long_text_words(text: str) -> np.ndarray:
+    out, start = [], 0
+    while start < len(text):
+        space = ANY_SPACE.search(text, start + PART) if start + PART < len(text) else None
+        end = space.start() if space else len(text)
+        out.append(hashed_words([text[start:end]])[0])
+        start = end
+    return np.concatenate(out)
+
+
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """Sorted, distinct shingles of each text."""
+    if any(len(t) > PART for t in texts):
+        out = []
+        for t in texts:
+            word, first = (w := long_text_words(t), np.array([0, len(w)])) if len(t) > PART else hashed_words([t])
+            out += sets_of(word, first.tolist())
+        return out
+    word, first = hashed_words(texts)
+    return sets_of(word, first.tolist())
+
+
+def sets_of(word: np.ndarray, first: list[int]) -> list[np.ndarray]:
     many = np.zeros(max(0, len(word) - WORDS + 1), np.uint64)
     for k in range(WORDS):
         many = many * STEP + word[k : k + len(many)]
     many = mixed(many)
     out = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+    for a, b in zip(first[:-1], first[1:]):
         if b - a >= WORDS:
             got = np.sort(many[a : b - WORDS + 1])
             if len(got) > 1:

@@ -116,6 +116,14 @@ def test_shingles_equal_tuples():
             assert len(np.intersect1d(got[a], got[b])) == len(want[a] & want[b])
 
 
+def test_long_texts_in_parts_have_the_same_shingles(monkeypatch):
+    texts = [t or "" for t in corpus()] + ["ΟΔΟΣ ΣΑΣ " * 50, "w" * 3000, " " * 500]
+    want = shingles.shingle_sets(texts)
+    monkeypatch.setattr(shingles, "PART", 37)
+    got = shingles.shingle_sets(texts)
+    assert len(got) == len(want) and all(np.array_equal(a, b) for a, b in zip(got, want))
+
+
 def test_bayesian_thresholds():
     stops = jaccard.fewest_matches(0.8, 1e-6)
     assert len(stops) == 4 and stops == sorted(stops) and stops[-1] < 0.8 * 64
