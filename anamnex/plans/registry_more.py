@@ -17,15 +17,15 @@ from . import sql
 from .bridge import DICTIONARY, catalog, view
 from .registry import ORACLES, query
 from .registry_fronts import done
-from .registry_verbs import _CONFLICTS, NOW, _conflicted, commit_outcomes
+from .registry_verbs import _CONFLICTS, NOW, _conflicted, commit_types
 
 _FIRSTS = "firsts AS (SELECT *, row_number() OVER (ORDER BY lab_result_id) AS k FROM (SELECT *, row_number() OVER (PARTITION BY head ORDER BY lab_result_id) AS n FROM open_c) WHERE n = 1)"
 
 
-@query("SELECT record_type, count(*) FILTER (WHERE outcome = 'new') AS new, count(*) FILTER (WHERE outcome = 'duplicate') AS duplicate, count(*) FILTER (WHERE outcome = 'conflict') AS conflict FROM (" + ORACLES["commit_outcomes"] + ") GROUP BY 1")
+@query("SELECT record_type, count(*) FILTER (WHERE outcome = 'new') AS new, count(*) FILTER (WHERE outcome = 'duplicate') AS duplicate, count(*) FILTER (WHERE outcome = 'conflict') AS conflict FROM (" + ORACLES["commit_types"] + ") GROUP BY 1")
 def commit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes counted by type."""
-    found = commit_outcomes(spark, sf_dir)
+    found = commit_types(spark, sf_dir)
     return found.groupBy("record_type").agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in ("new", "duplicate", "conflict")))
 
 

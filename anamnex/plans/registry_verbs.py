@@ -69,7 +69,7 @@ JOIN (SELECT b, min({pk}) AS first, arg_min(says, {pk}) AS first_says FROM {t}_r
 @query(sql.with_views(
     ", " + ", ".join(f"{t}_r AS (SELECT t.{t}_id, {base_sql(t)} AS b, {_says(t, 't')} AS says, {sql.date_only(TIME[t])} < '{BEFORE[t]}' AS stored FROM {t} t)" for t in DENSE) + " " + " UNION ALL ".join(map(_commit_sql, DENSE)), *DENSE,
 ))
-def commit_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def commit_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows of five types submitted where those of before a day are stored: new, duplicate or conflict, and with which row."""
     cat, out = catalog(spark, sf_dir), None
     for t in DENSE:
