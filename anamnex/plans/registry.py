@@ -396,13 +396,13 @@ def lab_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(sql.with_views("""
-, left_over AS (SELECT k.* FROM keyed k WHERE lab_result_id % 7 <> 0)
-SELECT 'row is gone' AS problem, 'lab_result' AS record_type, ruled_id AS record_id, dedup_base FROM ruled WHERE NOT family AND ruled_id % 7 = 0
+, left_over AS (SELECT k.* FROM keyed k JOIN lab_result l USING (lab_result_id) WHERE l.flag IS DISTINCT FROM 'H')
+SELECT 'row is gone' AS problem, 'lab_result' AS record_type, ruled_id AS record_id, dedup_base FROM ruled WHERE NOT family AND ruled_id IN (SELECT lab_result_id FROM lab_result WHERE flag = 'H')
 UNION ALL SELECT 'no-live-family', 'lab_result', 0, dedup_base FROM family_v WHERE dedup_base NOT IN (SELECT dedup_base FROM left_over)""", "lab_result", "ruling", verdicts=True))
 def curation_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts that point at nothing once every seventh lab row is gone."""
+    """Verdicts that point at nothing once all labs that are flagged high are gone."""
     cat = catalog(spark, sf_dir)
-    return registryops.curation_problems(cat.with_tables(lab_result=cat["lab_result"].where("lab_result_id % 7 <> 0")))
+    return registryops.curation_problems(cat.with_tables(lab_result=cat["lab_result"].where("NOT coalesce(flag = 'H', false)")))
 
 
 @query(sql.with_views("SELECT medication_id, status FROM medication WHERE status IS NOT NULL AND lower(trim(status)) NOT IN ('', 'completed', 'stopped', 'discontinued', 'active')", "medication"))
