@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, infill, jaccard, licenses, neardup, packing, pii, toxicity, wordpiece
+from . import ann, bpe, chat, infill, jaccard, licenses, merkle, neardup, packing, pii, toxicity, wordpiece
 from .common import table
 
 
@@ -69,6 +69,12 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_turns(chat.turn_rows(rows)))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle.checked(docs, merkle.leaf(*(F.when(tampered, merkle.lower_ascii(F.col(c))).otherwise(F.col(c)) if c == "text" else F.col(c) for c in merkle.FIELDS)))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digest(infill.transform(table(spark, sf_dir, "documents").select("doc_id", "text"), seed=1))
 
@@ -76,9 +82,50 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_nearest_neighbours, op2_token_counts, op3_embedding_near_dedup, op4_toxicity, op5_best_fit_packing,
     op6_license_scan, op7_pii, op8_bpe, op9_ngram_jaccard_join, op10_chat_formatting,
-    op12_fill_in_middle,
+    op11_merkle_manifest, op12_fill_in_middle,
 )}
 
+#: Levels of 16 that the SQL below unrolls: trees of up to 16 ** LEVELS leaves.
+LEVELS = 5
+
+
+def merkle_sql() -> str:
+    """The manifest as SQL, its levels one after another."""
+    crc = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+    leaf = lambda text: "sha256(" + " || ".join(f"coalesce(strlen(CAST({v} AS VARCHAR)) || ':' || CAST({v} AS VARCHAR), '-')" for v in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    steps = [
+        f"rows AS (SELECT doc_id, coalesce('=' || source, '') AS tree, {leaf('text')} AS d, CASE WHEN {crc} % 5 = 0 THEN {leaf('translate(text, $$ABCDEFGHIJKLMNOPQRSTUVWXYZ$$, $$abcdefghijklmnopqrstuvwxyz$$)')} ELSE {leaf('text')} END AS found FROM documents)",
+        "s0 AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, d) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM rows)",
+        "s_p0 AS (SELECT tree, i AS leaf_i, i, '' AS proof, found AS folded FROM s0)",
+        *unrolled("s"),
+        "f0 AS (SELECT '' AS tree, tree AS of, d, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM s_top)",
+        "f_p0 AS (SELECT tree, i AS leaf_i, i, '' AS proof, d AS folded FROM f0)",
+        *unrolled("f"),
+    ]
+    fold = "p.folded"
+    last = f"SELECT tree, leaf_i, proof, folded FROM s_p{LEVELS}"
+    for k in range(LEVELS):  # the forest's levels, from the source's folded root
+        steps.append(f"u{k} AS (SELECT c.leaf_i, c.k, c.l, c.r FROM f_sides c WHERE c.k = {k})")
+        last = f"SELECT p.tree, p.leaf_i, p.proof || coalesce(u.l || u.r, '') AS proof, CASE WHEN u.k IS NULL THEN {fold} ELSE sha256(u.l || {fold} || u.r) END AS folded FROM ({last}) p JOIN f0 ON f0.of = p.tree LEFT JOIN u{k} u ON u.leaf_i = f0.i"
+    return (
+        f"WITH {', '.join(steps)}, folds AS ({last}) SELECT s0.doc_id, s0.d AS leaf, s_top.d AS subroot, f_top.d AS root, sha256(folds.proof) AS proof_sha256, folds.folded AS folded_root, folds.folded = f_top.d AS verified "
+        "FROM s0 JOIN s_top ON s_top.tree = s0.tree JOIN folds ON folds.tree = s0.tree AND folds.leaf_i = s0.i CROSS JOIN f_top"
+    )
+
+
+def unrolled(t: str) -> list[str]:
+    """Levels of the trees in {t}0: their runs {t}_g, roots {t}_top, paths {t}_p and sides of each leaf {t}_sides."""
+    out, tops, sides = [], [f"SELECT tree, d FROM {t}0 WHERE n = 1"], []
+    for k in range(LEVELS):
+        out.append(f"{t}_g{k} AS (SELECT tree, i // 16 AS i, any_value(n) AS n, list(d ORDER BY i) AS ds FROM {t}{k} WHERE n > 1 GROUP BY tree, i // 16)")
+        out.append(f"{t}{k + 1} AS (SELECT tree, i, (n + 15) // 16 AS n, sha256(array_to_string(ds, '')) AS d FROM {t}_g{k})")
+        tops.append(f"SELECT tree, d FROM {t}{k + 1} WHERE n = 1")
+        out.append(f"{t}_q{k} AS (SELECT p.*, coalesce(array_to_string(g.ds[1:p.i % 16], ''), '') AS l, coalesce(array_to_string(g.ds[p.i % 16 + 2:], ''), '') AS r, g.i IS NOT NULL AS more FROM {t}_p{k} p LEFT JOIN {t}_g{k} g ON g.tree = p.tree AND g.i = p.i // 16)")
+        out.append(f"{t}_p{k + 1} AS (SELECT tree, leaf_i, i // 16 AS i, CASE WHEN more THEN proof || l || r ELSE proof END AS proof, CASE WHEN more THEN sha256(l || folded || r) ELSE folded END AS folded FROM {t}_q{k})")
+        sides.append(f"SELECT leaf_i, {k} AS k, l, r FROM {t}_q{k} WHERE more")
+    return [*out, f"{t}_top AS ({' UNION ALL '.join(tops)})", f"{t}_sides AS ({' UNION ALL '.join(sides)})"]
+
+
 ORACLE_SQL: dict[str, str] = {
     "op10_chat_formatting": """
 WITH rows AS (
@@ -97,6 +144,7 @@ SELECT conv_id, count(*) AS n_turns,
   sum(n)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id
 """,
+    "op11_merkle_manifest": merkle_sql(),
     "op12_fill_in_middle": """
 WITH cut AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
