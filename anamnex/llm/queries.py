@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, infill, jaccard, licenses, merkle, neardup, packing, pii, toxicity, wordpiece
+from . import ann, bpe, chat, infill, jaccard, licenses, merkle, neardup, packing, pii, quality, toxicity, wordpiece
 from .common import table
 
 
@@ -79,10 +79,15 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digest(infill.transform(table(spark, sf_dir, "documents").select("doc_id", "text"), seed=1))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_removed")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_nearest_neighbours, op2_token_counts, op3_embedding_near_dedup, op4_toxicity, op5_best_fit_packing,
     op6_license_scan, op7_pii, op8_bpe, op9_ngram_jaccard_join, op10_chat_formatting,
-    op11_merkle_manifest, op12_fill_in_middle,
+    op11_merkle_manifest, op12_fill_in_middle, op13_quality_rules,
 )}
 
 #: Levels of 16 that the SQL below unrolls: trees of up to 16 ** LEVELS leaves.
@@ -166,5 +171,35 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT)
   sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
   sha256(text) AS restored_sha256
 FROM parts
+""",
+    "op13_quality_rules": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS text FROM documents
+), counted AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM docs
+), windows AS (
+  SELECT r, i, md5(array_to_string(words[i:i + 7], ' ')) AS w FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM counted WHERE len(words) >= 8)
+), again AS (
+  SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, w) > 1
+), repeats AS (
+  SELECT r, count(DISTINCT pos) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS pos FROM again) GROUP BY r
+), lines AS (
+  SELECT r, host, md5(text) AS document, regexp_replace(lower(array_to_string(regexp_extract_all(x, '[^\x20\x09-\x0D]+'), ' ')), '[0-9]+', '0', 'g') AS line, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n
+  FROM (SELECT r, host, text, unnest(lines) AS x FROM counted)
+), hosts AS (
+  SELECT host, count(DISTINCT md5(text)) AS size FROM docs GROUP BY host
+), above AS (
+  SELECT host, line FROM lines JOIN hosts USING (host) GROUP BY host, line, size HAVING count(DISTINCT document) > 10 AND count(DISTINCT document) * 100 > size
+), removed AS (
+  SELECT r, CAST(sum(n) AS BIGINT) AS gone FROM lines JOIN above USING (host, line) GROUP BY r
+), judged AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    coalesce(repeats.n, 0) AS n_repeat_words, coalesce(gone, 0) AS words_removed
+  FROM counted LEFT JOIN repeats USING (r) LEFT JOIN removed USING (r)
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (words_removed > 0 AND (n_words - words_removed < 20 OR 2 * (n_words - words_removed) < n_words)) AS kept
+FROM judged
 """,
 }
