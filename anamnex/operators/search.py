@@ -5,11 +5,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.plan import settled
 from ..plans.catalog import Catalog
@@ -111,59 +110,11 @@ def find(catalog: Catalog, query: str, slug: str | None = None, snippets: bool =
     found = found.join(catalog["person"].select("person_id", "slug"), "person_id")
     out = found.select("source_table", "source_id", "person_id", "document_id", "slug", "text", score.alias("rank"))
     if snippets:
-        out = out.withColumn("snippet", snippet(wanted)(F.col("text")))
+        out = with_snippet(out, wanted)
     return out.orderBy("rank", "source_table", "source_id")
 
 
-#: Shards of the stored index, and about how many rows of one go to a task, so that a very common token is not one task.
-POSTING_SHARDS, POSTING_ROWS = 256, 2_000_000
-
-
-def write_postings(catalog: Catalog, path: str) -> None:
-    """The index as tables: postings (shard, token, record, positions, len), pruned by shard of the token, and its statistics."""
-    index = settled(record_text(catalog), tokens=tokens(F.col("text")))
-    stats = index.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
-    stats.write.mode("errorifexists").parquet(f"{path}/stats")
-    rows = index.select("source_table", "source_id", "person_id", "document_id", F.size("tokens").alias("len"), F.posexplode("tokens").alias("pos", "token"))
-    rows = rows.groupBy("token", "source_table", "source_id", "person_id", "document_id", "len").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    shard = F.pmod(F.xxhash64("token"), F.lit(POSTING_SHARDS)).cast("int")
-    rows = rows.withColumn("shard", shard)
-    sizes = rows.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(POSTING_ROWS)).cast("int").alias("parts"))  # at most POSTING_SHARDS rows
-    rows = rows.join(F.broadcast(sizes), "shard").withColumn("part", F.pmod(F.xxhash64("source_table", "source_id"), F.col("parts")))
-    rows.repartition("shard", "part").drop("parts", "part").sortWithinPartitions("token").write.mode("errorifexists").partitionBy("shard").parquet(f"{path}/postings")
-
-
-def find_in_postings(catalog: Catalog, path: str, query: str, slug: str | None = None) -> DataFrame:
-    """find() over stored postings: only the shards of the query's tokens are read. Records and ranks are the same; there are no texts."""
-    spark, wanted = catalog.spark, phrases(query)
-    words = sorted({t for p in wanted for t in p})
-    if not words:
-        return spark.createDataFrame([], "source_table string, source_id bigint, person_id bigint, document_id bigint, slug string, rank double")
-    stats = spark.read.parquet(f"{path}/stats").first()
-    shards = [r[0] for r in spark.createDataFrame([(w,) for w in words], "token string").select(F.pmod(F.xxhash64("token"), F.lit(POSTING_SHARDS)).cast("int")).distinct().collect()]
-    rows = spark.read.parquet(f"{path}/postings").where(F.col("shard").isin(*shards) & F.col("token").isin(*words))
-    by_record = rows.groupBy("source_table", "source_id", "person_id", "document_id", "len").agg(*(F.first(F.when(F.col("token") == w, F.col("positions")), ignorenulls=True).alias(f"w{k}") for k, w in enumerate(words)))
-
-    def places(phrase: list[str]) -> Column:
-        """Where a phrase begins: the places of each word, moved back by its distance from the first."""
-        out = F.col(f"w{words.index(phrase[0])}")
-        for d, w in enumerate(phrase[1:], 1):
-            out = F.array_intersect(out, F.transform(F.col(f"w{words.index(w)}"), _moved_back(d)))
-        return F.coalesce(F.size(out), F.lit(0))
-
-    hit = settled(by_record, **{f"tf{k}": F.greatest(places(p), F.lit(0)) for k, p in enumerate(wanted)})
-    dfs = hit.agg(*(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(wanted)))).first()
-    score = F.lit(0.0)
-    for k in range(len(wanted)):
-        score = score - bm25(F.col(f"tf{k}"), F.col("len"), stats["n"], dfs[f"df{k}"], stats["avg_len"])
-    found = hit.where(" AND ".join(f"tf{k} > 0" for k in range(len(wanted))))
-    if slug is not None:
-        found = found.where(F.col("person_id") == person_id(catalog, slug))
-    found = found.join(catalog["person"].select("person_id", "slug"), "person_id")
-    return found.select("source_table", "source_id", "person_id", "document_id", "slug", score.alias("rank")).orderBy("rank", "source_table", "source_id")
-
-
-def _moved_back(by: int):
+def moved_back(by: int):
     return lambda x: x - by
 
 
@@ -172,30 +123,88 @@ def bm25(tf: Column, length: Column, n: int, df: int, mean: float | None) -> Col
     return F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean or 1.0)))
 
 
-def snippet(wanted: list[list[str]], most: int = SNIPPET_TOKENS):
-    """A pandas UDF that cuts the tokens around the first hit, hits in brackets, dots where text goes on."""
-
-    def one(text: str) -> str:
-        spans = [(m.start(), m.end(), folded(m[0])) for m in re.finditer(r"[^\W_]+", text)]
-        marked = [False] * len(spans)
-        for p in wanted:
-            for i in range(len(spans) - len(p) + 1):
-                if [s[2] for s in spans[i : i + len(p)]] == p:
-                    marked[i : i + len(p)] = [True] * len(p)
-        if not any(marked):
-            return text
-        first = marked.index(True)
-        start = max(0, min(first, len(spans) - most))
-        end = min(len(spans), start + most)
-        out, at = "", spans[start][0] if start else 0
-        for i in range(start, end):
-            a, b, _ = spans[i]
-            out += text[at:a] + (f"[{text[a:b]}]" if marked[i] else text[a:b])
-            at = b
-        return ("..." if start else "") + out + ("..." if end < len(spans) else text[at:])
-
-    @F.pandas_udf(T.StringType())
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(one, na_action="ignore")
-
-    return cut
+#: A token with the marks inside it: what tokens() finds in the folded text, found in the text itself.
+_TOKEN = r"[\p{L}\p{N}](?:[\p{L}\p{N}]|\p{Mn})*"
+#: What stands before a token that begins a sentence.
+_SENTENCE_END = r"[.:][ \t\n\r]+\z"
+#: A window's points: for a phrase that is in it, for each further place of one, and for a start with a sentence or the text.
+PHRASE_POINTS, SENTENCE_POINTS, TEXT_POINTS = 1000, 100, 120
+
+
+def with_snippet(df: DataFrame, wanted: list[list[str]], text: str = "text", most: int = SNIPPET_TOKENS, out: str = "snippet") -> DataFrame:
+    """Append the best window of `most` tokens: hits in brackets, dots where the text goes on.
+
+    Windows that begin at a hit are scored by the phrases in them and then by further hits; so are windows that begin at
+    the sentence of a hit, which count a little more. The first of the best is taken. One that begins at a hit is moved
+    back, so that its hits stand in the middle. Only what lies within a window is looked at for each, so that the work
+    grows with the text and not with the square of its hits. A text without hits gives its first tokens.
+    """
+    own = [F.col(f"`{c}`") for c in df.columns if c != out]
+    df = settled(df, __raw=F.regexp_extract_all(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(f"({_TOKEN})"), 1), __gap=F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), _TOKEN, -1))
+    df = settled(df, __tok=F.transform("__raw", folded_column), __n=F.size("__raw"))
+    at = {f"__b{k}": _begins(F.col("__tok"), p) for k, p in enumerate(wanted)}
+    df = settled(df, **at)
+    longest = max(map(len, wanted))
+    sizes = F.transform("__tok", lambda t, i: F.greatest(F.lit(0), *(F.when(F.get(F.col(b), i), F.lit(len(p))).otherwise(0) for b, p in zip(at, wanted))))
+    last = F.transform("__tok", lambda t, i: F.coalesce(*(F.when(F.get(F.col(b), i), F.lit(len(p))) for b, p in reversed(list(zip(at, wanted)))), F.lit(0)))  # of several phrases there, the last one's
+    df = settled(df, __size=sizes, __last=last, __first=F.filter(F.transform("__tok", lambda t, i: F.when((i == 0) | F.get(F.col("__gap"), i).rlike(_SENTENCE_END), i)), lambda i: i.isNotNull()))
+
+    def points(start: Column) -> Column:
+        each = (F.size(F.filter(F.slice(F.col(b), start + 1, most), lambda x: x)) for b in at)
+        return reduce(lambda a, n: a + F.when(n > 0, n + PHRASE_POINTS - 1).otherwise(0), each, F.lit(0))
+
+    def centred(i: Column) -> Column:
+        """Where the window of the hits that begin with the one at i goes."""
+        rest = F.slice(F.col("__last"), i + 1, most)
+        end = i + F.aggregate(rest, F.struct(F.lit(0).alias("at"), F.lit(0).alias("end")), lambda a, x: F.struct((a["at"] + 1).alias("at"), F.when(x > 0, a["at"] + x).otherwise(a["end"]).alias("end")))["end"]
+        back = F.lit(most) - (end - i)
+        return F.greatest(F.lit(0), F.least(i - F.when(back < 0, F.ceil(back / 2)).otherwise(F.floor(back / 2)).cast("int"), F.col("__n") - most))
+
+    place = lambda score, order, start: F.struct(score.cast("int").alias("score"), (-order).cast("int").alias("order"), start.cast("int").alias("start"))
+    hits_at = F.filter(F.transform("__size", lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull())
+    direct = F.transform(hits_at, lambda i: place(points(i), 2 * i, centred(i)))
+
+    def of_sentence(f: Column, j: Column) -> Column:
+        """The window that begins at a sentence, as met at the sentence's first hit after its first token."""
+        end = F.coalesce(F.get(F.col("__first"), j + 1), F.col("__n"))
+        inside = F.slice(F.col("__size"), f + 2, F.greatest(end - f - 1, F.lit(0)))
+        step = F.array_position(F.transform(inside, lambda x: x > 0), True)
+        return F.when(step > 0, place(points(f) + F.when(f == 0, TEXT_POINTS).otherwise(SENTENCE_POINTS), 2 * (f + step) + 1, f))
+
+    sentences = F.when(F.col("__n") > most, F.filter(F.transform("__first", of_sentence), lambda x: x.isNotNull())).otherwise(F.array().cast("array<struct<score:int,order:int,start:int>>"))
+    df = settled(df, __from=F.coalesce(F.array_max(F.concat(direct, sentences))["start"], F.lit(0)))
+    df = settled(df, __to=F.least(F.col("__from") + most, F.col("__n")))
+
+    def reaches(i: Column, least: int) -> Column:
+        """Whether a hit that begins `least` tokens or more before i holds it."""
+        found = F.lit(False)
+        for d in range(least, longest):
+            found = found | F.coalesce(F.get(F.col("__size"), i - d) > d, F.lit(False))
+        return found
+
+    begins = lambda i: F.coalesce(F.get(F.col("__size"), i) > 0, F.lit(False)) & ~reaches(i, 1)
+    window = F.when(F.col("__to") > F.col("__from"), F.sequence(F.col("__from"), F.col("__to") - 1)).otherwise(F.array().cast("array<int>"))
+    df = settled(df, __window=F.transform(window, lambda i: F.struct(i.alias("i"), reaches(i, 0).alias("held"), begins(i).alias("opens"), (~reaches(i + 1, 0) | begins(i + 1) | (i + 1 == F.col("__to"))).alias("ends"))))
+    opened = F.filter(F.transform("__window", lambda w: F.when(w["opens"], w["i"])), lambda i: i.isNotNull())
+    df = settled(df, __opened=F.array_min(opened))  # hits that began before the window are not marked
+
+    def shown(w: Column) -> Column:
+        marked = w["held"] & F.coalesce(F.col("__opened") <= w["i"], F.lit(False))
+        before = F.when((w["i"] == F.col("__from")) & (F.col("__from") > 0), "").otherwise(F.get(F.col("__gap"), w["i"]))
+        return F.concat(before, F.when(marked & w["opens"], "[").otherwise(""), F.get(F.col("__raw"), w["i"]), F.when(marked & w["ends"], "]").otherwise(""))
+
+    start = F.when(F.col("__from") > 0, "...").otherwise("")
+    end = F.when(F.col("__to") < F.col("__n"), "...").otherwise(F.get(F.col("__gap"), F.col("__n")))
+    return df.select(*own, F.when(F.col(f"`{text}`").isNotNull(), F.concat(start, F.array_join(F.transform("__window", shown), ""), end)).alias(out))
+
+
+def _begins(own: Column, phrase: list[str]) -> Column:
+    """For each token, whether the phrase begins there."""
+
+    def here(t: Column, i: Column) -> Column:
+        found = t == phrase[0]
+        for k, word in enumerate(phrase[1:], 1):
+            found = found & F.coalesce(F.get(own, i + k) == word, F.lit(False))
+        return found
+
+    return F.transform(own, here)

@@ -9,10 +9,12 @@ from __future__ import annotations
 import datetime as dt
 import json
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import partial
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,9 +58,9 @@ class Files:
     """The few file operations that snapshots need, through Hadoop, so that any store will do."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.jvm, self.root = spark._jvm, root.rstrip("/")
+        self.jvm, self.gateway, self.root, self.conf = spark._jvm, spark.sparkContext._gateway, root.rstrip("/"), spark._jsc.hadoopConfiguration()
         self.path_class = self.jvm.org.apache.hadoop.fs.Path
-        self.fs = self.path_class(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.fs = self.path_class(self.root).getFileSystem(self.conf)
 
     def path(self, name: str):
         return self.path_class(f"{self.root}/{name}")
@@ -74,15 +76,30 @@ class Files:
             stream.close()
 
     def write(self, name: str, text: str) -> None:
-        """Whole or not at all: a new file is renamed into place."""
-        made = self.path(f".{name.replace('/', '_')}.new")
-        stream = self.fs.create(made, True)
-        stream.write(bytearray(text.encode()))
-        stream.close()
+        """Whole or not at all: a new file is renamed over what was there, in one step."""
+        self._rename(name, text, "OVERWRITE")
+
+    def put(self, name: str, text: str) -> None:
+        """As write(), but fails if there is such a file: of several writers, one succeeds."""
+        self._rename(name, text, "NONE")
+
+    def _rename(self, name: str, text: str, how: str) -> None:
+        made = self.path(f".{name.replace('/', '_')}.{uuid.uuid4().hex}.new")
         self.fs.mkdirs(self.path(name).getParent())
-        self.fs.delete(self.path(name), False)
-        if not self.fs.rename(made, self.path(name)):
-            raise SnapshotError(f"{name} could not be put in place")
+        stream = self.fs.create(made, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        kind = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.gateway.new_array(kind, 1)
+        options[0] = getattr(kind, how)
+        whole = [self.fs.makeQualified(p) for p in (made, self.path(name))]
+        try:
+            self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole[0].toUri(), self.conf).rename(*whole, options)
+        except Py4JJavaError as error:
+            self.fs.delete(made, False)
+            raise SnapshotError(f"{name} could not be put in place: {error.java_exception.getClass().getSimpleName()}") from None
 
     def names(self) -> list[str]:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self.path_class(self.root))) if self.exists() else []

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from anamnex.operators import clinical, commit, overlay, registryops, render, search, sections
+from anamnex.operators.segments import SegmentedIndex
 from anamnex.plans import bridge
 from anamnex.plans.catalog import Catalog
 from anamnex.functions import identity
@@ -146,12 +147,12 @@ def test_find(cat):
     assert search.find(cat, "...").count() == 0 and search.find(cat, "hba1c", "john-doe").count() == 1
 
 
-def test_postings_give_the_same(cat, tmp_path):
-    path = str(tmp_path / "index")
-    search.write_postings(cat, path)
-    for q, slug in (("hba1c", None), ("analisis HBA1C", "jane-doe"), ("for_jane", None), ("zinc", None), ("", None)):
-        a = [(r["source_table"], r["source_id"], round(r["rank"], 9)) for r in search.find(cat, q, slug, snippets=False).collect()]
-        assert [(r["source_table"], r["source_id"], round(r["rank"], 9)) for r in search.find_in_postings(cat, path, q, slug).collect()] == a
+def test_stored_index_gives_the_same(cat, tmp_path):
+    index = SegmentedIndex(cat.spark, str(tmp_path / "index"))
+    index.apply(search.record_text(cat))
+    for q in ("hba1c", "for_jane", ""):
+        a = [(r["source_table"], r["source_id"], round(r["rank"], 9)) for r in search.find(cat, q, snippets=False).collect()]
+        assert [(r["source_table"], r["source_id"], round(r["rank"], 9)) for r in index.find(q).collect()] == a
 
 
 def test_numbering_by_bucket(spark, monkeypatch):
