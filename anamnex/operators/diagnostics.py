@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import MOST_HELD, percentiles
+
 STALL_SECONDS = 30
 
 
-def ping_lines(lines: DataFrame, line: str = "value") -> DataFrame:
-    """(ts, ms, lost, marker, note) of log lines `yyyy-MM-dd HH:mm:ss.SSS rest`; other lines are passed over."""
+def ping_lines(lines: DataFrame, line: str = "value", **more: Column) -> DataFrame:
+    """(ts, ms, lost, marker, note) of log lines `yyyy-MM-dd HH:mm:ss.SSS rest`, and further columns of a line; other lines are passed over."""
     head = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3})\s+(.*)$"
-    df = lines.select(F.try_to_timestamp(F.regexp_extract(line, head, 1), F.lit("yyyy-MM-dd HH:mm:ss.SSS")).alias("ts"), F.regexp_extract(line, head, 2).alias("rest"))
+    df = lines.select(F.try_to_timestamp(F.regexp_extract(line, head, 1), F.lit("yyyy-MM-dd HH:mm:ss.SSS")).alias("ts"), F.regexp_extract(line, head, 2).alias("rest"), *(c.alias(n) for n, c in more.items()))
     stall = r"###\s*STALL MARKER\s*###\s*(.*)$"
     marker = F.col("rest").rlike(stall)
     ms = F.when(~marker, F.regexp_extract("rest", r"time[=<](\d+)\s*ms", 1).try_cast("double"))
     failed = F.col("rest").rlike("(?i)timed out|unreachable|General failure|transmit failed|could not find host")
     lost = ~marker & ms.isNull() & failed
-    df = df.select("ts", ms.alias("ms"), lost.alias("lost"), marker.alias("marker"), F.when(marker, F.trim(F.regexp_extract("rest", stall, 1))).alias("note"))
+    df = df.select("ts", ms.alias("ms"), lost.alias("lost"), marker.alias("marker"), F.when(marker, F.trim(F.regexp_extract("rest", stall, 1))).alias("note"), *more)
     return df.where(F.col("ts").isNotNull() & (F.col("ms").isNotNull() | F.col("lost") | F.col("marker")))
 
 
@@ -26,17 +30,22 @@ def micros(column: str) -> Column:
     return F.unix_micros(F.col(column).cast("timestamp"))
 
 
-def percentile(value: str, share: float) -> Column:
-    """Nearest rank: the value at ceil(share * n), counted from 1, in ascending order; nulls don't count."""
-    return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {value})")
-
-
-def ping_summary(samples: DataFrame, *by: str) -> DataFrame:
+def ping_summary(samples: DataFrame, *by: str, most: int = MOST_HELD) -> DataFrame:
+    """Counts of samples and losses, and round-trip times; percentiles are exact, and no task holds all times of a group."""
     out = samples.groupBy(*by).agg(
-        F.count("*").alias("samples"), F.count_if("lost").alias("lost"), F.round(100.0 * F.count_if("lost") / F.count("*"), 2).alias("loss_pct"), F.min("ms").alias("min_ms"),
-        percentile("ms", 0.5).alias("median_ms"), percentile("ms", 0.95).alias("p95_ms"), percentile("ms", 0.99).alias("p99_ms"), F.max("ms").alias("max_ms"),
+        F.count("*").alias("samples"), F.count_if("lost").alias("lost"), F.round(100.0 * F.count_if("lost") / F.count("*"), 2).alias("loss_pct"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"),
     )
-    return out
+    return with_percentiles(out, samples, "ms", {"median_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}, by, most)
+
+
+def with_percentiles(out: DataFrame, rows: DataFrame, value: str, shares: dict[str, float], by, most: int) -> DataFrame:
+    """out, a row for each group of rows, with the percentiles of a value; null where a group has no value."""
+    if not by:
+        found = percentiles(rows.withColumn("__all", F.lit(0)), value, shares, "__all", most=most)
+        return out.withColumn("__all", F.lit(0)).join(found, "__all", "left").drop("__all")
+    key = F.struct(*by).alias("__by")  # groups with null keys meet too
+    found = percentiles(rows.withColumn("__by", F.struct(*by)), value, shares, "__by", most=most)
+    return out.select("*", key).join(found, "__by", "left").drop("__by")
 
 
 def worst(samples: DataFrame, value: str = "ms", limit: int = 10) -> DataFrame:
@@ -44,12 +53,34 @@ def worst(samples: DataFrame, value: str = "ms", limit: int = 10) -> DataFrame:
     return samples.where(F.col(value).isNotNull()).orderBy(F.desc(value), "ts").limit(limit)
 
 
-def loss_bursts(samples: DataFrame, *by: str, least: int = 2, order=("ts",)) -> DataFrame:
-    """Runs of consecutive lost samples: their start and length."""
-    all_ = Window.partitionBy(*by).orderBy(*order)
-    lost = Window.partitionBy(*by, "lost").orderBy(*order)
-    islands = samples.withColumn("island", F.row_number().over(all_) - F.row_number().over(lost)).where("lost")
-    return islands.groupBy(*by, "island").agg(F.min("ts").alias("start"), F.count("*").alias("losses")).where(F.col("losses") >= least).drop("island")
+#: Seconds of samples that are searched for runs at once.
+BURST_SECONDS = 3600
+
+
+def loss_bursts(samples: DataFrame, *by: str, least: int = 2, order=("ts",), seconds: int = BURST_SECONDS) -> DataFrame:
+    """Runs of consecutive lost samples: their start and length. order begins with ts.
+
+    Runs are found within stretches of time, so that a host of any size is many tasks; of each stretch only the runs at its
+    ends, at most two, go on to be joined with those of the stretch before and after.
+    """
+    stretch = F.floor(micros("ts") / F.lit(seconds * 1_000_000)).alias("stretch")
+    own = samples.select(*by, "ts", *(c for c in order if c != "ts"), "lost", stretch)
+    all_ = Window.partitionBy(*by, "stretch").orderBy(*order)
+    lost = Window.partitionBy(*by, "stretch", "lost").orderBy(*order)
+    whole = Window.partitionBy(*by, "stretch")
+    own = own.withColumn("k", F.row_number().over(all_)).withColumn("island", F.col("k") - F.row_number().over(lost)).withColumn("n", F.count("*").over(whole))
+    runs = own.where("lost").groupBy(*by, "stretch", "n", "island").agg(F.min("ts").alias("start"), F.count("*").alias("losses"), F.min("k").alias("first"), F.max("k").alias("last"))
+    runs = runs.withColumn("from_start", F.col("first") == 1).withColumn("to_end", F.col("last") == F.col("n"))
+    inner = runs.where(~F.col("from_start") & ~F.col("to_end")).select(*by, "start", "losses")
+    # stretches without a lost sample at an end matter too: they part the runs around them
+    stretches = own.select(*by, "stretch").distinct().withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("stretch")))
+    same = reduce(lambda a, c: a & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), [*by, "stretch"], F.lit(True))
+    ends = runs.where("from_start OR to_end").alias("a").join(stretches.alias("b"), same).select("a.*", "b.nth")
+    before = Window.partitionBy(*by).orderBy("nth", "first")
+    goes_on = F.col("from_start") & (F.lag("nth").over(before) == F.col("nth") - 1) & F.lag("to_end").over(before)
+    ends = ends.withColumn("new", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("chain", F.sum("new").over(before))
+    joined = ends.groupBy(*by, "chain").agg(F.min("start").alias("start"), F.sum("losses").alias("losses")).drop("chain")
+    return inner.unionByName(joined).where(F.col("losses") >= least)
 
 
 def near(markers: DataFrame, samples: DataFrame, seconds: int = STALL_SECONDS, *by: str) -> DataFrame:
@@ -63,8 +94,14 @@ def near(markers: DataFrame, samples: DataFrame, seconds: int = STALL_SECONDS, *
 
 def stall_windows(markers: DataFrame, samples: DataFrame, seconds: int = STALL_SECONDS, *by: str) -> DataFrame:
     """Loss and round-trip times around each marker; markers without samples have zero of them."""
-    found = near(markers, samples, seconds, *by).groupBy("marker_id").agg(
-        F.count("*").alias("samples"), F.count_if("lost").alias("lost"), F.round(100.0 * F.count_if("lost") / F.count("*"), 1).alias("loss_pct"), percentile("ms", 0.95).alias("p95_ms"), F.max("ms").alias("max_ms")
+    return around(markers, near(markers, samples, seconds, *by))
+
+
+def around(markers: DataFrame, pairs: DataFrame) -> DataFrame:
+    """stall_windows() of samples that were met with their markers before. A window holds some seconds of samples, which one task can sort."""
+    p95 = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY ms)").alias("p95_ms")
+    found = pairs.groupBy("marker_id").agg(
+        F.count("*").alias("samples"), F.count_if("lost").alias("lost"), F.round(100.0 * F.count_if("lost") / F.count("*"), 1).alias("loss_pct"), p95, F.max("ms").alias("max_ms")
     )
     out = markers.join(found, "marker_id", "left")
     return out.na.fill(0, ["samples", "lost"]).na.fill(0.0, ["loss_pct"])
@@ -78,11 +115,11 @@ def unpivoted_counters(wide: DataFrame) -> DataFrame:
     return made.unpivot(["ts"], [F.col(f"`{c}`") for c in rest], "counter", "value").where("value IS NOT NULL")
 
 
-def counter_stats(values: DataFrame, *by: str) -> DataFrame:
-    """n, mean, p95, p99, largest value and its first time by counter."""
+def counter_stats(values: DataFrame, *by: str, most: int = MOST_HELD) -> DataFrame:
+    """n, mean, p95, p99, largest value and its first time by counter; percentiles are exact, and no task holds all values of one."""
     peak = F.struct(F.col("value"), (-micros("ts")).alias("t"))
-    out = values.groupBy(*by, "counter").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), percentile("value", 0.95).alias("p95"), percentile("value", 0.99).alias("p99"), F.max("value").alias("max"), F.max_by("ts", peak).alias("max_at"))
-    return out
+    out = values.groupBy(*by, "counter").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("max"), F.max_by("ts", peak).alias("max_at"))
+    return with_percentiles(out, values, "value", {"p95": 0.95, "p99": 0.99}, [*by, "counter"], most)
 
 
 def short_name(counter: Column) -> Column:
@@ -105,7 +142,7 @@ def top_processes(stats: DataFrame, limit: int = 15) -> DataFrame:
 
 def counters_at_stalls(markers: DataFrame, values: DataFrame, seconds: int = STALL_SECONDS, top: int = 8) -> DataFrame:
     """For each marker the counters whose window maximum stands out most against their p95 of the whole run."""
-    run = values.groupBy("counter").agg(percentile("value", 0.95).alias("run_p95"))
+    run = percentiles(values, "value", {"run_p95": 0.95}, "counter")
     found = near(markers, values, seconds).groupBy("marker_id", "counter").agg(F.max("value").alias("window_max"))
     found = found.join(run, "counter")
     ratio = F.when(F.coalesce("run_p95", F.lit(0.0)) != 0, F.col("window_max") / F.greatest("run_p95", F.lit(1e-9))).otherwise(F.lit(0.0))

@@ -549,4 +549,4 @@ def doubled_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from . import registry_sources, registry_texts, registry_verbs  # noqa: E402, F401  (they register their queries)
-from . import registry_fronts, registry_index, registry_more  # noqa: E402, F401
+from . import registry_fronts, registry_index, registry_live, registry_more  # noqa: E402, F401
