@@ -211,8 +211,7 @@ def written(spark: SparkSession, cat, a: argparse.Namespace, d):
     if a.verb == "ingest":
         return ingest.ingest(cat, decoders.with_text(decoders.files(spark, a.path), a.pdf_reader), a.person, force=a.force, **some("category", "provider"))
     if a.verb == "study-ingest":
-        files = decoders.files(spark, a.path)
-        return ingest.ingest_study(cat, files, a.person, a.path, a.blobs, force=a.force, allow_large=a.allow_large, **some("category", "provider"))
+        return ingest.ingest_study(cat, a.person, a.path, a.blobs, force=a.force, allow_large=a.allow_large, **some("category", "provider"))
     if a.verb == "document-reextract":
         return ingest.reextracted(cat, decoders.with_text(decoders.files(spark, a.path), a.pdf_reader), a.force, a.allow_shrink)
     if a.verb == "reaffirm":

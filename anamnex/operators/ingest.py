@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from ..functions.dates import MONTHS, dob_renderings
 from ..functions.plan import numbered
 from ..functions.text import alnum, invisible_trim, is_blank, name_tokens
 from ..plans.catalog import Catalog
+from ..plans.scratch import written
 from ..specs import schema_of
 from .clinical import person_id
 from .commit import next_ids, now_text
@@ -173,31 +173,34 @@ class TooLargeError(ValueError):
 MOST_STUDY_BYTES = 4 << 30
 
 
-def ingest_study(catalog: Catalog, files: DataFrame, slug: str, root: str, blobs: str, force: bool = False, allow_large: bool = False, tombstone_force: bool = False, most: int = MOST_STUDY_BYTES, now: dt.datetime | None = None, **more) -> tuple[Catalog, DataFrame]:
-    """A folder of slices as one document: size gate, header, owner check, reproducible zip, duplicate and tombstone gates, row.
+def ingest_study(catalog: Catalog, slug: str, root: str, blobs: str, force: bool = False, allow_large: bool = False, tombstone_force: bool = False, most: int = MOST_STUDY_BYTES, now: dt.datetime | None = None, **more) -> tuple[Catalog, DataFrame]:
+    """A folder of slices as one document: size gate, header, owner check, canonical archive, duplicate and tombstone gates, row.
 
-    files: (path, length, content). The zip goes to blobs under its hash. Returns the catalog and one row of what became of it.
+    Only slices are packed; the report counts the rest and names what looks like a document. An executor packs the
+    archive, which is kept below blobs under its hash if the document is new. Returns the catalog and one row.
     """
-    from ..plans.catalog import Files
-    from ..sources import dicom
-
-    size = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    if size > most and not allow_large:
-        raise TooLargeError(f"{size} bytes, more than {most}; say that large studies are meant")
-    name = root.rstrip("/").rpartition("/")[2]
-    inside = F.regexp_extract("path", f"{re.escape(name)}/(.*)$", 1)
-    slices = dicom.slices(files).withColumn("directory", F.regexp_extract(inside, r"^(?:(.*)/)?[^/]*$", 1)).withColumn("study", F.lit(name))
-    head = dicom.studies(slices).withColumn("n_files", F.lit(files.count())).select("study_date", dicom.summary_text(F.col("study"), F.col("n_files")).alias("text"), dicom.identity_text().alias("identity")).first()
-    if head is None:
+    from ..sources import dicom, studies
+
+    spark, name = catalog.spark, root.rstrip("/").rpartition("/")[2]
+    found = written(studies.files(spark, root))  # headers are read once
+    own = found.where("kind = 'slice'")
+    counts = own.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    if not counts["n"]:
         raise ValueError(f"{root} holds no slices")
-    data, sha = dicom.packed({r["name"]: bytes(r["content"]) for r in files.select(inside.alias("name"), "content").toLocalIterator()})  # bounded by the size gate
-    spark = catalog.spark
-    text = "\n".join(t for t in (head["identity"], head["text"]) if t)
-    one = spark.createDataFrame([(root, ".zip", sha, text, "study", None, None)], "path string, suffix string, sha256 string, text string, route string, error string, content binary")
-    after, report = ingest(catalog, one, slug, force, tombstone_force, now, **{"doc_date": head["study_date"], **more})
+    if counts["bytes"] > most and not allow_large:
+        raise TooLargeError(f"{counts['bytes']} bytes, more than {most}; say that large studies are meant")
+    rows = studies.slices(found).withColumn("study", F.lit(name))
+    head = dicom.studies(rows).withColumn("n_files", F.lit(counts["n"])).select("study_date", dicom.summary_text(F.col("study"), F.col("n_files")).alias("text"), dicom.identity_text().alias("identity")).first()
+    sums = studies.files(spark, root, "path", "name", "length", "kind", "crc").where("kind = 'slice'")
+    packed = written(studies.packed(sums.withColumn("study", F.lit(name)), blobs))
+    sha = packed.first()["sha256"]
+    said, identity = (head["text"], head["identity"]) if head else (f"DICOM study: {name}\nfiles packed: {counts['n']}", None)  # a directory file alone
+    text = "\n".join(t for t in (identity, said) if t)
+    one = spark.createDataFrame([(root, ".dcm.zip", sha, text, "study", None, None)], "path string, suffix string, sha256 string, text string, route string, error string, content binary")
+    after, report = ingest(catalog, one, slug, force, tombstone_force, now, **{"doc_date": head["study_date"] if head else None, **more})
     if report.first()["status"] == "new":
-        store = Files(spark, blobs)
-        out = store.fs.create(store.path(f"{sha[:2]}/{sha}.zip"), True)
-        out.write(bytearray(data))
-        out.close()
-    return after, report
+        studies.kept(packed, blobs).count()
+    else:
+        studies.dropped(packed)
+    rest = found.agg(F.sort_array(F.collect_list(F.when(F.col("kind") == "document", F.col("name")))).alias("excluded_documents"), F.count_if(F.col("kind") == "other").alias("excluded_other")).first()
+    return after, report.withColumn("excluded_documents", F.array(*map(F.lit, rest["excluded_documents"])).cast("array<string>")).withColumn("excluded_other", F.lit(rest["excluded_other"]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import diagnostics
@@ -14,10 +14,13 @@ from .scratch import fresh_dir
 
 #: Stretches of time in which the lines come, and files of each.
 STRETCHES, FILES = 3, 4
-HOST = F.regexp_extract("value", r"host=(\S+)", 1)
 WINDOW = 6 * 3600
 
 
+def _host() -> Column:
+    return F.regexp_extract("value", r"host=(\S+)", 1)
+
+
 def _log(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     """A folder of log files, written stretch by stretch, and the delay of its lines: what was lost is told one stretch late.
 
@@ -51,7 +54,7 @@ def live_loss_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of losses told while the log comes in, across micro-batches, with all losses a stretch late."""
     folder, delay = _log(spark, sf_dir)
     out, own = fresh_dir(spark), live.with_rocksdb(spark)
-    live.appended(live.loss_runs(live.live_samples(own, folder, delay, HOST, FILES)), f"{out}/runs", f"{out}/state").awaitTermination()
+    live.appended(live.loss_runs(live.live_samples(own, folder, delay, _host(), FILES)), f"{out}/runs", f"{out}/state").awaitTermination()
     return spark.read.schema(live.RUNS).parquet(f"{out}/runs").select("host", F.unix_millis("start").alias("start_ms"), "losses")
 
 
@@ -61,7 +64,7 @@ def live_stall_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The samples around each marker of the same host, by a join of two live streams."""
     folder, delay = _log(spark, sf_dir)
     out, own = fresh_dir(spark), live.with_rocksdb(spark)
-    stream = lambda: live.live_samples(own, folder, delay, HOST, FILES)
+    stream = lambda: live.live_samples(own, folder, delay, _host(), FILES)
     live.appended(live.stalls(live.marker_stream(stream()), stream(), WINDOW), f"{out}/pairs", f"{out}/state").awaitTermination()
     pairs = spark.read.schema("host string, marker_ts timestamp, note string, ts timestamp, ms double, lost boolean").parquet(f"{out}/pairs").withColumn("marker_id", F.col("note").cast("long"))
     return diagnostics.around(pairs.select("marker_id").distinct(), pairs.drop("note"))

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-import io
 import struct
-import zipfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,12 +29,17 @@ def tidy(raw: bytes) -> str | None:
 
 def elements(data: bytes, explicit: bool, wanted: set) -> dict:
     """Values of the wanted tags; reading stops at image groups, undefined lengths and the end."""
+    return elements_and_end(data, explicit, wanted)[0]
+
+
+def elements_and_end(data: bytes, explicit: bool, wanted: set) -> tuple[dict, bool]:
+    """elements(), and whether more data could not add to them."""
     found: dict = {}
     at = 0
     while at + 8 <= len(data) and len(found) < len(wanted):
         tag = struct.unpack_from("<HH", data, at)
         if tag[0] >= STOP_GROUP:
-            break
+            return found, True
         if explicit and data[at + 4 : at + 6] in LONG_FORMS:
             if at + 12 > len(data):
                 break
@@ -47,12 +49,14 @@ def elements(data: bytes, explicit: bool, wanted: set) -> dict:
         else:
             size, head = struct.unpack_from("<I", data, at + 4)[0], 8
         start = at + head
-        if size == 0xFFFFFFFF or start + size > len(data):
+        if size == 0xFFFFFFFF:
+            return found, True
+        if start + size > len(data):
             break
         if tag in wanted:
             found[tag] = tidy(data[start : start + size])
         at = start + size
-    return found
+    return found, len(found) == len(wanted)
 
 
 def value_form(syntax: str | None) -> bool | None:
@@ -64,21 +68,28 @@ def value_form(syntax: str | None) -> bool | None:
 
 def tags_of(data: bytes) -> dict[str, str]:
     """Header tags by name; none unless the bytes are a slice whose header can be read."""
+    return tags_and_end(data)[0]
+
+
+def tags_and_end(data: bytes) -> tuple[dict[str, str], bool]:
+    """tags_of(), and whether more of the file could not add to them."""
     at = MAGIC_AT + len(MAGIC)
     if data[MAGIC_AT:at] != MAGIC or len(data) < at + 12:
-        return {}
+        return {}, True
     group, element, form, size = struct.unpack_from("<HH2sH", data, at)
     if (group, element, form, size) != (2, 0, b"UL", 4):
-        return {}
+        return {}, True
     meta = struct.unpack_from("<I", data, at + 8)[0]
     body = at + 12 + meta
-    if meta > HEADER_BYTES or body > len(data):
-        return {}
+    if meta > HEADER_BYTES:
+        return {}, True
+    if body > len(data):
+        return {}, False
     explicit = value_form(elements(data[at + 12 : body], True, {SYNTAX}).get(SYNTAX))
     if explicit is None:
-        return {}
-    found = elements(data[body : body + HEADER_BYTES], explicit, set(TAGS.values()))
-    return {n: v for n, t in TAGS.items() if (v := found.get(t))}
+        return {}, True
+    found, whole = elements_and_end(data[body : body + HEADER_BYTES], explicit, set(TAGS.values()))
+    return {n: v for n, t in TAGS.items() if (v := found.get(t))}, whole or len(data) >= body + HEADER_BYTES
 
 
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
@@ -139,15 +150,3 @@ def human_bytes(size: Column) -> Column:
         text = shown(size.cast("double"), "0", "B") if k == 0 else shown(size / float(1 << 10 * k), "0.0", unit)
         out = F.when(size < (1 << 10 * (k + 1)), text).otherwise(out)
     return out
-
-
-def packed(entries: dict[str, bytes]) -> tuple[bytes, str]:
-    """A stored zip with sorted names and fixed times, so that the same files always give the same hash."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-        for name in sorted(entries):
-            info = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
-            info.create_system, info.external_attr = 3, 0o644 << 16
-            z.writestr(info, entries[name])
-    data = out.getvalue()
-    return data, hashlib.sha256(data).hexdigest()

@@ -90,7 +90,6 @@ def dicom_file(values):
 
 def test_study_ingest(spark, store, tmp_path, capsys):
     from anamnex.operators import ingest
-    from anamnex.sources import decoders
 
     store("--apply", "person-add", "jane", "Jane Doe", "--dob", "1962-03-14")
     study = tmp_path / "knee"
@@ -103,12 +102,13 @@ def test_study_ingest(spark, store, tmp_path, capsys):
     store("--apply", *args)
     first = json.loads(capsys.readouterr().out.splitlines()[0])
     assert (first["status"], first["verdict"]) == ("new", "match")
-    assert [p.name for p in (tmp_path / "blobs").rglob("*.zip")] == [first["sha256"] + ".zip"]
+    assert [p.name for p in (tmp_path / "blobs").rglob("*.zip")] == [first["sha256"] + ".dcm.zip"]
+    assert (first["excluded_documents"], first["excluded_other"]) == (["note.txt"], 0)
     store(*args)
     assert json.loads(capsys.readouterr().out.splitlines()[0])["status"] == "duplicate"
-    files = decoders.files(spark, str(study))
+    assert [p.name for p in (tmp_path / "blobs").rglob("*") if p.is_file() and ".crc" not in p.name] == [first["sha256"] + ".dcm.zip"]
     cat = snapshots.Catalog(spark, {})
     with pytest.raises(ingest.TooLargeError):
-        ingest.ingest_study(cat, files, "jane", str(study), str(tmp_path), most=10)
+        ingest.ingest_study(cat, "jane", str(study), str(tmp_path), most=10)
     with pytest.raises(ValueError):
-        ingest.ingest_study(cat, files.where("path LIKE '%.txt'"), "jane", str(study), str(tmp_path))
+        ingest.ingest_study(cat, "jane", str(tmp_path / "blobs"), str(tmp_path))

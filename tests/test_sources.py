@@ -87,11 +87,6 @@ def test_studies(spark, tmp_path):
     assert dicom.tags_of(slice_bytes(syntax="1.2.840.10008.1.2.2")) == {} and dicom.tags_of(b"short") == {}
 
 
-def test_packing_is_reproducible():
-    a, b = dicom.packed({"b": b"2", "a": b"1"}), dicom.packed({"a": b"1", "b": b"2"})
-    assert a == b and zipfile.ZipFile(io.BytesIO(a[0])).namelist() == ["a", "b"]
-
-
 def test_human_bytes(spark):
     got = [spark.range(1).select(dicom.human_bytes(F.lit(n)).alias("x")).first()["x"] for n in (5, 2048, 3 << 20, 5 << 30)]
     assert got == ["5 B", "2.0 KiB", "3.0 MiB", "5.0 GiB"]
