@@ -3,10 +3,16 @@
 The squared distance of q and x is |q|^2 - 2 (q.x - |x|^2 / 2), so the nearest vectors are those of the largest inner
 product with a known offset. Pairs of dimensions are quantised to four bits. Codes and codebooks minimise
 |r|^2 + (eta - 1) (r.x / |x|)^2 of the residual r: the part along the vector, which is what harms large inner products,
-weighs eta times as much. A query's inner products with all codewords are tables; two four-bit codes are one byte, and
-a scan adds up table entries. The RERANK best of every block are ranked again by exact distances in double precision, whatever the block's size;
-the k-th of these distances then excludes the rows that cannot come nearer by what the quantiser left of them, and all
-rows that it does not exclude are ranked by exact distances as well. The result is that of brute force.
+weighs eta times as much. What the first codes leave is quantised once more in the same way. A query's inner products with
+all codewords are tables; two four-bit codes are one byte, and a scan adds up table entries.
+
+The first codes of every row of a block are scanned. Of the best FIRST by these, the RERANK best by both codes are compared
+in double precision; the k-th of these distances is a limit. A row's estimate is off by 2 q.r of what its codes leave, r,
+whose norm is known: rows whose estimate by the first codes, less MARGIN times that error's spread 2 |q| |r| / sqrt(d),
+is beyond the limit go no further; of the others, those whose estimate by both codes is not beyond it in the same sense are
+compared in double precision. No number of rows is fixed for any of this. One query in AUDIT is compared with its whole block as well;
+where that finds a nearer row than the scan did, the block's margin is doubled and the queries are asked again, up to
+sqrt(d), where the bound holds for every row and the result is that of brute force.
 
 Codebooks are fitted on at most SAMPLE rows (by hash of the id), in a task; every row is encoded and scanned. Rows go to
 blocks of bounded size, once for each QUERY_BLOCK queries; queries go to every block and stream past it, so that neither
@@ -17,6 +23,7 @@ of them is a neighbour of its own id. Other columns are not read; an empty table
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +34,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, groups, slices, streamed
 from .vectors import matrix, usable_rows
 
-SAMPLE = 20_000
-RERANK = 64
+SAMPLE = 8_192
+#: Rows refined for the limit, and rows of these that are compared for it (more than twice the neighbours asked for).
+FIRST, RERANK = 256, 24
+#: Spreads of the estimate's error within which a row is not passed over, and queries of which one is audited.
+MARGIN, AUDIT = 4.5, 128
 #: Queries of a copy of the rows, rows of a block, and, where there are few rows, blocks and least rows of one.
 QUERY_BLOCK, ROW_BLOCK, TASKS, LEAST_ROWS = 1_000_000, 65_536, 12, 4_096
 #: Queries that are scanned at once, and that are gathered before.
@@ -38,30 +48,34 @@ SHARE = 0.2
 CODES, WIDTH = 16, 2
 #: Rounding of sums in double precision, as a share of squared norms.
 SLACK = 1e-11
-#: More rows than this are compared by matrix products first.
-WIDE = 1_024
 
 
 class Quantiser:
-    def __init__(self, sample: np.ndarray, rounds: int = 6):
+    def __init__(self, sample: np.ndarray, rounds: int = 5):
         n, self.dim = sample.shape
         self.parts = -(-self.dim // (2 * WIDTH)) * 2  # an even number: two codes make a byte
         self.eta = max(1.0, (self.dim - 1) * SHARE**2 / (1 - SHARE**2))
         x, u = self.split(sample)
         r = np.random.default_rng(3)
-        self.books = np.stack([x[r.integers(0, n, CODES), s] for s in range(self.parts)]) + 1e-9 * r.standard_normal((self.parts, CODES, WIDTH))
-        for _ in range(rounds):
-            codes = self.assign(x, u)
-            self.refit(x, u, codes)
+        self.layers: list[np.ndarray] = []
+        for _ in range(2):  # the second of what the first leaves
+            self.books = np.stack([x[r.integers(0, n, CODES), s] for s in range(self.parts)]) + 1e-9 * r.standard_normal((self.parts, CODES, WIDTH))
+            for _ in range(rounds):
+                self.refit(x, u, self.assign(x, u))
+            self.layers.append(self.books)
+            x = x - self.books[np.arange(self.parts), self.assign(x, u)]
 
     @classmethod
     def of(cls, dim: int, books: bytes) -> Quantiser:
         own = cls.__new__(cls)
         own.dim, own.parts = dim, -(-dim // (2 * WIDTH)) * 2
         own.eta = max(1.0, (dim - 1) * SHARE**2 / (1 - SHARE**2))
-        own.books = np.frombuffer(books).reshape(own.parts, CODES, WIDTH)
+        own.layers = list(np.frombuffer(books).reshape(2, own.parts, CODES, WIDTH))
         return own
 
+    def to_bytes(self) -> bytes:
+        return np.stack(self.layers).tobytes()
+
     def split(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         wide = np.zeros((len(x), self.parts * WIDTH))
         wide[:, : self.dim] = x
@@ -101,66 +115,44 @@ class Quantiser:
                     self.books[s, c] = np.linalg.lstsq(outer[mine].sum(0), goal[mine].sum(0), rcond=None)[0]
 
     def encode(self, x: np.ndarray) -> np.ndarray:
-        """A byte for each two subspaces."""
+        """A byte for each two subspaces, of the first codes and then of the second."""
         if not len(x):
-            return np.empty((0, self.parts // 2), np.uint8)
-        codes = np.concatenate([self.assign(*self.split(x[i : i + 8192])) for i in range(0, len(x), 8192)])
-        return (codes[:, 0::2] | codes[:, 1::2] << 4).astype(np.uint8)
+            return np.empty((0, self.parts), np.uint8)
+        return np.concatenate([self._encode(x[i : i + 8192]) for i in range(0, len(x), 8192)])
 
-    def scan(self, queries: np.ndarray, packed: np.ndarray) -> np.ndarray:
-        """Approximate inner products, a row per query."""
+    def _encode(self, x: np.ndarray) -> np.ndarray:
+        (x, u), out = self.split(x), []
+        for self.books in self.layers:
+            codes = self.assign(x, u)
+            x = x - self.books[np.arange(self.parts), codes]
+            out.append(codes[:, 0::2] | codes[:, 1::2] << 4)
+        return np.concatenate(out, 1).astype(np.uint8)
+
+    def tables(self, queries: np.ndarray, layer: int) -> np.ndarray:
+        """For each query and byte of a layer, the inner product with the codewords of each value."""
         wide = np.zeros((len(queries), self.parts * WIDTH))
         wide[:, : self.dim] = queries
-        tables = np.einsum("qsw,scw->qsc", wide.reshape(len(queries), self.parts, WIDTH), self.books)
-        out = np.zeros((len(queries), len(packed)))
+        each = np.einsum("qsw,scw->qsc", wide.reshape(len(queries), self.parts, WIDTH), self.layers[layer])
         byte = np.arange(256)
+        return each[:, 0::2, byte & 15] + each[:, 1::2, byte >> 4]
+
+    def scan(self, queries: np.ndarray, packed: np.ndarray, layer: int = 0) -> np.ndarray:
+        """Approximate inner products, a row per query; packed: the bytes of one layer."""
+        tables, out = self.tables(queries, layer), np.zeros((len(queries), len(packed)))
         for s in range(self.parts // 2):
-            out += (tables[:, 2 * s, byte & 15] + tables[:, 2 * s + 1, byte >> 4])[:, packed[:, s]]
+            out += tables[:, s][:, packed[:, s]]
         return out
 
-    def decode(self, packed: np.ndarray) -> np.ndarray:
-        """The vectors that the codes stand for."""
-        codes = np.empty((len(packed), self.parts), np.uint8)
-        codes[:, 0::2], codes[:, 1::2] = packed & 15, packed >> 4
-        return self.books[np.arange(self.parts), codes].reshape(len(packed), -1)[:, : self.dim]
-
-
-class Bound:
-    """How near rows may be to a query, from the query's inner products with their codes.
-
-    With c the decoded row and r = x - c = b c + o, o at right angles to c: q.x = (1 + b) q.c + q.o, and q.o is at most
-    |o| times the part of q at right angles to c.
-    """
-
-    def __init__(self, x: np.ndarray, decoded: np.ndarray):
-        self.xx, self.cc = (x**2).sum(1), (decoded**2).sum(1)
-        r = x - decoded
-        self.share = np.divide((r * decoded).sum(1), self.cc, out=np.zeros(len(x)), where=self.cc > 0)
-        self.across = np.linalg.norm(r - self.share[:, None] * decoded, axis=1)
-
-    def least(self, qq: np.ndarray, inner: np.ndarray) -> np.ndarray:
-        """Least squared distances, a row per query; qq: the queries' squared norms. Rounding may add SLACK of the squared norms."""
-        along = np.divide(inner**2, self.cc, out=np.zeros_like(inner), where=self.cc > 0)
-        across = np.sqrt(np.maximum(qq[:, None] - along, 0) + SLACK * qq[:, None])
-        return qq[:, None] + self.xx - 2 * ((1 + self.share) * inner + self.across * across)
-
-
-def nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, inner: np.ndarray, bound: Bound, k: int, rerank: int) -> list[np.ndarray]:
-    """Places of rows among which the k nearest of each query are. inner: the queries' inner products with the codes."""
-    qq = (q**2).sum(1)
-    near, least, out = inner - bound.xx / 2, bound.least(qq, inner), []
-    for i in range(len(q)):
-        first = np.argpartition(-near[i], min(rerank, len(x)) - 1)[:rerank]
-        far = kth(((x[first] - q[i]) ** 2).sum(1)[ids[first] != q_ids[i]], k)
-        out.append(np.flatnonzero(~(least[i] > far + SLACK * (qq[i] + bound.xx + bound.cc))))  # what is no number is not excluded
-    wide = [i for i in range(len(q)) if len(out[i]) > WIDE]
-    if wide:  # many rows at once by a matrix product
-        square = qq[wide, None] + bound.xx - 2 * (q[wide] @ x.T)
-        for i, own in zip(wide, square):
-            own, at = own[out[i]], out[i]
-            far = kth(own[ids[at] != q_ids[i]], k)
-            out[i] = at[~(own > far + SLACK * (qq[i] + bound.xx[at] + bound.xx[at].max()))]
-    return out
+    def left(self, x: np.ndarray, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Norms of what the first codes leave of the vectors, and of what both do."""
+        half, out = self.parts // 2, []
+        for k, books in enumerate(self.layers):
+            codes = np.empty((len(packed), self.parts), np.uint8)
+            own = packed[:, k * half : (k + 1) * half]
+            codes[:, 0::2], codes[:, 1::2] = own & 15, own >> 4
+            x = x - books[np.arange(self.parts), codes].reshape(len(packed), -1)[:, : self.dim]
+            out.append(np.linalg.norm(x, axis=1))
+        return out[0], out[1]
 
 
 def kth(values: np.ndarray, k: int) -> float:
@@ -168,32 +160,69 @@ def kth(values: np.ndarray, k: int) -> float:
 
 
 class Block:
-    """Rows of one dimension with their codes, and the nearest of them to queries."""
+    """Rows of one dimension with their codes, and the nearest of them to queries. compared: rows met in double precision."""
 
     def __init__(self, t: pa.Table, found: dict[int, Quantiser], k: int, rerank: int):
         ids, x, code = t["vec_id"].to_numpy(), matrix(t["vec"]), t["code"].to_pylist()
         keep = first_of_equal(x, k + 1)
-        self.ids, self.x, self.k, self.rerank = ids[keep], x[keep], k, rerank
+        self.ids, self.x, self.k, self.rerank = ids[keep], x[keep], k, max(rerank, 2 * k + 1)
         own = found.get(x.shape[1])
         if own:
-            self.packed = np.frombuffer(b"".join(code[i] for i in keep), np.uint8).reshape(len(keep), -1)
+            packed = np.frombuffer(b"".join(code[i] for i in keep), np.uint8).reshape(len(keep), -1)
         else:  # a dimension that the sample did not meet
             own = Quantiser(self.x[:2_000])
-            self.packed = own.encode(self.x)
-        self.quantiser, self.bound, self.ranked = own, Bound(self.x, own.decode(self.packed)), 0
+            packed = own.encode(self.x)
+        self.quantiser, self.margin, self.compared, self.audited = own, min(MARGIN, own.dim**0.5), 0, 0
+        self.xx, (self.e1, self.e2) = (self.x**2).sum(1), own.left(self.x, packed)
+        self.coarse, self.fine = (np.ascontiguousarray(p) for p in np.split(packed, 2, axis=1))
+
+    def exact(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+        self.compared += len(at)
+        return ((self.x[at] - q) ** 2).sum(1)
+
+    def among(self, q_id: int, q: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and squared distances of rows among which the nearest are. inner: with the first codes."""
+        qq, tables = (q**2).sum(), self.quantiser.tables(q[None], 1)[0]
+        slack, spread = SLACK * (qq + self.xx), self.margin * 2 * qq**0.5 / self.quantiser.dim**0.5
+
+        def refined(at: np.ndarray) -> np.ndarray:
+            more = np.zeros(len(at))
+            for s in range(len(tables)):
+                more += tables[s][self.fine[at, s]]
+            return estimate[at] - 2 * more
+
+        estimate = qq + self.xx - 2 * inner
+        first = np.argpartition(estimate, min(FIRST, len(estimate)) - 1)[:FIRST]
+        first = first[np.argpartition(refined(first), min(self.rerank, len(first)) - 1)[: self.rerank]]
+        far = kth(self.exact(first, q)[self.ids[first] != q_id], self.k)
+        at = np.flatnonzero(~(estimate - spread * self.e1 - slack > far))  # what is no number is not passed over
+        at = at[~(refined(at) - spread * self.e2[at] - slack[at] > far)]
+        return at, self.exact(at, q)
 
     def best(self, q_ids: np.ndarray, q: np.ndarray) -> list[tuple[int, int, float]]:
         out = []
         for a in range(0, len(q), AT_ONCE):
-            some = q[a : a + AT_ONCE]
-            among = nearest(some, q_ids[a : a + AT_ONCE], self.x, self.ids, self.quantiser.scan(some, self.packed), self.bound, self.k, self.rerank)
-            for i, best in enumerate(among, a):
-                self.ranked += len(best)
-                best = best[self.ids[best] != q_ids[i]]
-                d = np.sqrt(((self.x[best] - q[i]) ** 2).sum(1))
-                out += [(q_ids[i], self.ids[best[j]], d[j]) for j in np.lexsort((self.ids[best], d))[: self.k]]
+            out += self._best(q_ids[a : a + AT_ONCE], q[a : a + AT_ONCE])
         return out
 
+    def _best(self, q_ids: np.ndarray, q: np.ndarray) -> list[tuple[int, int, float]]:
+        inner = self.quantiser.scan(q, self.coarse)
+        while True:
+            out, missed = [], False
+            for i, q_id in enumerate(q_ids.tolist()):
+                at, d = self.among(q_id, q[i], inner[i])
+                other = self.ids[at] != q_id
+                at, d = at[other], np.sqrt(d[other])
+                own = [(q_id, int(self.ids[at[j]]), d[j]) for j in np.lexsort((self.ids[at], d))[: self.k]]
+                if self.margin < self.quantiser.dim**0.5 and zlib.crc32(str(q_id).encode()) % AUDIT == 0:
+                    self.audited += 1
+                    true = kth(np.sqrt(self.exact(np.arange(len(self.x)), q[i]))[self.ids != q_id], self.k)
+                    missed = missed or own[-1][2] > true
+                out += own
+            if not missed:
+                return out
+            self.margin = min(2 * self.margin, self.quantiser.dim**0.5)
+
     def answers(self, queries: pa.Table) -> pa.RecordBatch:
         out = self.best(queries["vec_id"].to_numpy(), matrix(queries["vec"]))
         return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], [pa.int64(), pa.int64(), pa.float64()][c]) for c in range(3)], names=["query_id", "vec_id", "score"])
@@ -205,7 +234,7 @@ def quantisers(rows: DataFrame, most: int = SAMPLE) -> dict[int, Quantiser]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, 1):
             own = Quantiser(matrix(t["vec"]))
-            yield pa.RecordBatch.from_arrays([pa.array([own.dim], pa.int32()), pa.array([own.books.tobytes()], pa.binary())], names=["dim", "books"])
+            yield pa.RecordBatch.from_arrays([pa.array([own.dim], pa.int32()), pa.array([own.to_bytes()], pa.binary())], names=["dim", "books"])
 
     sample = rows.select(F.size("vec").alias("dim"), "vec_id", "vec").orderBy(F.xxhash64("vec_id"), "vec_id").limit(most)
     fitted = sample.select("dim", "vec").coalesce(1).sortWithinPartitions("dim").mapInArrow(run, "dim int, books binary").collect()  # a row per dimension
