@@ -1,12 +1,19 @@
-"""A catalog: tables by name, and snapshots of them as immutable directories with a manifest.
+"""A catalog: tables by name, and snapshots of them: buckets of rows under a hash tree, and a manifest.
 
-Write verbs are functions from a catalog to a catalog. Nothing is stored until commit(), which writes the changed
-tables beside the old ones, checks their counts, and then puts the new manifest in place in one step.
+Write verbs are functions from a catalog to a catalog. Nothing is stored until snapshot(). It deals each table's rows to
+buckets by their key and hashes every bucket; only buckets that the current snapshot has otherwise are written, the others
+are named where they lie. What was written is read back and hashed again, and compared with what was to be written; if it
+differs, it is deleted and nothing else has happened. Then the manifest is put in place in one step.
+
+The bucket hashes are the leaves of a tree for each table, sixteen to a node, and the tables' roots give the snapshot's.
+Two snapshots are compared from the roots down, so that only buckets that differ are named, and only these are read for
+the rows that differ. A table's buckets are counted when it is first stored: one for each BUCKET_ROWS rows.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import json
 import re
 import uuid
@@ -15,8 +22,9 @@ from dataclasses import dataclass, field
 from functools import partial
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..specs import TABLES, FIELDS, schema_of
 
@@ -58,6 +66,7 @@ class Files:
     """The few file operations that snapshots need, through Hadoop, so that any store will do."""
 
     def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
         self.jvm, self.gateway, self.root, self.conf = spark._jvm, spark.sparkContext._gateway, root.rstrip("/"), spark._jsc.hadoopConfiguration()
         self.path_class = self.jvm.org.apache.hadoop.fs.Path
         self.fs = self.path_class(self.root).getFileSystem(self.conf)
@@ -120,25 +129,132 @@ def parsed_name(name: str) -> dt.datetime | None:
         return None
 
 
-def snapshot(catalog: Catalog, root: str, name: str) -> dict:
-    """Write all tables under root/name and point the manifest at it; never overwrites, and checks what it wrote."""
+#: Rows for which a table gets a bucket when it is first stored, buckets at most, and children of a node.
+BUCKET_ROWS, MOST_BUCKETS, WIDTH = 1_000_000, 4096, 16
+
+
+def bucketed(df: DataFrame, table: str, n: int) -> DataFrame:
+    """df with a bucket by the table's key, or by the whole row where it has none; and hashes of its rows."""
+    columns = [F.col(f"`{c}`") for c in sorted(df.columns)]
+    key = [F.col(f"{table}_id")] if f"{table}_id" in df.columns else columns
+    return df.select("*", F.pmod(F.xxhash64(*key), F.lit(n)).cast("int").alias("__bucket"), F.xxhash64(*columns).alias("__h1"), F.xxhash64(F.lit("second"), *columns).alias("__h2"))
+
+
+def bucket_hashes(rows: DataFrame) -> dict[int, dict]:
+    """Rows and hash of each bucket that has rows, whatever their order; at most MOST_BUCKETS of them."""
+    sums = (F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("__h1", "__h2"))
+    found = rows.groupBy("__bucket").agg(F.count("*").alias("n"), *sums).collect()
+    return {r["__bucket"]: {"rows": r["n"], "sums": (r["__h1"], r["__h2"]), "hash": hashlib.sha256(f"{r['n']}:{r['__h1']}:{r['__h2']}".encode()).hexdigest()} for r in found}
+
+
+def tree(hashes: dict[int, str], n: int) -> list[list[str]]:
+    """Levels of the tree over n buckets, leaves first; an empty bucket's hash is empty."""
+    levels = [[hashes.get(k, "") for k in range(n)]]
+    while len(levels[-1]) > 1:
+        below = levels[-1]
+        levels.append([hashlib.sha256("|".join(below[k : k + WIDTH]).encode()).hexdigest() for k in range(0, len(below), WIDTH)])
+    return levels
+
+
+def differing(one: list[list[str]], other: list[list[str]]) -> list[int]:
+    """Buckets in which two trees of one size differ; nodes that agree are not opened."""
+    at = [0] if one[-1] != other[-1] else []
+    for level in range(len(one) - 2, -1, -1):
+        at = [k for node in at for k in range(node * WIDTH, min(node * WIDTH + WIDTH, len(one[level]))) if one[level][k] != other[level][k]]
+    return at
+
+
+def manifest_of(files: Files, name: str) -> dict:
+    if not files.exists(f"{name}/manifest.json"):
+        raise SnapshotError(f"{name} has no manifest")
+    return json.loads(files.read(f"{name}/manifest.json"))
+
+
+def current_name(files: Files) -> str | None:
+    return json.loads(files.read("current.json"))["current"] if files.exists("current.json") else None
+
+
+def snapshot(catalog: Catalog, root: str, name: str, bucket_rows: int = BUCKET_ROWS) -> dict:
+    """Store all tables as root/name and make it the current snapshot; never overwrites. Returns the manifest, where `written` names the buckets that were written."""
     files = Files(catalog.spark, root)
     if files.exists(name):
         raise SnapshotError(f"snapshot {name} exists")
-    entry: dict = {"name": name, "schema_version": SCHEMA_VERSION, "tables": {}}
-    for table, df in catalog.tables.items():
-        df.write.mode("errorifexists").parquet(f"{files.root}/{name}/{table}")
-        back = catalog.spark.read.parquet(f"{files.root}/{name}/{table}")
-        entry["tables"][table] = checksum(back)
-    files.write(f"{name}/manifest.json", json.dumps(entry, indent=2, sort_keys=True))
+    now = current_name(files)
+    before = manifest_of(files, now)["tables"] if now and files.exists(f"{now}/manifest.json") else {}
+    entry: dict = {"name": name, "schema_version": SCHEMA_VERSION, "tables": {}, "written": {}}
+    try:
+        for table, df in catalog.tables.items():
+            entry["tables"][table], entry["written"][table] = _store(files, name, table, df, before.get(table), bucket_rows)
+        roots = sorted((t, e["tree"][-1][0]) for t, e in entry["tables"].items())
+        entry["root"] = hashlib.sha256(json.dumps(roots).encode()).hexdigest()
+        files.write(f"{name}/manifest.json", json.dumps(entry, sort_keys=True))
+    except Exception:
+        files.drop(name)  # nothing refers to it yet
+        raise
     files.write("current.json", json.dumps({"current": name}))
     return entry
 
 
-def checksum(df: DataFrame) -> dict:
-    """Row count and an order-free hash of all rows."""
-    row = df.select(F.xxhash64(*(F.col(f"`{c}`") for c in sorted(df.columns))).cast("decimal(38,0)").alias("h")).agg(F.count("*").alias("n"), F.sum("h").alias("h")).first()
-    return {"rows": row["n"], "hash": str(row["h"] or 0)}
+def _form(schema: str) -> str:
+    """What of a schema decides whether stored buckets can be kept."""
+    return StructType.fromJson(json.loads(schema)).simpleString()
+
+
+def _store(files: Files, name: str, table: str, df: DataFrame, was: dict | None, bucket_rows: int) -> tuple[dict, list[int]]:
+    """The entry of one table, and the buckets that were written for it."""
+    schema = df.schema.json()
+    if was and _form(was["schema"]) == _form(schema):
+        n = was["buckets"]
+    else:
+        n, was = min(MOST_BUCKETS, max(1, -(-df.count() // bucket_rows))), None
+    place = f"{name}/{table}"
+    rows, counted = bucketed(df, table, n), Observation()
+    if was:  # what is the same is not written again
+        meant = bucket_hashes(rows)
+        changed = [k for k, b in meant.items() if was["tree"][0][k] != b["hash"]]
+        if len(changed) < n:
+            rows = rows.where(F.col("__bucket").isin(changed))
+    if not was or changed:
+        sums = (F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("__h1", "__h2"))
+        rows = rows.observe(counted, F.count(F.lit(1)).alias("n"), *sums).drop("__h1", "__h2")  # hashed on its way to the files
+        rows.repartition("__bucket").write.mode("errorifexists").partitionBy("__bucket").parquet(f"{files.root}/{place}")
+        there = [int(x.rpartition("=")[2]) for x in Files(files.spark, f"{files.root}/{place}").names() if x.startswith("__bucket=")]
+        found = _hashes_of(files, table, df.schema, {k: f"{place}/__bucket={k}" for k in there}, n)
+        sent, kept = counted.get, list(found.values())
+        if (sent["n"], sent["__h1"] or 0, sent["__h2"] or 0) != (sum(b["rows"] for b in kept), sum(b["sums"][0] for b in kept), sum(b["sums"][1] for b in kept)):
+            raise SnapshotError(f"what was written of {table} differs from what was to be written")
+        if not was:
+            meant, changed = found, list(found)
+        elif wrong := [k for k in changed if found.get(k) != meant[k]]:
+            raise SnapshotError(f"what was written of {table} differs from what was to be written, in buckets {sorted(wrong)}")
+    places = {k: f"{place}/__bucket={k}" if k in set(changed) else was["places"][str(k)] for k in meant}
+    return {"schema": schema, "buckets": n, "rows": sum(b["rows"] for b in meant.values()), "tree": tree({k: b["hash"] for k, b in meant.items()}, n), "places": {str(k): p for k, p in sorted(places.items())}}, sorted(changed)
+
+
+def _read(files: Files, schema: StructType, places) -> DataFrame:
+    """The rows of some buckets, without looking at any other."""
+    paths = [f"{files.root}/{p}" for p in places]
+    return files.spark.read.schema(schema).parquet(*paths) if paths else files.spark.createDataFrame([], schema)
+
+
+def _hashes_of(files: Files, table: str, schema: StructType, places: dict, n: int) -> dict[int, dict]:
+    """Bucket hashes of what is stored; files that can't be read have no rows."""
+    there = [p for p in places.values() if files.exists(p)]
+    if not there:
+        return {}
+    reader = files.spark.read.schema(schema).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    return bucket_hashes(bucketed(reader.parquet(*(f"{files.root}/{p}" for p in there)), table, n))
+
+
+def damaged(spark: SparkSession, root: str, name: str) -> list[tuple[str, int]]:
+    """(table, bucket) of what is not as the manifest has it."""
+    files, out = Files(spark, root), []
+    for table, e in manifest_of(files, name)["tables"].items():
+        places = {int(k): p for k, p in e["places"].items()}
+        found = _hashes_of(files, table, StructType.fromJson(json.loads(e["schema"])), places, e["buckets"])
+        held = {k: b["hash"] for k, b in found.items()}
+        out += [(table, k) for k in differing(e["tree"], tree(held, e["buckets"]))]
+    return out
 
 
 def integrity(spark: SparkSession, root: str, name: str) -> str:
@@ -146,23 +262,58 @@ def integrity(spark: SparkSession, root: str, name: str) -> str:
     files = Files(spark, root)
     if not files.exists(f"{name}/manifest.json"):
         return f"{name} has no manifest"
-    for table, was in json.loads(files.read(f"{name}/manifest.json"))["tables"].items():
-        if not files.exists(f"{name}/{table}"):
-            return f"{name} has lost table {table}"
-        if checksum(spark.read.parquet(f"{files.root}/{name}/{table}")) != was:
-            return f"table {table} of {name} differs from its manifest"
-    return "ok"
+    manifest = manifest_of(files, name)
+    for table, e in manifest["tables"].items():
+        if tree(dict(enumerate(e["tree"][0])), e["buckets"]) != e["tree"]:
+            return f"the tree of {table} in the manifest of {name} is damaged"
+        for k, place in e["places"].items():
+            if not files.exists(place):
+                return f"{name} has lost bucket {k} of table {table}"
+    wrong = damaged(spark, root, name)
+    return "ok" if not wrong else f"{name} differs from its manifest in " + ", ".join(f"bucket {k} of table {t}" for t, k in wrong)
+
+
+def changed_buckets(spark: SparkSession, root: str, one: str, other: str) -> dict[str, list[int] | None]:
+    """Buckets in which two snapshots differ, by table, from their manifests alone; None where a table's form differs."""
+    files = Files(spark, root)
+    a, b = (manifest_of(files, n) for n in (one, other))
+    if a["root"] == b["root"] and a["tables"].keys() == b["tables"].keys() and all(_form(a["tables"][t]["schema"]) == _form(b["tables"][t]["schema"]) for t in a["tables"]):
+        return {}
+    out: dict[str, list[int] | None] = {}
+    for t in sorted(a["tables"].keys() | b["tables"].keys()):
+        x, y = a["tables"].get(t), b["tables"].get(t)
+        if not x or not y or (_form(x["schema"]), x["buckets"]) != (_form(y["schema"]), y["buckets"]):
+            out[t] = None
+        elif found := differing(x["tree"], y["tree"]):
+            out[t] = found
+    return out
+
+
+def difference(spark: SparkSession, root: str, one: str, other: str, table: str) -> DataFrame:
+    """Rows of a table that only one of two snapshots has: its columns, and `side` (one or other); repeated rows count. Only buckets that differ are read."""
+    files = Files(spark, root)
+    found = changed_buckets(spark, root, one, other).get(table, [])
+    sides = []
+    for side, name in (("one", one), ("other", other)):
+        e = manifest_of(files, name)["tables"].get(table)
+        if e:
+            places = [p for k, p in e["places"].items() if found is None or int(k) in found]
+            sides.append(_read(files, StructType.fromJson(json.loads(e["schema"])), places).withColumn("side", F.lit(side)))
+    if not sides:
+        raise SnapshotError(f"no table {table} in {one} or {other}")
+    rows = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1], allowMissingColumns=True)
+    columns = [c for c in rows.columns if c != "side"]
+    counts = rows.groupBy(*(F.col(f"`{c}`") for c in columns)).agg(F.sum(F.when(F.col("side") == "one", 1).otherwise(-1)).alias("__n")).where("__n <> 0")
+    return counts.select(*(F.col(f"`{c}`") for c in columns), F.when(F.col("__n") > 0, "one").otherwise("other").alias("side"), F.explode(F.sequence(F.lit(1), F.abs("__n").cast("int"))).alias("__k")).drop("__k")
 
 
 def load(spark: SparkSession, root: str, name: str | None = None) -> Catalog:
     """The tables of a snapshot (the current one by default)."""
     files = Files(spark, root)
-    if name is None:
-        if not files.exists("current.json"):
-            raise SnapshotError(f"{root} holds no snapshot")
-        name = json.loads(files.read("current.json"))["current"]
-    manifest = json.loads(files.read(f"{name}/manifest.json"))
-    return migrate(Catalog(spark, {t: partial(spark.read.parquet, f"{files.root}/{name}/{t}") for t in manifest["tables"]}))
+    if name is None and (name := current_name(files)) is None:
+        raise SnapshotError(f"{root} holds no snapshot")
+    entries = manifest_of(files, name)["tables"]
+    return migrate(Catalog(spark, {t: partial(_read, files, StructType.fromJson(json.loads(e["schema"])), e["places"].values()) for t, e in entries.items()}))
 
 
 def exists(spark: SparkSession, root: str) -> bool:
@@ -187,9 +338,14 @@ def pending(catalog: Catalog) -> list[str]:
     return sorted(n for n, df in catalog.tables.items() if (n in FIELDS or n in TABLES) and df.columns != schema_of(n).names)
 
 
+def stored(files: Files) -> list[str]:
+    """Names of snapshots; what a crash left without a manifest is none."""
+    return [n for n in files.names() if parsed_name(n) and files.exists(f"{n}/manifest.json")]
+
+
 def resolve(spark: SparkSession, root: str, spec: str) -> str:
     """A snapshot's name from 'latest' or a name."""
-    names = [n for n in Files(spark, root).names() if parsed_name(n)]
+    names = stored(Files(spark, root))
     if spec == "latest":
         if not names:
             raise SnapshotError(f"{root} holds no snapshot")
@@ -237,10 +393,29 @@ def retained(names: DataFrame, keep_daily: int = 7, keep_weekly: int = 4, protec
 def rotate(spark: SparkSession, root: str, keep_daily: int = 7, keep_weekly: int = 4, protect: str | None = None) -> list[str]:
     """Delete what retained() lets go; returns the deleted names."""
     files = Files(spark, root)
-    names = [(n, t) for n in files.names() if (t := parsed_name(n))]
+    names = [(n, parsed_name(n)) for n in stored(files)]
     if not names:
         return []
+    now = current_name(files)
     rows = retained(spark.createDataFrame(names, "name string, ts timestamp"), keep_daily, keep_weekly, protect).where("NOT keep").collect()
-    for r in rows:
-        files.drop(r["name"])
-    return sorted(r["name"] for r in rows)
+    gone = sorted(r["name"] for r in rows if r["name"] != now)
+    kept = [n for n, _ in names if n not in gone]
+    needed = {p for n in kept for e in manifest_of(files, n)["tables"].values() for p in e["places"].values()}
+    for n in gone:
+        _drop(files, n, needed)
+    return gone
+
+
+def _drop(files: Files, name: str, needed: set[str]) -> None:
+    """Delete a snapshot's manifest, and those of its buckets that no other snapshot names."""
+    tables = manifest_of(files, name)["written"]
+    files.drop(f"{name}/manifest.json")
+    for table, buckets in tables.items():
+        places = [f"{name}/{table}/__bucket={k}" for k in buckets]
+        for p in places:
+            if p not in needed:
+                files.drop(p)
+        if not needed.intersection(places):
+            files.drop(f"{name}/{table}")
+    if not any(p.startswith(f"{name}/") for p in needed):
+        files.drop(name)

@@ -1,4 +1,4 @@
-"""Registered queries of the stored index and of snippets."""
+"""Registered queries of the stored index, of snippets, and of stored snapshots."""
 
 from __future__ import annotations
 
@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..operators import search
 from ..operators.segments import SegmentedIndex
+from . import catalog as snapshots
 from . import registry, sql
 from .bridge import catalog
 from .registry import query
 from .registry_texts import _ALL
-from .scratch import fresh_dir
+from .scratch import fresh_dir, written
 
 _QUERY = "Reoúha the"
 
@@ -69,3 +70,25 @@ _TRIMMED = registry._TEXTS.replace("texts AS (", "untrimmed AS (", 1) + ", texts
 def find_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best window of every record that holds two words."""
     return search.find(catalog(spark, sf_dir), _QUERY).select("source_table", "source_id", "snippet")
+
+
+@query(sql.with_views("""SELECT * FROM (SELECT 'allergy' AS record_type, allergy_id AS record_id, reaction AS said, 'one' AS side FROM allergy WHERE lower(criticality) = 'low'
+  UNION ALL SELECT 'allergy', allergy_id, 'none known', 'other' FROM allergy WHERE lower(criticality) = 'low'
+  UNION ALL SELECT 'lab_result', lab_result_id, value_text, 'one' FROM lab_result WHERE value_text = 'pending')""", "allergy", "lab_result"))
+def snapshot_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stored snapshots compared by their trees: every allergy of low criticality got another reaction and every pending lab went, and persons and documents were not written again."""
+    root, cat = fresh_dir(spark), catalog(spark, sf_dir)
+    cat = cat.with_tables(**{t: written(cat[t].drop("dedup_base", "dedup_key")) for t in ("allergy", "lab_result", "person", "document")})
+    cat = snapshots.Catalog(spark, {t: cat[t] for t in ("allergy", "lab_result", "person", "document")})
+    snapshots.snapshot(cat, root, "anamnex-20240201-0000", bucket_rows=500)
+    low = F.lower("criticality") == "low"
+    after = cat.with_tables(
+        allergy=cat["allergy"].withColumn("reaction", F.when(low, "none known").otherwise(F.col("reaction"))), lab_result=cat["lab_result"].where("NOT value_text <=> 'pending'")
+    )
+    made = snapshots.snapshot(after, root, "anamnex-20240202-0000")
+    assert not made["written"]["person"] and not made["written"]["document"] and snapshots.integrity(spark, root, "anamnex-20240202-0000") == "ok"
+    sides = []
+    for table, said in (("allergy", "reaction"), ("lab_result", "value_text")):
+        rows = snapshots.difference(spark, root, "anamnex-20240201-0000", "anamnex-20240202-0000", table)
+        sides.append(rows.select(F.lit(table).alias("record_type"), F.col(f"{table}_id").alias("record_id"), F.col(said).alias("said"), "side"))
+    return sides[0].unionByName(sides[1])

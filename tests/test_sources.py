@@ -186,7 +186,9 @@ def test_snapshots(spark, tmp_path):
     assert snapshots.resolve(spark, root, "latest") == "anamnex-20260102-0900"
     assert snapshots.restore(spark, root, "anamnex-20260101-0900") and snapshots.load(spark, root)["person"].count() == 2
     assert snapshots.integrity(spark, root, "anamnex-20260101-0900") == "ok"
-    assert snapshots.rotate(spark, root, keep_daily=1, keep_weekly=0) == ["anamnex-20260101-0900"]
+    assert snapshots.rotate(spark, root, keep_daily=1, keep_weekly=0) == []  # the current one stays
+    snapshots.restore(spark, root, "latest")
+    assert snapshots.rotate(spark, root, keep_daily=1, keep_weekly=0) == ["anamnex-20260101-0900"] and snapshots.integrity(spark, root, "anamnex-20260102-0900") == "ok"
     assert "no manifest" in snapshots.integrity(spark, root, "anamnex-20260101-0900")
 
 
