@@ -18,10 +18,12 @@ import json
 import re
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import partial
 
 from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -131,6 +133,8 @@ def parsed_name(name: str) -> dt.datetime | None:
 
 #: Rows for which a table gets a bucket when it is first stored, buckets at most, and children of a node.
 BUCKET_ROWS, MOST_BUCKETS, WIDTH = 1_000_000, 4096, 16
+#: Tables that are stored or checked at once.
+AT_ONCE = 8
 
 
 def bucketed(df: DataFrame, table: str, n: int) -> DataFrame:
@@ -183,8 +187,11 @@ def snapshot(catalog: Catalog, root: str, name: str, bucket_rows: int = BUCKET_R
     before = manifest_of(files, now)["tables"] if now and files.exists(f"{now}/manifest.json") else {}
     entry: dict = {"name": name, "schema_version": SCHEMA_VERSION, "tables": {}, "written": {}}
     try:
-        for table, df in catalog.tables.items():
-            entry["tables"][table], entry["written"][table] = _store(files, name, table, df, before.get(table), bucket_rows)
+        tables = catalog.tables
+        with ThreadPoolExecutor(AT_ONCE) as pool:  # their jobs share the cluster
+            stored_ = pool.map(inheritable_thread_target(catalog.spark)(lambda t: _store(files, name, t, tables[t], before.get(t), bucket_rows)), tables)
+            for table, (made, changed) in zip(tables, stored_):
+                entry["tables"][table], entry["written"][table] = made, changed
         roots = sorted((t, e["tree"][-1][0]) for t, e in entry["tables"].items())
         entry["root"] = hashlib.sha256(json.dumps(roots).encode()).hexdigest()
         files.write(f"{name}/manifest.json", json.dumps(entry, sort_keys=True))
@@ -206,15 +213,17 @@ def _store(files: Files, name: str, table: str, df: DataFrame, was: dict | None,
     if was and _form(was["schema"]) == _form(schema):
         n = was["buckets"]
     else:
-        n, was = min(MOST_BUCKETS, max(1, -(-df.count() // bucket_rows))), None
+        total, was = df.count(), None
+        n = min(MOST_BUCKETS, max(1, -(-total // bucket_rows)))
     place = f"{name}/{table}"
     rows, counted = bucketed(df, table, n), Observation()
+    meant, changed = {}, []
     if was:  # what is the same is not written again
         meant = bucket_hashes(rows)
         changed = [k for k, b in meant.items() if was["tree"][0][k] != b["hash"]]
         if len(changed) < n:
             rows = rows.where(F.col("__bucket").isin(changed))
-    if not was or changed:
+    if changed or (not was and total):
         sums = (F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("__h1", "__h2"))
         rows = rows.observe(counted, F.count(F.lit(1)).alias("n"), *sums).drop("__h1", "__h2")  # hashed on its way to the files
         rows.repartition("__bucket").write.mode("errorifexists").partitionBy("__bucket").parquet(f"{files.root}/{place}")
@@ -248,13 +257,17 @@ def _hashes_of(files: Files, table: str, schema: StructType, places: dict, n: in
 
 def damaged(spark: SparkSession, root: str, name: str) -> list[tuple[str, int]]:
     """(table, bucket) of what is not as the manifest has it."""
-    files, out = Files(spark, root), []
-    for table, e in manifest_of(files, name)["tables"].items():
+    files = Files(spark, root)
+
+    def of(item: tuple[str, dict]) -> list[tuple[str, int]]:
+        table, e = item
         places = {int(k): p for k, p in e["places"].items()}
         found = _hashes_of(files, table, StructType.fromJson(json.loads(e["schema"])), places, e["buckets"])
         held = {k: b["hash"] for k, b in found.items()}
-        out += [(table, k) for k in differing(e["tree"], tree(held, e["buckets"]))]
-    return out
+        return [(table, k) for k in differing(e["tree"], tree(held, e["buckets"]))]
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return [x for found in pool.map(inheritable_thread_target(spark)(of), manifest_of(files, name)["tables"].items()) for x in found]
 
 
 def integrity(spark: SparkSession, root: str, name: str) -> str:
