@@ -2,11 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents. A document's row is kept or goes as a whole; the third
-stage changes texts. Rows with a null doc_id stay until packing, as nothing can be said about their copies.
+stage changes texts. Rows with a null doc_id are told apart by their sets of shingles: of those with one set, one stays, and
+none if a row with an id has that set; without ids they link to no other sets.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +32,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     own = F.coalesce("set_key", F.lit("")).alias("__set_key")
     several = jaccard.with_keys(docs.join(repeated, "doc_id", "left_semi"), out="__set_key").withColumn("__set_key", F.coalesce("__set_key", F.lit("")))
     several = several.join(found.where("kept").select("doc_id", own).distinct(), ["doc_id", "__set_key"], "left_semi").dropDuplicates(["doc_id", "__set_key"])
-    return single.select(*docs.columns).unionByName(several.select(*docs.columns)).unionByName(docs.where("doc_id is null"))
+    nameless = jaccard.with_keys(docs.where("doc_id is null"), out="__set_key")
+    own_sets = nameless.where("__set_key is not null").dropDuplicates(["__set_key"]).join(found.where("set_key is not null").select(F.col("set_key").alias("__set_key")).distinct(), "__set_key", "left_anti")
+    parts = [single, several, nameless.where("__set_key is null"), own_sets]
+    return reduce(DataFrame.unionByName, (p.select(*docs.columns) for p in parts))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

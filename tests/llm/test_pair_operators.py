@@ -103,7 +103,7 @@ def test_pipeline_drops_only_copies_of_repeated_ids(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id long, text string, __key string")
     out = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
     assert out.columns == docs.columns
-    assert sorted((str(r["doc_id"]), r["text"] or "") for r in out.collect()) == sorted([("5", a), ("5", b), ("7", ""), ("8", "p q"), ("None", a), ("None", a)])
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in out.collect()) == sorted([("5", a), ("5", b), ("7", ""), ("8", "p q")])  # the nameless copies of a go with it
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), sf_dir).count() == 0
 
 
@@ -437,6 +437,24 @@ def test_training_never_sees_the_held_out_fold(spark):
     assert ids.count() == 50 and ids.where(toxicity.held_out(F.col("doc_id"))).count() == 0
 
 
+def test_pipeline_decides_null_ids_by_their_sets(spark, sf_dir):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a), (None, a), (None, a.upper()), (None, b), (None, b), (None, c), (None, ""), (None, ""), (None, None), (2, ""), (3, c + " more"), (3, c + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, set_key string")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(1, a), (None, b), (None, c), (None, ""), (None, ""), (None, None), (2, ""), (3, c + " more")], key=str)
+
+
+def test_pipeline_of_no_documents(spark, sf_dir, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    for name in ("documents", "labels"):
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        (df.limit(0) if name == "documents" else df).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages(spark, sf_dir):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
