@@ -151,7 +151,7 @@ def trends(catalog: Catalog, test: str, slug: str | None = None, dictionary: Dic
 
     Siblings are counted before verdicts, statistics after them and after conversion to the person's unit. Doubles are
     as they come; round them to compare engines. One pass: a name that stands for labs and vitals of one person raises at
-    once with a slug, and when the plan runs without one.
+    once with a slug (an eager job); without one, that person's row says `ambiguous` and has no statistics.
     """
     target, family = loose(key_token(F.lit(test), dictionary)), loose(norm(F.lit(test), dictionary))
     asked = settled(catalog.spark.range(1).select(), target=target, family=family).first()
@@ -190,11 +190,12 @@ def trends(catalog: Catalog, test: str, slug: str | None = None, dictionary: Dic
         F.when(F.max("pref").isNotNull(), F.count_if(live & stays)).otherwise(F.lit(0)).alias("unconverted_count"),
         F.count_if(F.col("match") & ~live).alias("suppressed_count"),
     )
-    if check_ambiguous:
-        both, said = (F.col("labs") > 0) & (F.col("labs") < F.col("count")), f"{test!r} matches both lab results and vital observations"
-        if slug is not None and found.where(both).head() is not None:
-            raise AmbiguousTestError(said)
-        found = found.withColumn("count", F.when(both, F.raise_error(F.lit(said)).cast("long")).otherwise(F.col("count")))
+    both = (F.col("labs") > 0) & (F.col("labs") < F.col("count")) if check_ambiguous else F.lit(False)
+    if check_ambiguous and slug is not None and found.where(both).head() is not None:
+        raise AmbiguousTestError(f"{test!r} matches both lab results and vital observations")
+    found = found.withColumn("ambiguous", both)
+    told = lambda c: F.when(~F.col("ambiguous"), F.col(c)).alias(c)
+    found = found.select(*(told(c) if c in ("min", "max", "latest", "latest_at", "latest_tie", "slope_per_day") else c for c in found.columns))
     known = F.array_distinct(F.transform("spellings", units.canonical_unit))
     shared = F.when((F.size(known) == 1) & F.element_at(known, 1).isNotNull(), F.element_at(known, 1))
     labelled = F.when(F.col("canonical_unit").isNotNull() & (F.col("unconverted_count") == 0), F.col("canonical_unit")).when(F.size("spellings") == 1, F.element_at("spellings", 1)).when(F.size("spellings") > 1, shared)
@@ -204,6 +205,7 @@ def trends(catalog: Catalog, test: str, slug: str | None = None, dictionary: Dic
         out = who.join(out, "person_id", "left")
     zero = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("other_assay_count", "converted_count", "unconverted_count", "suppressed_count")]
     return out.select(
-        "person_id", F.coalesce("token", target).alias("test"), F.coalesce("count", F.lit(0)).alias("count"), F.when(F.col("count") > 0, labelled).alias("unit"), "min", "max", "latest", "latest_at",
+        "person_id", F.coalesce("token", target).alias("test"), F.coalesce("count", F.lit(0)).alias("count"), F.when((F.col("count") > 0) & ~F.col("ambiguous"), labelled).alias("unit"), "min", "max", "latest", "latest_at",
         F.coalesce("latest_tie", F.lit(0)).alias("latest_tie"), "slope_per_day", F.array_sort(F.coalesce("other_assays", F.array().cast("array<string>"))).alias("other_assays"), "canonical_unit", *zero,
+        F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"),
     )

@@ -27,11 +27,12 @@ def trusts_anchors(route: Column) -> Column:
 
 
 def evidence(text: Column) -> Column:
-    """About WINDOW characters around the first anchor."""
+    """The characters up to half a WINDOW before and after the middle of the first anchor, white space collapsed."""
     before = F.element_at(F.split(text, ANCHOR, 2), 1)
     hit = F.regexp_extract(text, ANCHOR, 0)
     middle = F.length(before) + F.floor(F.length(hit) / 2)
-    cut = F.substr(text, F.greatest(middle - WINDOW // 2 + 1, F.lit(1)).cast("int"), F.lit(WINDOW))
+    start = F.greatest(middle - WINDOW // 2, F.lit(0))
+    cut = F.substr(text, (start + 1).cast("int"), (middle + WINDOW // 2 - start).cast("int"))
     return F.when(text.rlike(ANCHOR), F.nullif(F.trim(F.regexp_replace(cut, r"(?U)\s+", " ")), F.lit("")))
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.plan import numbered
 from ..specs import TABLES, FIELDS, schema_of
 
 SCHEMA_VERSION = 17
@@ -325,8 +326,9 @@ def load(spark: SparkSession, root: str, name: str | None = None) -> Catalog:
     files = Files(spark, root)
     if name is None and (name := current_name(files)) is None:
         raise SnapshotError(f"{root} holds no snapshot")
-    entries = manifest_of(files, name)["tables"]
-    return migrate(Catalog(spark, {t: partial(_read, files, StructType.fromJson(json.loads(e["schema"])), e["places"].values()) for t, e in entries.items()}))
+    manifest = manifest_of(files, name)
+    found = Catalog(spark, {t: partial(_read, files, StructType.fromJson(json.loads(e["schema"])), e["places"].values()) for t, e in manifest["tables"].items()})
+    return migrate(found if manifest["schema_version"] >= PROMOTED_AT else promoted(found))
 
 
 def exists(spark: SparkSession, root: str) -> bool:
@@ -346,6 +348,30 @@ def migrate(catalog: Catalog) -> Catalog:
     return Catalog(catalog.spark, {name: partial(whole if name in FIELDS or name in TABLES else catalog.__getitem__, name) for name in catalog.made})
 
 
+#: The schema from which on allergies and conditions have tables of their own.
+PROMOTED_AT = 6
+
+
+def promoted(catalog: Catalog) -> Catalog:
+    """Observations that are allergies or conditions moved to their tables, with new ids in the order of the old; those without a key stay.
+
+    Their identity goes with them; a missing base is the key. A condition counts as active. Ids are counted when this is called.
+    """
+    moves = F.col("obs_type").isin("allergy", "condition") & F.col("key").isNotNull()
+    observations, tables = migrate(Catalog(catalog.spark, {"observation": catalog["observation"]}))["observation"], {}
+    same = [F.col(c) for c in ("person_id", "document_id", "dedup_key", "dedup_occurrence")] + [F.coalesce("dedup_base", "dedup_key").alias("dedup_base")]
+    for table, own in (
+        ("allergy", {"substance": F.col("key"), "reaction": F.col("value_text"), "noted_on": F.col("observed_at")}),
+        ("condition", {"name": F.col("key"), "status": F.lit("active"), "onset_on": F.col("observed_at"), "note": F.col("value_text")}),
+    ):
+        there = migrate(Catalog(catalog.spark, {table: catalog[table]}))[table]
+        last = there.agg(F.coalesce(F.max(f"{table}_id"), F.lit(0))).first()[0]
+        new = observations.where(moves & (F.col("obs_type") == table)).select("observation_id", *same, *(c.alias(n) for n, c in own.items()))
+        new = numbered(new, f"{table}_id", last + 1, "observation_id")
+        tables[table] = there.unionByName(new.select(*((F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema_of(table))))
+    return catalog.with_tables(observation=observations.where(~F.coalesce(moves, F.lit(False))), **tables)
+
+
 def pending(catalog: Catalog) -> list[str]:
     """Tables that migrate() would change, in order."""
     return sorted(n for n, df in catalog.tables.items() if (n in FIELDS or n in TABLES) and df.columns != schema_of(n).names)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import search
+from ..operators import ingest, search
 from ..operators.segments import SegmentedIndex
 from . import catalog as snapshots
 from . import registry, sql
@@ -92,3 +92,34 @@ def snapshot_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = snapshots.difference(spark, root, "anamnex-20240201-0000", "anamnex-20240202-0000", table)
         sides.append(rows.select(F.lit(table).alias("record_type"), F.col(f"{table}_id").alias("record_id"), F.col(said).alias("said"), "side"))
     return sides[0].unionByName(sides[1])
+
+
+_OLD = "old AS (SELECT *, CASE obs_type WHEN 'symptom' THEN 'allergy' WHEN 'activity' THEN 'condition' ELSE obs_type END AS kind, CASE WHEN observed_at IS NOT NULL THEN key END AS k FROM observation)"
+
+
+@query(sql.with_views(f""", {_OLD} SELECT 'allergy' AS record_type, person_id, k AS said, observed_at AS at, CAST(value_text AS VARCHAR) AS more, TRUE AS numbered FROM old WHERE kind = 'allergy' AND k IS NOT NULL
+  UNION ALL SELECT 'condition', person_id, k, observed_at, CAST(value_text AS VARCHAR), TRUE FROM old WHERE kind = 'condition' AND k IS NOT NULL
+  UNION ALL SELECT 'observation', person_id, k, observed_at, value_text, TRUE FROM old WHERE kind NOT IN ('allergy', 'condition') OR k IS NULL""", "observation"))
+def promoted_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of an old schema, where symptoms are allergies and activities conditions among the observations, in today's tables; what has no key stays."""
+    cat = catalog(spark, sf_dir)
+    kind = F.when(F.col("obs_type") == "symptom", "allergy").when(F.col("obs_type") == "activity", "condition").otherwise(F.col("obs_type"))
+    old = cat["observation"].withColumn("obs_type", kind).withColumn("key", F.when(F.col("observed_at").isNotNull(), F.col("key")))
+    new = snapshots.promoted(snapshots.Catalog(spark, {"observation": old}))
+    parts = []
+    for table, said, at, more in (("allergy", "substance", "noted_on", "reaction"), ("condition", "name", "onset_on", "note"), ("observation", "key", "observed_at", "value_text")):
+        once = F.count("*").over(Window.partitionBy(f"{table}_id")) == 1
+        parts.append(new[table].select(F.lit(table).alias("record_type"), "person_id", F.col(said).alias("said"), F.col(at).alias("at"), F.col(more).alias("more"), once.alias("numbered")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_HEADED = "headed AS (SELECT doc_id, left(text, doc_id % 200) || ' DOB: ' || substr(text, doc_id % 200 + 1) AS raw FROM documents), found AS (SELECT *, strpos(raw, 'DOB') AS mid FROM headed)"  # the middle of three letters is one after their start
+
+
+@query(f"WITH {_HEADED} SELECT doc_id, trim(regexp_replace(substr(raw, greatest(mid - 60, 0) + 1, mid + 60 - greatest(mid - 60, 0)), '\\s+', ' ', 'g')) AS evidence FROM found")
+def evidence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """what stands around the first anchor, which every document's text gets somewhere in its first 200 characters."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    at = (F.col("doc_id") % 200).cast("int")
+    raw = F.concat(F.substr("text", F.lit(1), at), F.lit(" DOB: "), F.substr("text", at + 1))
+    return docs.select("doc_id", ingest.evidence(raw).alias("evidence"))

@@ -112,3 +112,35 @@ def test_manifests_are_swapped_in_one_step(spark, tmp_path):
     with pytest.raises(SnapshotError):
         files.put("a.json", "2")
     assert files.read("a.json") == "1"
+
+
+def test_observations_of_an_old_store_are_promoted(spark, tmp_path):
+    root = str(tmp_path / "store")
+    old = "observation_id long, person_id long, obs_type string, key string, value_text string, observed_at string, dedup_key string, dedup_base string, dedup_occurrence int"
+    rows = [(4, 1, "allergy", "zinc", "rash", "2020", "k4", None, 0), (2, 1, "allergy", "iron", None, None, "k2", "b2", 1), (3, 2, "condition", "gout", "old", "2019", "k3", None, 0), (5, 2, "allergy", None, "x", None, "k5", None, 0), (6, 2, None, "y", None, None, "k6", None, 0), (7, 1, "vital", "w", None, None, "k7", None, 0)]
+    cat = Catalog(spark, {"observation": spark.createDataFrame(rows, old), "allergy": spark.createDataFrame([(9, 3, "wool")], "allergy_id long, person_id long, substance string")})
+    snapshots.snapshot(cat, root, A)
+    path = tmp_path / "store" / A / "manifest.json"
+    (path.parent / ".manifest.json.crc").unlink(missing_ok=True)
+    path.write_text(json.dumps({**json.loads(path.read_text()), "schema_version": 5}))
+    new = snapshots.load(spark, root)
+    assert sorted(map(tuple, new["allergy"].select("allergy_id", "substance", "reaction", "noted_on", "dedup_base", "dedup_occurrence").collect())) == [(9, "wool", None, None, None, 0), (10, "iron", None, None, "b2", 1), (11, "zinc", "rash", "2020", "k4", 0)]
+    assert [tuple(r) for r in new["condition"].select("condition_id", "person_id", "name", "status", "onset_on", "note", "dedup_base").collect()] == [(1, 2, "gout", "active", "2019", "old", "k3")]
+    assert sorted(r["observation_id"] for r in new["observation"].collect()) == [5, 6, 7]
+
+
+def test_evidence_window(spark):
+    from anamnex.operators.ingest import evidence
+
+    texts = ["x" * 10 + " DOB " + "y" * 200, "z" * 300 + "\n MRN\t" + "w" * 300, "Name : A", "none", "", None, "PATIENT"]
+    want = ["x" * 10 + " DOB " + "y" * 57, "z" * 58 + " MRN " + "w" * 58, "Name : A", None, None, None, "PATIENT"]
+    got = [r["e"] for r in spark.createDataFrame(list(enumerate(texts)), "k long, t string").select("k", evidence(F.col("t")).alias("e")).orderBy("k").collect()]
+    for own, w, t in zip(got, want, texts):
+        if w is None or len(w) < 20:
+            assert own == w
+        else:  # the middle of the anchor, 60 characters to both sides
+            import re
+
+            m = re.search("(?i)dob|mrn", t)
+            mid = (m.start() + m.end()) // 2
+            assert own == " ".join(t[max(0, mid - 60) : mid + 60].split())
