@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import MONTHS, dob_renderings
-from ..functions.plan import numbered
+from ..functions.plan import let, numbered
 from ..functions.text import alnum, invisible_trim, is_blank, name_tokens
 from ..plans.catalog import Catalog
 from ..plans.scratch import written
@@ -26,14 +26,17 @@ def trusts_anchors(route: Column) -> Column:
     return route != "native"
 
 
-def evidence(text: Column) -> Column:
+def evidence(text: Column, anchor: str = ANCHOR) -> Column:
     """The characters up to half a WINDOW before and after the middle of the first anchor, white space collapsed."""
-    before = F.element_at(F.split(text, ANCHOR, 2), 1)
-    hit = F.regexp_extract(text, ANCHOR, 0)
-    middle = F.length(before) + F.floor(F.length(hit) / 2)
-    start = F.greatest(middle - WINDOW // 2, F.lit(0))
-    cut = F.substr(text, (start + 1).cast("int"), (middle + WINDOW // 2 - start).cast("int"))
-    return F.when(text.rlike(ANCHOR), F.nullif(F.trim(F.regexp_replace(cut, r"(?U)\s+", " ")), F.lit("")))
+
+    def around(parts: Column) -> Column:
+        before = F.length(parts[0])
+        middle = before + F.floor((F.length(text) - before - F.length(F.get(parts, F.lit(1)))) / 2)
+        start = F.greatest(middle - WINDOW // 2, F.lit(0))
+        cut = F.substr(text, (start + 1).cast("int"), (middle + WINDOW // 2 - start).cast("int"))
+        return F.when(F.size(parts) == 2, F.nullif(F.trim(F.regexp_replace(cut, r"(?U)\s+", " ")), F.lit("")))
+
+    return let(F.split(text, anchor, 2), around)  # searched once
 
 
 #: The shapes of the spellings of birth dates; texts are searched for each by itself, as they may overlap.
