@@ -24,7 +24,8 @@ def _host() -> Column:
 def _log(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     """A folder of log files, written stretch by stretch, and the delay of its lines: what was lost is told one stretch late.
 
-    At the end each host answers once more, and long after that one line of another host moves the watermark past it.
+    At the end each host answers once more, too late for any marker's window, and long after that one line of another host
+    moves the watermark past it.
     """
     samples = view(spark, sf_dir, "sample")
     first, last = samples.select(F.unix_millis(F.min("ts").cast("timestamp")), F.unix_millis(F.max("ts").cast("timestamp"))).first()
@@ -36,8 +37,9 @@ def _log(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     lines = samples.select((nth + F.col("lost").cast("int")).alias("batch"), F.concat(head, answer).alias("value"))
     marks = samples.where("marker").select(nth.alias("batch"), F.concat(head, F.lit("### STALL MARKER ### "), F.col("sample_id").cast("string")).alias("value"))
     after = lambda ms: stamp(F.timestamp_millis(F.lit(last + ms)))
-    closing = samples.select("host").distinct().select(F.lit(STRETCHES + 1).alias("batch"), F.concat(after(1000), F.lit("  host="), F.col("host").cast("string"), F.lit(" Reply: time=1ms")).alias("value"))
-    end = spark.range(1).select(F.lit(STRETCHES + 2).alias("batch"), F.concat(after(4 * step), F.lit("  host=end Reply: time=1ms")).alias("value"))
+    closed = 1000 * WINDOW + 1000
+    closing = samples.select("host").distinct().select(F.lit(STRETCHES + 1).alias("batch"), F.concat(after(closed), F.lit("  host="), F.col("host").cast("string"), F.lit(" Reply: time=1ms")).alias("value"))
+    end = spark.range(1).select(F.lit(STRETCHES + 2).alias("batch"), F.concat(after(closed + 4 * step), F.lit("  host=end Reply: time=1ms")).alias("value"))
     log = lines.unionByName(marks).unionByName(closing).unionByName(end)
     folder = f"{fresh_dir(spark)}/log"
     for batch in range(STRETCHES + 3):

@@ -1,5 +1,7 @@
 """What only showed on larger or other tables: queries on small tables made for it, held against their SQL or counted by hand."""
 
+import datetime as dt
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -24,3 +26,12 @@ def test_an_anchor_inside_a_word_counts_as_in_the_sql(spark, tmp_path):
     pq.write_table(pa.table({"doc_id": [100, 50, 7, 1, 3, 2], "text": texts}), f"{tmp_path}/documents.parquet")
     got, want = against_sql(spark, tmp_path, "evidence_windows", "documents")
     assert got == want and len(got) == len(texts)
+
+
+def test_what_ends_a_live_log_is_in_no_stall_window(spark, tmp_path):
+    last = dt.datetime(2024, 1, 9, 12)
+    rows = [(25, 1, "signup", last - dt.timedelta(hours=1), 5.0), (1, 1, "view", last, 7.0), (2, 1, "error", last - dt.timedelta(hours=2), 1.0), (3, 2, "view", last - dt.timedelta(days=9), 2.0)]
+    events = pa.table(dict(zip(("event_id", "user_id", "event_type", "ts", "value"), zip(*rows))))
+    pq.write_table(events.cast(events.schema.set(3, pa.field("ts", pa.timestamp("us")))), f"{tmp_path}/events.parquet")
+    got, want = against_sql(spark, tmp_path, "live_stall_windows", "events")
+    assert got == want and got[0][:3] == (25, 3, 1)
