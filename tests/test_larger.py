@@ -6,7 +6,9 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from anamnex.operators import commit
 from anamnex.plans import registry
+from anamnex.plans.bridge import catalog
 
 
 def against_sql(spark, folder, name, *tables):
@@ -35,3 +37,14 @@ def test_what_ends_a_live_log_is_in_no_stall_window(spark, tmp_path):
     pq.write_table(events.cast(events.schema.set(3, pa.field("ts", pa.timestamp("us")))), f"{tmp_path}/events.parquet")
     got, want = against_sql(spark, tmp_path, "live_stall_windows", "events")
     assert got == want and got[0][:3] == (25, 3, 1)
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_outcomes_take_one_shuffle_without_payloads(spark, sf_dir):
+    cat = catalog(spark, sf_dir)
+    rows = cat["medication"]
+    found = commit.outcomes(rows.where("started_on < '1995-06-17'"), rows.withColumn("pos", rows["medication_id"]), "medication").select("pos", "outcome", "target_id")
+    assert shuffles(found) == 1 and "prescriber" not in str(found._jdf.queryExecution().optimizedPlan().toString()).split("Window", 1)[0]
