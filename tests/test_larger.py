@@ -5,10 +5,11 @@ import datetime as dt
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from anamnex.operators import commit
-from anamnex.plans import registry
-from anamnex.plans.bridge import catalog
+from anamnex.plans import registry, registry_verbs
+from anamnex.plans.bridge import DICTIONARY, catalog
 
 
 def against_sql(spark, folder, name, *tables):
@@ -48,3 +49,11 @@ def test_outcomes_take_one_shuffle_without_payloads(spark, sf_dir):
     rows = cat["medication"]
     found = commit.outcomes(rows.where("started_on < '1995-06-17'"), rows.withColumn("pos", rows["medication_id"]), "medication").select("pos", "outcome", "target_id")
     assert shuffles(found) == 1 and "prescriber" not in str(found._jdf.queryExecution().optimizedPlan().toString()).split("Window", 1)[0]
+
+
+def test_conflicts_are_made_once_and_settled_without_a_shuffle(spark, sf_dir):
+    cat = registry_verbs._conflicted(spark, sf_dir)
+    assert shuffles(cat["conflict"]) == 0 and shuffles(cat["lab_result"]) == 0
+    first = cat["conflict"].agg(F.min("conflict_id")).first()[0]
+    after, _ = commit.resolve(cat, first, "incoming", dictionary=DICTIONARY)
+    assert shuffles(after["lab_result"]) == 0 and after["conflict"].where("status = 'resolved'").count() == 1
