@@ -109,9 +109,10 @@ def owner_checks(docs: DataFrame, roster: DataFrame, anchors: Column | None = No
     own = own.withColumn("is_match", ~is_blank(F.col("text")) & names_person(F.col("text"), F.col("plain"), F.col("tokens"), F.col("dobs")))
     rest = own.where(~F.coalesce("is_match", F.lit(False)) & ~is_blank(F.col("text"))).select("document_id", F.col("person_id").alias("claimed"), "text", "plain")
     others = named_others(rest, people).unionByName(born_others(rest, people)).groupBy("document_id").agg(F.min_by("slug", "person_id").alias("other_slug"))
-    out = own.join(others, "document_id", "left")
-    why = evidence(F.col("text"))
-    anchored = why.isNotNull() & (F.size(F.coalesce("tokens", F.array().cast("array<string>"))) > 0) & (F.lit(True) if anchors is None else anchors)
+    named = F.size(F.coalesce("tokens", F.array().cast("array<string>"))) > 0
+    said = own.select("document_id", "claimed_slug", "is_match", evidence(F.col("text")).alias("why"), (named & (F.lit(True) if anchors is None else anchors)).alias("anchors"))
+    out, why = said.join(others, "document_id", "left"), F.col("why")  # texts stay where they are
+    anchored = why.isNotNull() & F.col("anchors")
     verdict = F.when(F.col("is_match"), "match").when(F.col("other_slug").isNotNull(), "mismatch").when(anchored, "suspect").otherwise("unverified")
     who = F.when(F.col("is_match"), F.col("claimed_slug")).otherwise(F.col("other_slug"))
     return out.select("document_id", verdict.alias("verdict"), who.alias("matched_slug"), F.when(verdict != "unverified", why).alias("evidence"))
@@ -134,7 +135,8 @@ def ingest(catalog: Catalog, files: DataFrame, slug: str, force: bool = False, t
     df = files.drop("content").join(stored, "sha256", "left").join(buried, "sha256", "left")
     df = df.withColumn("again", F.row_number().over(Window.partitionBy("sha256").orderBy("path")) > 1)
     df = df.withColumn("document_id", F.xxhash64("path")).withColumn("person_id", F.lit(who).cast("long"))
-    checks = owner_checks(df.select("document_id", "person_id", "text", "route"), catalog["person"], trusts_anchors(F.col("route")))
+    own = files.select(F.xxhash64("path").alias("document_id"), F.lit(who).cast("long").alias("person_id"), "text", "route")
+    checks = owner_checks(own, catalog["person"], trusts_anchors(F.col("route")))
     df = df.join(checks, "document_id", "left")
     status = (
         F.when(F.col("route") == "pointer", "pointer").when(F.col("stored") | F.col("again"), "duplicate").when(F.col("buried") & F.lit(not tombstone_force), "tombstoned")
