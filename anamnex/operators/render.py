@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import units
 from ..functions.dates import date_only
 from ..functions.names import shown_name
-from ..functions.plan import settled
+from ..functions.plan import dealt, settled
 from ..functions.text import Dictionary, filled, key_token, number_text
 from ..plans.catalog import Catalog
 from ..specs import APPENDIX, BRIEF_LABS, SELF_REPORTED
@@ -273,10 +273,11 @@ def briefs(catalog: Catalog, today, generated: str, dictionary: Dictionary = Non
 
 
 def journal_events(catalog: Catalog, since: str | None = None, self_reported: bool = False) -> DataFrame:
-    """Events that no verdict hides, with their place, and whether a new date starts."""
+    """Events that no verdict hides, with what their lines end in, their place, and whether a new date starts; dealt by person once."""
     events = timeline(catalog, since=since, exclude_obs_types=() if self_reported else SELF_REPORTED)
-    df = visible(with_verdict(events, catalog))
-    order = Window.partitionBy("person_id").orderBy("date", "type", "src", "record_id", "document_id", "summary")
+    own = ["date", "type", "src", "record_id", "document_id", "summary"]
+    df = dealt(visible(with_verdict(events, catalog)).select("person_id", *own, suffixes().alias("suffix")), "person_id")
+    order = Window.partitionBy("person_id").orderBy(*own)
     return df.withColumn("place", F.row_number().over(order)).withColumn("starts", ~F.col("date").eqNullSafe(F.lag("date").over(order)))
 
 
@@ -286,29 +287,35 @@ def footnotes(events: DataFrame) -> DataFrame:
     return notes.select("person_id", "document_id", F.row_number().over(Window.partitionBy("person_id").orderBy("first")).alias("note_no"))
 
 
-def journal_lines(catalog: Catalog, since: str | None = None, self_reported: bool = False) -> DataFrame:
-    """Lines of events (section 0), with headings where the date changes, and numbered notes of their documents (section 1)."""
-    df = journal_events(catalog, since, self_reported)
-    notes = footnotes(df)
-    df = df.join(notes, ["person_id", "document_id"], "left")
+def journal_lines(catalog: Catalog, since: str | None = None, self_reported: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(person_id, place, line) of events, with headings where the date changes, and of the numbered notes of their documents.
+
+    Events get their note's number where they lie, by the rank of their document's first place among a person's.
+    """
+    events = journal_events(catalog, since, self_reported)
+    first = F.when(F.col("document_id").isNotNull(), F.min("place").over(Window.partitionBy("person_id", "document_id")))
+    df = events.withColumn("first", first).withColumn("note_no", F.dense_rank().over(Window.partitionBy("person_id").orderBy(F.col("first").asc_nulls_last())))
     head = F.when(F.col("starts"), F.concat(F.lit("\n## "), "date", F.lit("\n\n"))).otherwise(F.lit(""))
-    line = F.concat(head, F.lit("- **"), "type", F.lit("** -- "), F.coalesce("summary", F.lit("")), F.when(F.col("note_no").isNotNull(), F.concat(F.lit(" [^"), F.col("note_no").cast("string"), F.lit("]"))).otherwise(F.lit("")), suffixes())
+    line = F.concat(head, F.lit("- **"), "type", F.lit("** -- "), F.coalesce("summary", F.lit("")), F.when(F.col("first").isNotNull(), F.concat(F.lit(" [^"), F.col("note_no").cast("string"), F.lit("]"))).otherwise(F.lit("")), "suffix")
     docs = catalog["document"].select("document_id", F.lit(True).alias("known"), "category", "provider", "doc_date", "source_path")
-    cited = notes.join(docs, "document_id", "left")
+    cited = footnotes(events).join(docs, "document_id", "left")
     number = F.concat(F.lit("document #"), F.col("document_id").cast("string"))
     bits = F.concat_ws(", ", number, *(F.when(filled(F.col(c)), F.concat(F.lit(p), c)) for c, p in (("category", ""), ("provider", ""), ("doc_date", "dated "), ("source_path", "sources/"))))
     citation = F.concat(F.lit("[^"), F.col("note_no").cast("string"), F.lit("]: "), F.when(F.col("known"), bits).otherwise(F.concat(number, F.lit(" (not found)"))))
-    return df.select("person_id", F.lit(0).alias("section"), "place", line.alias("line")).unionByName(cited.select("person_id", F.lit(1).alias("section"), F.col("note_no").alias("place"), citation.alias("line")))
+    return df.select("person_id", "place", line.alias("line")), cited.select("person_id", F.col("note_no").alias("place"), citation.alias("line"))
+
+
+def joined_lines(lines: DataFrame, name: str) -> DataFrame:
+    """A person's lines as one text, in place."""
+    held = lines.groupBy("person_id").agg(F.sort_array(F.collect_list(F.struct("place", "line"))).alias("l"))
+    return held.select("person_id", F.array_join(F.col("l.line"), "\n").alias(name))
 
 
 def journals(catalog: Catalog, generated: str, since: str | None = None, self_reported: bool = False) -> DataFrame:
-    lines = journal_lines(catalog, since, self_reported)
-    bodies = lines.groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct("section", "place", "line"))).alias("l"))
-    events = F.array_join(F.transform(F.filter("l", lambda x: x["section"] == 0), lambda x: x["line"]), "\n")
-    notes = F.array_join(F.transform(F.filter("l", lambda x: x["section"] == 1), lambda x: x["line"]), "\n")
+    lines, notes = journal_lines(catalog, since, self_reported)
     head = F.concat(F.lit("# Journal: "), "full_name", F.lit(f"\n\n- Generated: {generated} (read-only view of DB state)\n"))
-    df = catalog["person"].join(bodies, "person_id", "left")
-    body = F.when(F.col("l").isNull(), F.lit("\n_No dated events on record._")).otherwise(F.concat(events, F.when(notes == "", F.lit("")).otherwise(F.concat(F.lit("\n\n---\n\n"), notes))))
+    df = catalog["person"].select("person_id", "full_name").join(joined_lines(lines, "events"), "person_id", "left").join(joined_lines(notes, "notes"), "person_id", "left")
+    body = F.when(F.col("events").isNull(), F.lit("\n_No dated events on record._")).otherwise(F.concat("events", F.coalesce(F.concat(F.lit("\n\n---\n\n"), "notes"), F.lit(""))))
     return df.select("person_id", F.concat(head, body, F.lit("\n")).alias("text"))
 
 

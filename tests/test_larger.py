@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from anamnex.operators import commit
+from anamnex.operators import commit, overlay
 from anamnex.plans import registry, registry_verbs
 from anamnex.plans.bridge import DICTIONARY, catalog
 
@@ -57,3 +57,16 @@ def test_conflicts_are_made_once_and_settled_without_a_shuffle(spark, sf_dir):
     first = cat["conflict"].agg(F.min("conflict_id")).first()[0]
     after, _ = commit.resolve(cat, first, "incoming", dictionary=DICTIONARY)
     assert shuffles(after["lab_result"]) == 0 and after["conflict"].where("status = 'resolved'").count() == 1
+
+
+def test_events_of_journals_are_shuffled_once(spark, sf_dir):
+    assert shuffles(registry.QUERIES["journal_notes"](spark, sf_dir)) == 1 and shuffles(registry.QUERIES["journal_dates"](spark, sf_dir)) == 1
+
+
+def test_only_ruled_types_meet_verdicts(spark, sf_dir):
+    cat = catalog(spark, sf_dir)
+    assert overlay.ruled_types(cat) == ("lab_result",)
+    rows = overlay.with_verdict(cat["procedure"], cat, "procedure")
+    assert "Join" not in str(rows._jdf.queryExecution().optimizedPlan().toString()) and rows.where("_curation IS NOT NULL").count() == 0
+    none = overlay.with_verdict(cat["lab_result"], cat.with_tables(curation=cat["curation"].where("false")), "lab_result")
+    assert none.where("_curation IS NOT NULL").count() == 0 and none.count() == cat["lab_result"].count()
