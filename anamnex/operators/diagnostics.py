@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .selection import MOST_HELD, percentiles
 
@@ -93,18 +97,68 @@ def near(markers: DataFrame, samples: DataFrame, seconds: int = STALL_SECONDS, *
 
 
 def stall_windows(markers: DataFrame, samples: DataFrame, seconds: int = STALL_SECONDS, *by: str) -> DataFrame:
-    """Loss and round-trip times around each marker; markers without samples have zero of them."""
-    return around(markers, near(markers, samples, seconds, *by))
+    """Loss and round-trip times around each marker; markers without samples have zero of them.
+
+    Samples go to the time buckets of their marker's width whose windows can hold them, at most three; there they are sorted
+    once for all markers, so that what is shuffled grows with the samples and not with their pairs with markers. A task
+    holds the samples of three buckets. Markers that share an id are one window of all their pairs, made as in near().
+    """
+    width = seconds * 1_000_000
+    alone = markers.withColumn("__n", F.count("*").over(Window.partitionBy("marker_id")))
+    shared = alone.where("__n > 1").drop("__n")
+    bucket = lambda at: F.floor(at / F.lit(width))
+    given = reduce(lambda a, c: a & F.col(c).isNotNull(), by, F.lit(True))
+    asked = alone.where(given & (F.col("__n") == 1) & F.col("marker_ts").isNotNull()).select(*by, bucket(micros("marker_ts")).alias("bucket"), "marker_id", micros("marker_ts").alias("at"))
+    # a window's ends are 1.0 widths away: it reaches into the buckets beside its own, and no further
+    at = micros("ts")
+    held = samples.where(given & F.col("ts").isNotNull()).select(*by, F.explode(F.array(*(bucket(at) + k for k in (-1, 0, 1)))).alias("bucket"), at.alias("at"), F.col("ms").cast("double").alias("ms"), F.coalesce("lost", F.lit(False)).alias("lost"))
+    kind = markers.schema["marker_id"].dataType
+    schema = StructType([StructField("marker_id", kind), *(StructField(n, LongType()) for n in ("samples", "lost")), *(StructField(n, DoubleType()) for n in ("p95_ms", "max_ms"))])
+
+    def meet(own: pa.Table, near_: pa.Table) -> pa.Table:
+        return _windows(own, near_, width)
+
+    found = asked.groupBy(*by, "bucket").cogroup(held.groupBy(*by, "bucket")).applyInArrow(meet, schema)
+    found = found.select("marker_id", "samples", "lost", F.round(100.0 * F.col("lost") / F.col("samples"), 1).alias("loss_pct"), "p95_ms", "max_ms")
+    pairs = _window_stats(near(shared, samples.withColumn("ms", F.col("ms").cast("double")), seconds, *by))
+    out = markers.join(found.unionByName(pairs), "marker_id", "left")
+    return out.na.fill(0, ["samples", "lost"]).na.fill(0.0, ["loss_pct"])
+
+
+def _windows(markers: pa.Table, samples: pa.Table, width: int) -> pa.Table:
+    """Counts, nearest-rank p95 and largest value of the samples around each marker of a bucket; values that are no number are the largest, as in Spark."""
+    rows = []
+    if markers.num_rows and samples.num_rows:
+        at = samples["at"].to_numpy()
+        order = np.argsort(at, kind="stable")
+        at, ms, lost = at[order], samples["ms"].to_numpy()[order], samples["lost"].to_numpy()[order]
+        there = samples["ms"].is_valid().to_numpy()[order]
+        losses, known = (np.concatenate(([0], np.cumsum(x))) for x in (lost, there))
+        values, made = ms[there], {}
+        for id_, mark in zip(markers["marker_id"].to_pylist(), markers["at"].to_pylist()):
+            if mark not in made:
+                a, b = np.searchsorted(at, mark - width, "left"), np.searchsorted(at, mark + width, "right")
+                own = values[known[a] : known[b]]
+                k = max(0, math.ceil(0.95 * len(own)) - 1)
+                made[mark] = (int(b - a), int(losses[b] - losses[a]), float(np.partition(own, k)[k]) if len(own) else None, float(own.max()) if len(own) else None)
+            if made[mark][0]:
+                rows.append((id_, *made[mark]))
+    columns = list(zip(*rows)) if rows else [()] * 5
+    kinds = (markers.schema.field("marker_id").type, pa.int64(), pa.int64(), pa.float64(), pa.float64())
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(("marker_id", "samples", "lost", "p95_ms", "max_ms"), columns, kinds)})
 
 
 def around(markers: DataFrame, pairs: DataFrame) -> DataFrame:
     """stall_windows() of samples that were met with their markers before. A window holds some seconds of samples, which one task can sort."""
+    out = markers.join(_window_stats(pairs), "marker_id", "left")
+    return out.na.fill(0, ["samples", "lost"]).na.fill(0.0, ["loss_pct"])
+
+
+def _window_stats(pairs: DataFrame) -> DataFrame:
     p95 = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY ms)").alias("p95_ms")
-    found = pairs.groupBy("marker_id").agg(
+    return pairs.groupBy("marker_id").agg(
         F.count("*").alias("samples"), F.count_if("lost").alias("lost"), F.round(100.0 * F.count_if("lost") / F.count("*"), 1).alias("loss_pct"), p95, F.max("ms").alias("max_ms")
     )
-    out = markers.join(found, "marker_id", "left")
-    return out.na.fill(0, ["samples", "lost"]).na.fill(0.0, ["loss_pct"])
 
 
 def unpivoted_counters(wide: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from anamnex.operators import commit, overlay
+from anamnex.operators import commit, diagnostics, overlay
 from anamnex.plans import registry, registry_verbs
 from anamnex.plans.bridge import DICTIONARY, catalog
 
@@ -70,3 +70,15 @@ def test_only_ruled_types_meet_verdicts(spark, sf_dir):
     assert "Join" not in str(rows._jdf.queryExecution().optimizedPlan().toString()) and rows.where("_curation IS NOT NULL").count() == 0
     none = overlay.with_verdict(cat["lab_result"], cat.with_tables(curation=cat["curation"].where("false")), "lab_result")
     assert none.where("_curation IS NOT NULL").count() == 0 and none.count() == cat["lab_result"].count()
+
+
+def test_stall_windows_shuffle_samples_and_not_pairs(spark):
+    at = dt.datetime(2024, 1, 9, 12)
+    samples = spark.createDataFrame([(at + dt.timedelta(seconds=s), None if s % 7 == 0 else float(s % 13), s % 7 == 0) for s in range(-200, 200)], "ts timestamp, ms double, lost boolean")
+    times = [at + dt.timedelta(seconds=s) for s in range(-240, 240, 3)]
+    markers = spark.createDataFrame([*enumerate(times), (7, times[100]), (900, None)], "marker_id long, marker_ts timestamp")
+    found = diagnostics.stall_windows(markers, samples, 30)
+    plan = str(found._jdf.queryExecution().executedPlan().toString())
+    assert "FlatMapCoGroupsInArrow" in plan
+    want = diagnostics.around(markers, diagnostics.near(markers, samples, 30))
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect())) and found.where("samples = 0").count() > 1
