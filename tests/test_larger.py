@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from anamnex.operators import commit, diagnostics, overlay
+from anamnex.plans import catalog as snapshots
 from anamnex.plans import registry, registry_verbs
 from anamnex.plans.bridge import DICTIONARY, catalog
 
@@ -72,6 +73,17 @@ def test_only_ruled_types_meet_verdicts(spark, sf_dir):
     assert none.where("_curation IS NOT NULL").count() == 0 and none.count() == cat["lab_result"].count()
 
 
+def test_a_rekey_plan_takes_one_shuffle_for_each_type(spark, sf_dir):
+    assert shuffles(registry.QUERIES["rekey_changes"](spark, sf_dir)) == len(registry_verbs._KEYED)
+
+
+def test_tasks_that_write_a_snapshot_stay_of_one_size(spark, tmp_path):
+    assert [snapshots.written_parts(*x) for x in ((0, 1), (999, 1), (216_000_000, 216), (216_000_000, 4))] == [(1, 1), (2, 1), (432, 1), (432, 54)]
+    rows = spark.range(1000).select(F.col("id").alias("allergy_id"), F.lit("x").alias("substance"))
+    made = snapshots.snapshot(snapshots.Catalog(spark, {"allergy": rows}), str(tmp_path), "anamnex-20240201-0000", bucket_rows=100)
+    assert len(made["written"]["allergy"]) == 10 and snapshots.integrity(spark, str(tmp_path), "anamnex-20240201-0000") == "ok"
+
+
 def test_stall_windows_shuffle_samples_and_not_pairs(spark):
     at = dt.datetime(2024, 1, 9, 12)
     samples = spark.createDataFrame([(at + dt.timedelta(seconds=s), None if s % 7 == 0 else float(s % 13), s % 7 == 0) for s in range(-200, 200)], "ts timestamp, ms double, lost boolean")
