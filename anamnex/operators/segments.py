@@ -85,15 +85,21 @@ class SegmentedIndex:
 
     # -- writing
 
-    def _write(self, segment: str, records: DataFrame, postings: DataFrame) -> dict:
-        """A segment of records (key, ordinal, len) and postings (token, ordinal, positions, len, and the record's columns)."""
+    def _dealt(self, postings: DataFrame, tokens: int, shards: int, exploded: bool) -> DataFrame:
+        """Postings in the shards of their tokens; those of one token each (pos) are gathered where they have come to, without another shuffle."""
+        slices = -(-tokens // (shards * self.tokens_per_shard)) if tokens > shards * self.tokens_per_shard else 1
+        dealt = postings.withColumn("part", shard_of(F.col("token"), shards)).withColumn("slice", F.pmod("ordinal", F.lit(slices)))
+        dealt = dealt.repartition("part", "slice")
+        if exploded:
+            dealt = dealt.groupBy("part", "slice", "token", "ordinal", "len", *CARRIED).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+        return dealt.drop("slice")
+
+    def _write(self, segment: str, records: DataFrame, postings: DataFrame, exploded: bool = False) -> dict:
+        """A segment of records (key, ordinal, len) and postings (token, ordinal, positions or each pos, len, and the record's columns)."""
         counts = records.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens"), F.coalesce(F.max("ordinal"), F.lit(0)).alias("top")).first().asDict()
         shards = min(MOST_SHARDS, max(1, -(-max(counts["tokens"], counts["n"]) // self.tokens_per_shard)))
         records.select(*KEY, "ordinal", "len", key_bucket(shards).alias("part")).repartition("part").sortWithinPartitions("part", *KEY).write.partitionBy("part").parquet(f"{self.path}/records/segment={segment}")
-        dealt = postings.withColumn("part", shard_of(F.col("token"), shards))
-        dealt = dealt.withColumn("slice", F.when(F.lit(counts["tokens"] > shards * self.tokens_per_shard), F.pmod("ordinal", F.lit(-(-counts["tokens"] // (shards * self.tokens_per_shard)))))
-                                 .otherwise(F.lit(0)))
-        dealt.repartition("part", "slice").drop("slice").sortWithinPartitions("part", "token").write.partitionBy("part").parquet(f"{self.path}/postings/segment={segment}")
+        self._dealt(postings, counts["tokens"], shards, exploded).sortWithinPartitions("part", "token").write.partitionBy("part").parquet(f"{self.path}/postings/segment={segment}")
         return {"id": segment, **counts, "dead": 0, "dead_tokens": 0, "deletes": None, "shards": shards, "parts": self._parts("postings", segment), "buckets": self._parts("records", segment)}
 
     def _parts(self, kind: str, segment: str) -> list[int]:
@@ -107,21 +113,18 @@ class SegmentedIndex:
         keys = [df.select(*KEY) for df in (upserts, deletes) if df is not None]
         if not keys:
             return state
-        changed = written(reduce(DataFrame.unionByName, keys).dropna().distinct())
-        self._mark(segments, changed, generation)
+        if segments:  # the first batch replaces nothing
+            self._mark(segments, written(reduce(DataFrame.unionByName, keys).dropna().distinct()), generation)
         if upserts is not None:
             made = settled(upserts.select(*CARRIED, "text"), tokens=tokens(F.col("text")))
             made = written(made.select(*CARRIED, "tokens", F.size("tokens").cast("bigint").alias("len"), (F.monotonically_increasing_id() + 1).alias("ordinal")))
             if not made.isEmpty():
                 exploded = made.select(*CARRIED, "len", "ordinal", F.posexplode("tokens").alias("pos", "token"))
-                postings = exploded.groupBy("token", "ordinal", "len", *CARRIED).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-                segments.append(self._write(f"s{generation:010d}", made, postings))
+                segments.append(self._write(f"s{generation:010d}", made, exploded, exploded=True))
         return self._commit(generation, segments)
 
     def _mark(self, segments: list[dict], changed: DataFrame, generation: int) -> None:
         """Write bitmaps of the records that changed keys had, and count them; only buckets of those keys are read."""
-        if not segments:
-            return
         counts = sorted({s["shards"] for s in segments})
         asked: dict[int, set[int]] = {n: set() for n in counts}
         pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("n"), key_bucket(n).alias("b")) for n in counts))).alias("p")

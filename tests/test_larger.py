@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from anamnex.operators import commit, diagnostics, overlay
+from anamnex.operators.segments import SegmentedIndex
 from anamnex.plans import catalog as snapshots
 from anamnex.plans import registry, registry_verbs
 from anamnex.plans.bridge import DICTIONARY, catalog
@@ -78,7 +79,7 @@ def test_a_rekey_plan_takes_one_shuffle_for_each_type(spark, sf_dir):
 
 
 def test_tasks_that_write_a_snapshot_stay_of_one_size(spark, tmp_path):
-    assert [snapshots.written_parts(*x) for x in ((0, 1), (999, 1), (216_000_000, 216), (216_000_000, 4))] == [(1, 1), (2, 1), (432, 1), (432, 54)]
+    assert [snapshots.written_parts(*x) for x in ((0, 1), (999, 1), (216_000_000, 216), (216_000_000, 4))] == [(1, 1), (2, 1), (1728, 4), (1728, 216)]
     rows = spark.range(1000).select(F.col("id").alias("allergy_id"), F.lit("x").alias("substance"))
     made = snapshots.snapshot(snapshots.Catalog(spark, {"allergy": rows}), str(tmp_path), "anamnex-20240201-0000", bucket_rows=100)
     assert len(made["written"]["allergy"]) == 10 and snapshots.integrity(spark, str(tmp_path), "anamnex-20240201-0000") == "ok"
@@ -94,3 +95,14 @@ def test_stall_windows_shuffle_samples_and_not_pairs(spark):
     assert "FlatMapCoGroupsInArrow" in plan
     want = diagnostics.around(markers, diagnostics.near(markers, samples, 30))
     assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect())) and found.where("samples = 0").count() > 1
+
+
+def test_postings_of_new_records_are_shuffled_once(spark, tmp_path):
+    index = SegmentedIndex(spark, f"{tmp_path}/index", tokens_per_shard=50)
+    rows = spark.range(200).select(F.lit("t").alias("source_table"), F.col("id").alias("source_id"), F.col("id").alias("person_id"), F.lit(1).cast("long").alias("document_id"), F.concat(F.lit("the one the "), F.col("id").cast("string")).alias("text"))
+    exploded = rows.select("source_table", "source_id", "person_id", "document_id", F.col("source_id").alias("ordinal"), F.lit(4).cast("long").alias("len"), F.posexplode(F.split("text", " ")).alias("pos", "token"))
+    dealt = index._dealt(exploded, 800, 16, exploded=True)
+    assert str(dealt._jdf.queryExecution().executedPlan().toString()).count("Exchange") == 1
+    assert {(r["token"], tuple(r["positions"])) for r in dealt.where("source_id = 7").collect()} == {("the", (0, 2)), ("one", (1,)), ("7", (3,))}
+    index.apply(rows)
+    assert index.find("the 7").count() == 1 and index.find("one").count() == 200
