@@ -5,6 +5,9 @@ columns need: nothing for names and lengths, 132 bytes for its kind, a growing p
 16 KiB), and everything, a chunk at a time, only for its checksum (null
 for what is no slice, where kinds are asked for too). Ask for fewer columns with `.schema(...)`.
 
+Files that come as rows (`taken`) lie in folders only while their study is read, packed and checked, one study a task at a
+time: small files take whole blocks of a disk, and all of them at once would take many times what their bytes do.
+
 A study's archive is one stream by nature, as its hash is, so one task writes it: with checksums and lengths known, all
 headers and places are, and the files' bytes pass through in chunks. A task holds the list of a study's files and one
 chunk. The archive is moved to its name, its own hash, only as a whole; a lost executor leaves a file that nothing names.
@@ -20,7 +23,7 @@ import struct
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -79,6 +82,28 @@ def tags(fs: pafs.FileSystem, path: str) -> dict[str, str]:
         return {}
 
 
+def listed(fs: pafs.FileSystem, root: str) -> list[tuple[str, str, int]]:
+    """(path, name below the folder, length) of all files below a folder, by path."""
+    root = root.rstrip("/")
+    found = fs.get_file_info(pafs.FileSelector(root, recursive=True))
+    return sorted((i.path, i.path[len(root) + 1 :], i.size) for i in found if i.type == pafs.FileType.File)
+
+
+def looked(fs: pafs.FileSystem, path: str, name: str, size: int, columns: Collection[str]) -> dict:
+    """What is asked of one file."""
+    row = {"path": path, "name": name, "length": size}
+    if "kind" in columns or "tags" in columns:
+        row["kind"] = kind_of(fs, path)
+    if "tags" in columns:
+        row["tags"] = tags(fs, path) if row["kind"] == "slice" and name.rpartition("/")[2].upper() != DIRECTORY_FILE else {}
+    if "crc" in columns and row.get("kind", "slice") == "slice":
+        crc = 0
+        for part in chunks(fs, path):
+            crc = zlib.crc32(part, crc)
+        row["crc"] = crc
+    return row
+
+
 class Part(InputPartition):
     def __init__(self, files: list[tuple[str, str, int]]):
         self.files = files
@@ -90,29 +115,19 @@ class StudyReader(DataSourceReader):
 
     def partitions(self) -> list[Part]:
         fs, root = opened(self.path)
-        found = sorted((i.path, i.size) for i in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if i.type == pafs.FileType.File)
         out, held = [], 0
-        for path, size in found:
+        for path, name, size in listed(fs, root):
             if not out or len(out[-1]) >= TASK_FILES or ("crc" in self.columns and held + size > TASK_BYTES):
                 out.append([])
                 held = 0
-            out[-1].append((path, path[len(root.rstrip("/")) + 1 :], size))
+            out[-1].append((path, name, size))
             held += size
         return [Part(files) for files in out] or [Part([])]
 
     def read(self, partition: Part) -> Iterator[tuple]:
         fs, _ = opened(self.path)
         for path, name, size in partition.files:
-            row = {"path": path, "name": name, "length": size}
-            if "kind" in self.columns or "tags" in self.columns:
-                row["kind"] = kind_of(fs, path)
-            if "tags" in self.columns:
-                row["tags"] = tags(fs, path) if row["kind"] == "slice" and name.rpartition("/")[2].upper() != DIRECTORY_FILE else {}
-            if "crc" in self.columns and row.get("kind", "slice") == "slice":
-                crc = 0
-                for part in chunks(fs, path):
-                    crc = zlib.crc32(part, crc)
-                row["crc"] = crc
+            row = looked(fs, path, name, size, self.columns)
             yield tuple(row.get(c) for c in self.columns)
 
 
@@ -190,6 +205,17 @@ def archive(members: list[tuple[str, str, int, int]]) -> Iterator[bytes]:
 PACKED = "study string, sha256 string, n_files long, bytes long, packed_at string"
 
 
+def put(members: list[tuple[str, str, int, int]], fs: pafs.FileSystem, root: str) -> tuple[str, int, str]:
+    """Write the archive of (path, name, length, crc) below root, under a name of its own: its hash, size and place."""
+    place, digest, size = f"{root}/.{uuid.uuid4().hex}.part", hashlib.sha256(), 0
+    with fs.open_output_stream(place) as out:
+        for part in archive(members):
+            digest.update(part)
+            out.write(part)
+            size += len(part)
+    return digest.hexdigest(), size, place
+
+
 def packed(rows: DataFrame, folder: str) -> DataFrame:
     """A row for each study of slices (study, path, name, length, crc): its archive's hash, size and place below folder, under a name of its own."""
 
@@ -197,13 +223,8 @@ def packed(rows: DataFrame, folder: str) -> DataFrame:
         members = list(zip(*(table[c].to_pylist() for c in ("path", "name", "length", "crc"))))
         fs, root = opened(folder)
         fs.create_dir(root, recursive=True)
-        place, digest, size = f"{root}/.{uuid.uuid4().hex}.part", hashlib.sha256(), 0
-        with fs.open_output_stream(place) as out:
-            for part in archive(members):
-                digest.update(part)
-                out.write(part)
-                size += len(part)
-        return pa.table({"study": [key[0].as_py()], "sha256": [digest.hexdigest()], "n_files": [len(members)], "bytes": [size], "packed_at": [place]})
+        sha, size, place = put(members, fs, root)
+        return pa.table({"study": [key[0].as_py()], "sha256": [sha], "n_files": [len(members)], "bytes": [size], "packed_at": [place]})
 
     return rows.select("study", "path", "name", "length", "crc").groupBy("study").applyInArrow(pack, PACKED)
 
@@ -212,20 +233,79 @@ def blob_name(sha: str) -> str:
     return f"{sha[:2]}/{sha}.dcm.zip"
 
 
+def keep(fs: pafs.FileSystem, root: str, sha: str, place: str) -> str:
+    """Move a packed archive to its name below root; that name."""
+    target = f"{root}/{blob_name(sha)}"
+    fs.create_dir(target.rpartition("/")[0], recursive=True)
+    if fs.get_file_info(place).type == pafs.FileType.File:
+        fs.move(place, target)  # the same bytes, whoever else has put them there
+    return target
+
+
 def kept(rows: DataFrame, folder: str) -> DataFrame:
     """Move packed archives to their names below folder; one that is there already stays, and the new one goes."""
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = opened(folder)
         for b in batches:
-            for sha, place in zip(b["sha256"], b["packed_at"]):
-                target = f"{root}/{blob_name(sha)}"
-                fs.create_dir(target.rpartition("/")[0], recursive=True)
-                if fs.get_file_info(place).type == pafs.FileType.File:
-                    fs.move(place, target)  # the same bytes, whoever else has put them there
-            yield b.assign(packed_at=[f"{root}/{blob_name(s)}" for s in b["sha256"]])
-
-    return rows.mapInPandas(keep, rows.schema)
+            yield b.assign(packed_at=[keep(fs, root, sha, place) for sha, place in zip(b["sha256"], b["packed_at"])])
+
+    return rows.mapInPandas(move, rows.schema)
+
+
+def holds(fs: pafs.FileSystem, path: str, sha: str, size: int) -> bool:
+    """Whether the bytes of a file are as many as they should be and have this hash."""
+    digest, n = hashlib.sha256(), 0
+    for part in chunks(fs, path):
+        digest.update(part)
+        n += len(part)
+    return (digest.hexdigest(), n) == (sha, size)
+
+
+TAKEN = "study string, sha256 string, n_files long, bytes long, whole boolean"
+
+
+def taken(rows: DataFrame, folder: str) -> DataFrame:
+    """A row for each study of files that come as rows (study, name, content), the rows of a study after one another in one task.
+
+    A study's files are put in a folder as they come. It is read by ranges, its slices are packed, the archive is kept under
+    its hash, and whole says whether the bytes kept have it. Then the folder and the archive go. No slices, no row.
+    """
+
+    def finished(study: str, fs: pafs.FileSystem, root: str) -> list[tuple]:
+        found = [looked(fs, *file, ("kind", "crc")) for file in listed(fs, f"{root}/in")]
+        members = [(f["path"], f["name"], f["length"], f["crc"]) for f in found if f["kind"] == "slice"]
+        out = []
+        if members:
+            sha, size, place = put(members, fs, root)
+            at = keep(fs, root, sha, place)
+            out.append((study, sha, len(members), size, holds(fs, at, sha, size)))
+            fs.delete_file(at)
+        fs.delete_dir_contents(f"{root}/in")  # the folder itself serves the next study
+        return out
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = opened(f"{folder}/{uuid.uuid4().hex}")  # of this attempt alone
+        study, made, schema = None, set(), pa.schema([("study", pa.string()), ("sha256", pa.string()), ("n_files", pa.int64()), ("bytes", pa.int64()), ("whole", pa.bool_())])
+        for b in batches:
+            out = []
+            for own, name, content in zip(*(c.to_pylist() for c in b.columns)):
+                if made and own != study:
+                    out += finished(study, fs, root)
+                    made = set()
+                study, parent = own, f"{root}/in/{name}".rpartition("/")[0]
+                if parent not in made:
+                    fs.create_dir(parent, recursive=True)
+                    made.add(parent)
+                with fs.open_output_stream(f"{root}/in/{name}") as f:
+                    f.write(content)
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema)
+        if made:
+            last = finished(study, fs, root)
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in last], schema)
+            fs.delete_dir(root)
+
+    return rows.select("study", "name", "content").mapInArrow(take, TAKEN)
 
 
 def dropped(rows: DataFrame) -> int:

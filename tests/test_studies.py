@@ -128,3 +128,26 @@ def test_headers_are_read_by_ranges():
     long = slice_bytes("A" * 60_000 + "B")  # the header goes beyond what is read at first
     fs = Spy(long)
     assert studies.tags(fs, "a") == dicom.tags_of(long) != {}
+
+
+def test_files_that_come_as_rows_lie_there_only_while_they_are_taken(spark, tmp_path):
+    head = b"\0" * 128 + b"DICM"
+    rows = [("golden", "IM000002", head + b"payload-b"), ("golden", "notes.txt", b"none"), ("golden", "IM000001", head + b"payload-a"), ("bare", "a", b""), ("deep", "s/1", head), ("deep", "DICOMDIR", head)]
+    df = spark.createDataFrame(rows, "study string, name string, content binary").repartition("study").sortWithinPartitions("study")
+    got = {r["study"]: r for r in studies.taken(df, str(tmp_path / "blobs")).collect()}
+    assert got.keys() == {"golden", "deep"} and all(r["whole"] for r in got.values())
+    assert got["golden"]["sha256"] == GOLDEN and got["golden"]["n_files"] == 2
+    want = library({"s/1": head, "DICOMDIR": head})
+    assert got["deep"]["sha256"] == hashlib.sha256(want).hexdigest() and got["deep"]["bytes"] == len(want)
+    assert [p for p in (tmp_path / "blobs").rglob("*") if p.is_file()] == []
+
+
+def test_the_query_leaves_no_files_of_slices(spark, sf_dir):
+    from pathlib import Path
+
+    from anamnex.plans import registry
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
+    assert registry.QUERIES["study_archives"](spark, sf_dir).where("whole").count() > 100
+    assert [p for d in set(shared.iterdir()) - before for p in d.rglob("*") if p.is_file()] == []
