@@ -27,6 +27,8 @@ PATTERNS = {
     "card": r"\b((?:4\d{3}|5[1-5]\d{2}|3[47]\d{2}|6011)[ -]?\d{4}[ -]?\d{4}[ -]?\d{2,4})\b",
     "nhs": r"(?i)\bNHS(?:\s*(?:number|no\.?))?\s*[:=#]?\s*(\d{3}[ -]?\d{3}[ -]?\d{4})\b",
 }
+#: What a line must hold for a rule to find anything, by rule: a literal or, for "0", any digit. Rules look at no other lines.
+NEEDED = {"person-slug": "person", "bare-slug": "-", "patient-name": "Patient", "dob": "0", "ssn": "0", "mrn": "0", "card": "0", "nhs": "0"}
 
 
 def nhs_valid(found: Column) -> Column:
@@ -48,15 +50,22 @@ def dob_forms(found: Column) -> Column:
 
 def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, line, content, person_doc): a row per line, from 1."""
-    df = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), r"\r?\n")).alias("pos", "content"), F.col(text).rlike(CONTEXT).alias("person_doc"))
+    whole = docs.select(F.col(doc_id).alias("doc_id"), F.split(F.col(text), r"\r?\n").alias("lines"), F.col(text).rlike(CONTEXT).alias("person_doc"))  # once a document: lines don't carry its text
+    df = whole.select("doc_id", F.posexplode("lines").alias("pos", "content"), "person_doc")
     return df.select("doc_id", (F.col("pos") + 1).alias("line"), "content", "person_doc")
 
 
 def scan_lines(lines: DataFrame, given_names: DataFrame) -> DataFrame:
     """(doc_id, line, rule, match, excerpt) of all findings in lines (doc_id, line, content, person_doc)."""
     clean = F.regexp_replace("content", r"\\[nrt]", "  ")
-    kept = lines.where(~F.col("content").contains(ALLOW)).withColumn("clean", clean)
-    each = F.array(*(F.transform(F.regexp_extract_all("clean", F.lit(p), 1), _tagged(rule)) for rule, p in PATTERNS.items()))
+    kept = lines.where(~F.col("content").contains(ALLOW)).withColumn("clean", clean).withColumn("digits", F.col("clean").rlike("[0-9]"))
+
+    def found_by(rule: str, pattern: str) -> Column:
+        word = NEEDED.get(rule)
+        asked = F.col("person_doc") if word is None else F.col("digits") if word == "0" else F.col("clean").contains(word)
+        return F.when(asked, F.transform(F.regexp_extract_all("clean", F.lit(pattern), 1), _tagged(rule))).otherwise(F.array().cast("array<struct<rule:string,match:string>>"))
+
+    each = F.array(*(found_by(rule, p) for rule, p in PATTERNS.items()))
     found = kept.select("doc_id", "line", "content", "person_doc", F.inline(F.flatten(each)))
     m = F.col("match")
     parts = F.split(m, "-")
@@ -75,8 +84,9 @@ def scan_lines(lines: DataFrame, given_names: DataFrame) -> DataFrame:
         .otherwise(F.lit(True))
     )
     found = found.withColumn("given", given).where(F.coalesce(keep, F.lit(False)))
-    known = given_names.select(F.lower(F.trim(given_names.columns[0])).alias("given")).distinct()
-    found = found.where("given IS NULL").unionByName(found.where("given IS NOT NULL").join(known, "given", "left_semi").select(*found.columns))
+    known = given_names.select(F.lower(F.trim(given_names.columns[0])).alias("given")).where("given IS NOT NULL").distinct().withColumn("known", F.lit(True))
+    key = F.coalesce("given", F.concat("rule", F.lit(" "), "match"))  # findings that ask for no name meet none, and are dealt evenly
+    found = found.withColumn("asks", F.col("given").isNotNull()).withColumn("given", key).join(known, "given", "left").where("known OR NOT asks")
     return found.select("doc_id", "line", "rule", "match", F.substring(F.trim("content"), 1, 160).alias("excerpt"))
 
 

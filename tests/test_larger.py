@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from anamnex.operators import commit, diagnostics, overlay
+from anamnex.operators import commit, diagnostics, overlay, piiscan
 from anamnex.operators.segments import SegmentedIndex
 from anamnex.plans import catalog as snapshots
 from anamnex.plans import registry, registry_verbs
@@ -106,3 +106,17 @@ def test_postings_of_new_records_are_shuffled_once(spark, tmp_path):
     assert {(r["token"], tuple(r["positions"])) for r in dealt.where("source_id = 7").collect()} == {("the", (0, 2)), ("one", (1,)), ("7", (3,))}
     index.apply(rows)
     assert index.find("the 7").count() == 1 and index.find("one").count() == 200
+
+
+def test_a_line_scan_reads_its_lines_once_and_they_do_not_carry_the_text(spark):
+    texts = ["Patient: Ann, Lee\nJames Brown and Zora Brown\nDOB: 3/4/1999 ssn 123-45-6789\nlinda-long \\nMRN: 12345\nCARD 4111 1111 1111 1111", "James Brown\n\nNHS no. 943 476 5919 nhs 9434765918", "chart --person ann-lee add_person(conn, 'li-wu') --person ann-roe", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    found = piiscan.scan(docs, spark.createDataFrame([("James",), (" LINDA",), ("linda",), (None,)], "n string"))
+    plan = str(found._jdf.queryExecution().optimizedPlan().toString())
+    assert "Union" not in plan and plan.count("Generate posexplode") == 1
+    below = plan.split("Generate posexplode", 1)[1]
+    assert "(patient|" in below and "(patient|" not in plan[: -len(below)]  # what the whole text says is asked before there are lines
+    assert sorted((r["doc_id"], r["line"], r["rule"], r["match"]) for r in found.collect()) == [
+        (0, 1, "patient-name", "Patient: Ann, Lee"), (0, 2, "full-name", "James Brown"), (0, 3, "dob", "3/4/1999"), (0, 3, "ssn", "123-45-6789"), (0, 4, "bare-slug", "linda-long"), (0, 4, "mrn", "MRN: 12345"),
+        (0, 5, "card", "4111 1111 1111 1111"), (1, 3, "nhs", "943 476 5919"), (2, 1, "person-slug", "ann-lee"), (2, 1, "person-slug", "li-wu"),
+    ]
