@@ -188,7 +188,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
         print(render.person_text(found[a.verb](), cat, a.person))
         return 0
     if a.verb == "brief":
-        row = render.briefs(cat, a.today, a.today, d, overrides=words["medication_display"]).where(f"appointment_id = {int(a.appointment)}").head()
+        row = render.briefs(cat, a.today, a.today, d, int(a.appointment), overrides=words["medication_display"]).head()
         print(row["text"] if row else f"no appointment {a.appointment}")
         return 0 if row else 1
     new, report = written(spark, cat, a, d)

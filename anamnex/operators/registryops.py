@@ -18,7 +18,7 @@ from ..plans.catalog import Catalog
 from ..specs import COMPARED, FIELDS, KEYS, STATUSES, TYPES, editable, schema_of
 from .clinical import person_id
 from .commit import DriftError, _same, drifted, next_ids, now_text, updated, conflict_families
-from .overlay import with_verdict
+from .overlay import ruled_types, with_verdict
 
 
 class RefusedError(ValueError):
@@ -237,29 +237,39 @@ def prefs(catalog: Catalog, slug: str) -> DataFrame:
 # --- verdicts
 
 
-def families(catalog: Catalog) -> DataFrame:
-    """(record_type, dedup_base, owner, label, family_size): owner and label are those of the first occurrence."""
+def _types(catalog: Catalog, ruled: bool) -> tuple[str, ...]:
+    return tuple(t for t in TYPES if t in ruled_types(catalog)) or TYPES[-1:] if ruled else TYPES
+
+
+def families(catalog: Catalog, ruled: bool = False) -> DataFrame:
+    """(record_type, dedup_base, owner, label, family_size): owner and label are those of the first occurrence; ruled: only families that a verdict names."""
     out = None
-    for t in TYPES:
+    for t in _types(catalog, ruled):
         first = F.struct("dedup_occurrence", f"{t}_id")
-        own = catalog[t].withColumn("label", identity.row_label(t)).groupBy("dedup_base").agg(F.min_by("person_id", first).alias("owner"), F.min_by("label", first).alias("label"), F.count("*").alias("family_size"))
+        rows = catalog[t]
+        if ruled:
+            rows = rows.join(catalog["curation"].where(F.col("record_type") == t).select("dedup_base"), "dedup_base", "left_semi")
+        own = rows.withColumn("label", identity.row_label(t)).groupBy("dedup_base").agg(F.min_by("person_id", first).alias("owner"), F.min_by("label", first).alias("label"), F.count("*").alias("family_size"))
         own = own.select(F.lit(t).alias("record_type"), "*")
         out = own if out is None else out.unionByName(own)
     return out
 
 
-def labelled_rows(catalog: Catalog) -> DataFrame:
-    """(record_type, record_id, live_base, row_owner, row_label) of every record."""
+def labelled_rows(catalog: Catalog, ruled: bool = False) -> DataFrame:
+    """(record_type, record_id, live_base, row_owner, row_label) of every record; ruled: only of those that a verdict names."""
     out = None
-    for t in TYPES:
-        own = catalog[t].select(F.lit(t).alias("record_type"), F.col(f"{t}_id").alias("record_id"), F.col("dedup_base").alias("live_base"), F.col("person_id").alias("row_owner"), identity.row_label(t).alias("row_label"))
+    for t in _types(catalog, ruled):
+        rows = catalog[t]
+        if ruled:
+            rows = rows.join(catalog["curation"].where(F.col("record_type") == t).select(F.col("record_id").alias(f"{t}_id")), f"{t}_id", "left_semi")
+        own = rows.select(F.lit(t).alias("record_type"), F.col(f"{t}_id").alias("record_id"), F.col("dedup_base").alias("live_base"), F.col("person_id").alias("row_owner"), identity.row_label(t).alias("row_label"))
         out = own if out is None else out.unionByName(own)
     return out
 
 
 def verdict_list(catalog: Catalog) -> DataFrame:
     """Verdicts with what they rule on, newest first."""
-    df = catalog["curation"].join(families(catalog), ["record_type", "dedup_base"], "left").join(labelled_rows(catalog), ["record_type", "record_id"], "left")
+    df = catalog["curation"].join(families(catalog, ruled=True), ["record_type", "dedup_base"], "left").join(labelled_rows(catalog, ruled=True), ["record_type", "record_id"], "left")
     row = F.col("record_id") > 0
     return df.select(
         *catalog["curation"].columns, F.when(row, F.col("row_label")).otherwise(F.col("label")).alias("label"), F.coalesce(F.when(row, F.lit(1)).otherwise(F.col("family_size")), F.lit(0)).alias("family_size"), F.when(row, F.col("row_owner")).otherwise(F.col("owner")).alias("owner")

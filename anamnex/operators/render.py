@@ -255,9 +255,10 @@ def summaries(catalog: Catalog, today, generated: str, dictionary: Dictionary =
     return text(summary_lines(catalog, today, dictionary, routine, overrides), summary_headers(catalog, generated), SUMMARY, optional=(7,), empty={8: "_none flagged_"})
 
 
-def briefs(catalog: Catalog, today, generated: str, dictionary: Dictionary = None, **more) -> DataFrame:
-    """(appointment_id, person_id, text) for every appointment."""
-    heads = catalog["appointment"].join(catalog["person"].select("person_id", "full_name"), "person_id")
+def briefs(catalog: Catalog, today, generated: str, dictionary: Dictionary = None, appointment: int | None = None, **more) -> DataFrame:
+    """(appointment_id, person_id, text) for every appointment, or for one, of whose person alone lines are made."""
+    own_heads = catalog["appointment"] if appointment is None else catalog["appointment"].where(F.col("appointment_id") == appointment)
+    heads = own_heads.join(catalog["person"].select("person_id", "full_name"), "person_id")
     when = F.when(date_only(F.col("scheduled_for")) == "", "unscheduled").otherwise(date_only(F.col("scheduled_for")))
 
     def known(c: str, other: str) -> Column:
@@ -267,7 +268,11 @@ def briefs(catalog: Catalog, today, generated: str, dictionary: Dictionary = Non
         F.lit("# Appointment Brief: "), "full_name", F.lit(f"\n\n- Generated: {generated} (read-only view of DB state)\n\n## Appointment\n\n- When: "), when, F.lit("\n- Provider: "), known("provider", "unknown"),
         F.lit("\n- Specialty: "), known("specialty", "unknown"), F.lit("\n- Reason: "), known("reason", "(none given)"), F.lit("\n"),
     )
-    own = text(brief_lines(catalog, today, dictionary, **more), heads.select("person_id").distinct().withColumn("header", F.lit("")), BRIEF, optional=(6,), empty={5: "_none_"})
+    lines = brief_lines(catalog, today, dictionary, **more)
+    if appointment is not None:
+        whose = own_heads.where("person_id IS NOT NULL").select("person_id").head()
+        lines = lines.where(F.col("person_id") == whose[0] if whose else F.lit(False))
+    own = text(lines, heads.select("person_id").distinct().withColumn("header", F.lit("")), BRIEF, optional=(6,), empty={5: "_none_"})
     out = heads.select("appointment_id", "person_id", header.alias("header")).join(own, "person_id")
     return out.select("appointment_id", "person_id", F.concat("header", "text").alias("text"))
 

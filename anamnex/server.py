@@ -115,8 +115,8 @@ class Server:
 
     def render_brief(self, cat, appointment: int, include_self_reported: bool = False) -> dict:
         w = self.words
-        found = render.briefs(cat, self.today, self.today, w["synonyms"], overrides=w["medication_display"], self_reported=include_self_reported)
-        row = found.where(F.col("appointment_id") == int(appointment)).head()
+        found = render.briefs(cat, self.today, self.today, w["synonyms"], int(appointment), overrides=w["medication_display"], self_reported=include_self_reported)
+        row = found.head()
         if row is None:
             raise CallError(f"no appointment {appointment}")
         return {"markdown": row["text"]}

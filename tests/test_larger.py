@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from anamnex.operators import commit, diagnostics, overlay, piiscan
+from anamnex.operators import commit, diagnostics, overlay, piiscan, registryops, render
 from anamnex.operators.segments import SegmentedIndex
 from anamnex.plans import catalog as snapshots
 from anamnex.plans import registry, registry_verbs
@@ -120,3 +120,23 @@ def test_a_line_scan_reads_its_lines_once_and_they_do_not_carry_the_text(spark):
         (0, 1, "patient-name", "Patient: Ann, Lee"), (0, 2, "full-name", "James Brown"), (0, 3, "dob", "3/4/1999"), (0, 3, "ssn", "123-45-6789"), (0, 4, "bare-slug", "linda-long"), (0, 4, "mrn", "MRN: 12345"),
         (0, 5, "card", "4111 1111 1111 1111"), (1, 3, "nhs", "943 476 5919"), (2, 1, "person-slug", "ann-lee"), (2, 1, "person-slug", "li-wu"),
     ]
+
+
+def test_verdicts_meet_only_families_and_rows_that_they_name(spark, sf_dir):
+    cat = catalog(spark, sf_dir)
+    found = registryops.verdict_list(cat)
+    assert "lineitem" not in str(found._jdf.queryExecution().optimizedPlan().toString()) and "procedure_id" not in str(found._jdf.queryExecution().optimizedPlan().toString())
+    all_of_them = cat["curation"].join(registryops.families(cat), ["record_type", "dedup_base"], "left").join(registryops.labelled_rows(cat), ["record_type", "record_id"], "left")
+    want = all_of_them.selectExpr("record_type", "dedup_base", "record_id", "if(record_id > 0, row_label, label) AS label", "coalesce(if(record_id > 0, 1, family_size), 0) AS family_size", "if(record_id > 0, row_owner, owner) AS owner")
+    assert sorted(map(repr, found.select(*want.columns).collect())) == sorted(map(repr, want.collect())) and found.count() > 20
+    none = registryops.verdict_list(cat.with_tables(curation=cat["curation"].where("false")))
+    assert none.count() == 0 and none.columns == found.columns
+
+
+def test_one_brief_is_made_of_its_persons_rows(spark, sf_dir):
+    cat = catalog(spark, sf_dir)
+    first = cat["appointment"].join(cat["person"].select("person_id"), "person_id").agg(F.min("appointment_id")).first()[0]
+    one = render.briefs(cat, "2024-02-01", "2024-02-01", DICTIONARY, appointment=first)
+    assert "EqualTo(user_id" in str(one._jdf.queryExecution().executedPlan().toString()) or "(user_id#" in str(one._jdf.queryExecution().optimizedPlan().toString())
+    assert one.collect() == render.briefs(cat, "2024-02-01", "2024-02-01", DICTIONARY).where(F.col("appointment_id") == first).collect() and one.count() == 1
+    assert render.briefs(cat, "2024-02-01", "2024-02-01", DICTIONARY, appointment=-1).count() == 0
