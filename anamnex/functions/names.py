@@ -39,7 +39,7 @@ def cased(name: str) -> str:
 
 @F.pandas_udf(T.StringType())
 def display_name(names: pd.Series) -> pd.Series:
-    return names.map(cased, na_action="ignore")
+    return names.map({n: cased(n) for n in names.dropna().unique()})  # names repeat
 
 
 def shown_name(name: Column, overrides: Dictionary = None, dictionary: Dictionary = None) -> Column:

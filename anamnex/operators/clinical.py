@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import units
 from ..functions.dates import date_only, end_of_period, ordinal
 from ..functions.plan import settled
-from ..functions.text import Dictionary, enum_token, filled, key_token, loose, norm, number_text
+from ..functions.text import Dictionary, enum_token, filled, key_token, loose, norm, number_text, stripped
 from ..plans.catalog import Catalog
 from ..specs import ATTESTATION, EDIT_MARK, INTERNAL, RENEWALS, TERMINAL_MEDS, VITAL
 from .overlay import is_appendix, with_verdict
@@ -73,7 +73,7 @@ def is_renewal() -> Column:
 
 def is_current(today: dt.date | str) -> Column:
     """Whether a medication course goes on: a renewal does; a past end ends it; a future or unreadable one leaves it to the status."""
-    status = F.lower(F.coalesce(F.regexp_replace("status", r"(?U)^\s+|\s+$", ""), F.lit("")))
+    status = F.lower(F.coalesce(stripped(F.col("status")), F.lit("")))
     end = end_of_period(F.col("ended_on"))
     past = F.coalesce(end < F.lit(str(today)).cast("date"), F.lit(False))
     return F.when(is_renewal(), True).when(~filled(F.col("ended_on")), ~status.isin(*TERMINAL_MEDS)).when(past, False).otherwise(status == "active")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import units
 from ..functions.dates import date_only
 from ..functions.names import shown_name
-from ..functions.plan import dealt, settled
+from ..functions.plan import bound, dealt, settled
 from ..functions.text import Dictionary, filled, key_token, number_text
 from ..plans.catalog import Catalog
 from ..specs import APPENDIX, BRIEF_LABS, SELF_REPORTED
@@ -84,7 +84,7 @@ def placed(df: DataFrame, section: int, line: Column, *order) -> DataFrame:
 
 
 def medication_lines(catalog: Catalog, today, section: int, since: bool, overrides: Dictionary = None, dictionary: Dictionary = None) -> DataFrame:
-    df = live(catalog["medication"].where(is_current(today)), catalog, "medication")
+    df = live(bound(catalog["medication"], "started_on", "ended_on").where(is_current(today)), catalog, "medication")
     line = F.concat(F.lit("- "), F.coalesce(shown_name(F.col("name"), overrides, dictionary), F.lit("")), opt("dose", " "), opt("frequency", " "), opt("started_on", " (since ", ")") if since else F.lit(""), suffixes())
     return placed(df, section, line, F.col("started_on").asc_nulls_last(), "name", "medication_id")
 
@@ -141,10 +141,10 @@ def lab_line(mark: Column, value: Column, unit: Column) -> Column:
 def abnormal_lines(catalog: Catalog, today, section: int, dictionary: Dictionary = None) -> DataFrame:
     df = with_pref(sections.abnormal_labs(catalog, today), catalog, "test_name", dictionary)
 
-    def bound(c: str) -> Column:
+    def limit(c: str) -> Column:
         return F.when(F.col("shown.converted"), F.round(units.convert(F.col(c), F.col("unit"), F.col("pref"), F.col("source")), 2)).otherwise(F.col(c))
 
-    line = F.concat(lab_line(reference_range(bound("ref_low"), bound("ref_high")), F.col("shown.value"), F.col("shown.unit")), converted(F.col("shown"), F.col("value_num"), F.col("unit")))
+    line = F.concat(lab_line(reference_range(limit("ref_low"), limit("ref_high")), F.col("shown.value"), F.col("shown.unit")), converted(F.col("shown"), F.col("value_num"), F.col("unit")))
     return placed(df, section, line, F.col("collected_at").desc_nulls_last(), F.col("test_name").asc_nulls_first(), F.desc("lab_result_id"))
 
 
@@ -231,7 +231,7 @@ def union(parts: list[DataFrame]) -> DataFrame:
 
 def text(lines: DataFrame, headers: DataFrame, titles: tuple[str, ...], optional: tuple[int, ...] = (), empty: dict[int, str] | None = None) -> DataFrame:
     """(person_id, text): header (person_id, header), then all sections; those without lines say so, optional ones are left out."""
-    bodies = lines.groupBy("person_id", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    bodies = lines.groupBy("person_id", "section").agg(F.array_join(F.sort_array(F.collect_list(F.struct("place", "line")))["line"], "\n").alias("body"))
     wide = bodies.groupBy("person_id").pivot("section", list(range(len(titles)))).agg(F.first("body"))
     df = headers.join(wide, "person_id", "left")
     parts = []

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_only, full_date, norm_ts
-from ..functions.text import Dictionary, enum_token, filled, is_blank, key_token, norm, order_tokens, routine_pattern
+from ..functions.plan import bound, settled
+from ..functions.text import Dictionary, enum_token, filled, is_blank, key_token, norm, order_tokens, routine_pattern, stripped
 from ..plans.catalog import Catalog
 from ..specs import ABNORMAL_MONTHS, LIFECYCLE_MEDS, NORMAL_FLAGS, ORDER, ORDER_NOISE, ORDER_WINDOW, SYMPTOM, SYMPTOM_DAYS, VITAL
 from .clinical import listed, rows_of
@@ -30,8 +31,8 @@ def allergies(catalog: Catalog, slug: str | None = None) -> DataFrame:
 
 
 def _observations(catalog: Catalog, kind: str, slug: str | None) -> DataFrame:
-    df = rows_of(catalog, "observation", slug).where(F.col("obs_type") == kind)
-    return live(df, catalog, "observation").withColumn("ts", norm_ts(F.col("observed_at")))
+    df = bound(rows_of(catalog, "observation", slug).where(F.col("obs_type") == kind), "observed_at")
+    return settled(live(df, catalog, "observation"), ts=norm_ts(F.col("observed_at")))
 
 
 def latest_vitals(catalog: Catalog, slug: str | None = None, dictionary: Dictionary = None) -> DataFrame:
@@ -56,8 +57,8 @@ def symptoms(catalog: Catalog, today: dt.date | str, slug: str | None = None, di
 
 def result_index(catalog: Catalog, slug: str | None = None, dictionary: Dictionary = None) -> DataFrame:
     """(person_id, token, day) of the labs that no verdict hides."""
-    df = live(rows_of(catalog, "lab_result", slug), catalog, "lab_result")
-    df = df.select("person_id", key_token(F.col("test_name"), dictionary).alias("token"), full_date(F.col("collected_at")).alias("day"))
+    df = live(bound(rows_of(catalog, "lab_result", slug), "collected_at"), catalog, "lab_result")
+    df = settled(df, token=key_token(F.col("test_name"), dictionary), day=full_date(F.col("collected_at"))).select("person_id", "token", "day")
     return df.where("day IS NOT NULL AND token <> ''").distinct()
 
 
@@ -89,14 +90,14 @@ def open_orders(catalog: Catalog, slug: str | None = None, dictionary: Dictionar
 
 
 def is_abnormal() -> Column:
-    flag = F.lower(F.coalesce(F.regexp_replace("flag", r"(?U)^\s+|\s+$", ""), F.lit("")))
+    flag = F.lower(F.coalesce(stripped(F.col("flag")), F.lit("")))
     value = F.col("value_num")
     return ((flag != "") & ~flag.isin(*NORMAL_FLAGS)) | F.coalesce(value < F.col("ref_low"), F.lit(False)) | F.coalesce(value > F.col("ref_high"), F.lit(False))
 
 
 def abnormal_labs(catalog: Catalog, today: dt.date | str, slug: str | None = None) -> DataFrame:
     """Abnormal labs of the last months; older ones only if they are the first of their spelling, newest first."""
-    df = live(rows_of(catalog, "lab_result", slug), catalog, "lab_result").where(is_abnormal())
+    df = live(bound(rows_of(catalog, "lab_result", slug), "collected_at").where(is_abnormal()), catalog, "lab_result")
     order = [F.col("collected_at").desc_nulls_last(), F.col("test_name").asc_nulls_first(), F.desc("lab_result_id")]
     first = F.row_number().over(Window.partitionBy("person_id", "test_name").orderBy(*order)) == 1
     when = full_date(F.col("collected_at"))

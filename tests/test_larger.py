@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from anamnex.functions import dates, text
 from anamnex.operators import commit, diagnostics, overlay, piiscan, registryops, render
 from anamnex.operators.segments import SegmentedIndex
 from anamnex.plans import catalog as snapshots
@@ -153,3 +154,24 @@ def test_a_missing_program_is_looked_for_once(monkeypatch):
     decoders.program.cache_clear()
     assert decoders.pdf_text(b"a\nb\nc", registry_sources.READER) == "a\fb\fc" and asked == ["tesseract"]
     decoders.program.cache_clear()
+
+
+def test_dates_that_filters_ask_for_are_made_once(spark, sf_dir):
+    lines = render.medication_lines(catalog(spark, sf_dir), registry.TODAY, 0, True, None, DICTIONARY)
+    filters = [x for x in lines._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x]
+    assert filters and not any("o_orderdate" in x for x in filters)
+
+
+def test_short_ways_of_names_and_dates_say_what_the_patterns_do(spark):
+    odd = ["", " a", "A_b", "a__b", "a ( SP )", "hits", "VIEW_level", "a\u3000b", "\xa02024-01-05T10:00\x85", "2024-01-01\n x", "2024-02-30", "0000-01-01", "2024", "24", "2024-1-5", "\u00c9t\u00c9 x", "a\t b", "(x)", None]
+    df = spark.createDataFrame([(v,) for v in odd], "v string")
+    v = F.col("v")
+    trimmed = F.regexp_replace(v, r"(?U)^\s+|\s+$", "")
+    day = F.coalesce(F.split(F.replace(trimmed, F.lit("T"), F.lit(" ")), " ")[0], F.lit(""))
+    full = F.when(day.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(day, "yyyy-MM-dd"))
+    pairs = [
+        (text.stripped(v), trimmed), (text.squeezed(v), F.trim(F.regexp_replace(v, r"(?U)\s+", " "))), (text.norm(v, DICTIONARY), text.identity(v, DICTIONARY)["canonical"]),
+        (dates.date_only(v), day), (dates.full_date(v), full),
+    ]
+    assert df.where(~F.forall(F.array(*(a.eqNullSafe(b) for a, b in pairs)), lambda same: same)).count() == 0
+    assert "gettimestamp" not in df.select(dates.full_date(v))._jdf.queryExecution().optimizedPlan().toString().lower()
