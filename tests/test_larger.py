@@ -80,6 +80,19 @@ def test_a_rekey_plan_takes_one_shuffle_for_each_type(spark, sf_dir):
     assert shuffles(registry.QUERIES["rekey_changes"](spark, sf_dir)) == len(registry_verbs._KEYED)
 
 
+def test_all_types_are_rekeyed_and_repeated_ids_queue_by_place(spark, sf_dir, tmp_path):
+    """Procedures too, whose ids are not unique: of two rows of one id, the second queues behind the first."""
+    tables = ("events", "orders", "conversations", "part", "supplier", "labels")
+    for t in tables:
+        (tmp_path / f"{t}.parquet").symlink_to(f"{sf_dir}/{t}.parquet")
+    rows = pq.read_table(f"{sf_dir}/lineitem.parquet")
+    pq.write_table(pa.concat_tables([rows, rows.slice(0, 150), rows.slice(100, 100)]), f"{tmp_path}/lineitem.parquet")
+    got, want = against_sql(spark, tmp_path, "rekey_changes", "lineitem", *tables)
+    assert got == want and len([r for r in got if r[0] == "procedure"]) >= 250
+    doubled = commit.collisions(catalog(spark, str(tmp_path)), "procedure", {}).where("row_id = clash_id AND kind = 'doubled'")
+    assert doubled.count() >= 150
+
+
 def test_tasks_that_write_a_snapshot_stay_of_one_size(spark, tmp_path):
     assert [snapshots.written_parts(*x) for x in ((0, 1), (999, 1), (216_000_000, 216), (216_000_000, 4))] == [(1, 1), (2, 1), (1728, 4), (1728, 216)]
     rows = spark.range(1000).select(F.col("id").alias("allergy_id"), F.lit("x").alias("substance"))
