@@ -161,6 +161,14 @@ def test_texts_are_dealt_to_tasks_before_files_are_made_of_them(spark, sf_dir):
     assert shuffles(registry.QUERIES["decoded_formats"](spark, sf_dir)) == 1
 
 
+def test_all_pages_of_a_document_are_decoded(spark, tmp_path):
+    """Beyond the twentieth page too: two texts that differ there alone have different digests, as in the SQL."""
+    texts = ["\n".join(f"page {k}" for k in range(25)), "\n".join(f"page {k}" for k in range(24)) + "\nother", "\n" * 30 + "last", "one", "", None]
+    pq.write_table(pa.table({"doc_id": list(range(6)), "text": texts}), f"{tmp_path}/documents.parquet")
+    got, want = against_sql(spark, tmp_path, "decoded_formats", "documents")
+    assert got == want and len({r[-1] for r in got if r[1] == "pdf" and r[0] < 3} - {None}) == 3
+
+
 def test_a_missing_program_is_looked_for_once(monkeypatch):
     asked = []
     monkeypatch.setattr("shutil.which", lambda name: asked.append(name))
