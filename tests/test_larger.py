@@ -11,7 +11,7 @@ from anamnex.functions import dates, text
 from anamnex.operators import commit, diagnostics, overlay, piiscan, registryops, render
 from anamnex.operators.segments import SegmentedIndex
 from anamnex.plans import catalog as snapshots
-from anamnex.plans import registry, registry_sources, registry_verbs
+from anamnex.plans import bridge, registry, registry_sources, registry_verbs
 from anamnex.plans.bridge import DICTIONARY, catalog
 from anamnex.sources import decoders
 
@@ -161,6 +161,25 @@ def test_texts_are_dealt_to_tasks_before_files_are_made_of_them(spark, sf_dir):
     assert shuffles(registry.QUERIES["decoded_formats"](spark, sf_dir)) == 1
 
 
+def test_problems_of_verdicts_shuffle_no_record_that_no_verdict_names(spark, sf_dir):
+    cat = catalog(spark, sf_dir)
+    labs = cat["lab_result"].where("lab_result_id < 400").orderBy("lab_result_id").select("lab_result_id", "dedup_base", "person_id").collect()
+    one, other = labs[0], next(x for x in labs if x["person_id"] != labs[0]["person_id"])
+    verdicts = [
+        ("lab_result", one[1], one[0], "merged-into", other[1]), ("lab_result", one[1], 0, "merged-into", "nowhere"), ("lab_result", "gone", 0, "superseded", None),
+        ("lab_result", "moved", other[0], "confirmed", None), ("lab_result", one[1], 10**9, "confirmed", None), ("procedure", "gone", 0, "confirmed", None), ("odd", "gone", 3, "confirmed", None),
+    ]
+    made = spark.createDataFrame(verdicts, "record_type string, dedup_base string, record_id long, status string, merged_into_base string")
+    cat = cat.with_tables(curation=bridge.whole(made, "curation"))
+    found = registryops.curation_problems(cat)
+    assert sorted(map(tuple, found.collect())) == sorted([
+        ("merged across persons", "lab_result", one[0], one[1]), ("dangling-merge-target", "lab_result", 0, one[1]), ("no-live-family", "lab_result", 0, "gone"),
+        ("row has moved", "lab_result", other[0], "moved"), ("row is gone", "lab_result", 10**9, one[1]), ("no-live-family", "procedure", 0, "gone"), ("unknown type", "odd", 3, "gone"),
+    ])
+    plan = str(found._jdf.queryExecution().optimizedPlan().toString())
+    assert not any(f"{c}#" in plan for c in ("event_id", "l_orderkey", "o_orderkey"))
+
+
 def test_all_pages_of_a_document_are_decoded(spark, tmp_path):
     """Beyond the twentieth page too: two texts that differ there alone have different digests, as in the SQL."""
     texts = ["\n".join(f"page {k}" for k in range(25)), "\n".join(f"page {k}" for k in range(24)) + "\nother", "\n" * 30 + "last", "one", "", None]
