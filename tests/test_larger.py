@@ -180,6 +180,15 @@ def test_problems_of_verdicts_shuffle_no_record_that_no_verdict_names(spark, sf_
     assert not any(f"{c}#" in plan for c in ("event_id", "l_orderkey", "o_orderkey"))
 
 
+def test_doubled_keys_travel_as_bytes(spark):
+    a, b = "ab" * 32, "0f" * 32
+    held = [a] * 3 + [a.upper()] * 2 + [b] + ["x"] * 4 + ["", "", a + "0", None, None, bytes.fromhex("61" * 32).decode(), "61" * 32]
+    found = registryops.doubled_keys(spark.createDataFrame([(k,) for k in held], "dedup_key string"))
+    assert sorted(r["n"] for r in found.collect()) == [2, 2, 3, 4]
+    sent = [x for x in str(found._jdf.queryExecution().executedPlan().toString()).splitlines() if "Exchange hashpartitioning(__digest" in x]
+    assert sent and "__key" not in sent[0]
+
+
 def test_all_pages_of_a_document_are_decoded(spark, tmp_path):
     """Beyond the twentieth page too: two texts that differ there alone have different digests, as in the SQL."""
     texts = ["\n".join(f"page {k}" for k in range(25)), "\n".join(f"page {k}" for k in range(24)) + "\nother", "\n" * 30 + "last", "one", "", None]
