@@ -32,6 +32,10 @@ KEY = ("source_table", "source_id")
 CARRIED = (*KEY, "person_id", "document_id")
 #: Tokens for which a segment has one shard (and records for which its keys have one bucket), and shards at most.
 TOKENS_PER_SHARD, MOST_SHARDS = 4_000_000, 4096
+#: Postings that a task takes of one shard, about: shards of common tokens go to several.
+SLICE_POSTINGS = 500_000
+#: Tokens up to which a record's postings are gathered within its row; those of longer ones are gathered after the shuffle.
+SHORT = 32
 #: Segments of one tier that are merged; a segment's tier is the logarithm of its live records to this base.
 FAN = 4
 
@@ -50,6 +54,12 @@ def is_set(bitmap: Column, position: Column) -> Column:
     return F.coalesce(F.get(F.array(*(byte.bitwiseAND(1 << k) for k in range(8))), (position % 8).cast("int")) > 0, F.lit(False))
 
 
+def gathered(own: Column) -> Column:
+    """Structs of each token of a short array and its places."""
+    places = lambda t: F.filter(F.transform(own, lambda x, i: F.when(x == t, i)), lambda i: i.isNotNull())
+    return F.transform(F.array_distinct(own), lambda t: F.struct(t.alias("token"), places(t).alias("positions")))
+
+
 class SegmentedIndex:
     """An index in a folder. Batches are applied one after another; of two writers at once, one fails and may try again."""
 
@@ -85,23 +95,34 @@ class SegmentedIndex:
 
     # -- writing
 
-    def _dealt(self, postings: DataFrame, tokens: int, shards: int, exploded: bool) -> DataFrame:
-        """Postings in the shards of their tokens; those of one token each (pos) are gathered where they have come to, without another shuffle."""
-        slices = -(-tokens // (shards * self.tokens_per_shard)) if tokens > shards * self.tokens_per_shard else 1
-        dealt = postings.withColumn("part", shard_of(F.col("token"), shards)).withColumn("slice", F.pmod("ordinal", F.lit(slices)))
-        dealt = dealt.repartition("part", "slice")
+    def _dealt(self, postings: DataFrame, tokens: int, shards: int, exploded: bool, held: dict[int, int] | None = None) -> DataFrame:
+        """Postings in the shards of their tokens; those of one token each (pos) are gathered where they have come to, without another shuffle.
+
+        held: postings by shard, where there are many. A shard of more than SLICE_POSTINGS goes to several tasks, by record.
+        """
+        slices = [max(1, -(-(held or {}).get(k, 0) // SLICE_POSTINGS)) for k in range(shards)]
+        dealt = postings.withColumn("part", shard_of(F.col("token"), shards))
+        dealt = dealt.withColumn("slice", F.pmod("ordinal", F.get(F.lit(slices), F.col("part")) if max(slices) > 1 else F.lit(1)))
+        dealt = dealt.repartition(2 * max(1, -(-tokens // SLICE_POSTINGS)), "part", "slice")  # twice as many tasks as are needed, as slices fall to them by hash
         if exploded:
             dealt = dealt.groupBy("part", "slice", "token", "ordinal", "len", *CARRIED).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
         return dealt.drop("slice")
 
-    def _write(self, segment: str, records: DataFrame, postings: DataFrame, exploded: bool = False) -> dict:
-        """A segment of records (key, ordinal, len) and postings (token, ordinal, positions or each pos, len, and the record's columns)."""
+    def _write(self, segment: str, records: DataFrame, *postings: tuple[DataFrame, DataFrame]) -> dict:
+        """A segment of records (key, ordinal, len) and postings (token, ordinal, positions or each pos, len, and the record's columns), each with a table of their tokens alone."""
         counts = records.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens"), F.coalesce(F.max("ordinal"), F.lit(0)).alias("top")).first().asDict()
         shards = min(MOST_SHARDS, max(1, -(-max(counts["tokens"], counts["n"]) // self.tokens_per_shard)))
         records.select(*KEY, "ordinal", "len", key_bucket(shards).alias("part")).repartition("part").sortWithinPartitions("part", *KEY).write.partitionBy("part").parquet(f"{self.path}/records/segment={segment}")
-        self._dealt(postings, counts["tokens"], shards, exploded).sortWithinPartitions("part", "token").write.partitionBy("part").parquet(f"{self.path}/postings/segment={segment}")
+        for rows, own in postings:
+            held = self._held(own, shards) if counts["tokens"] > SLICE_POSTINGS else {}
+            dealt = self._dealt(rows, sum(held.values()), shards, "pos" in rows.columns, held)
+            dealt.sortWithinPartitions("part", "token").write.mode("append").partitionBy("part").parquet(f"{self.path}/postings/segment={segment}")
         return {"id": segment, **counts, "dead": 0, "dead_tokens": 0, "deletes": None, "shards": shards, "parts": self._parts("postings", segment), "buckets": self._parts("records", segment)}
 
+    def _held(self, own: DataFrame, shards: int) -> dict[int, int]:
+        """Tokens in each shard, of which there are at most MOST_SHARDS."""
+        return {r["part"]: r["count"] for r in own.groupBy(shard_of(F.col("token"), shards).alias("part")).count().collect()}
+
     def _parts(self, kind: str, segment: str) -> list[int]:
         return sorted(int(n[5:]) for n in Files(self.spark, f"{self.path}/{kind}/segment={segment}").names() if n.startswith("part="))
 
@@ -119,8 +140,10 @@ class SegmentedIndex:
             made = settled(upserts.select(*CARRIED, "text"), tokens=tokens(F.col("text")))
             made = written(made.select(*CARRIED, "tokens", F.size("tokens").cast("bigint").alias("len"), (F.monotonically_increasing_id() + 1).alias("ordinal")))
             if not made.isEmpty():
-                exploded = made.select(*CARRIED, "len", "ordinal", F.posexplode("tokens").alias("pos", "token"))
-                segments.append(self._write(f"s{generation:010d}", made, exploded, exploded=True))
+                short, long = made.where(F.col("len") <= SHORT), made.where(F.col("len") > SHORT)
+                within = short.select(*CARRIED, "len", "ordinal", F.inline(gathered(F.col("tokens"))))
+                each = long.select(*CARRIED, "len", "ordinal", F.posexplode("tokens").alias("pos", "token"))
+                segments.append(self._write(f"s{generation:010d}", made, (within, short.select(F.explode(F.array_distinct("tokens")).alias("token"))), (each, each.select("token"))))
         return self._commit(generation, segments)
 
     def _mark(self, segments: list[dict], changed: DataFrame, generation: int) -> None:
@@ -165,9 +188,11 @@ class SegmentedIndex:
             for s in group:
                 starts[s["id"]], at = at, at + s["top"]
             moved = (F.col("ordinal") + reduce(lambda w, s: w.when(F.col("segment") == s, F.lit(starts[s])), list(starts)[1:], F.when(F.col("segment") == next(iter(starts)), F.lit(0)))).alias("ordinal")
-            rows = self._alive(reduce(DataFrame.unionByName, postings), group).select("token", moved, "len", *CARRIED, "positions") if postings else None
+            stored = reduce(DataFrame.unionByName, postings) if postings else None
+            rows = (self._alive(stored, group).select("token", moved, "len", *CARRIED, "positions"), stored.select("token")) if postings else None
             empty = "token string, ordinal bigint, len bigint, source_table string, source_id bigint, person_id bigint, document_id bigint, positions array<int>"
-            made = self._write(f"s{generation:010d}", records.select(*KEY, moved, "len"), rows if rows is not None else self.spark.createDataFrame([], empty))
+            none = self.spark.createDataFrame([], empty)
+            made = self._write(f"s{generation:010d}", records.select(*KEY, moved, "len"), rows or (none, none))
             ids = {s["id"] for s in group}
             self._commit(generation, [s for s in state["segments"] if s["id"] not in ids] + [made])
 

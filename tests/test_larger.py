@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from anamnex.functions import dates, text
-from anamnex.operators import commit, diagnostics, overlay, piiscan, registryops, render
+from anamnex.operators import commit, diagnostics, overlay, piiscan, registryops, render, segments
 from anamnex.operators.segments import SegmentedIndex
 from anamnex.plans import catalog as snapshots
 from anamnex.plans import bridge, registry, registry_sources, registry_verbs
@@ -189,6 +189,25 @@ def test_doubled_keys_travel_as_bytes(spark):
     assert sent and "__key" not in sent[0]
 
 
+def test_postings_of_a_common_token_go_to_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segments, "SLICE_POSTINGS", 100)
+    index = SegmentedIndex(spark, f"{tmp_path}/index", tokens_per_shard=50)
+    body = F.when(F.col("id") % 50 == 0, F.repeat(F.lit("proc and "), 40)).otherwise(F.concat(F.lit("proc the proc "), (F.col("id") % 3).cast("string")))
+    rows = spark.range(1000).select(F.lit("t").alias("source_table"), F.col("id").alias("source_id"), F.col("id").alias("person_id"), F.lit(1).cast("long").alias("document_id"), body.alias("text"))
+
+    def tasks():
+        found = spark.read.parquet(f"{tmp_path}/index/postings").where("token = 'proc'").groupBy("segment", F.input_file_name()).count().groupBy("segment").count().orderBy("segment")
+        return [r["count"] for r in found.collect()]
+
+    index.apply(rows)
+    assert tasks()[0] > 5
+    index.apply(rows.where("source_id < 10").withColumn("text", F.lit("proc new")))
+    index.merge(whole=True)
+    assert tasks()[-1] > 5 and index.find("proc").count() == 1000 and index.find("new").count() == 10 and index.find("the_proc").count() == 971
+    held = {r["source_id"]: tuple(r["positions"]) for r in spark.read.parquet(f"{tmp_path}/index/postings/segment={index.state()['segments'][0]['id']}").where("token = 'proc'").collect()}
+    assert len(held) == 1000 and held[11] == (0, 2) and held[50] == tuple(range(0, 80, 2)) and held[3] == (0,)
+
+
 def test_all_pages_of_a_document_are_decoded(spark, tmp_path):
     """Beyond the twentieth page too: two texts that differ there alone have different digests, as in the SQL."""
     texts = ["\n".join(f"page {k}" for k in range(25)), "\n".join(f"page {k}" for k in range(24)) + "\nother", "\n" * 30 + "last", "one", "", None]
