@@ -100,6 +100,12 @@ def test_tasks_that_write_a_snapshot_stay_of_one_size(spark, tmp_path):
     assert len(made["written"]["allergy"]) == 10 and snapshots.integrity(spark, str(tmp_path), "anamnex-20240201-0000") == "ok"
 
 
+def test_hashes_take_half_their_digits_in_a_snapshot(spark, tmp_path):
+    rows = spark.range(5000).select(F.col("id").alias("allergy_id"), F.sha2(F.col("id").cast("string"), 256).alias("substance"))
+    snapshots.snapshot(snapshots.Catalog(spark, {"allergy": rows}), str(tmp_path), "anamnex-20240201-0000")
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 5000 * 50 and snapshots.integrity(spark, str(tmp_path), "anamnex-20240201-0000") == "ok"
+
+
 def test_stall_windows_shuffle_samples_and_not_pairs(spark):
     at = dt.datetime(2024, 1, 9, 12)
     samples = spark.createDataFrame([(at + dt.timedelta(seconds=s), None if s % 7 == 0 else float(s % 13), s % 7 == 0) for s in range(-200, 200)], "ts timestamp, ms double, lost boolean")
